@@ -120,7 +120,7 @@ def repeated_fingerprints(prints: DataFrame, n_rows: int) -> DataFrame:
             values, counts = _added(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))
             prefix = values >> np.uint64(64 - skip)
             at = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
-            ends = np.append(at[1:], len(values))
+            ends = np.append(at, len(values))[1:]
             parts = [(int(prefix[a]), QuotientFilter(skip, int(prefix[a]), values[a:b], counts[a:b], q).dump()) for a, b in zip(at, ends)]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["range", "filter"])
 
