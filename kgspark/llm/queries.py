@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import byte_bpe, exact_dedup, packing, quality, simhash, substring, token_counts
+from kgspark.llm import byte_bpe, exact_dedup, language_model, packing, quality, simhash, substring, token_counts
 from kgspark.llm.shared import read_table
 
 
@@ -36,6 +36,10 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.substring_dedup(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
