@@ -1,2 +1,73 @@
-STAGES = []
-def run(spark, sf_dir): ...
+"""A pipeline from raw documents to packed training sequences.
+
+Quality rules, line dedup, SimHash near-dedup, secret scan, best-fit packing.
+Each stage takes the documents that its predecessor left, as written to the
+shared folder, and its decisions take effect; the last returns the bins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgspark.llm import line_dedup, packing, quality, secrets, simhash
+from kgspark.llm.shared import read_table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go.  Rows that repeat a doc_id share its fate if any of them is rejected."""
+    rejected = quality.quality(docs).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti").select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated blocks of lines go, and documents of which no word is left."""
+    out = line_dedup.line_dedup(docs)
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return _measured(out.where(F.col("text").isNull() | left))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates stays.
+
+    Fingerprints nominate, and links are confirmed: at least 0.8 of the
+    five-word shingles that either text has are shared.
+    """
+    found = simhash.near_duplicates(docs, words=5, similarity=0.8)
+    later = found.where("doc_id > component_id").select(F.col("doc_id").alias("_id"))
+    return docs.join(later.distinct(), docs["doc_id"] == F.col("_id"), "left_anti").select(*COLUMNS)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return _measured(secrets.redacted(docs, secrets.scan(docs)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, start, n_tokens, bin_id)."""
+    return packing.pack(packing.measured(docs))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", near_stage),
+    ("secret scans", secret_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Estimates, forests and searches are beyond SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

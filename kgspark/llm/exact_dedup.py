@@ -29,6 +29,7 @@ RANGE = 1 << 19
 #: Fingerprints that a task holds before it emits its filters.
 HELD = 1 << 20
 QUOTIENT_BITS = 18
+SALTS = 16
 
 
 class QuotientFilter:
@@ -149,8 +150,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     again = repeated_fingerprints(rows.select("fp"), docs.count())
     digest = rows.select("doc_id", "fp", F.sha2("norm", 256).alias("text_sha256"))
     # The texts themselves are the key here, so Spark compares their bytes.
+    # Salts spread the copies of a text with very many over several tasks.
+    again = again.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     groups = (
-        rows.join(again.hint("shuffle_hash"), "fp", "left_semi")
+        salted.join(again.hint("shuffle_hash"), ["fp", "salt"], "left_semi")
         .groupBy("fp", "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")

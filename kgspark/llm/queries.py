@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import byte_bpe, exact_dedup, language_model, packing, quality, simhash, substring, token_counts
+from kgspark.llm import byte_bpe, exact_dedup, language_model, line_dedup, packing, quality, secrets, simhash, substring, token_counts
 from kgspark.llm.shared import read_table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_no", "nth", "candidate", "before", "after", F.round("score", 9).alias("score"), "is_secret")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.quality(docs).select("doc_id", *quality.STATS, "base_failed", "kept", "distance2")

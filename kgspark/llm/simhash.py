@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm.shared import connected_components, written
-from kgspark.llm.text import chunks, joined
+from kgspark.llm.text import Spans, chunks, joined
 
 SEED = 42
 HALF = 32
@@ -44,21 +44,25 @@ def fingerprint(text: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", out: str = "fp") -> DataFrame:
-    """Adds the fingerprint of each whole text as a (signed) long; the text itself is left out."""
-    keep = [c for c in docs.columns if c not in (text, out)]
+    """Adds the fingerprint of each whole text, and a hash of its words, as (signed) longs; the text itself is left out."""
+    keep = [c for c in docs.columns if c not in (text, out, "words_hash")]
     docs = docs.select(*keep, text)
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
-            column = batch.column(len(keep))
-            prints = []
-            for lo, hi, words in chunks(column, lower=True):
-                prints += [fingerprint(*joined(words, d), shingle) for d in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.array(prints, np.uint64).view(np.int64))], [*keep, out]
-            )
+            prints, hashes = [], []
+            for lo, hi, words in chunks(batch.column(len(keep)), lower=True):
+                for d in range(hi - lo):
+                    body, starts, ends = joined(words, d)
+                    prints.append(fingerprint(body, starts, ends, shingle))
+                    hashes.append(xxhash.xxh64_intdigest(body))
+            found = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, hashes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*keep, out, "words_hash"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField(out, T.LongType())]))
+    added = [T.StructField(out, T.LongType()), T.StructField("words_hash", T.LongType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *added]))
 
 
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -102,5 +106,55 @@ def components(prints: DataFrame, pairs: DataFrame, doc_id: str = "doc_id") -> D
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    prints = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle), "fingerprints")
+    prints = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle).drop("words_hash")
+    prints = written(prints, "fingerprints")
     return components(prints, links(prints, distance))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
+    """Adds ``shingles``, the distinct hashes of the word shingles of each text (of the whole sequence where it is shorter)."""
+    keep = [c for c in docs.columns if c not in (text, "shingles")]
+    docs = docs.select(*keep, text)
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for _, _, words in chunks(batch.column(len(keep)), lower=True):
+                spans = Spans(words.hashes())
+                for first, end in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                    at = np.arange(first, max(first + 1, end - shingle + 1)) if end > first else np.zeros(0, np.int64)
+                    sets.append(np.unique(spans.hash(at, np.minimum(at + shingle, end))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], [*keep, "shingles"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField("shingles", T.ArrayType(T.LongType()))]))
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2, distance: int = 3, words: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``: groups by confirmed links.
+
+    Fingerprints of ``shingle`` words nominate: linked fingerprints by their
+    first documents, and within one fingerprint each different text and the
+    first.  A link counts if the texts share at least ``similarity`` of the
+    ``words``-word shingles that either has.
+    """
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    prints = written(fingerprints(docs, shingle), "fingerprints")
+    nodes = prints.groupBy("fp", "words_hash").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(firsts, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_doc")) for c in "ab"]
+    cross = links(prints, distance).join(ends[0], "a").join(ends[1], "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+    pairs = written(same.union(cross), "nominated")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = docs.join(named.hint("shuffle_hash"), docs["doc_id"] == named["id"], "left_semi")
+    sets = written(shingle_sets(sets, words).dropDuplicates(["doc_id"]), "shingles")
+    for c in "ab":
+        side = sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set"))
+        pairs = pairs.join(side, c)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    close = pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+    group = connected_components(close)
+    names = nodes.join(group, "node", "left").select("fp", "words_hash", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(names, ["fp", "words_hash"], "left").select("doc_id", "component_id")
