@@ -27,6 +27,8 @@ by the base rules alone; repeated rows count and are judged each.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -45,8 +47,29 @@ SCALE = 1024
 #: Of ln mean word length, ln words, and ln(1 + 100 x) of the shares of symbols, repeated lines, and repeated words.
 FLOORS = (0.10, 0.5, 0.5, 0.5, 0.5)
 P = len(FLOORS)
-#: Quantiles of chi-square with five degrees of freedom: half, 97.5 %, and all but one in a million.
-CHI2_HALF, CHI2_975, CHI2_CUT = 4.351, 12.833, 37.60
+
+
+def chi2_above(x: float) -> float:
+    """Share of a chi-square variable with five degrees of freedom above x."""
+    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+
+
+def chi2_quantile(above: float) -> float:
+    lo, hi = 0.0, 1000.0
+    for _ in range(100):
+        lo, hi = ((lo + hi) / 2, hi) if chi2_above((lo + hi) / 2) > above else (lo, (lo + hi) / 2)
+    return hi
+
+
+def consistency(share: float) -> float:
+    """What makes the scatter of the nearest ``share`` of normal rows that of all."""
+    q = chi2_quantile(1 - share)
+    seven = 1 - chi2_above(q) - math.sqrt(2 * q / math.pi) * math.exp(-q / 2) * q * q / 15
+    return share / seven
+
+
+#: Rows of normal data beyond the cut: one in ten million.
+CHI2_CUT = chi2_quantile(1e-7)
 #: Bins for each doubling of the distance.
 FINE = 16
 STEPS = 6
@@ -152,24 +175,14 @@ def _fit(n: int, row: pd.Series, factor: float = 1.0) -> tuple[np.ndarray, np.nd
     return mean, cov, np.linalg.inv(cov)
 
 
-def _consistency(share: float) -> float:
-    """What makes the scatter of the nearest ``share`` of normal rows that of all: share / F7(q), q the chi-square quantile."""
-    return {0.5: 2.206, 0.975: 1.051}[share]
-
-
-def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 40, steps: int = STEPS, cut: float = CHI2_CUT) -> DataFrame:
+def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 20, steps: int = STEPS, cut: float = CHI2_CUT) -> DataFrame:
     """(*by, centre, precision) of each group with at least ``min_rows`` rows of x0 to x4."""
     keys = [F.col(c) for c in by]
     params = "centre array<double>, precision array<double>"
     schema = T.StructType([rows.schema[c] for c in by] + T._parse_datatype_string(params).fields)
 
     def joined(fits: DataFrame) -> DataFrame:
-        on = [rows[c].eqNullSafe(fits[f"_{c}"]) for c in by]
-        renamed = fits
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        return rows.join(renamed, cond).drop(*(f"_{c}" for c in by))
+        return rows.join(fits, _same(rows, fits, by)).drop(*(f"_{c}" for c in by))
 
     def named(fits: DataFrame) -> DataFrame:
         for c in by:
@@ -201,7 +214,7 @@ def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows
                 before = pdf["n"].cumsum() - pdf["n"]
                 pdf = pdf[before < (pdf["n"].sum() + P + 2) // 2]
             total = pdf.drop(columns=list(by)).sum()
-            mean, _, inverse = _fit(int(total["n"]), total, _consistency(share))
+            mean, _, inverse = _fit(int(total["n"]), total, consistency(share))
             return _row(pdf, by, mean, inverse)
 
         return fit
@@ -210,10 +223,17 @@ def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows
     for _ in range(steps):
         sums_ = joined(fits).groupBy(*by, binned.alias("bin")).agg(*_moments())
         fits = checkpointed(named(sums_.groupBy(*by).applyInPandas(stepped(0.5, None), schema)))
-    near = joined(fits).where(_distance() <= CHI2_975).groupBy(*by, F.lit(0).alias("bin")).agg(*_moments())
+    near = joined(fits).where(_distance() <= chi2_quantile(0.025)).groupBy(*by, F.lit(0).alias("bin")).agg(*_moments())
     return named(near.groupBy(*by).applyInPandas(stepped(0.975, 0.975), schema))
 
 
+def _same(rows: DataFrame, fits: DataFrame, by: tuple[str, ...]):
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & rows[c].eqNullSafe(fits[f"_{c}"])
+    return cond
+
+
 def _quantile(values: np.ndarray, counts: np.ndarray) -> float:
     order = np.argsort(values, kind="stable")
     reach = np.cumsum(counts[order])
@@ -224,17 +244,14 @@ def _row(pdf: pd.DataFrame, by, centre: np.ndarray, precision: np.ndarray) -> pd
     return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "centre": [centre.tolist()], "precision": [precision.ravel().tolist()]})
 
 
-def quality(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 40, cut: float = CHI2_CUT, text: str = "text") -> DataFrame:
+def quality(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 20, cut: float = CHI2_CUT, text: str = "text") -> DataFrame:
     """Every row of ``docs`` without its text, with the statistics, base_failed, distance2 and kept.
 
     distance2 is null where the base rules failed or the group is too small.
     """
     stats = written(vectors(statistics(docs, text)), "statistics")
     fits = outliers(stats.where("NOT base_failed").select(*by, *(f"x{i}" for i in range(P))), by, min_rows)
-    cond = F.lit(True)
-    for c in by:
-        cond = cond & stats[c].eqNullSafe(fits[f"_{c}"])
-    out = stats.join(fits, cond, "left")
+    out = stats.join(fits, _same(stats, fits, by), "left")
     out = out.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut)
     return out.withColumn("kept", kept).drop(*(f"x{i}" for i in range(P)), *(f"_{c}" for c in by), "centre", "precision")
