@@ -11,9 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.functions.expressions import attribute, equals, valid_on
+from kgspark.functions.expressions import attribute, edge_key, equals, valid_on
 from kgspark.plans.vocabulary import Vocabulary
 from kgspark.schema import BELIEVED
+from kgspark.sources.shared import checkpointed
 
 
 def visible(nodes: DataFrame, edges: DataFrame, statuses=BELIEVED) -> tuple[DataFrame, DataFrame]:
@@ -233,14 +234,12 @@ class KnowledgeGraph:
 
     def explain(self, src: str, rel: str, dst: str, depth: int = 50) -> DataFrame:
         """(level, edge, derived_by, premises): a derived edge and, level by level, the edges that it rests on."""
-        from kgspark.functions.expressions import edge_key
-
         keyed = self.edges.select(edge_key().alias("edge"), "derived_by", "premises")
-        level = keyed.where(F.col("edge") == f"{src} -{rel}-> {dst}").withColumn("level", F.lit(0))
+        level = checkpointed(keyed.where(F.col("edge") == f"{src} -{rel}-> {dst}").withColumn("level", F.lit(0)))
         seen = level
         for k in range(1, depth + 1):
             below = level.select(F.explode("premises").alias("edge")).distinct()
-            level = keyed.join(below, "edge", "left_semi").join(seen, "edge", "left_anti").withColumn("level", F.lit(k))
+            level = checkpointed(keyed.join(below, "edge", "left_semi").join(seen, "edge", "left_anti").withColumn("level", F.lit(k)))
             if level.isEmpty():
                 break
             seen = seen.unionByName(level)

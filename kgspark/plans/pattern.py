@@ -36,12 +36,12 @@ class Matcher:
 
     ``derived`` has derived attributes (node_id, name, value as JSON), read where
     none is asserted.  ``track`` keeps the keys of the edges that a binding used
-    in the column ``_used``.
+    in the column ``_used``.  ``seen`` says that only what is visible was given.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, vocabulary: Vocabulary | None = None, statuses=BELIEVED, derived: DataFrame | None = None, track: bool = False):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, vocabulary: Vocabulary | None = None, statuses=BELIEVED, derived: DataFrame | None = None, track: bool = False, seen: bool = False):
         self.vocabulary = vocabulary or Vocabulary()
-        self.nodes, self.edges = visible(nodes, edges, statuses)
+        self.nodes, self.edges = (nodes, edges) if seen else visible(nodes, edges, statuses)
         self.derived, self.track = derived, track
         self.spark = nodes.sparkSession
 

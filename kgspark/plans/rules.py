@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.expressions import edge_key
+from kgspark.operators.graph import visible
 from kgspark.plans.pattern import USED, Matcher
-from kgspark.plans.vocabulary import Vocabulary
+from kgspark.plans.vocabulary import Vocabulary, _listed
 from kgspark.schema import BELIEVED_OR_INTENDED
 from kgspark.sources.shared import checkpointed
 
@@ -60,8 +61,9 @@ def derive(nodes: DataFrame, edges: DataFrame, rules: list[dict], vocabulary: Vo
         raise ValueError("; ".join(wrong))
     spark = nodes.sparkSession
     new_edges, new_attrs = spark.createDataFrame([], _EDGE), spark.createDataFrame([], _ATTRIBUTE)
-    base = edges.select("src", "rel", "dst", "status", "derived_by", "premises")
-    chained = _chained(rules)
+    chained, read = _chained(rules), _relations(rules)
+    nodes, base = visible(nodes, edges if read is None else edges.where(F.col("rel").isin(*read)))
+    base = checkpointed(base.select("src", "rel", "dst", "status", "derived_by", "premises"))
     for number in range(1, max_rounds + 2):
         if number > max_rounds:
             raise DoesNotConverge(f"no fixpoint in {max_rounds} rounds")
@@ -69,8 +71,8 @@ def derive(nodes: DataFrame, edges: DataFrame, rules: list[dict], vocabulary: Vo
         for rule in (r for r in rules if r["kind"] == "derive"):
             if number > 1 and rule["id"] not in chained:
                 continue  # reads nothing that a rule derives, so it can add nothing after the first round
-            m = Matcher(nodes, base.unionByName(new_edges.drop("depth")), vocabulary, derived=new_attrs.select("node_id", "name", "value"), track=True)
-            found = _with_premises(m.match(rule["when"]), new_edges)
+            m = Matcher(nodes, base.unionByName(new_edges.drop("depth")), vocabulary, derived=new_attrs.select("node_id", "name", "value") if rule["id"] in chained else None, track=True, seen=True)
+            found = _with_premises(m.match(rule["when"]), new_edges if rule["id"] in chained else None)
             fresh = _edges(rule, found, base, new_edges) if "edge" in rule["then"] else _attributes(rule, found, m, nodes, new_attrs)
             fresh = checkpointed(fresh)
             if fresh.isEmpty():
@@ -102,10 +104,24 @@ def _chained(rules: list[dict]) -> set[str]:
     return out | copies
 
 
-def _with_premises(found: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """Adds _premises, the bound ids in order and the used edges, and _depth."""
+def _relations(rules: list[dict]) -> list[str] | None:
+    """What the derive rules read or derive; none if one of them reads any relation."""
+    out = set()
+    for r in (r for r in rules if r["kind"] == "derive"):
+        specs = [p["edge"] for p in r["when"] if "edge" in p] + ([r["then"]["edge"]] if "edge" in r["then"] else [])
+        for spec in specs:
+            if not _listed(spec[1]):
+                return None
+            out |= set(_listed(spec[1]))
+    return sorted(out)
+
+
+def _with_premises(found: DataFrame, new_edges: DataFrame | None) -> DataFrame:
+    """Adds _premises, the bound ids in order and the used edges, and _depth (1 where no derived edge can be among them)."""
     variables = [c for c in found.columns if not c.startswith("_")]
     found = found.withColumn("_premises", F.concat(F.array_sort(F.array_distinct(F.array(*variables))), F.col(USED)))
+    if new_edges is None:
+        return found.withColumn("_depth", F.lit(1))
     depths = new_edges.select(edge_key().alias("_key"), "depth")
     rows = found.select(F.xxhash64("_premises").alias("_h"), F.explode_outer(USED).alias("_key")).join(depths, "_key").groupBy("_h").agg(F.max("depth").alias("_d"))
     found = found.withColumn("_h", F.xxhash64("_premises")).join(rows, "_h", "left")
@@ -124,8 +140,7 @@ def _edges(rule: dict, found: DataFrame, base: DataFrame, known: DataFrame) -> D
         F.lit(rule["id"]).alias("derived_by"), F.col("_premises").alias("premises"), F.col("_depth").cast("long").alias("depth"),
     )
     keys = ["src", "rel", "dst"]
-    asserted = base.where((F.col("rel") == rel) & (F.coalesce("status", F.lit("current")) != "superseded"))
-    rows = rows.join(asserted.select(*keys).distinct(), keys, "left_anti").join(known.where(F.col("rel") == rel).select(*keys), keys, "left_anti")
+    rows = rows.join(base.where(F.col("rel") == rel).select(*keys), keys, "left_anti").join(known.where(F.col("rel") == rel).select(*keys), keys, "left_anti")
     return _first(rows, keys)
 
 
