@@ -70,7 +70,7 @@ def privacy_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     for kind, severity, pattern, luhn in detectors:
         found = F.regexp_extract_all("line_text", F.lit(pattern), F.lit(0))
         if luhn:
-            found = F.filter(found, lambda x: F.luhn_check(F.regexp_replace(x, r"\D", "")))
+            found = F.filter(found, lambda x: F.call_function("luhn_check", F.regexp_replace(x, r"\D", "")))
         cases.append(F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), found.alias("found")))
     any_ = "|".join(d[2] for d in detectors)
     rows = lines.where(F.col("line_text").rlike(any_)).select(key, (F.col("at") + 1).alias("line"), F.explode(F.array(*cases)).alias("x"))
@@ -100,7 +100,7 @@ def quoted_in(quote: Column, text: Column) -> Column:
     Each part is sought behind the end of the part before it.
     """
     parts = F.filter(
-        F.transform(F.split(quote, r"…|\.\.\."), lambda p: F.regexp_replace(p, r"^[ .,;:!?]+|[ .,;:!?]+$", "")), lambda p: p != ""
+        F.transform(F.split(quote, r"…|\.\.\."), lambda p: F.regexp_replace(p, r"^[ .,;:!?]+|[ .,;:!?]+\z", "")), lambda p: p != ""
     )
 
     def step(at, part):

@@ -59,7 +59,7 @@ def against(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     qs = queries.select("query_id", unit(F.col(vector)).alias("q"), *own).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     qs = qs.groupBy("_b").agg(F.collect_list(F.struct("query_id", "q", "kind")).alias("qs"))
     rows = vectors.select(F.col(key), unit(F.col(vector)).alias("v"), *own).where("v IS NOT NULL")
-    tiled = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(qs, "_b")
+    tiled = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(qs, "_b")
     pairs = tiled.select(key, "v", "kind", F.explode("qs").alias("x")).where((F.col("x.kind") == F.col("kind")) & (F.col("x.query_id") != F.col(key)))
     return pairs.select("x.query_id", key, dot(F.col("x.q"), F.col("v")).alias("cosine"))
 
@@ -118,8 +118,11 @@ def lexicon_match(texts: DataFrame, lexicon: DataFrame, key: str = "id", text: s
     """
     w = tokens(F.col(text))
     rows = texts.select(key, w.alias("w"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice("w", i, n), " ")) for n in range(1, longest + 1)]
-    rows = rows.select(key, F.explode(F.array_distinct(F.concat(*grams))).alias("phrase"))
+
+    def grams(n: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    rows = rows.select(key, F.explode(F.array_distinct(F.concat(*map(grams, range(1, longest + 1))))).alias("phrase"))
     return rows.join(lexicon.select("phrase", "target").distinct(), "phrase").select(key, "target", "phrase").distinct()
 
 
