@@ -28,7 +28,7 @@ def graph_file(spark: SparkSession, path: str, was: dict[str, str] | None = None
 
 def passages(spark: SparkSession, path: str) -> DataFrame:
     """path, title (the first level-one heading, else the file's name), body of Markdown files below a folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     heading = F.regexp_extract("body", r"(?m)^# (.*)$", 1)
     name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
