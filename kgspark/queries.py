@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import metrics
 from kgspark.functions.expressions import equals, attribute, name_as_words, slug
 from kgspark.functions.text import chunks, number_stated, privacy_findings, quoted_in, relative_date, tokens
-from kgspark.operators import curation, evaluation, retrieval, shapes, survey, temporal
+from kgspark.operators import curation, evaluation, links, retrieval, shapes, survey, temporal
 from kgspark.operators.graph import KnowledgeGraph
 from kgspark.plans import questions, rules
 from kgspark.plans.pattern import Matcher
@@ -922,3 +922,56 @@ def attribute_equality(spark, sf):
     g = graph(spark, sf)
     top = tables.table(spark, sf, "supplier").agg(F.max("s_acctbal")).first()[0]
     return g.of_type("Supplier").where(equals(attribute("balance"), top)).select("id")
+
+
+# Links between graph, texts and actions.
+
+
+@query("""WITH t AS (SELECT p_type AS canonical, lower(trim(p_type)) AS phrase FROM part UNION SELECT p_type, lower(p_type || ' ' || p_brand) FROM part),
+  g AS (SELECT DISTINCT p_type AS canonical, 'part.' || p_partkey AS target FROM part) SELECT phrase, canonical, target FROM t JOIN g USING (canonical)""")
+def lexicon_rows(spark, sf):
+    p = tables.table(spark, sf, "part")
+    terms = p.groupBy(F.col("p_type").alias("term")).agg(
+        F.collect_set(F.concat_ws(" ", "p_type", "p_brand")).alias("aka"), F.collect_set(tables.ref("part", "p_partkey")).alias("targets"),
+        F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("note"),
+    )
+    return links.lexicon_rows(terms).select("phrase", "canonical", "target")
+
+
+@query()
+def names_in_text(spark, sf):
+    b = tables.table(spark, sf, "benchmark").select(F.array_join(F.slice(tokens(F.col("text")), 1, 3), " ").alias("name"), F.col("item_id").alias("node_id"))
+    return links.names_in(tables.table(spark, sf, "documents"), b, "doc_id", "text", 3)
+
+
+@query("""WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS rank, 'order.' || o_orderkey AS path, o_orderstatus = 'F' AS page, o_orderpriority AS source FROM orders),
+  s AS (SELECT query_id, CASE WHEN page THEN source ELSE path END AS s, min(rank) AS rank FROM r GROUP BY ALL) SELECT query_id, string_agg(s, ',' ORDER BY rank) AS sources FROM s GROUP BY query_id""")
+def credited_sources(spark, sf):
+    o = tables.table(spark, sf, "orders")
+    path = tables.ref("order", "o_orderkey")
+    retrieved = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("rank"), path.alias("path"))
+    pages = o.where("o_orderstatus = 'F'").select(path.alias("path"), F.array("o_orderpriority").alias("sources"))
+    return links.credited(retrieved, pages).select("query_id", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events WHERE event_type = 'click' GROUP BY 1), a AS (SELECT DISTINCT user_id FROM events)
+  SELECT user_id AS action, last IS NULL OR epoch(TIMESTAMP '2024-01-31') - floor(epoch(last)) >= 86400 AS due FROM a LEFT JOIN l USING (user_id)""")
+def actions_due(spark, sf):
+    e = tables.table(spark, sf, "events")
+    actions = e.select(F.col("user_id").alias("action"), F.lit("daily").alias("every")).distinct()
+    runs = e.where("event_type = 'click'").select(F.col("user_id").alias("action"), F.col("ts").alias("at"))
+    return links.due(actions, runs, F.lit("2024-01-31 00:00:00").cast("timestamp")).select("action", "due")
+
+
+@query("""SELECT 'nation.' || n_nationkey AS id, '# ' || n_name || chr(10) || chr(10) || 'Nation, current' || chr(10) || chr(10) || '## Links' || chr(10) || chr(10) || '- in_region: [[' || r_name || ']]' AS page
+  FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def entity_pages(spark, sf):
+    g = graph(spark, sf)
+    return links.entity_pages(g.of_type("Place"), g.edges.where("rel = 'in_region'")).where("id LIKE 'nation.%'")
+
+
+@query("""SELECT '<urn:kg:nation.' || n_nationkey || '>' AS subject, '<urn:kg:nation.' || n_nationkey || '> <urn:kg:attr/name> "' || n_name || '" ;' || chr(10) || '  <urn:kg:label> "' || n_name || '" ;' || chr(10)
+  || '  <urn:kg:rel/in_region> <urn:kg:region.' || n_regionkey || '> ;' || chr(10) || '  <urn:kg:status> "current" ;' || chr(10) || '  <urn:kg:type> <urn:kg:Nation> .' AS block FROM nation""")
+def export_turtle(spark, sf):
+    g = graph(spark, sf)
+    return links.turtle(store.triples(g.of_type("Nation"), g.edges.where("rel = 'in_region'")))
