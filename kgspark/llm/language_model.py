@@ -72,9 +72,21 @@ def pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + token) | _ODD
 
 
-def keys_of(token: np.ndarray, before: np.ndarray, n_docs: int) -> np.ndarray:
-    """Of each token, of each pair, and one start for each document."""
-    return np.concatenate((single(token), pair(before, token), np.full(n_docs, single(_START))))
+def places(token: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Distinct keys, sorted; where each token, each pair and each context is among them; where the start is.
+
+    Only distinct values are looked up, and a context is the token before, so two
+    sorts of the tokens do for all three.
+    """
+    one, at_one = np.unique(single(token), return_inverse=True)
+    two, at_two = np.unique(pair(before, token), return_inverse=True)
+    keys = np.union1d(np.append(one, single(_START)), two)
+    start = int(np.searchsorted(keys, single(_START)))
+    of_token, of_pair = np.searchsorted(keys, one)[at_one], np.searchsorted(keys, two)[at_two]
+    of_context = np.empty_like(of_token)
+    of_context[1:] = of_token[:-1]
+    of_context[first[:-1]] = start
+    return keys, of_token, of_pair, of_context, start
 
 
 def put(counts: np.ndarray) -> bytes:
@@ -117,12 +129,16 @@ def ask(table: pa.Table, ranges: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     token, before, first = tokens(_one(table.column("text")))
     part = _one(table.column("part")).to_numpy()
-    n_docs = len(part)
     of = np.repeat(part, np.diff(first))
-    keys, place = np.unique(keys_of(token, before, n_docs), return_inverse=True)
-    of = np.concatenate((of, of, part))
-    main = np.bincount(place[of == MAIN], minlength=len(keys))
-    em = np.bincount(place[of == EM], minlength=len(keys))
+    keys, of_token, of_pair, _, start = places(token, before, first)
+
+    def counted(which: int) -> np.ndarray:
+        mine = of == which
+        out = np.bincount(of_token[mine], minlength=len(keys)) + np.bincount(of_pair[mine], minlength=len(keys))
+        out[start] += np.count_nonzero(part == which)
+        return out
+
+    main, em = counted(MAIN), counted(EM)
     cut = np.concatenate(([0], np.searchsorted(keys, edges(ranges)), [len(keys)]))
     rows = [(block, r, put_sorted(keys[a:b]), put(main[a:b]), put(em[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
     return _table(rows, [("block", pa.int32()), ("range", pa.int32()), ("keys", pa.binary()), ("main", pa.binary()), ("em", pa.binary())])
@@ -154,12 +170,11 @@ def answer(table: pa.Table) -> pa.Table:
 def looked_up(docs: pa.Table, answers: pa.Table):
     """(token counts, pair counts, context counts as rows main and em; first token of each document)."""
     token, before, first = tokens(_one(docs.column("text")))
-    keys = np.unique(keys_of(token, before, docs.num_rows))
+    _, of_token, of_pair, of_context, _ = places(token, before, first)
     order = np.argsort(answers.column("range").to_numpy())
     pick = lambda c: np.concatenate([got(x) for x in answers.column(c).take(pa.array(order)).to_pylist()])
     counts = np.stack((pick("main"), pick("em")))
-    find = lambda k: counts[:, np.searchsorted(keys, k)]
-    return find(single(token)), find(pair(before, token)), find(single(before)), first
+    return counts[:, of_token], counts[:, of_pair], counts[:, of_context], first
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
