@@ -32,7 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates stays.
 
-    Fingerprints nominate, and links are confirmed: at least 0.8 of the
+    Fingerprints and rare shingles nominate, and links are confirmed: at least 0.8 of the
     five-word shingles that either text has are shared.
     """
     found = simhash.near_duplicates(docs, words=5, similarity=0.8)

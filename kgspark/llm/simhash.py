@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,32 +129,133 @@ def shingle_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
 
+#: Bits of the marks of a text's shingles, and what puts a shingle last: so many of one sixteenth of the documents have it.
+MARKS = 1024
+COMMON = 32
+MOST_COMMON = 1 << 16
+
+
+def _common(docs: DataFrame, words: int) -> np.ndarray:
+    """The most frequent shingles of a sample, sorted.  They decide in which order shingles are looked up, not what is found."""
+    sample = shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) == 0), words)
+    count = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
+    found = count.orderBy(F.desc("count"), "s").limit(MOST_COMMON).toPandas()["s"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def _least(similarity: float, n):
+    """How many of n shingles another text has at least, if it is so similar (float errors make it less, never more)."""
+    return similarity * n - 1e-6
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float, common: np.ndarray, text: str = "text") -> DataFrame:
+    """Adds n_shingles, ``marks`` (a bitmap of them) and ``prefix``.
+
+    Texts that are similar enough have a shingle in common among the first
+    ``n - ceil(similarity * n) + 1`` of both, in any order that all texts share.
+    """
+    keep = [c for c in docs.columns if c not in ("n_shingles", "marks", "prefix")]
+    docs = docs.select(*[c for c in keep if c != text], text)
+    keep = docs.columns[:-1]
+
+    def run(batches):
+        for batch in batches:
+            sizes, marks, firsts = [], [], []
+            for _, _, found in chunks(batch.column(len(keep)), lower=True):
+                spans = Spans(found.hashes())
+                for first, end in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
+                    at = np.arange(first, max(first + 1, end - words + 1)) if end > first else np.zeros(0, np.int64)
+                    own = np.unique(spans.hash(at, np.minimum(at + words, end)))
+                    bits = np.zeros(MARKS, np.uint8)
+                    bits[(own % np.uint64(MARKS)).astype(np.int64)] = 1
+                    last = np.isin(own, common)
+                    n = len(own) - int(np.ceil(_least(similarity, len(own)))) + 1 if len(own) else 0
+                    sizes.append(len(own))
+                    marks.append(np.packbits(bits, bitorder="little").view(np.int64))
+                    firsts.append(np.concatenate((own[~last], own[last]))[:n].view(np.int64))
+            longs = pa.list_(pa.int64())
+            new = [pa.array(sizes, pa.int64()), pa.array(marks, longs), pa.array(firsts, longs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*keep, text, "n_shingles", "marks", "prefix"])
+
+    added = "n_shingles long, marks array<long>, prefix array<long>"
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(added).fields]))
+
+
+def _may_be_close(similarity: float, a: str = "a", b: str = "b", placed: bool = False, marked: bool = False):
+    """False only where two texts cannot be similar enough, by sizes, by places of a common shingle, or by marks."""
+    na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
+    both = _least(similarity / (1 + similarity), na + nb)
+    cond = F.least(na, nb) >= both
+    if placed:  # true of their first common shingle
+        cond = cond & (F.least(na - F.col(f"{a}_pos"), nb - F.col(f"{b}_pos")) >= both)
+    if marked:  # each mark of one alone is of a shingle that the other lacks
+        for x, y, n in ((a, b, na), (b, a, nb)):
+            lone = sum((F.bit_count(F.col(f"{x}_marks")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}_marks")[i]))) for i in range(MARKS // 64)), F.lit(0))
+            cond = cond & (n - lone >= both)
+    return cond
+
+
+def _side(rows: DataFrame, c: str, *columns: str) -> DataFrame:
+    names = {"node": c, "n_shingles": f"{c}_n"}
+    return rows.select(*(F.col(x).alias(names.get(x, f"{c}_{x}")) for x in columns))
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that share enough shingles."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = nodes.join(named, "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("h"))
+    texts = docs.withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(named.hint("shuffle_hash"), (texts["text_hash"] == named["h"]) & texts["doc_id"].eqNullSafe(named["id"]))
+    sets = written(shingle_sets(texts.select("node", "text"), words).dropDuplicates(["node"]), "shingles")
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")), c)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return written(pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"), "close")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2, distance: int = 3, words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``: groups by confirmed links.
+    """(doc_id, text_hash, component_id) for every row of ``docs``: groups by confirmed links.
+
+    Texts are linked if they share at least ``similarity`` of the ``words``-word
+    shingles that either has.  Nominated are fingerprints of ``shingle`` words,
+    linked by their first texts, and the first text with each shingle of the
+    prefixes.  Sizes, places and marks rule out most before whole sets are
+    compared.
 
-    Fingerprints of ``shingle`` words nominate: linked fingerprints by their
-    first documents, and within one fingerprint each different text and the
-    first.  A link counts if the texts share at least ``similarity`` of the
-    ``words``-word shingles that either has.
+    text_hash is ``xxhash64`` of the text, for rows that repeat a doc_id.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = prints.groupBy("fp", "words_hash").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
-    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    same = nodes.join(firsts, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    ends = [firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_doc")) for c in "ab"]
-    cross = links(prints, distance).join(ends[0], "a").join(ends[1], "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
-    pairs = written(same.union(cross), "nominated")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.join(named.hint("shuffle_hash"), docs["doc_id"] == named["id"], "left_semi")
-    sets = written(shingle_sets(sets, words).dropDuplicates(["doc_id"]), "shingles")
+    rows = prefixes(docs.withColumn("text_hash", F.xxhash64("text")), words, similarity, _common(docs, words))
+    prints = written(fingerprints(rows, shingle), "fingerprints")
+    firsts = [F.first(c).alias(c) for c in ("fp", "n_shingles", "marks", "prefix")]
+    nodes = prints.groupBy(F.col("words_hash").alias("node")).agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), *firsts)
+    nodes = written(nodes, "texts")
+
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(heads, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [heads.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in "ab"]
+    cross = links(nodes, distance).join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+    posts = nodes.select("node", "n_shingles", F.posexplode("prefix").alias("pos", "s"))
+    bucket = Window.partitionBy("s")
+    lead = F.min(F.struct("n_shingles", "node", "pos")).over(bucket).alias("lead")
+    held = posts.select("*", lead, F.count("*").over(bucket).alias("m")).where("m > 1").drop("m")
+    held = written(held, "shared")
+    stars = held.where("node != lead.node").select(
+        F.col("lead.node").alias("a"), F.col("lead.n_shingles").alias("a_n"), F.col("lead.pos").alias("a_pos"),
+        F.col("node").alias("b"), F.col("n_shingles").alias("b_n"), F.col("pos").alias("b_pos"),
+    )
+    pairs = same.union(cross).union(stars.where(_may_be_close(similarity, placed=True)).select("a", "b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for c in "ab":
-        side = sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set"))
-        pairs = pairs.join(side, c)
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    close = pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+        pairs = pairs.join(_side(nodes, c, "node", "n_shingles", "marks"), c)
+    pairs = written(pairs.where(_may_be_close(similarity, marked=True)).select("a", "b"), "nominated")
+    close = _confirmed(pairs, nodes, docs, words, similarity)
+
     group = connected_components(close)
-    names = nodes.join(group, "node", "left").select("fp", "words_hash", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(names, ["fp", "words_hash"], "left").select("doc_id", "component_id")
+    nodes = nodes.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
+    named = nodes.groupBy("component").agg(F.min("doc").alias("component_id"))
+    names = nodes.join(named, "component").select(F.col("node").alias("words_hash"), "component_id")
+    return prints.join(names, "words_hash", "left").select("doc_id", "text_hash", "component_id")

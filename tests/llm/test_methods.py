@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kgspark.llm import line_dedup, packing, secrets, simhash
-from tests.llm.helpers import SCHEMA, documents, plain, prose, rows, texts
+from tests.llm.helpers import SCHEMA, documents, lower, plain, prose, rows, texts
 
 # Secret scan.
 
@@ -143,6 +143,41 @@ def test_near_duplicates_need_shared_shingles(spark):
     assert got[6] == got[5] == 5
 
 
+def _near_groups(data, similarity=0.8):
+    """The smallest doc_id that links reach, for each row (doc_id, text), by all pairs."""
+    sets = []
+    for _, t in data:
+        w = lower(t).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                group = [group[j] if g == group[i] else g for g in group]
+    return [min(d for (d, _), h in zip(data, group) if h == g) for g in group]
+
+
+def _changed(rng, text, n):
+    w = text.split()
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"other{rng.randint(0, 10**9)}"
+    return " ".join(w)
+
+
+def test_near_duplicates_miss_no_pair(spark):
+    rng = random.Random(21)
+    data = []
+    for k in range(40):
+        base = prose(rng, rng.randint(30, 300))
+        data += [(10 * k, base), *((10 * k + j, _changed(rng, base, max(1, len(base.split()) * j // 100))) for j in range(1, 6))]
+    data += [(1000 + i, f"{BLOCK} {prose(rng, 60)}") for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(plain(spark, data)).collect()}
+    want = dict(zip([d for d, _ in data], _near_groups(data)))
+    assert got == want
+    assert sum(d != c for d, c in want.items()) > 60
+
+
 # The pipeline.
 
 
