@@ -32,12 +32,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates stays.
 
-    Fingerprints and rare shingles nominate, and links are confirmed: at least 0.8 of the
-    five-word shingles that either text has are shared.
+    Links are confirmed, and none is left out: at least 0.8 of the five-word
+    shingles that either text has are shared.
     """
     found = simhash.near_duplicates(docs, words=5, similarity=0.8)
-    later = found.where("doc_id > component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(later.distinct(), docs["doc_id"] == F.col("_id"), "left_anti").select(*COLUMNS)
+    later = found.where("doc_id > component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    this = (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    return docs.join(later, this, "left_anti").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,10 +219,12 @@ def near_duplicates(
     """(doc_id, text_hash, component_id) for every row of ``docs``: groups by confirmed links.
 
     Texts are linked if they share at least ``similarity`` of the ``words``-word
-    shingles that either has.  Nominated are fingerprints of ``shingle`` words,
-    linked by their first texts, and the first text with each shingle of the
-    prefixes.  Sizes, places and marks rule out most before whole sets are
-    compared.
+    shingles that either has; every such link counts.  Two rounds nominate.
+    First, fingerprints of ``shingle`` words, linked by their first texts, and
+    the first text with each shingle of the prefixes: few pairs, which join
+    most of what belongs together.  Then all pairs with a common shingle in
+    their prefixes that are not in one group yet, so none is missed.  Sizes,
+    places and marks rule out most before whole sets are compared.
 
     text_hash is ``xxhash64`` of the text, for rows that repeat a doc_id.
     """
@@ -254,6 +256,15 @@ def near_duplicates(
     pairs = written(pairs.where(_may_be_close(similarity, marked=True)).select("a", "b"), "nominated")
     close = _confirmed(pairs, nodes, docs, words, similarity)
 
+    group = written(connected_components(close), "groups")
+    held = held.drop("lead").join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    apart = held.groupBy("s").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("s")
+    held = written(held.join(apart, "s").join(nodes.select("node", "marks"), "node"), "apart")
+    a, b = (_side(held, c, "s", "node", "n_shingles", "pos", "group", "marks") for c in "ab")
+    others = (F.col("a_s") == F.col("b_s")) & (F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group"))
+    pairs = a.join(b, others & _may_be_close(similarity, placed=True, marked=True)).select("a", "b").distinct()
+    close = close.union(_confirmed(written(pairs, "nominated"), nodes, docs, words, similarity))
+
     group = connected_components(close)
     nodes = nodes.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     named = nodes.groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -178,6 +178,24 @@ def test_near_duplicates_miss_no_pair(spark):
     assert sum(d != c for d, c in want.items()) > 60
 
 
+def test_near_duplicates_beyond_the_first_text_of_a_fingerprint(spark, monkeypatch):
+    # One fingerprint for all: the first text is like neither of two that are alike.
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, *_: d.select(*[c for c in d.columns if c != "text"], F.lit(0).cast("long").alias("fp"), F.xxhash64("text").alias("words_hash")))
+    rng = random.Random(22)
+    pairs = [prose(rng, 200) for _ in range(6)]
+    data = [(1, prose(rng, 200)), *((10 + i, t) for i, t in enumerate(pairs)), *((20 + i, _changed(rng, t, 2)) for i, t in enumerate(pairs))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(plain(spark, data)).collect()}
+    assert got == {1: 1} | {10 + i: 10 + i for i in range(6)} | {20 + i: 10 + i for i in range(6)}
+
+
+def test_near_stage_tells_texts_of_one_doc_id_apart(spark):
+    rng = random.Random(23)
+    a, b = prose(rng, 100), prose(rng, 100)
+    data = [(1, a), (2, _changed(rng, a, 1)), (2, b)]
+    left = corpus_pipeline.near_stage(spark, plain(spark, data), None)
+    assert rows(left.select("doc_id", "text")) == sorted([(1, a), (2, b)], key=repr)
+
+
 # The pipeline.
 
 
