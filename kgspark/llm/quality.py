@@ -21,8 +21,9 @@ estimate: mean and scatter of the rows within the 97.5 % quantile of the first.
 
 Defined results: null and word-less text fails the base rules; a null language
 or source is a group of its own; only rows that pass the base rules enter
-estimates; groups with fewer than ``min_rows`` of those, where no robust estimate exists, are judged
-by the base rules alone; repeated rows count and are judged each.
+estimates; groups with fewer than ``min_rows`` of those are judged by the
+estimate of all rows of their language, or of all rows where that has too few;
+repeated rows count and are judged each.
 """
 
 from __future__ import annotations
@@ -73,6 +74,8 @@ CHI2_CUT = chi2_quantile(1e-7)
 #: Bins for each doubling of the distance.
 FINE = 16
 STEPS = 6
+#: How many of the columns of a group its estimate tells apart.
+DEPTH = "_depth"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -176,7 +179,7 @@ def _fit(n: int, row: pd.Series, factor: float = 1.0) -> tuple[np.ndarray, np.nd
 
 
 def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 20, steps: int = STEPS, cut: float = CHI2_CUT) -> DataFrame:
-    """(*by, centre, precision) of each group with at least ``min_rows`` rows of x0 to x4."""
+    """(*by, centre, precision) of each group with at least ``min_rows`` rows of x0 to x4, or of depth 0."""
     keys = [F.col(c) for c in by]
     params = "centre array<double>, precision array<double>"
     schema = T.StructType([rows.schema[c] for c in by] + T._parse_datatype_string(params).fields)
@@ -202,7 +205,7 @@ def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows
             spread = _quantile(np.abs(v - middle), c)
             centre[i] = (middle + 0.5) * step
             precision[i, i] = 1 / ((1.4826 * spread * step / SCALE) ** 2 + FLOORS[i] ** 2)
-        keep = pdf[pdf["i"] == 0]["count"].sum() >= min_rows
+        keep = pdf[pdf["i"] == 0]["count"].sum() >= min_rows or (DEPTH in by and pdf[DEPTH].iloc[0] == 0)
         return _row(pdf, by, centre, precision) if keep else _row(pdf, by, centre, precision).iloc[:0]
 
     fits = checkpointed(named(grid.groupBy(*by).applyInPandas(start, schema)))
@@ -244,13 +247,39 @@ def _row(pdf: pd.DataFrame, by, centre: np.ndarray, precision: np.ndarray) -> pd
     return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "centre": [centre.tolist()], "precision": [precision.ravel().tolist()]})
 
 
+def estimates(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 20) -> DataFrame:
+    """(*by, centre, precision) of every group: its own estimate, or that of the next coarser group with enough rows.
+
+    The last is all rows.  Coarser groups are estimated with the others, in the
+    same steps, if some group needs them.
+    """
+    sizes = checkpointed(rows.groupBy(*by).agg(F.count("*").alias("n")))
+    depths = [len(by)]
+    while depths[-1] and sizes.groupBy(*by[: depths[-1]]).agg(F.sum("n").alias("n")).where(F.col("n") < min_rows).take(1):
+        depths.append(depths[-1] - 1)
+
+    def cut(depth: int):
+        keys = [(F.col(c) if i < depth else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for i, c in enumerate(by)]
+        return F.struct(F.lit(depth).alias(DEPTH), *keys)
+
+    xs = [f"x{i}" for i in range(P)]
+    spread = rows.select(F.explode(F.array(*(cut(d) for d in depths))).alias("g"), *xs).select("g.*", *xs)
+    fits = checkpointed(outliers(spread, (DEPTH, *by), min_rows))
+    out = sizes.select(*by)
+    for d in depths:
+        fit = fits.where(F.col(f"_{DEPTH}") == d).select(*(F.col(f"_{c}") for c in by), F.struct("centre", "precision").alias(f"fit{d}"))
+        out = out.join(fit, _same(out, fit, by[:d]), "left").drop(*(f"_{c}" for c in by))
+    best = F.coalesce(*(f"fit{d}" for d in depths))
+    return out.select(*(F.col(c).alias(f"_{c}") for c in by), best["centre"].alias("centre"), best["precision"].alias("precision"))
+
+
 def quality(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 20, cut: float = CHI2_CUT, text: str = "text") -> DataFrame:
     """Every row of ``docs`` without its text, with the statistics, base_failed, distance2 and kept.
 
-    distance2 is null where the base rules failed or the group is too small.
+    distance2 is null where the base rules failed.
     """
     stats = written(vectors(statistics(docs, text)), "statistics")
-    fits = outliers(stats.where("NOT base_failed").select(*by, *(f"x{i}" for i in range(P))), by, min_rows)
+    fits = estimates(stats.where("NOT base_failed").select(*by, *(f"x{i}" for i in range(P))), by, min_rows)
     out = stats.join(fits, _same(stats, fits, by), "left")
     out = out.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut)

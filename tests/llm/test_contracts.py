@@ -53,6 +53,22 @@ def test_quality_small_and_null_groups(spark):
     assert got.where("kept IS NULL").count() == 0
 
 
+def test_quality_small_groups_are_judged_by_coarser_ones(spark):
+    import random
+
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randint(1000, 9999)}" for _ in range(rng.randint(60, 90)))
+    junk = " ".join(f"{i}#$%&|<>#{'q' * 200}" for i in range(100))
+    data = [(i, text(), "en", "big") for i in range(40)] + [(100 + i, text(), "en", f"site{i}") for i in range(10)] + [(200, text(), "fr", None)]
+    data += [(300, junk, "en", "site3"), (301, junk, "fr", None), (302, junk, "de", "x")]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality(table).collect()}
+    assert {d for d, r in got.items() if not r["kept"]} == {300, 301, 302}
+    assert all(r["distance2"] is not None for r in got.values())
+    few = {r["doc_id"]: r["distance2"] for r in quality.quality(table.where("doc_id >= 108")).collect()}
+    assert len(few) == 6 and None not in few.values()
+
+
 def test_concentration_reaches_a_lower_determinant(spark):
     """The robust scatter ignores a third of far rows that the plain one follows."""
     from pyspark.sql import functions as F
