@@ -15,8 +15,9 @@ whose result is bounded by groups times bins, no group's rows meet in one task,
 and results do not depend on partitions.
 
 Statistics that hardly vary within a group would make the scatter singular, so
-each variance has a floor, ``FLOORS`` squared: smaller differences of a
-statistic do not count as signs of bad text.  The distance is to the reweighted
+the scatter has a floor: with each statistic in units of its ``FLOORS``, no
+direction's variance is taken as less than one.  Larger variances stay as they
+are.  Smaller differences of a statistic do not count as signs of bad text.  The distance is to the reweighted
 estimate: mean and scatter of the rows within the 97.5 % quantile of the first.
 
 Defined results: null and word-less text fails the base rules; a null language
@@ -69,8 +70,8 @@ def consistency(share: float) -> float:
     return share / seven
 
 
-#: Rows of normal data beyond the cut: one in ten million.
-CHI2_CUT = chi2_quantile(1e-7)
+#: Rows of normal data beyond the cut: one in ten thousand.
+CHI2_CUT = chi2_quantile(1e-4)
 #: Bins for each doubling of the distance.
 FINE = 16
 STEPS = 6
@@ -174,8 +175,10 @@ def _fit(n: int, row: pd.Series, factor: float = 1.0) -> tuple[np.ndarray, np.nd
         for j in range(i, P):
             # exact integers before the one division, so no digits cancel
             cov[i, j] = cov[j, i] = (int(row[f"p{i}{j}"]) * n - int(row[f"s{i}"]) * int(row[f"s{j}"])) / n / n / SCALE**2
-    cov = cov * factor + np.diag(np.square(FLOORS))
-    return mean, cov, np.linalg.inv(cov)
+    unit = np.outer(FLOORS, FLOORS)
+    variance, axes = np.linalg.eigh(cov * factor / unit)
+    variance = np.maximum(variance, 1)
+    return mean, (axes * variance) @ axes.T * unit, (axes / variance) @ axes.T / unit
 
 
 def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 20, steps: int = STEPS, cut: float = CHI2_CUT) -> DataFrame:
@@ -204,7 +207,7 @@ def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows
             middle = _quantile(v, c)
             spread = _quantile(np.abs(v - middle), c)
             centre[i] = (middle + 0.5) * step
-            precision[i, i] = 1 / ((1.4826 * spread * step / SCALE) ** 2 + FLOORS[i] ** 2)
+            precision[i, i] = 1 / max(1.4826 * spread * step / SCALE, FLOORS[i]) ** 2
         keep = pdf[pdf["i"] == 0]["count"].sum() >= min_rows or (DEPTH in by and pdf[DEPTH].iloc[0] == 0)
         return _row(pdf, by, centre, precision) if keep else _row(pdf, by, centre, precision).iloc[:0]
 

@@ -69,6 +69,29 @@ def test_quality_small_groups_are_judged_by_coarser_ones(spark):
     assert len(few) == 6 and None not in few.values()
 
 
+def test_quality_each_statistic_can_reject_alone(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda n=4: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    text = lambda n, size=4: [word(size) for _ in range(n)]
+    passage = text(9)
+    odd = {
+        900: text(100, 12), 901: text(2500), 902: [w[1:] + "#" if i % 4 == 0 else w for i, w in enumerate(text(100))],
+        903: [x for _ in range(19) for x in (*text(4), "\n", "last", "\n")], 904: [*text(40), *passage, *text(42), *passage],
+    }
+    data = [(i, " ".join(text(rng.randint(80, 120)))) for i in range(200)] + [(d, " ".join(t)) for d, t in odd.items()]
+    table = spark.createDataFrame([(d, t, "en", "s") for d, t in data], "doc_id long, text string, lang string, source string")
+    got = quality.quality(table).collect()
+    assert not [r["doc_id"] for r in got if r["base_failed"]]
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(odd)
+    plain = [100, 400, 0, 0, 0]
+    for k, d in enumerate([1, 0, 2, 3, 4]):
+        one = next(r for r in got if r["doc_id"] == 900 + k)
+        others = [i for i in range(2, 5) if i != d]
+        assert all(one[quality.STATS[i]] == plain[i] for i in others)
+
+
 def test_concentration_reaches_a_lower_determinant(spark):
     """The robust scatter ignores a third of far rows that the plain one follows."""
     from pyspark.sql import functions as F
