@@ -1,16 +1,19 @@
 """Line dedup by pairwise patience alignment.
 
 A line is what stands between line feeds; lines without a word take no part.
-Every line that more than one document has nominates pairs: its first holder, and
-each later one.  A frequent line thus costs one pair for each document and not
-the square, and needs no cap; a rare line (most shared lines are) leads straight
-to the document that was copied.  Each pair's shared lines are aligned by
-patience diff, and blocks of aligned consecutive lines with at least
-``min_chars`` characters are deleted from the later document.
-
-A block of a later document whose first occurrence is in some earlier document
-begins with a line whose first holder is that or an even earlier document with
-the line, so the pair that can delete it is among the nominated.
+Pairs are nominated by runs: the shortest run of consecutive lines with at least
+``min_chars`` characters that starts at each line, and that ends at each line.
+Each run leads to its first holder, so runs cost two rows for each line, and a
+frequent run one pair for each document and not the square, without a cap.  Each
+pair is aligned by patience diff, and blocks of aligned consecutive lines with at
+least ``min_chars`` characters are deleted from the later document; so are the
+runs that nominated it, which stand in both even where the alignment, which does
+not cross itself, goes another way.
+
+No block is missed: each line of a block of enough characters that an earlier
+document has is in the shortest run from the block's first line, or in the
+shortest run that ends at the line, and the block has that run, so the earlier
+document has it too, and its first holder comes no later.
 
 Defined results: null text has no lines; documents are ordered by doc_id, nulls
 last, then by text; rows with the same doc_id and text are one document, and each
@@ -22,10 +25,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm.shared import written
+from kgspark.llm.text import Spans, mix
+
 MIN_CHARS = 100
 LAST = (1 << 63) - 1
 SALTS = 16
@@ -104,36 +111,67 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = _keyed(docs, doc_id, text).select(F.col("_doc").alias("doc"), _lines(text).alias("all"))
     worded = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("no"), x.alias("line"))), lambda x: x.line.rlike(r"[^\x20\x09-\x0D]"))
     # Places count lines with words only, so blank lines do not part a block.
-    rows = keyed.select("doc", F.posexplode(worded).alias("place", "x"))
-    rows = rows.select("doc", "place", "x.no", F.xxhash64("x.line").alias("line"), F.length("x.line").alias("chars"))
-    known = rows.groupBy("line").agg(F.min("doc").alias("holder"), F.max("doc").alias("other"))
-    # Salts spread a line that very many documents have over several tasks.
-    known = known.where("holder != other").select("line", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    shared = rows.join(known, ["line", "salt"])
-    # A set: rows with the same doc_id and text give the same lines.
-    held = shared.groupBy("doc").agg(
-        F.array_sort(F.collect_set(F.struct("place", "line", "chars", "no"))).alias("lines"),
-        F.collect_set("holder").alias("holders"),
-    )
-    pairs = held.select("doc", "lines", F.explode("holders").alias("holder")).where("holder < doc")
+    line = lambda x, i: F.struct(i.alias("place"), F.xxhash64(x["line"]).alias("line"), F.length(x["line"]).alias("chars"), x["no"].alias("no"))
+    held = keyed.select("doc", F.transform(worded, line).alias("lines"))
+    runs = held.select("doc", "lines.line", "lines.chars").mapInArrow(_runs(min_chars), "doc struct<id: long, h: long>, run long, lo int, hi int")
+    runs = written(runs, "runs")
+    known = runs.groupBy("run").agg(F.min("doc").alias("holder"), F.max("doc").alias("other"))
+    # Salts spread a run that very many documents have over several tasks.
+    known = known.where("holder != other").select("run", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    runs = runs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    # A set: rows with the same doc_id and text give the same runs.
+    pairs = runs.join(known, ["run", "salt"]).where("holder < doc").groupBy("doc", "holder")
+    pairs = pairs.agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    # Only the first row of a document that is repeated.
+    held = held.where(F.size("lines") > 0).groupBy("doc").agg(F.first("lines").alias("lines"))
     earlier = held.select(F.col("doc").alias("holder"), F.col("lines").alias("theirs"))
-    both = pairs.join(earlier, "holder").select("doc", "theirs", "lines")
+    both = pairs.join(held, "doc").join(earlier, "holder").select("doc", "theirs", "lines", "runs")
 
     def run(batches):
         for batch in batches:
             out = []
-            for theirs, mine in zip(batch.column(1), batch.column(2)):
+            for theirs, mine, runs in zip(batch.column(1), batch.column(2), batch.column(3)):
                 a, b = _tuples(theirs), _tuples(mine)
                 numbers = {place: no for place, _, _, no in b}
                 blocks = common_blocks([x[:2] for x in a], [x[:3] for x in b], min_chars)
-                out.append([numbers[place] for lo, hi in blocks for place in range(lo, hi)])
+                blocks += [(x["lo"], x["hi"]) for x in runs.as_py()]
+                out.append([numbers[place] for place in sorted({x for lo, hi in blocks for x in range(lo, hi)})])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc", "gone"])
 
     gone = both.mapInArrow(run, "doc struct<id: long, h: long>, gone array<int>").where(F.size("gone") > 0)
     return gone.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("lines"))
 
 
+def _runs(min_chars: int):
+    """(doc, lines, characters) to (doc, run, from place, to place)."""
+
+    def run(batches):
+        for batch in batches:
+            row, hashes, los, his = [], [], [], []
+            for k, (lines, chars) in enumerate(zip(batch.column(1), batch.column(2))):
+                n = np.asarray(chars.values, np.int64)
+                total = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+                if total[-1] < max(min_chars, 1):
+                    continue
+                at = np.arange(len(n))
+                ends = np.searchsorted(total, total[:-1] + min_chars, "left")
+                starts = np.searchsorted(total, total[1:] - min_chars, "right") - 1
+                forward, back = ends <= len(n), starts >= 0
+                lo = np.concatenate((at[forward], starts[back]))
+                hi = np.concatenate((np.maximum(ends, at + 1)[forward], at[back] + 1))
+                lo, hi = np.unique(np.stack((lo, hi)), axis=1)
+                hashes.append(Spans(mix(np.asarray(lines.values, np.int64).view(np.uint64))).hash(lo, hi))
+                row.append(np.full(len(lo), k))
+                los.append(lo)
+                his.append(hi)
+            if row:
+                docs = batch.column(0).take(pa.array(np.concatenate(row)))
+                new = [pa.array(np.concatenate(hashes).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (los, his))]
+                yield pa.RecordBatch.from_arrays([docs, *new], ["doc", "run", "lo", "hi"])
+
+    return run
+
+
 def _tuples(value: pa.ListScalar) -> list[tuple[int, int, int, int]]:
     items = value.values
     return list(zip(*(items.field(i).to_pylist() for i in range(4))))

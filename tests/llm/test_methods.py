@@ -88,6 +88,36 @@ def test_frequent_line_makes_one_pair_for_each_document(spark):
     assert line_dedup.line_dedup(plain(spark, data)).where("n_removed > 0").count() == 0
 
 
+def _removed(data, min_chars=100):
+    """Lines in consecutive worded lines of enough characters that an earlier document has, by all pairs of places."""
+    docs = [[(i, x) for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\v\f\r")] for _, t in data]
+    out = []
+    for k, mine in enumerate(docs):
+        gone = set()
+        for theirs in docs[:k]:
+            for p in range(len(theirs)):
+                for q in range(len(mine)):
+                    n = 0
+                    while p + n < len(theirs) and q + n < len(mine) and theirs[p + n][1] == mine[q + n][1]:
+                        n += 1
+                    if sum(len(x) for _, x in mine[q : q + n]) >= min_chars:
+                        gone |= {i for i, _ in mine[q : q + n]}
+        out.append(gone)
+    return out
+
+
+def test_blocks_put_together_from_lines_of_others(spark):
+    one, two, tail = "a first line of some sixty characters that A has before all", "a second line of some sixty characters, and B has it first", "tail"
+    data = [(1, f"{one}\nown a"), (2, f"{two}\nown b"), (3, f"own c\n{one}\n{two}\n{tail}"), (4, f"{one}\n{two}\n{tail}\nown d")]
+    rng = random.Random(31)
+    pool = [prose(rng, rng.randint(1, 9)) for _ in range(12)]
+    data += [(10 + i, "\n".join(rng.choice([*pool, "", f"own {i} {rng.random()}"]) for _ in range(rng.randint(3, 14)))) for i in range(40)]
+    want = _removed(data)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(plain(spark, data)).collect()}
+    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) for (d, t), gone in zip(data, want)}
+    assert got[4] == "own d" and sum(map(bool, want)) >= 10
+
+
 # Packing.
 
 
