@@ -15,10 +15,18 @@ document has is in the shortest run from the block's first line, or in the
 shortest run that ends at the line, and the block has that run, so the earlier
 document has it too, and its first holder comes no later.
 
-Defined results: null text has no lines; documents are ordered by doc_id, nulls
-last, then by text; rows with the same doc_id and text are one document, and each
-of them gets its result; blocks are matched against the texts as they came in,
-not against what deletions left.
+Lines are equal if two 64-bit hashes with different seeds agree.
+
+Defined results: null and empty texts lose nothing; documents are ordered by
+doc_id, nulls last, then by a hash of the text; rows with the same doc_id and
+text are one document, and each of them gets its result; blocks are matched
+against the texts as they came in, not against what deletions left; other
+columns stay as they are, whatever their names, but n_lines and n_removed are
+replaced.
+
+Hot lines: what is joined by a run or by its holder is read from written tables
+on both sides, so Spark splits the partitions of a run or holder that very many
+documents share.
 """
 
 from __future__ import annotations
@@ -30,12 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.shared import written
-from kgspark.llm.text import Spans, mix
+from kgspark.llm.shared import unused, written
+from kgspark.llm.text import Spans
 
 MIN_CHARS = 100
 LAST = (1 << 63) - 1
-SALTS = 16
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -66,7 +73,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         for k, (_, j) in enumerate(once):
             p = bisect_left(tops, j)
             back[k] = last[p - 1] if p else -1
-            tops[p:] = [j] if p == len(tops) else [j, *tops[p + 1 :]]
+            tops[p : p + 1] = [j]
             last[p : p + 1] = [k]
         chain, k = [], last[-1] if last else -1
         while k >= 0:
@@ -94,9 +101,8 @@ def common_blocks(a: list[tuple[int, int]], b: list[tuple[int, int, int]], min_c
     return [(lo, hi) for lo, hi, n in found if n >= min_chars]
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    order = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    return docs.withColumn("_doc", F.struct(order.alias("id"), F.xxhash64(text).alias("h")))
+def _key(doc_id: str, text: str):
+    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("h"))
 
 
 def _lines(text: str):
@@ -104,42 +110,51 @@ def _lines(text: str):
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, lines): the numbers, from 0, of the lines to delete from each document that has any.
+    """(doc, flags): for each document that has lines to delete, whether a line goes, up to the last that does.
 
-    doc is a struct of the doc_id and a hash of the text, as ``_keyed`` makes it.
+    doc is a struct of the doc_id and a hash of the text.
     """
-    keyed = _keyed(docs, doc_id, text).select(F.col("_doc").alias("doc"), _lines(text).alias("all"))
+    keyed = docs.select(_key(doc_id, text).alias("doc"), _lines(text).alias("all"))
     worded = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("no"), x.alias("line"))), lambda x: x.line.rlike(r"[^\x20\x09-\x0D]"))
     # Places count lines with words only, so blank lines do not part a block.
-    line = lambda x, i: F.struct(i.alias("place"), F.xxhash64(x["line"]).alias("line"), F.length(x["line"]).alias("chars"), x["no"].alias("no"))
-    held = keyed.select("doc", F.transform(worded, line).alias("lines"))
+    line = lambda x: F.struct(F.xxhash64(x["line"]).alias("line"), F.xxhash64(F.lit("again"), x["line"]).alias("again"), F.length(x["line"]).alias("chars"), x["no"].alias("no"))
+    held = keyed.select("doc", F.transform(worded, line).alias("lines")).where(F.size("lines") > 0)
+    # Only the first row of a document that is repeated.
+    held = written(held.groupBy("doc").agg(F.first("lines").alias("lines")), "lines")
     runs = held.select("doc", "lines.line", "lines.chars").mapInArrow(_runs(min_chars), "doc struct<id: long, h: long>, run long, lo int, hi int")
     runs = written(runs, "runs")
     known = runs.groupBy("run").agg(F.min("doc").alias("holder"), F.max("doc").alias("other"))
-    # Salts spread a run that very many documents have over several tasks.
-    known = known.where("holder != other").select("run", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    runs = runs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    # A set: rows with the same doc_id and text give the same runs.
-    pairs = runs.join(known, ["run", "salt"]).where("holder < doc").groupBy("doc", "holder")
+    known = written(known.where("holder != other").select("run", "holder"), "shared")
+    pairs = runs.join(known, "run").where("holder < doc").groupBy("doc", "holder")
     pairs = pairs.agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    # Only the first row of a document that is repeated.
-    held = held.where(F.size("lines") > 0).groupBy("doc").agg(F.first("lines").alias("lines"))
+    pairs = written(pairs.join(held, "doc"), "pairs")
     earlier = held.select(F.col("doc").alias("holder"), F.col("lines").alias("theirs"))
-    both = pairs.join(held, "doc").join(earlier, "holder").select("doc", "theirs", "lines", "runs")
+    both = pairs.join(earlier, "holder").select("doc", "theirs", "lines", "runs")
 
     def run(batches):
         for batch in batches:
             out = []
             for theirs, mine, runs in zip(batch.column(1), batch.column(2), batch.column(3)):
-                a, b = _tuples(theirs), _tuples(mine)
-                numbers = {place: no for place, _, _, no in b}
-                blocks = common_blocks([x[:2] for x in a], [x[:3] for x in b], min_chars)
-                blocks += [(x["lo"], x["hi"]) for x in runs.as_py()]
-                out.append([numbers[place] for place in sorted({x for lo, hi in blocks for x in range(lo, hi)})])
+                a, b = _fields(theirs), _fields(mine)
+                blocks = common_blocks(list(enumerate(a[0])), list(zip(range(len(b[0])), b[0], b[1])), min_chars)
+                # The runs were found by one hash of lines: they count where the other agrees, too.
+                shared = set(a[0])
+                blocks += [(x["lo"], x["hi"]) for x in runs.as_py() if shared.issuperset(b[0][x["lo"] : x["hi"]])]
+                out.append([b[2][place] for place in sorted({x for lo, hi in blocks for x in range(lo, hi)})])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc", "gone"])
 
     gone = both.mapInArrow(run, "doc struct<id: long, h: long>, gone array<int>").where(F.size("gone") > 0)
-    return gone.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("lines"))
+    gone = gone.groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+
+    def flagged(batches):
+        for batch in batches:
+            flags = []
+            for numbers in batch.column(1):
+                numbers = numbers.values.to_numpy()
+                flags.append(np.bincount(numbers, minlength=numbers.max() + 1) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.list_(pa.bool_()))], ["doc", "flags"])
+
+    return gone.mapInArrow(flagged, "doc struct<id: long, h: long>, flags array<boolean>")
 
 
 def _runs(min_chars: int):
@@ -160,7 +175,7 @@ def _runs(min_chars: int):
                 lo = np.concatenate((at[forward], starts[back]))
                 hi = np.concatenate((np.maximum(ends, at + 1)[forward], at[back] + 1))
                 lo, hi = np.unique(np.stack((lo, hi)), axis=1)
-                hashes.append(Spans(mix(np.asarray(lines.values, np.int64).view(np.uint64))).hash(lo, hi))
+                hashes.append(Spans(np.asarray(lines.values, np.int64).view(np.uint64)).hash(lo, hi))
                 row.append(np.full(len(lo), k))
                 los.append(lo)
                 his.append(hi)
@@ -172,21 +187,23 @@ def _runs(min_chars: int):
     return run
 
 
-def _tuples(value: pa.ListScalar) -> list[tuple[int, int, int, int]]:
+def _fields(value: pa.ListScalar) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Lines by both hashes, their characters, and their numbers."""
     items = value.values
-    return list(zip(*(items.field(i).to_pylist() for i in range(4))))
+    line, again, chars, no = (items.field(i).to_pylist() for i in range(4))
+    return list(zip(line, again)), chars, no
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with text without its repeated blocks, and n_lines and n_removed (long)."""
-    gone = repeated_lines(docs, doc_id, text, min_chars).select(F.col("doc").alias("_gone"), "lines")
-    docs = _keyed(docs, doc_id, text)
-    out = docs.join(gone.hint("shuffle_hash"), docs["_doc"] == gone["_gone"], "left")
-    kept = F.filter(_lines(text), lambda x, i: ~F.array_contains("lines", i))
+    doc, flags = unused(docs, "doc", "flags")
+    gone = repeated_lines(docs, doc_id, text, min_chars).withColumnsRenamed({"doc": doc, "flags": flags})
+    out = docs.join(gone.hint("shuffle_hash"), _key(doc_id, text) == gone[doc], "left")
+    kept = F.filter(_lines(text), lambda x, i: ~F.coalesce(F.get(F.col(flags), i), F.lit(False)))
     return out.withColumns(
         {
             "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).cast("long"),
-            "n_removed": F.coalesce(F.size("lines"), F.lit(0)).cast("long"),
-            text: F.when(F.col("lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
+            "n_removed": F.coalesce(F.size(F.filter(flags, lambda x: x)), F.lit(0)).cast("long"),
+            text: F.when(F.col(flags).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
         }
-    ).drop("_doc", "_gone", "lines")
+    ).drop(doc, flags)

@@ -7,12 +7,14 @@ Mahalanobis distance.
 
 The estimate is found by concentration steps on Spark.  The first half set is
 that nearest the coordinate-wise medians; each step fits mean and covariance to
-the half set and takes the half nearest to the fit, which never raises the
-determinant.  A step bins the squared distances and sums, for each group and
-bin, fixed-point values and their products as integers; a group's half set is
-the lowest bins that hold half its rows.  So a step is one partial aggregation
-whose result is bounded by groups times bins, no group's rows meet in one task,
-and results do not depend on partitions.
+the half set and takes the half nearest to the fit.  A step bins the squared
+distances and sums, for each group and bin, fixed-point values and their
+products as integers; a group's half set is the lowest bins that hold half its
+rows (the last bin whole).  So a step is one partial aggregation whose result is
+bounded by groups times bins, no group's rows meet in one task, and results do
+not depend on partitions.  A group takes a step only if that lowers the
+determinant of its (floored) scatter by a thousandth, and the steps end when no
+group does; as floors bound determinants from below, they end.
 
 Statistics that hardly vary within a group would make the scatter singular, so
 the scatter has a floor: with each statistic in units of its ``FLOORS``, no
@@ -24,7 +26,8 @@ Defined results: null and word-less text fails the base rules; a null language
 or source is a group of its own; only rows that pass the base rules enter
 estimates; groups with fewer than ``min_rows`` of those are judged by the
 estimate of all rows of their language, or of all rows where that has too few;
-repeated rows count and are judged each.
+repeated rows count and are judged each; other columns stay as they are,
+whatever their names, but those that are added replace columns of that name.
 """
 
 from __future__ import annotations
@@ -34,12 +37,13 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm.shared import checkpointed, written
-from kgspark.llm.text import _BYTE, _SPACE, Spans, chunks, mix, sums
+from kgspark.llm.text import _SPACE, chunks, mix, sums, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -74,7 +78,8 @@ def consistency(share: float) -> float:
 CHI2_CUT = chi2_quantile(1e-4)
 #: Bins for each doubling of the distance.
 FINE = 16
-STEPS = 6
+#: What a step has to take from the logarithm of a determinant.
+GAIN = 1e-3
 #: How many of the columns of a group its estimate tells apart.
 DEPTH = "_depth"
 
@@ -98,7 +103,9 @@ def _statistics(words) -> tuple[np.ndarray, ...]:
     full = held[ends] > held[starts]
     starts, ends = starts[full], ends[full]
     doc = np.searchsorted(offsets, starts, "right") - 1
-    lines = mix(Spans(_BYTE[data]).hash(starts, ends) + doc.astype(np.uint64))
+    body = data.tobytes()
+    lines = np.array([xxhash.xxh64_intdigest(body[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+    lines = mix(lines + doc.astype(np.uint64))
     n = len(offsets) - 1
     _, first = np.unique(lines, return_index=True)
     dup = np.bincount(doc, minlength=n) - np.bincount(doc[first], minlength=n)
@@ -107,7 +114,7 @@ def _statistics(words) -> tuple[np.ndarray, ...]:
     at = words.windows(WINDOW)
     if len(at):
         owner = words.owner()
-        keys = mix(Spans(words.hashes()).hash(at, at + WINDOW) + owner[at].astype(np.uint64))
+        keys = mix(window_hashes(words.hashes(), WINDOW)[at] + owner[at].astype(np.uint64))
         order = np.argsort(keys)
         same = keys[order[1:]] == keys[order[:-1]]
         twice = np.zeros(len(at), bool)
@@ -167,8 +174,8 @@ def _moments() -> list:
     ]
 
 
-def _fit(n: int, row: pd.Series, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centre (in fixed point), floored scatter and its inverse, from summed moments."""
+def _fit(n: int, row: pd.Series, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre (in fixed point), inverse of the floored scatter and logarithm of its determinant (in floors), from summed moments."""
     mean = np.array([int(row[f"s{i}"]) / n for i in range(P)])
     cov = np.zeros((P, P))
     for i in range(P):
@@ -178,13 +185,13 @@ def _fit(n: int, row: pd.Series, factor: float = 1.0) -> tuple[np.ndarray, np.nd
     unit = np.outer(FLOORS, FLOORS)
     variance, axes = np.linalg.eigh(cov * factor / unit)
     variance = np.maximum(variance, 1)
-    return mean, (axes * variance) @ axes.T * unit, (axes / variance) @ axes.T / unit
+    return mean, (axes / variance) @ axes.T / unit, float(np.log(variance).sum())
 
 
-def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 20, steps: int = STEPS, cut: float = CHI2_CUT) -> DataFrame:
-    """(*by, centre, precision) of each group with at least ``min_rows`` rows of x0 to x4, or of depth 0."""
+def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 20) -> DataFrame:
+    """(*by, centre, precision, logdet) of each group with at least ``min_rows`` rows of x0 to x4, or of depth 0."""
     keys = [F.col(c) for c in by]
-    params = "centre array<double>, precision array<double>"
+    params = "centre array<double>, precision array<double>, logdet double"
     schema = T.StructType([rows.schema[c] for c in by] + T._parse_datatype_string(params).fields)
 
     def joined(fits: DataFrame) -> DataFrame:
@@ -209,7 +216,7 @@ def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows
             centre[i] = (middle + 0.5) * step
             precision[i, i] = 1 / max(1.4826 * spread * step / SCALE, FLOORS[i]) ** 2
         keep = pdf[pdf["i"] == 0]["count"].sum() >= min_rows or (DEPTH in by and pdf[DEPTH].iloc[0] == 0)
-        return _row(pdf, by, centre, precision) if keep else _row(pdf, by, centre, precision).iloc[:0]
+        return _row(pdf, by, centre, precision, math.inf).iloc[: int(keep)]
 
     fits = checkpointed(named(grid.groupBy(*by).applyInPandas(start, schema)))
 
@@ -220,15 +227,22 @@ def outliers(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows
                 before = pdf["n"].cumsum() - pdf["n"]
                 pdf = pdf[before < (pdf["n"].sum() + P + 2) // 2]
             total = pdf.drop(columns=list(by)).sum()
-            mean, _, inverse = _fit(int(total["n"]), total, consistency(share))
-            return _row(pdf, by, mean, inverse)
+            return _row(pdf, by, *_fit(int(total["n"]), total, consistency(share)))
 
         return fit
 
     binned = F.floor(F.log2(1 + _distance()) * FINE).cast("long")
-    for _ in range(steps):
+    fit = F.struct("centre", "precision", "logdet").alias("fit")
+    while True:
         sums_ = joined(fits).groupBy(*by, binned.alias("bin")).agg(*_moments())
-        fits = checkpointed(named(sums_.groupBy(*by).applyInPandas(stepped(0.5, None), schema)))
+        new = sums_.groupBy(*by).applyInPandas(stepped(0.5, None), schema).select(*by, fit)
+        lower = F.coalesce(new["fit.logdet"] < F.col("logdet") - GAIN, F.lit(False))
+        both = fits.join(new, _same(new, fits, by), "left")
+        both = both.select(*(f"_{c}" for c in by), lower.alias("lower"), F.when(lower, new["fit"]).otherwise(fit).alias("fit"))
+        both = checkpointed(both)
+        fits = both.select(*(f"_{c}" for c in by), "fit.*")
+        if not both.where("lower").take(1):
+            break
     near = joined(fits).where(_distance() <= chi2_quantile(0.025)).groupBy(*by, F.lit(0).alias("bin")).agg(*_moments())
     return named(near.groupBy(*by).applyInPandas(stepped(0.975, 0.975), schema))
 
@@ -246,8 +260,8 @@ def _quantile(values: np.ndarray, counts: np.ndarray) -> float:
     return float(values[order][np.searchsorted(reach, (reach[-1] + 1) // 2)])
 
 
-def _row(pdf: pd.DataFrame, by, centre: np.ndarray, precision: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "centre": [centre.tolist()], "precision": [precision.ravel().tolist()]})
+def _row(pdf: pd.DataFrame, by, centre: np.ndarray, precision: np.ndarray, logdet: float) -> pd.DataFrame:
+    return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "centre": [centre.tolist()], "precision": [precision.ravel().tolist()], "logdet": [logdet]})
 
 
 def estimates(rows: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows: int = 20) -> DataFrame:
@@ -281,9 +295,13 @@ def quality(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows:
 
     distance2 is null where the base rules failed.
     """
-    stats = written(vectors(statistics(docs, text)), "statistics")
-    fits = estimates(stats.where("NOT base_failed").select(*by, *(f"x{i}" for i in range(P))), by, min_rows)
-    out = stats.join(fits, _same(stats, fits, by), "left")
+    new = [*STATS, "base_failed", "distance2", "kept"]
+    row = F.struct(*(F.col(c) for c in docs.columns if c not in (text, *new)))
+    groups = [f"by{i}" for i in range(len(by))]
+    rows = docs.select(row.alias("row"), *(F.col(c).alias(g) for c, g in zip(by, groups)), F.col(text).alias("text"))
+    stats = written(vectors(statistics(rows)), "statistics")
+    fits = estimates(stats.where("NOT base_failed").select(*groups, *(f"x{i}" for i in range(P))), tuple(groups), min_rows)
+    out = stats.join(fits, _same(stats, fits, tuple(groups)), "left")
     out = out.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut)
-    return out.withColumn("kept", kept).drop(*(f"x{i}" for i in range(P)), *(f"_{c}" for c in by), "centre", "precision")
+    return out.withColumn("kept", kept).select("row.*", *new)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm.shared import connected_components, written
-from kgspark.llm.text import Spans, chunks, joined
+from kgspark.llm.text import chunks, joined
 
 SEED = 42
 HALF = 32
@@ -120,10 +120,8 @@ def shingle_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame
         for batch in batches:
             sets = []
             for _, _, words in chunks(batch.column(len(keep)), lower=True):
-                spans = Spans(words.hashes())
-                for first, end in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-                    at = np.arange(first, max(first + 1, end - shingle + 1)) if end > first else np.zeros(0, np.int64)
-                    sets.append(np.unique(spans.hash(at, np.minimum(at + shingle, end))).view(np.int64))
+                found, bounds = words.shingles(shingle)
+                sets += [np.unique(found[lo:hi]).view(np.int64) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], [*keep, "shingles"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField("shingles", T.ArrayType(T.LongType()))]))
@@ -161,11 +159,10 @@ def prefixes(docs: DataFrame, words: int, similarity: float, common: np.ndarray,
     def run(batches):
         for batch in batches:
             sizes, marks, firsts = [], [], []
-            for _, _, found in chunks(batch.column(len(keep)), lower=True):
-                spans = Spans(found.hashes())
-                for first, end in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
-                    at = np.arange(first, max(first + 1, end - words + 1)) if end > first else np.zeros(0, np.int64)
-                    own = np.unique(spans.hash(at, np.minimum(at + words, end)))
+            for _, _, part in chunks(batch.column(len(keep)), lower=True):
+                found, bounds = part.shingles(words)
+                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    own = np.unique(found[lo:hi])
                     bits = np.zeros(MARKS, np.uint8)
                     bits[(own % np.uint64(MARKS)).astype(np.int64)] = 1
                     last = np.isin(own, common)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.shared import written
-from kgspark.llm.text import Spans, chunks, joined, mix, raw
+from kgspark.llm.text import GAP, chunks, joined, mix, raw, window_hashes
 
 WINDOW = 20
 ROUNDS = 3
@@ -167,15 +167,15 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _runs_of(key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, from, to) of runs of consecutive positions."""
-    order = np.lexsort((pos, key))
-    key, pos = key[order], pos[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1] + 1)
+def _runs_of(k: np.ndarray, root: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(k, root, from, to) of runs of consecutive positions."""
+    order = np.lexsort((pos, root, k))
+    k, root, pos = k[order], root[order], pos[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (root[1:] != root[:-1]) | (pos[1:] != pos[:-1] + 1)
     at = np.flatnonzero(new)
-    end = np.append(at, len(key))[1:] - 1
-    return key[at], pos[at], pos[end] + 1
+    end = np.append(at, len(k))[1:] - 1
+    return k[at], root[at], pos[at], pos[end] + 1
 
 
 def _pack(bucket: np.ndarray, fields: list[np.ndarray]) -> list[list]:
@@ -280,11 +280,12 @@ def shared_names(docs: DataFrame, buckets: int, window: int, rounds: int) -> Dat
 
 
 def repeats(found: DataFrame, buckets: int, window: int) -> DataFrame:
-    """(k, lo, hi): windows of document k from lo to hi - 1 that start earlier too.
+    """(k, root, lo, hi): windows of a document from lo to hi - 1 that start earlier too.
 
-    ``found`` has k, text, its sha, and the arrays name, lo, hi of windows to look at.
+    ``found`` has k, root, text, and the arrays name, lo, hi of windows to look
+    at.  Windows are equal if both 64-bit hashes of them agree.
     """
-    names = ["bucket", "h1", "h2", "k", "pos", "gone"]
+    names = ["bucket", "h1", "h2", "k", "root", "pos", "gone"]
 
     def settle(h1, h2, k, pos) -> np.ndarray:
         """Marks all but the earliest of equal windows, and of rows at the same place, none."""
@@ -298,42 +299,31 @@ def repeats(found: DataFrame, buckets: int, window: int) -> DataFrame:
         return gone
 
     def send(held: list[tuple]) -> pa.RecordBatch:
-        name, h1, h2, k, pos = (np.concatenate(x) for x in zip(*held))
+        name, h1, h2, k, root, pos = (np.concatenate(x) for x in zip(*held))
         gone = settle(h1, h2, k, pos)
         bucket = (name % np.uint64(buckets)).astype(np.int32)
         stay = ~gone
-        out = [[*row, b""] for row in _pack(bucket[stay], [h1[stay], h2[stay], k[stay], pos[stay]])]
-        doc, lo, hi = _runs_of(k[gone], pos[gone])
-        done = np.stack((doc, lo.astype(np.int64), hi.astype(np.int64)), 1) if len(doc) else np.zeros((0, 3), np.int64)
-        by = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        out += [[b, b"", b"", b"", b"", done[by == b].tobytes()] for b in np.unique(by).tolist()]
+        out = [[*row, b""] for row in _pack(bucket[stay], [h1[stay], h2[stay], k[stay], root[stay], pos[stay]])]
+        done = np.stack([x.astype(np.int64) for x in _runs_of(k[gone], root[gone], pos[gone])], 1)
+        by = (mix(done[:, 0].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        out += [[b, b"", b"", b"", b"", b"", done[by == b].tobytes()] for b in np.unique(by).tolist()]
         return _table(out, names)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            column = batch.column(1)
-            for lo_row, hi_row, words in chunks(column):
-                which, lo, hi, name = [], [], [], []
-                for i in range(lo_row, hi_row):
-                    if hashlib.sha256(joined(words, i - lo_row)[0]).digest() != batch.column(5)[i].as_py():
-                        continue  # another row with this doc_id
-                    los = batch.column(3)[i].values.to_numpy()
-                    which.append(np.full(len(los), i - lo_row))
-                    lo.append(los)
-                    hi.append(batch.column(4)[i].values.to_numpy())
-                    name.append(batch.column(2)[i].values.to_numpy().view(np.uint64))
-                if not which:
-                    continue
-                which, lo, hi, name = (np.concatenate(x) for x in (which, lo, hi, name))
+            k, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo_row, hi_row, words in chunks(batch.column(2)):
+                part = [batch.column(c).slice(lo_row, hi_row - lo_row) for c in (3, 4, 5)]
+                name, lo, hi = (x.flatten().to_numpy() for x in part)
+                which = np.repeat(np.arange(hi_row - lo_row), part[0].value_lengths().to_numpy())
                 n = (hi - lo).astype(np.int64)
                 pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                doc, name = np.repeat(which, n), np.repeat(name, n)
+                doc, name = np.repeat(which, n), np.repeat(name.view(np.uint64), n)
                 at = words.first[doc] + pos
-                h1 = Spans(words.hashes()).hash(at, at + window)
-                h2 = Spans(words.hashes(1), 1).hash(at, at + window)
-                held.append((name, h1, h2, k[lo_row:hi_row][doc], pos.astype(np.int32)))
+                h1 = window_hashes(words.hashes(), window)[at]
+                h2 = window_hashes(words.hashes(1), window)[at]
+                held.append((name, h1, h2, k[lo_row:hi_row][doc], root[lo_row:hi_row][doc], pos.astype(np.int32)))
                 size += len(pos)
                 if size >= HELD:
                     yield send(held)
@@ -343,14 +333,14 @@ def repeats(found: DataFrame, buckets: int, window: int) -> DataFrame:
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = _cat(pdf["h1"], np.uint64), _cat(pdf["h2"], np.uint64)
-        k, pos = _cat(pdf["k"], np.int64), _cat(pdf["pos"], np.int32)
+        k, root, pos = _cat(pdf["k"], np.int64), _cat(pdf["root"], np.int64), _cat(pdf["pos"], np.int32)
         gone = settle(h1, h2, k, pos)
-        found = _runs_of(k[gone], pos[gone].astype(np.int64))
-        done = _cat(pdf["gone"], np.int64).reshape(-1, 3)
-        return pd.DataFrame({c: np.concatenate((found[i], done[:, i])) for i, c in enumerate(("k", "lo", "hi"))})
+        found = _runs_of(k[gone], root[gone], pos[gone].astype(np.int64))
+        done = _cat(pdf["gone"], np.int64).reshape(-1, 4)
+        return pd.DataFrame({c: np.concatenate((found[i], done[:, i])) for i, c in enumerate(("k", "root", "lo", "hi"))})
 
-    sent = found.select("k", "text", "name", "lo", "hi", "sha").mapInArrow(run, "bucket int, h1 binary, h2 binary, k binary, pos binary, gone binary")
-    return sent.groupBy("bucket").applyInPandas(merge, "k long, lo long, hi long")
+    sent = found.select("k", "root", "text", "name", "lo", "hi").mapInArrow(run, "bucket int, h1 binary, h2 binary, k binary, root binary, pos binary, gone binary")
+    return sent.groupBy("bucket").applyInPandas(merge, "k long, root long, lo long, hi long")
 
 
 def remaining(found: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -364,8 +354,6 @@ def remaining(found: DataFrame, window: int, with_text: bool) -> DataFrame:
                 data, offsets = raw(text.slice(i, 1))
                 words = data.tobytes().split()
                 sha = batch.column(2)[i].as_py()
-                if hashlib.sha256(b" ".join(words)).digest() != sha:
-                    continue  # another row with this doc_id
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, batch.column(3)[i].values.to_numpy(), 1)
                 np.add.at(edge, batch.column(4)[i].values.to_numpy() + window - 1, -1)
@@ -395,12 +383,15 @@ def substring_dedup(
     roots = firsts.where(F.col("n_words") >= window).select("root", F.col("first").alias("k"), "sha")
     names = shared_names(docs, buckets, window, rounds)
     names = names.groupBy("root").agg(*(F.collect_list(c).alias(c) for c in ("name", "lo", "hi")))
-    found = names.join(roots, "root").select("k", "sha", "name", "lo", "hi")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("k"), "text")
-    found = written(keyed.join(found.hint("shuffle_hash"), "k"), "found")
+    found = names.join(roots, "root").select("k", "root", "sha", "name", "lo", "hi")
+    # By the words, too: rows that share a doc_id, or have none, do not meet.
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " "))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("k"), F.sha2(plain, 256).alias("hex"), "text")
+    keyed = keyed.select("k", F.unhex("hex").alias("sha"), "text")
+    found = written(keyed.join(found.hint("shuffle_hash"), ["k", "sha"]).select("k", "root", "sha", "text", "name", "lo", "hi"), "found")
     gone = repeats(found, buckets, window)
-    gone = gone.groupBy("k").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    rest = remaining(found.select("k", "text", "sha").join(gone.hint("shuffle_hash"), "k"), window, with_text).dropDuplicates(["k", "sha"])
+    gone = gone.groupBy("k", "root").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    rest = remaining(found.select("k", "root", "text", "sha").join(gone.hint("shuffle_hash"), ["k", "root"]), window, with_text).dropDuplicates(["k", "sha"])
     rest = rest.select(F.col("k").alias("rk"), F.col("sha").alias("rsha"), "n_removed", "kept_sha", "kept_text")
     out = all_.join(firsts.drop("root", "n_words"), "sha").join(rest, (F.col("k") == F.col("rk")) & (F.col("sha") == F.col("rsha")), "left")
     copy = (F.col("k") > F.col("first")) & (F.col("n_words") >= window)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: The pattern of a word, for engines with regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +24,7 @@ CHUNK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+_ALL = np.uint64((1 << 64) - 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -39,36 +40,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64, for exponents below n."""
-    up, down = _POWERS.get(which, (np.ones(0, np.uint64),) * 2)
-    if len(up) < n:
-        base = _BASES[which]
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(n, b, np.uint64)
-            steps[:1] = 1
-            out.append(np.cumprod(steps))
-        up, down = out
-        if n <= 2 * CHUNK:
-            _POWERS[which] = up, down
-    return up[:n], down[:n]
+def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in order."""
+    return mix(a * _FOLD + b)
+
+
+def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of ``values[i : i + n]`` for each i that has so many, by doubling."""
+    if len(values) < n:
+        return np.zeros(0, np.uint64)
+    part, size, out, done = mix(values), 1, None, 0
+    while True:
+        if n & size:
+            rest = part[done:]
+            out = rest if out is None else fold(out[: len(rest)], rest)
+            done += size
+        if done == n:
+            return out[: len(values) - n + 1]
+        part = fold(part[:-size], part[size:])
+        size *= 2
+
+
+_P61 = np.uint64((1 << 61) - 1)
+_BASE = 0x0F58476D1CE4E5B9
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P61) + (x >> np.uint64(61))
+    return np.where(x >= _P61, x - _P61, x)
+
+
+def _times(a: np.ndarray, b) -> np.ndarray:
+    """Products modulo 2**61 - 1, from halves that do not overflow."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    b = np.asarray(b, np.uint64)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    mid = al * bh + ah * bl
+    return _reduced((ah * bh << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half) + _reduced(al * bl))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, _times(out, pow(base, len(out), (1 << 61) - 1))))
+    return out[:n]
 
 
 class Spans:
-    """Hashes of any spans of a sequence in constant time each (a polynomial in prefix sums)."""
+    """Hashes of any spans of a sequence in constant time each: a polynomial modulo the prime 2**61 - 1, in prefix sums."""
 
-    def __init__(self, values: np.ndarray, which: int = 0):
-        up, self.down = _powers(which, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[:-1], out=self.sums[1:])
+    def __init__(self, values: np.ndarray):
+        terms = _times(_reduced(values), _powers(_BASE, len(values)))
+        self.down = _powers(pow(_BASE, -1, (1 << 61) - 1), len(values) + 1)
+        half = np.uint64(31)
+        high, low = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(x))) for x in (terms >> half, terms & np.uint64((1 << 31) - 1)))
+        self.sums = _reduced(_times(_reduced(high), 1 << 31) + _reduced(low))
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        span = _reduced(self.sums[ends] + _P61 - self.sums[starts])
+        return fold(_times(span, self.down[starts]), (ends - starts).astype(np.uint64))
 
 
 @dataclass
@@ -90,7 +126,20 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return Spans(_BYTE[self.data], which).hash(self.starts, self.ends)
+        """A 64-bit hash of each word, from its length and its bytes, eight at a time; ``which`` (0 or 1) picks one of two."""
+        size = self.ends - self.starts
+        padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(self.data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+        h = (size.astype(np.uint64) + np.uint64(1)) * np.uint64(_SEEDS[which])
+        for at in range(0, min(int(size.max(initial=0)), LONG_WORD), 8):
+            left = size - at
+            rows = np.flatnonzero(left > 0) if at else slice(None)
+            left = np.minimum(left[rows], 8).astype(np.uint64)
+            part = eight[self.starts[rows] + at] & (_ALL >> (np.uint64(8) * (np.uint64(8) - left)))
+            h[rows] = mix(h[rows] ^ part)
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), _SEEDS[which])
+        return h
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sums by document of what is given for each word."""
@@ -102,6 +151,20 @@ class Words:
         at = np.arange(len(last))
         return at[at + n <= last]
 
+    def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the n-word shingles (of the whole sequence where it is shorter), and where each document's start, and the end."""
+        h, count = self.hashes(), self.counts
+        bounds = np.concatenate(([0], np.cumsum(np.where(count > 0, np.maximum(count - n + 1, 1), 0))))
+        out = np.zeros(bounds[-1], np.uint64)
+        long = np.repeat(count >= n, np.diff(bounds))
+        at = self.windows(n)
+        out[long] = window_hashes(h, n)[at]
+        for m in range(1, n):
+            docs = np.flatnonzero(count == m)
+            if len(docs):
+                out[bounds[docs]] = window_hashes(h, m)[self.first[docs]]
+        return out, bounds
+
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
