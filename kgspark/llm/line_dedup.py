@@ -162,27 +162,22 @@ def _runs(min_chars: int):
 
     def run(batches):
         for batch in batches:
-            row, hashes, los, his = [], [], [], []
-            for k, (lines, chars) in enumerate(zip(batch.column(1), batch.column(2))):
-                n = np.asarray(chars.values, np.int64)
-                total = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-                if total[-1] < max(min_chars, 1):
-                    continue
-                at = np.arange(len(n))
-                ends = np.searchsorted(total, total[:-1] + min_chars, "left")
-                starts = np.searchsorted(total, total[1:] - min_chars, "right") - 1
-                forward, back = ends <= len(n), starts >= 0
-                lo = np.concatenate((at[forward], starts[back]))
-                hi = np.concatenate((np.maximum(ends, at + 1)[forward], at[back] + 1))
-                lo, hi = np.unique(np.stack((lo, hi)), axis=1)
-                hashes.append(Spans(np.asarray(lines.values, np.int64).view(np.uint64)).hash(lo, hi))
-                row.append(np.full(len(lo), k))
-                los.append(lo)
-                his.append(hi)
-            if row:
-                docs = batch.column(0).take(pa.array(np.concatenate(row)))
-                new = [pa.array(np.concatenate(hashes).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (los, his))]
-                yield pa.RecordBatch.from_arrays([docs, *new], ["doc", "run", "lo", "hi"])
+            lines, n = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            size = batch.column(1).value_lengths().to_numpy()
+            doc = np.repeat(np.arange(len(size)), size)
+            last = np.cumsum(size)[doc]
+            first = last - size[doc]
+            total = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+            at = np.arange(len(n))
+            ends = np.maximum(np.searchsorted(total, total[:-1] + min_chars, "left"), at + 1)
+            starts = np.minimum(np.searchsorted(total, total[1:] - min_chars, "right") - 1, at)
+            forward, back = ends <= last, starts >= first
+            pairs = np.unique(np.stack((np.concatenate((at[forward], starts[back])), np.concatenate((ends[forward], at[back] + 1)))), axis=1)
+            if not pairs.size:
+                continue
+            lo, hi = pairs
+            new = [pa.array(Spans(lines.view(np.uint64)).hash(lo, hi).view(np.int64)), *(pa.array((x - first[lo]).astype(np.int32)) for x in pairs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[lo])), *new], ["doc", "run", "lo", "hi"])
 
     return run
 

@@ -256,3 +256,14 @@ def test_stages_take_any_table(spark, tmp_path, stage):
     docs = documents(spark)
     stage(spark, docs, str(tmp_path)).count()
     assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0
+
+
+def test_line_dedup_leaves_other_columns_alone(spark):
+    """Columns with the names used inside, null and empty texts, and four documents whose block has different first holders."""
+    a, b = "the first line of a block that two documents share, sixty on", "and the second one, of sixty characters or so as well, too"
+    data = [(1, f"{a}\nx one"), (2, f"y two\n{b}"), (3, f"{a}\n{b}\nthree"), (4, f"four\n{a}\n{b}"), (None, None), (5, ""), (5, "")]
+    names = ["lines", "_doc", "_gone", "doc", "flags", "run", "holder"]
+    table = spark.createDataFrame([(*r, *names) for r in data], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = line_dedup.line_dedup(table).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(d or 0, t or "") for d, t in data if d != 4] + [(4, "four")])
+    assert all([r[n] for n in names] == names for r in got)
