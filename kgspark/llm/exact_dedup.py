@@ -5,9 +5,16 @@ filters, one for each range of quotients.  The filters of one range meet in one
 task and merge without loss, as sorted remainders whose counters add up.  Only
 texts whose fingerprint has a count above one are then compared byte by byte.
 
+A filter's bitmaps have about as many bits as it has entries, so all filters
+together take some ten bytes for each fingerprint, however many ranges there are.
+The fingerprints to verify are a written table: Spark sends a small one to the
+scan of the texts, so that others do not leave it, and joins a large one, whose
+hot fingerprints it splits.
+
 Defined results: null text is empty text; rows of equal text form one group,
 repeated rows count once each; the smallest doc_id stays (a null doc_id only
-where the whole group has none) and if several rows share it they all stay.
+where the whole group has none) and if several rows share it they all stay;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm.shared import written
 from kgspark.llm.text import GAP
 
 #: Fingerprints that a filter of one quotient range is meant for.
-RANGE = 1 << 19
+RANGE = 1 << 21
 #: Fingerprints that a task holds before it emits its filters.
 HELD = 1 << 20
-QUOTIENT_BITS = 18
-SALTS = 16
 
 
 class QuotientFilter:
@@ -41,8 +47,9 @@ class QuotientFilter:
     apart, by entry.
     """
 
-    def __init__(self, skip: int, prefix: int, values: np.ndarray, counts: np.ndarray, q: int = QUOTIENT_BITS):
-        """values: sorted and distinct, unsigned."""
+    def __init__(self, skip: int, prefix: int, values: np.ndarray, counts: np.ndarray, q: int | None = None):
+        """values: sorted and distinct, unsigned.  There are about as many quotients as values, unless ``q`` is given."""
+        q = max(3, len(values).bit_length() - 1) if q is None else q
         self.skip, self.prefix, self.q = skip, prefix, q
         left = np.uint64(64 - skip - q)
         quotients = (values >> left) & np.uint64((1 << q) - 1)
@@ -97,7 +104,7 @@ class QuotientFilter:
             merged = merged or f
             parts.append(f.items())
         values, counts = _added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        return cls(merged.skip, merged.prefix, values, counts, merged.q)
+        return cls(merged.skip, merged.prefix, values, counts)
 
 
 def _added(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +121,6 @@ def normalised(text: str = "text"):
 def repeated_fingerprints(prints: DataFrame, n_rows: int) -> DataFrame:
     """(fp): the values of the only column of ``prints`` that occur more than once."""
     skip = max(4, math.ceil(math.log2(max(1, n_rows / RANGE))))
-    q = min(QUOTIENT_BITS, max(6, math.ceil(math.log2(max(1, n_rows >> skip)))))
 
     def build(batches):
         def emit(held):
@@ -122,7 +128,7 @@ def repeated_fingerprints(prints: DataFrame, n_rows: int) -> DataFrame:
             prefix = values >> np.uint64(64 - skip)
             at = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
             ends = np.append(at, len(values))[1:]
-            parts = [(int(prefix[a]), QuotientFilter(skip, int(prefix[a]), values[a:b], counts[a:b], q).dump()) for a, b in zip(at, ends)]
+            parts = [(int(prefix[a]), QuotientFilter(skip, int(prefix[a]), values[a:b], counts[a:b]).dump()) for a, b in zip(at, ends)]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["range", "filter"])
 
         held: list[np.ndarray] = []
@@ -146,21 +152,22 @@ def repeated_fingerprints(prints: DataFrame, n_rows: int) -> DataFrame:
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm"))
-    rows = rows.withColumn("fp", F.xxhash64("norm"))
-    again = repeated_fingerprints(rows.select("fp"), docs.count())
-    digest = rows.select("doc_id", "fp", F.sha2("norm", 256).alias("text_sha256"))
-    # The texts themselves are the key here, so Spark compares their bytes.
-    # Salts spread the copies of a text with very many over several tasks.
-    again = again.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # One scan of the texts for fingerprints and digests.
+    prints = rows.select("doc_id", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"))
+    prints = written(prints, "fingerprints")
+    again = written(repeated_fingerprints(prints.select("fp"), prints.count()), "counted")
+    # The texts themselves are the key here, so Spark compares their bytes; the
+    # copies that a task has are one row before they are exchanged.
     groups = (
-        salted.join(again.hint("shuffle_hash"), ["fp", "salt"], "left_semi")
+        rows.withColumn("fp", F.xxhash64("norm"))
+        .join(again, "fp", "left_semi")
         .groupBy("fp", "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
         .select(F.col("fp").alias("gfp"), F.sha2("norm", 256).alias("gsha"), "keep_id", "group_size")
     )
-    out = digest.join(groups, (F.col("fp") == F.col("gfp")) & (F.col("text_sha256") == F.col("gsha")), "left")
+    groups = written(groups, "groups")
+    out = prints.join(groups, (F.col("fp") == F.col("gfp")) & (F.col("text_sha256") == F.col("gsha")), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id",
