@@ -195,14 +195,14 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
     """(from row, to row, their words), in order, over a whole column."""
     if not len(column):
         return
     data, offsets = raw(column)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         part = data[offsets[lo] : offsets[hi]]
         yield lo, hi, split(_LOWER[part] if lower else part, offsets[lo : hi + 1] - offsets[lo])
         lo = hi

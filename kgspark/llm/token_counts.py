@@ -6,23 +6,37 @@ from a public SentencePiece file; the log probability of the piece of rank r
 piece falls back to the bytes of its UTF-8 form, each at ``BYTE_COST`` below the
 rarest piece.  The forward score of a prefix is that of its best segmentation
 (on ties, the one with fewer tokens), so it is computed once for each node of
-the trie and words that share a prefix share the work.  A batch's distinct
-pre-tokens are visited in sorted order, which walks the trie depth first with
-only one path in memory; the number of tokens at each terminal node is stored,
-and each document adds up those of its words.
-
-Defined results: null and word-less texts have no tokens.
+the trie and words that share a prefix share the work.
+
+The documents are packed, some megabytes of text at a time, into rows that have
+their distinct words once, and for each document the numbers of its words and
+how often it has them.  The distinct words of all rows are dealt to tasks by
+ranges in sorted order, each the trie of its words: walked depth first, with one
+path in memory, every node is scored once, and the number of tokens is stored at
+terminal nodes.  That table is joined to the rows' words, and each document adds
+up.  A word that all documents have is one entry for each packed row.
+
+Defined results: null and word-less texts have no tokens; repeated rows count
+each; other columns stay as they are, but n_words and n_tokens are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgspark.llm.shared import written
+from kgspark.llm.text import chunks, sums
+
+#: Bytes of text of a packed row; a longer document makes a row of its own.
+PACK = 4 << 20
 
 MARK = "▁"
 BYTE_COST = 10.0
@@ -79,48 +93,72 @@ def terminal_counts(words: Iterable[str], table: dict[str, float], byte: float)
     return out
 
 
-def count_tokens(docs: DataFrame, pieces_path: str, text: str = "text") -> DataFrame:
-    """Adds n_words and n_tokens (long) to every row; the text itself is left out."""
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """(pack, words, docs): distinct words, and documents with the indices ``at`` of theirs and how often, ``n``."""
+    keep = [c for c in docs.columns if c not in (text, "n_words", "n_tokens")]
+    docs = docs.select(F.struct(*keep, F.lit(True).alias("_")).alias("row"), text)
+    ints = T.ArrayType(T.IntegerType())
+    doc = T.StructType([docs.schema.fields[0], T.StructField("n_words", T.LongType()), T.StructField("at", ints), T.StructField("n", ints)])
+    schema = T.StructType([T.StructField("pack", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("docs", T.ArrayType(doc))])
+
+    def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, words in chunks(batch.column(1), size=PACK):
+                _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                body = words.data.tobytes()
+                distinct = [body[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
+                key, n = np.unique(words.owner() * max(1, len(first)) + which, return_counts=True)
+                owner, at = np.divmod(key, max(1, len(first)))
+                bounds = np.searchsorted(owner, np.arange(hi - lo + 1))
+                counts = pa.array(words.counts.astype(np.int64))
+                rows = pa.StructArray.from_arrays([batch.column(0).slice(lo, hi - lo), counts, lists(at, bounds), lists(n, bounds)], ["row", "n_words", "at", "n"])
+                whole = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), rows)
+                strings = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct, pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), strings, whole], ["pack", "words", "docs"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def terminals(words: DataFrame, pieces_path: str) -> DataFrame:
+    """(word, tokens) of distinct words."""
     names = read_pieces(pieces_path)  # of a file of fixed size
     key = hash(tuple(names))
-    held = docs.sparkSession.sparkContext.broadcast(names)
-    keep = [c for c in docs.columns if c not in (text, "n_words", "n_tokens")]
-    docs = docs.select(*keep, text)
+    held = words.sparkSession.sparkContext.broadcast(names)
 
     def run(batches):
         if key not in _LOADED:
             _LOADED[key] = scores(held.value)
-        table, byte = _LOADED[key]
         for batch in batches:
-            column = batch.column(len(keep))
-            counts: dict[bytes, int] = {}
-            n_words, n_tokens = [], []
-            for lo, hi, words in _chunks(column):
-                split = [w.split() for w in words]
-                new = set().union(*split) - counts.keys()
-                found = terminal_counts((w.decode() for w in new), table, byte)
-                counts.update((w.encode(), n) for w, n in found.items())
-                n_words += map(len, split)
-                n_tokens += [sum(map(counts.__getitem__, w)) for w in split]
-                if len(counts) > 1 << 19:
-                    counts.clear()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], [*keep, "n_words", "n_tokens"]
-            )
-
-    kinds = [T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *kinds]))
-
-
-def _chunks(column: pa.Array):
-    """Ranges of rows with about 8 MB of text, as bytes."""
-    column = column.fill_null("").cast(pa.large_binary())
-    held, size, lo = [], 0, 0
-    for i, value in enumerate(column):
-        held.append(value.as_py())
-        size += len(held[-1])
-        if size >= 8 << 20:
-            yield lo, i + 1, held
-            held, size, lo = [], 0, i + 1
-    if held:
-        yield lo, len(column), held
+            found = terminal_counts(batch.column(0).to_pylist(), *_LOADED[key])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int32())], ["word", "tokens"])
+
+    return words.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(run, "word string, tokens int")
+
+
+def count_tokens(docs: DataFrame, pieces_path: str, text: str = "text") -> DataFrame:
+    """Adds n_words and n_tokens (long) to every row; the text itself is left out."""
+    packs = written(packed(docs, text), "packs")
+    words = packs.select(F.explode("words").alias("word")).distinct()
+    table = written(terminals(words, pieces_path), "terminals")
+    asked = packs.select("pack", F.posexplode("words").alias("pos", "word")).join(table, "word")
+    answers = asked.groupBy("pack").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"]).alias("tokens"))
+    rows = packs.select("pack", "docs").join(answers, "pack", "left").select("docs", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
+    schema = T.StructType([packs.schema["docs"].dataType.elementType["row"], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                rows, tokens = batch.column(0)[k].values, batch.column(1)[k].values.to_numpy()
+                row, n_words, at, n = (rows.field(c) for c in ("row", "n_words", "at", "n"))
+                if not len(rows):
+                    continue
+                bounds = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy())))
+                total = sums(tokens[at.flatten().to_numpy()].astype(np.int64) * n.flatten().to_numpy(), bounds)
+                yield pa.RecordBatch.from_arrays([row, n_words, pa.array(total)], ["row", "n_words", "n_tokens"])
+
+    out = rows.mapInArrow(run, schema)
+    keep = [c for c in docs.columns if c not in (text, "n_words", "n_tokens")]
+    return out.select(*(F.col("row")[c].alias(c) for c in keep), "n_words", "n_tokens")
