@@ -107,6 +107,25 @@ def decode(tokens: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> Dat
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds ``ids`` and ``decoded`` in one pass; the text itself is left out."""
+    held = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+    keep = [c for c in docs.columns if c not in (text, "ids", "decoded")]
+    docs = docs.select(*keep, text)
+
+    def run(batches):
+        enc = encoding(held.value, pattern)
+        for batch in batches:
+            column = batch.column(len(keep))
+            for lo, hi, _ in _spans(column):
+                ids = [encode_text(enc, x or "") for x in column.slice(lo, hi - lo).to_pylist()]
+                new = [pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode_bytes(x) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], *new], [*keep, "ids", "decoded"])
+
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *new]))
+
+
 def _spans(column: pa.Array) -> Iterator[tuple[int, int, None]]:
     """Ranges of rows with about 1 MB of text each."""
     _, offsets = raw(column)

@@ -12,10 +12,15 @@ takes the first bin, from the smallest sufficient residual upwards, whose
 bitmaps have room for it; the search goes on to the next larger residual until
 one is found, and opens a bin if there is none.
 
+``pack`` gives the places of documents of known lengths; ``sequences`` builds the
+bins themselves from token ids.
+
 Defined results: a document longer than a bin gives full bins of its own and a
 rest that is packed (the rest keeps the document's cluster and source); a document of zero or null length
-has one row with null bin; null sources and null clusters conflict with nothing;
-repeated rows are packed once each.
+has one row with null bin (and is in no sequence); null sources and null clusters
+conflict with nothing; of equal lengths the smaller doc_id goes first; repeated
+rows are packed once each, and are spread over all shards; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -23,12 +28,16 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.text import GAP, WORD
+from kgspark.llm.shared import written
+from kgspark.llm.text import GAP
 
 #: Documents of a shard, on average.
 SHARD = 4096
@@ -63,6 +72,32 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
     return out
 
 
+def placed(n: list[int], sources: list[int], clusters: list[int], capacity: int, per_source: int) -> list[tuple[int, int, int, int, int | None]]:
+    """(document, piece, start, length, bin) of every piece; bins count from 0."""
+    rest = [x % capacity for x in n]
+    packed = [i for i in range(len(n)) if rest[i]]
+    places = best_fit([rest[i] for i in packed], [sources[i] for i in packed], [clusters[i] for i in packed], capacity, per_source)
+    bins = dict(zip(packed, places))
+    next_bin = max(places, default=-1) + 1
+    out = []
+    for i, size in enumerate(n):
+        full = size // capacity
+        for k in range(full):
+            out.append((i, k, k * capacity, capacity, next_bin))
+            next_bin += 1
+        if rest[i]:
+            out.append((i, full, full * capacity, rest[i], bins[i]))
+        elif not full:
+            out.append((i, 0, 0, 0, None))
+    return out
+
+
+def _codes(source: pd.Series, cluster: pd.Series) -> tuple[list[int], list[int]]:
+    """Small numbers for sources and clusters, -1 for none; a cluster with one member here needs no bit."""
+    alone = cluster.map(cluster.value_counts()) > 1
+    return pd.factorize(source)[0].tolist(), pd.factorize(cluster.where(alone))[0].tolist()
+
+
 def pack(
     docs: DataFrame,
     capacity: int = 2048,
@@ -71,61 +106,89 @@ def pack(
     length: str = "n_tokens",
     source: str = "source",
     cluster: str = "cluster",
-    n_rows: int | None = None,
     shard_rows: int = SHARD,
 ) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, bin_id) for every piece of every row.
-
-    ``bin_id`` is unique over all shards.  ``n_rows``, if the caller knows it,
-    saves a count.
-    """
-    shards = max(1, math.ceil((docs.count() if n_rows is None else n_rows) / shard_rows))
+    """(doc_id, piece, start, n_tokens, bin_id) for every piece of every row; ``bin_id`` is unique over all shards."""
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(length).cast("long").alias("n"),
-        F.xxhash64(source).alias("source"),
-        F.col(source).isNull().alias("no_source"),
+        F.when(F.col(source).isNotNull(), F.xxhash64(source)).alias("source"),
         F.col(cluster).alias("cluster"),
-    ).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "n", "cluster"), F.lit(shards)))
+    )
+    # Repeated rows are one row with a number, then go their own ways.
+    rows = written(rows.groupBy("doc_id", "n", "source", "cluster").agg(F.count("*").alias("copies")), "lengths")
+    shards = max(1, math.ceil((rows.agg(F.sum("copies")).first()[0] or 0) / shard_rows))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "n", "cluster", "copy"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n", "source"], kind="stable")
-        shard = int(pdf["shard"].iloc[0])
-        n = pdf["n"].fillna(0).astype("int64").to_numpy()
-        sources = pd.factorize(pdf["source"].where(~pdf["no_source"]))[0].tolist()
-        seen = pdf["cluster"].map(pdf["cluster"].value_counts()) > 1  # a cluster with one member here needs no bit
-        clusters = pd.factorize(pdf["cluster"].where(seen))[0].tolist()
-        rest = n % capacity
-        packed = [i for i in range(len(n)) if rest[i]]
-        places = best_fit([int(rest[i]) for i in packed], [sources[i] for i in packed], [clusters[i] for i in packed], capacity, per_source)
-        bins = dict(zip(packed, places))
-        next_bin = max(places, default=-1) + 1
-        out = []
+        pdf = pdf.sort_values(["doc_id", "n", "source", "copy"], kind="stable")
+        base = int(pdf["shard"].iloc[0]) << 32
+        places = placed(pdf["n"].fillna(0).astype("int64").tolist(), *_codes(pdf["source"], pdf["cluster"]), capacity, per_source)
         ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist()
-        for i, d in enumerate(ids):
-            full = int(n[i]) // capacity
-            for k in range(full):
-                out.append((d, k, k * capacity, capacity, (shard << 32) + next_bin))
-                next_bin += 1
-            if rest[i]:
-                out.append((d, full, full * capacity, int(rest[i]), (shard << 32) + bins[i]))
-            elif not full:
-                out.append((d, 0, 0, 0, None))
-        result = pd.DataFrame(out, columns=["doc_id", "piece", "start", "n_tokens", "bin_id"])
-        return result.astype({"doc_id": "Int64", "bin_id": "Int64"})
+        out = [(ids[i], piece, start, n, None if b is None else base + b) for i, piece, start, n, b in places]
+        return pd.DataFrame(out, columns=["doc_id", "piece", "start", "n_tokens", "bin_id"]).astype({"doc_id": "Int64", "bin_id": "Int64"})
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "piece", "start", "n_tokens", "bin_id")])
     return rows.groupBy("shard").applyInPandas(run, schema)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_tokens, the words and one end of each text (null: none), and cluster, equal for texts
-    that differ in white space and case of ASCII letters only."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    plain = F.translate(F.trim(F.regexp_replace(body, GAP, " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return docs.withColumns(
-        {
-            "n_tokens": F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(body, F.lit(WORD)) + 1).cast("long"),
-            "cluster": F.xxhash64(plain),
-        }
+def sequences(
+    docs: DataFrame,
+    capacity: int = 2048,
+    per_source: int = 2,
+    doc_id: str = "doc_id",
+    ids: str = "ids",
+    source: str = "source",
+    cluster: str = "cluster",
+    shard_rows: int = SHARD,
+) -> DataFrame:
+    """(bin_id, n_tokens, ids, doc_ids, starts): the bins, with the tokens of their pieces one after the other.
+
+    starts has the place in the bin where each piece begins, doc_ids whose it is.
+    """
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.when(F.col(source).isNotNull(), F.xxhash64(source)).alias("source"),
+        F.col(cluster).alias("cluster"),
+        F.col(ids).alias("ids"),
     )
+    # Written, so that row numbers, which part repeated rows, are the same whenever they are read.
+    rows = written(rows, "token-ids")
+    shards = max(1, math.ceil(rows.count() / shard_rows))
+    number = F.monotonically_increasing_id()
+    rows = rows.withColumn("number", number).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "cluster", "number"), F.lit(shards)))
+
+    def run(table: pa.Table) -> pa.Table:
+        base = table.column("shard")[0].as_py() << 32
+        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("number", "ascending")]))
+        column = pa.concat_arrays(table.column("ids").chunks)
+        size = pc.fill_null(column.value_lengths(), 0).to_numpy()
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        tokens = column.flatten().to_numpy()
+        places = placed(size.tolist(), *_codes(*(table.column(c).to_pandas(integer_object_nulls=True) for c in ("source", "cluster"))), capacity, per_source)
+        places = sorted((b, i, start, n) for i, _, start, n, b in places if b is not None)
+        doc, starts, n_tokens, bins, parts = table.column("doc_id").to_pylist(), [], [], [], []
+        members: list[list] = []
+        for b, i, start, n in places:
+            if not bins or bins[-1] != base + b:
+                bins.append(base + b)
+                n_tokens.append(0)
+                starts.append([])
+                members.append([])
+            starts[-1].append(n_tokens[-1])
+            members[-1].append(doc[i])
+            n_tokens[-1] += n
+            parts.append(tokens[offsets[i] + start : offsets[i] + start + n])
+        bounds = pa.array(np.concatenate(([0], np.cumsum(n_tokens, dtype=np.int64))).astype(np.int32))
+        values = pa.array(np.concatenate(parts) if parts else [], pa.int32())
+        columns = [pa.array(bins, pa.int64()), pa.array(n_tokens, pa.int64()), pa.ListArray.from_arrays(bounds, values), pa.array(members, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, ["bin_id", "n_tokens", "ids", "doc_ids", "starts"])
+
+    return rows.groupBy("shard").applyInArrow(run, "bin_id long, n_tokens long, ids array<int>, doc_ids array<long>, starts array<long>")
+
+
+def clustered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds cluster, equal for texts that differ in white space and case of ASCII letters only."""
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), GAP, " "))
+    return docs.withColumn("cluster", F.xxhash64(F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))

@@ -14,7 +14,7 @@ from kgspark.llm.shared import read_table
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "word_no", "nth", "candidate", "before", "after", F.round("score", 9).alias("score"), "is_secret")
+    return found.select("doc_id", "nth", "candidate", "before", "after", F.round("score", 9).alias("score"), "is_secret")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = packing.measured(read_table(spark, sf_dir, "documents"))
+    docs = packing.clustered(read_table(spark, sf_dir, "documents"))
+    docs = token_counts.count_tokens(docs.select("doc_id", "text", "source", "cluster"), public_tokenizers.path("piece_bpe_32k.model"))
     return packing.pack(docs)
 
 
@@ -57,8 +58,7 @@ def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return byte_bpe.digests(byte_bpe.decode(ids, ranks, public_tokenizers.PATTERN))
+    return byte_bpe.digests(byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

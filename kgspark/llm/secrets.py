@@ -1,17 +1,21 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 letters, digits and ``+/_-``.  The forest
-looks at its length, its character transitions (mean log probability under
-transitions counted in the dictionary, switches of character class, share of
-digits), how much of it dictionary words cover, the path it was found under and
-the words around it.  It is trained on labelled findings: a table of candidate,
-path, before, after, label, by default the generated ``labelled_findings``, of a
-stated number of rows.  The dictionary is the words that the whole corpus has
-often.  Everything is DataFrame and SQL functions.
+A candidate is a run of at least 16 letters, digits and ``+/_-``, or whatever is
+assigned to a name like password, secret or token: at least 6 characters other
+than white space, quotes, commas and semicolons.  The forest looks at its length,
+its character transitions (mean log probability under transitions counted in the
+dictionary, switches of character class, share of digits), how much of it
+dictionary words cover, the path it was found under and the words around it.  It
+is trained on labelled findings: a table of candidate, path, before, after,
+label, by default the generated ``labelled_findings``, of a stated number of
+rows; at most ``most`` rows are taken, in the order of a hash of what they say,
+so the forest does not depend on partitions.  The dictionary is the words that
+the whole corpus has often.  Everything is DataFrame and SQL functions.
 
 Defined results: null and empty texts have no findings; a null path is an empty
-path; repeated rows and repeated candidates give a finding each; columns of
-other names are ignored.
+path; repeated rows and repeated candidates give a finding each; equal findings
+have equal scores; a score of 0.5 is a secret; columns of other names are ignored
+by ``scan`` and stay as they are in ``redacted``.
 """
 
 from __future__ import annotations
@@ -24,14 +28,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.shared import written
-from kgspark.llm.text import GAP
+from kgspark.llm.shared import unused, written
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: What is assigned to a name that says so, in texts that have such a name.
+NAMED = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api_?key|credential)[\"']?\s?[=:]\s?[\"'`]?"
+ASSIGNED = r"(?<=(?i:passw(?:or)?d|passwd|pwd|secret|token|api_?key|credential)[\"']?\s?[=:]\s?[\"'`]?)(?![\s\"'`])[^\s\"'`,;]{6,}"
+#: Characters of a text around a candidate in which neighbouring words are looked for.
+AROUND = 160
 #: Times that a word of the corpus occurs to be in the dictionary, and its letters.
 MIN_COUNT, MIN_LETTERS, MAX_LETTERS = 5, 4, 20
 #: Rows of the generated labelled findings.
 N_LABELLED = 6000
+#: Labelled findings that the forest is trained on, at most.
+MOST_LABELLED = 200_000
 MARK = "[SECRET]"
 #: Characters that transitions tell apart: letters in any case, any digit as 0, the rest as -.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0-"
@@ -50,36 +60,42 @@ PATH_TEST = r"test|example|sample|fixture|mock|doc|readme"
 PATH_CONFIG = r"\.env|config|settings|credential|secret|deploy|\.ya?ml|\.ini|\.tf"
 
 
+def _pattern(text: Column) -> Column:
+    """The pattern of candidates for this text: the longer one only where a name that says so occurs."""
+    return F.when(text.rlike(NAMED), F.lit(f"{ASSIGNED}|{RUN}")).otherwise(F.lit(RUN))
+
+
+def _cut(text: Column) -> tuple[Column, Column]:
+    """The candidates of a text, and what is between them (one more)."""
+    return F.regexp_extract_all(text, _pattern(text), 0), F.split(text, _pattern(text), -1)
+
+
 def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """(doc_id, word_no, nth, candidate, path, before, after): the nth candidate of a word, and what is around it."""
-    held = docs.where(F.col(text).rlike(CANDIDATE)).select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.split(F.col(text), GAP).alias("words")
-    )
-    word = lambda i: F.coalesce(F.try_element_at("words", i.cast("int")), F.lit(""))
-    near = F.transform(
-        "words",
-        lambda w, i: F.when(
-            w.rlike(CANDIDATE),
-            F.struct(
-                i.cast("long").alias("word_no"),
-                w.alias("word"),
-                F.concat_ws(" ", F.when(i > 1, word(i - 1)), F.when(i > 0, word(i))).alias("before"),
-                word(i + 2).alias("after"),
-            ),
-        ),
-    )
-    rows = held.select("doc_id", "path", F.explode(F.filter(near, lambda x: x.isNotNull())).alias("x"))
-    rows = rows.select("doc_id", "path", "x.*", F.posexplode(F.regexp_extract_all("x.word", F.lit(CANDIDATE), 0)).alias("k", "candidate"))
-    return rows.select(
-        "doc_id",
-        "word_no",
-        F.col("k").cast("long").alias("nth"),
-        "candidate",
-        "path",
-        F.concat_ws(" ", "before", F.expr("left(word, locate(candidate, word) - 1)")).alias("before"),
-        F.concat_ws(" ", F.expr("substr(word, locate(candidate, word) + length(candidate))"), F.col("after")).alias("after"),
+    """(doc_id, text_hash, nth, candidate, path, before, after): the nth candidate of a text, from 0, and what is around it.
+
+    before has the rest of its own word and two words before, after the rest of its word and one after.
+    """
+    c = F.col(text)
+    found, between = _cut(c)
+    held = docs.where(c.rlike(RUN) | c.rlike(NAMED)).select(
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(c).alias("text_hash"),
+        F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
+        found.alias("found"),
+        F.transform(between, lambda x: F.struct(F.right(x, F.lit(AROUND)).alias("end"), F.left(x, F.lit(AROUND)).alias("start"))).alias("between"),
     )
 
+    def before(k: Column) -> Column:
+        # A short stretch does not end the words before it: what two candidates before left goes first.
+        parts = [F.coalesce(F.get("between", k - i)["end"], F.lit("")) for i in (2, 1, 0)]
+        names = [F.right(F.coalesce(F.get("found", k - i), F.lit("")), F.lit(AROUND)) for i in (2, 1)]
+        return F.regexp_extract(F.concat(parts[0], names[0], parts[1], names[1], parts[2]), r"(?:[^\x20\x09-\x0D]*[\x20\x09-\x0D]+){0,2}[^\x20\x09-\x0D]*$", 0)
+
+    after = lambda k: F.regexp_extract(F.get("between", k + 1)["start"], r"^[^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]*)?", 0)
+    each = F.transform("found", lambda x, k: F.struct(k.cast("long").alias("nth"), x.alias("candidate"), before(k).alias("before"), after(k).alias("after")))
+    rows = held.select("doc_id", "text_hash", "path", F.explode(each).alias("x"))
+    return rows.select("doc_id", "text_hash", "x.nth", "x.candidate", "path", "x.before", "x.after")
+
 
 def dictionary(docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """(word, n): runs of ASCII letters, in lower case, that the corpus has at least ``min_count`` times."""
@@ -162,6 +178,14 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
         (F.concat(F.lit("AKIA"), draw(_UPPER + "234567", 16, "e")), TRUE_BEFORE + PLAIN_BEFORE, TRUE_PATHS, 1),
         (F.concat(F.lit("ghp_"), draw(base62, 36, "f")), TRUE_BEFORE + PLAIN_BEFORE, TRUE_PATHS, 1),
         (F.left(hexes("g"), F.lit(32)), TRUE_BEFORE, TRUE_PATHS, 1),
+        (F.concat(speech(2, "q"), draw("0123456789!@#$%&*", 4, "r"), draw(base62, 3, "s")), ["password = '", "pwd=", "Password: ", "db_password=\"", "secret: "], TRUE_PATHS, 1),
+        (F.concat(draw(base62 + "!@#$%^&*.", 10, "t"), draw("0123456789!@#$", 2, "u")), ["password = '", "pwd=", "passwd: ", "token=\"", "credential = \""], TRUE_PATHS, 1),
+        (F.concat(F.lit("sk-"), draw(base62, 20, "v")), TRUE_BEFORE + PLAIN_BEFORE, TRUE_PATHS, 1),
+        (F.concat(F.lit("eyJ"), draw(base62, 30, "w"), F.lit("_"), draw(base62 + "_-", 30, "x")), TRUE_BEFORE + ["bearer "], TRUE_PATHS, 1),
+        (speech(3, "y"), ["the password: ", "secret: ", "token = ", "a token: ", "das passwort pwd: "], FALSE_PATHS, 0),
+        (F.concat(F.lit("<"), speech(2, "z"), F.lit("_"), speech(2, "aa"), F.lit(">")), ["password = '", "token: ", "secret="], FALSE_PATHS, 0),
+        (F.concat(F.lit("${"), F.upper(speech(3, "bb", "_")), F.lit("}")), ["password = '", "token=", "secret: "], FALSE_PATHS + TRUE_PATHS, 0),
+        (F.concat_ws("-", speech(2, "cc"), speech(3, "dd"), speech(2, "ee")), PLAIN_BEFORE, FALSE_PATHS + TRUE_PATHS, 0),
         (draw(base62, 20, "h"), TRUE_BEFORE, TRUE_PATHS, 1),
         (speech(9, "i"), PLAIN_BEFORE, FALSE_PATHS, 0),
         (F.upper(speech(9, "j")), PLAIN_BEFORE, FALSE_PATHS, 0),
@@ -185,10 +209,12 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
     )
 
 
-def train(labelled: DataFrame, words: DataFrame, table: list[float], trees: int = 40, depth: int = 7) -> RandomForestClassificationModel:
+def train(labelled: DataFrame, words: DataFrame, table: list[float], trees: int = 40, depth: int = 7, most: int = MOST_LABELLED) -> RandomForestClassificationModel:
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(labelled, words, table))
+    # One partition in a fixed order: the forest's samples depend on both.
+    rows = rows.orderBy(F.xxhash64("candidate", "before", "after", "path", "label"), "candidate", "label").limit(most).select("features", "label").coalesce(1)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label")
-    return forest.fit(rows.select("features", "label"))
+    return forest.fit(rows)
 
 
 def verdicts(found: DataFrame, model: RandomForestClassificationModel, words: DataFrame, table: list[float]) -> DataFrame:
@@ -199,7 +225,7 @@ def verdicts(found: DataFrame, model: RandomForestClassificationModel, words: Da
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """(doc_id, word_no, nth, candidate, path, before, after, *FEATURES, score, is_secret) of every candidate of every row."""
+    """(doc_id, text_hash, nth, candidate, path, before, after, *FEATURES, score, is_secret) of every candidate of every row."""
     words = written(dictionary(docs, text), "dictionary")
     table = transitions(words)
     model = train(labelled_findings(docs.sparkSession) if labelled is None else labelled, words, table)
@@ -207,11 +233,11 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_
 
 
 def redacted(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with every candidate that is a secret replaced by MARK, longest first."""
-    secrets = found.where("is_secret").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("candidate").alias("_found"))
-    ordered = F.expr("array_sort(_found, (a, b) -> coalesce(nullif(length(b) - length(a), 0), IF(a < b, -1, 1)))")
-    out = docs.join(secrets, docs[doc_id].eqNullSafe(secrets["_doc"]), "left")
-    clean = F.when(F.col("_found").isNull(), F.col(text)).otherwise(
-        F.aggregate(ordered, F.col(text), lambda t, x: F.replace(t, x, F.lit(MARK)))
-    )
-    return out.withColumn(text, clean).drop("_doc", "_found")
+    """``docs`` with MARK in the place of every candidate that is a secret."""
+    key, hash_, nths = unused(docs, "doc", "hash", "nths")
+    secrets = found.where("is_secret").groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(hash_)).agg(F.collect_set("nth").alias(nths))
+    out = docs.join(secrets, docs[doc_id].eqNullSafe(secrets[key]) & (F.xxhash64(docs[text]) == secrets[hash_]), "left")
+    candidates, between = _cut(F.col(text))
+    here = F.transform(between, lambda x, i: F.concat(x, F.when(F.array_contains(nths, i.cast("long")), F.lit(MARK)).otherwise(F.coalesce(F.get(candidates, i), F.lit("")))))
+    clean = F.when(F.col(nths).isNull(), F.col(text)).otherwise(F.array_join(here, ""))
+    return out.withColumn(text, clean).drop(key, hash_, nths)

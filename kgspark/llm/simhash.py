@@ -25,6 +25,7 @@ from kgspark.llm.text import chunks, joined
 
 SEED = 42
 HALF = 32
+LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def fingerprint(text: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int) -> int:
@@ -213,7 +214,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2, distance: int = 3, words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """(doc_id, text_hash, component_id) for every row of ``docs``: groups by confirmed links.
+    """(doc_id, text_hash, component_id, kept) for every row of ``docs``: groups by confirmed links.
 
     Texts are linked if they share at least ``similarity`` of the ``words``-word
     shingles that either has; every such link counts.  Two rounds nominate.
@@ -223,13 +224,17 @@ def near_duplicates(
     their prefixes that are not in one group yet, so none is missed.  Sizes,
     places and marks rule out most before whole sets are compared.
 
-    text_hash is ``xxhash64`` of the text, for rows that repeat a doc_id.
+    text_hash is ``xxhash64`` of the text, for rows that repeat a doc_id.  kept
+    is true for the row of each group with the smallest doc_id (nulls last), of
+    these with the smallest text_hash; rows equal in both are kept or not
+    together.  component_id is null where no row of the group has a doc_id.
+    Texts without a word are one group.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
     rows = prefixes(docs.withColumn("text_hash", F.xxhash64("text")), words, similarity, _common(docs, words))
     prints = written(fingerprints(rows, shingle), "fingerprints")
     firsts = [F.first(c).alias(c) for c in ("fp", "n_shingles", "marks", "prefix")]
-    nodes = prints.groupBy(F.col("words_hash").alias("node")).agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), *firsts)
+    nodes = prints.groupBy(F.col("words_hash").alias("node")).agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *firsts)
     nodes = written(nodes, "texts")
 
     heads = nodes.groupBy("fp").agg(F.min("node").alias("first"))
@@ -263,7 +268,10 @@ def near_duplicates(
     close = close.union(_confirmed(written(pairs, "nominated"), nodes, docs, words, similarity))
 
     group = connected_components(close)
-    nodes = nodes.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
-    named = nodes.groupBy("component").agg(F.min("doc").alias("component_id"))
-    names = nodes.join(named, "component").select(F.col("node").alias("words_hash"), "component_id")
-    return prints.join(names, "words_hash", "left").select("doc_id", "text_hash", "component_id")
+    nodes = nodes.join(group, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    named = nodes.groupBy("component").agg(F.min("rep").alias("first"))
+    names = nodes.join(named, "component").select(F.col("node").alias("words_hash"), "first")
+    out = prints.join(names, "words_hash", "left")
+    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    kept = F.struct("doc_id", "text_hash") == F.col("first")
+    return out.select(real("doc_id").alias("doc_id"), "text_hash", real("first.doc_id").alias("component_id"), kept.alias("kept"))
