@@ -7,48 +7,57 @@ shared folder, and its decisions take effect; the last returns the bins.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import line_dedup, packing, quality, secrets, simhash
+from kgspark.llm import byte_bpe, line_dedup, packing, quality, secrets, simhash
 from kgspark.llm.shared import read_table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without(docs: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` and hash of the text are in ``rows`` (columns of keys, then the hash)."""
+    rows = rows.toDF(*(f"_{k}" for k in keys), "_hash").distinct()
+    cond = F.xxhash64(docs["text"]) == rows["_hash"]
+    for k in keys:
+        cond = cond & docs[k].eqNullSafe(rows[f"_{k}"])
+    return docs.join(rows, cond, "left_anti").select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go.  Rows that repeat a doc_id share its fate if any of them is rejected."""
-    rejected = quality.quality(docs).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti").select(*COLUMNS)
+    """Rejected documents go, each by its own verdict: also where a doc_id is null or repeated.  Null and empty texts are rejected."""
+    judged = quality.quality(docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("text_hash")))
+    return _without(docs, judged.where("NOT kept").select("doc_id", "lang", "source", "text_hash"), "doc_id", "lang", "source")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated blocks of lines go, and documents of which no word is left."""
+    """Repeated blocks of lines go, and documents of which no word is left.  Null and empty texts stay as they are."""
     out = line_dedup.line_dedup(docs)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return _measured(out.where(F.col("text").isNull() | left))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates stays.
+    """The first document of each group of near duplicates stays; rows equal in doc_id and text stay or go together.
 
     Links are confirmed, and none is left out: at least 0.8 of the five-word
-    shingles that either text has are shared.
+    shingles that either text has are shared.  Texts without a word are one group.
     """
     found = simhash.near_duplicates(docs, words=5, similarity=0.8)
-    later = found.where("doc_id > component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    this = (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    return docs.join(later, this, "left_anti").select(*COLUMNS)
+    return _without(docs, found.where("NOT kept").select("doc_id", "text_hash"), "doc_id")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark, where they stand.  Null and empty texts stay as they are."""
     return _measured(secrets.redacted(docs, secrets.scan(docs)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, bin_id)."""
-    return packing.pack(packing.measured(docs))
+    """(bin_id, n_tokens, ids, doc_ids, starts): sequences of 2,048 byte-level BPE tokens at most.  Empty texts are in none."""
+    ids = byte_bpe.encode(packing.clustered(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.sequences(ids)
 
 
 def _measured(docs: DataFrame) -> DataFrame:
