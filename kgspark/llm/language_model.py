@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.shared import written
-from kgspark.llm.text import chunks, mix
+from kgspark.llm.text import chunks, got, mix, put
 
 #: Bytes of text of a block, on average, and distinct keys of a range, about.
 BLOCK_BYTES = 12 << 20
@@ -89,19 +89,6 @@ def places(token: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np
     return keys, of_token, of_pair, of_context, start
 
 
-def put(counts: np.ndarray) -> bytes:
-    """Counts, mostly small, in a byte each; those from 255 follow in full."""
-    large = counts[counts >= 255].astype(np.int64)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes() + np.array([len(large)], np.int64).tobytes()
-
-
-def got(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.int64, 1, len(data) - 8)[0])
-    out = np.frombuffer(data, np.uint8, len(data) - 8 - 8 * n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, np.int64, n, len(data) - 8 - 8 * n)
-    return out
-
-
 def put_sorted(keys: np.ndarray) -> bytes:
     """Sorted distinct keys as differences of six bytes, or of eight where one needs it."""
     step = np.diff(keys, prepend=keys[:1] * np.uint64(0))

@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm.shared import written
-from kgspark.llm.text import chunks, sums
+from kgspark.llm.text import Words, chunks, got, put, sums
 
 #: Bytes of text of a packed row; a longer document makes a row of its own.
-PACK = 4 << 20
+PACK = 12 << 20
 
 MARK = "▁"
 BYTE_COST = 10.0
@@ -94,30 +94,45 @@ def terminal_counts(words: Iterable[str], table: dict[str, float], byte: float)
 
 
 def packed(docs: DataFrame, text: str) -> DataFrame:
-    """(pack, words, docs): distinct words, and documents with the indices ``at`` of theirs and how often, ``n``."""
+    """(pack, words, docs, at, n): distinct words; documents with their words and distinct words; for each of those its index and how often."""
     keep = [c for c in docs.columns if c not in (text, "n_words", "n_tokens")]
     docs = docs.select(F.struct(*keep, F.lit(True).alias("_")).alias("row"), text)
-    ints = T.ArrayType(T.IntegerType())
-    doc = T.StructType([docs.schema.fields[0], T.StructField("n_words", T.LongType()), T.StructField("at", ints), T.StructField("n", ints)])
-    schema = T.StructType([T.StructField("pack", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("docs", T.ArrayType(doc))])
-
-    def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
+    doc = T.StructType([docs.schema.fields[0], T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.IntegerType())])
+    schema = T.StructType(
+        [T.StructField("pack", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("docs", T.ArrayType(doc))]
+        + [T.StructField(c, T.BinaryType()) for c in ("at", "n")]
+    )
+
+    def one(rows: pa.Array, words: Words) -> pa.RecordBatch:
+        _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        body, many = words.data.tobytes(), max(1, len(first))
+        distinct = [body[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
+        key, n = np.unique(words.owner() * many + which, return_counts=True)
+        owner, at = np.divmod(key, many)
+        size = np.bincount(owner, minlength=len(rows)).astype(np.int32)
+        whole = pa.StructArray.from_arrays([rows, pa.array(words.counts.astype(np.int64)), pa.array(size)], ["row", "n_words", "n_distinct"])
+        whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), whole)
+        strings = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct, pa.binary()).cast(pa.string()))
+        at = at.astype(np.uint16 if many <= 1 << 16 else np.uint32)
+        columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), strings, whole, pa.array([at.tobytes()]), pa.array([put(n)])]
+        return pa.RecordBatch.from_arrays(columns, ["pack", "words", "docs", "at", "n"])
 
     def run(batches):
+        held, size = [], 0
+
+        def together():
+            rows, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+            for lo, hi, words in chunks(texts, size=PACK):
+                yield one(rows.slice(lo, hi - lo), words)
+
         for batch in batches:
-            for lo, hi, words in chunks(batch.column(1), size=PACK):
-                _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-                body = words.data.tobytes()
-                distinct = [body[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-                key, n = np.unique(words.owner() * max(1, len(first)) + which, return_counts=True)
-                owner, at = np.divmod(key, max(1, len(first)))
-                bounds = np.searchsorted(owner, np.arange(hi - lo + 1))
-                counts = pa.array(words.counts.astype(np.int64))
-                rows = pa.StructArray.from_arrays([batch.column(0).slice(lo, hi - lo), counts, lists(at, bounds), lists(n, bounds)], ["row", "n_words", "at", "n"])
-                whole = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), rows)
-                strings = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), strings, whole], ["pack", "words", "docs"])
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= PACK:
+                yield from together()
+                held, size = [], 0
+        if held:
+            yield from together()
 
     return docs.mapInArrow(run, schema)
 
@@ -143,22 +158,20 @@ def count_tokens(docs: DataFrame, pieces_path: str, text: str = "text") -> DataF
     packs = written(packed(docs, text), "packs")
     words = packs.select(F.explode("words").alias("word")).distinct()
     table = written(terminals(words, pieces_path), "terminals")
-    asked = packs.select("pack", F.posexplode("words").alias("pos", "word")).join(table, "word")
-    answers = asked.groupBy("pack").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"]).alias("tokens"))
-    rows = packs.select("pack", "docs").join(answers, "pack", "left").select("docs", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
-    schema = T.StructType([packs.schema["docs"].dataType.elementType["row"], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
-
-    def run(batches):
-        for batch in batches:
-            for k in range(len(batch)):
-                rows, tokens = batch.column(0)[k].values, batch.column(1)[k].values.to_numpy()
-                row, n_words, at, n = (rows.field(c) for c in ("row", "n_words", "at", "n"))
-                if not len(rows):
-                    continue
-                bounds = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy())))
-                total = sums(tokens[at.flatten().to_numpy()].astype(np.int64) * n.flatten().to_numpy(), bounds)
-                yield pa.RecordBatch.from_arrays([row, n_words, pa.array(total)], ["row", "n_words", "n_tokens"])
-
-    out = rows.mapInArrow(run, schema)
-    keep = [c for c in docs.columns if c not in (text, "n_words", "n_tokens")]
-    return out.select(*(F.col("row")[c].alias(c) for c in keep), "n_words", "n_tokens")
+    asked = packs.select(F.col("pack").alias("of"), F.posexplode("words").alias("pos", "word")).join(table, "word").select("of", "pos", "tokens")
+    row = packs.schema["docs"].dataType.elementType["row"].dataType
+    schema = T.StructType([*row.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
+
+    def added(pack: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = pa.concat_arrays([x.flatten() for x in pack.column("docs").chunks])
+        pos = answers.column("pos").to_numpy()
+        tokens = np.zeros(len(pos), np.int64)
+        tokens[pos] = answers.column("tokens").to_numpy()
+        at = np.frombuffer(pack.column("at")[0].as_py(), np.uint16 if len(pos) <= 1 << 16 else np.uint32)
+        bounds = np.concatenate(([0], np.cumsum(docs.field("n_distinct").to_numpy())))
+        total = sums(tokens[at] * got(pack.column("n")[0].as_py()), bounds)
+        fields = docs.field("row").flatten()[:-1]
+        return pa.Table.from_arrays([*fields, docs.field("n_words"), pa.array(total)], schema.names)
+
+    out = packs.select("pack", "docs", "at", "n").groupBy("pack").cogroup(asked.groupBy("of"))
+    return out.applyInArrow(added, schema)
