@@ -76,5 +76,22 @@ FROM d JOIN g USING (t)
 """
 
 
+#: Words of rows with a number of their own, windows of 20, and what stands in one that starts earlier too.
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (
+  SELECT r, doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN md5(array_to_string(w[i : i + 19], ' ')) END AS h FROM p
+), f AS (SELECT *, min({'a': coalesce(doc_id, 9223372036854775807), 'i': i}) OVER (PARTITION BY h) AS first FROM g),
+m AS (
+  SELECT r, i, word, max(CASE WHEN h IS NOT NULL AND first <> {'a': coalesce(doc_id, 9223372036854775807), 'i': i} THEN 1 ELSE 0 END)
+    OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f
+), k AS (SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op4_exact_dedup": EXACT_DEDUP_SQL, "op9_recompression": SUBSTRING_SQL}
