@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.functions.text import BLOCK, DETECTORS, privacy_findings
 from kgspark.functions.expressions import ISO_DATE, edge_key, fingerprint
 from kgspark.functions.text import normalised, number_stated, quoted_in
 from kgspark.operators.shapes import mistyped, nonconforming, undeclared
@@ -193,7 +194,9 @@ def merged(nodes: DataFrame, proposed: DataFrame, source_doc: str, as_of: str) -
     )
     p = ok.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("attributes", "sources", "as_of", "valid_from", "valid_to")))
     known = nodes.join(p, nodes["id"] == p["_id"], "left")
-    both = F.to_json(F.map_concat(F.map_filter(F.from_json("_attributes", "map<string,string>"), lambda k, v: ~F.array_contains(F.map_keys(F.from_json("attributes", "map<string,string>")), k)), F.from_json("attributes", "map<string,string>")))
+    # Variants keep what kind of value each is.
+    old, new_ = (F.from_json(c, "map<string,variant>") for c in ("attributes", "_attributes"))
+    both = F.to_json(F.map_concat(F.map_filter(new_, lambda k, v: ~F.array_contains(F.map_keys(old), k)), old))
     hit = F.col("_id").isNotNull()
     known = known.withColumns(
         {
@@ -305,3 +308,70 @@ def ledger_summary(before: DataFrame, after: DataFrame, edges_before: DataFrame,
     r = retired.agg(F.count("*").alias("retired"))
     one = F.lit(1).alias("_one")
     return n.select("*", one).join(e.select("*", one), "_one").join(r.select("*", one), "_one").drop("_one")
+
+
+# Definitions, sources and gates.
+
+
+def definition_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, change): added, removed, changed or reworded definitions (id, definition: a JSON object).
+
+    A definition is changed if one of the ``keys`` that decide what it answers
+    differs, whatever the order of members and white space; otherwise it is reworded.
+    """
+    plain = lambda c: F.col(c).try_cast("string")
+    part = lambda c, k: F.to_json(F.try_variant_get(F.try_parse_json(plain(c)), f"$.{k}", "variant"))
+    both = old.select("id", F.col("definition").alias("_old")).join(new.select("id", F.col("definition").alias("_new")), "id", "full")
+    whole = lambda c: F.to_json(F.try_parse_json(plain(c)))
+    changed = F.lit(False)
+    for k in keys:
+        changed = changed | ~part("_old", k).eqNullSafe(part("_new", k))
+    change = (
+        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(changed, "changed").when(~whole("_old").eqNullSafe(whole("_new")), "reworded")
+    )
+    return both.select("id", change.alias("change")).where("change IS NOT NULL")
+
+
+def impact(changes: list[tuple[str, str]], nodes: DataFrame, edges: DataFrame, vocabulary) -> DataFrame:
+    """(kind, subject, affected): how many nodes or edges each breaking change of the vocabulary touches.
+
+    Changes are configuration; counts by type, relation and carried attribute are one aggregation each.
+    """
+    spark = nodes.sparkSession
+    rows = []
+    for kind, subject in changes:
+        if kind == "class removed":
+            rows += [(kind, subject, "type", subject)]
+        elif kind == "superclass removed":
+            rows += [(kind, subject, "type", c) for c in vocabulary.covers(subject)]
+        elif kind in ("relation removed", "domain changed", "range changed"):
+            rows += [(kind, subject, "rel", subject)]
+        elif kind in ("attribute removed", "attribute type changed"):
+            rows += [(kind, subject, "attribute", subject)]
+        else:
+            raise ValueError(f"no counts for {kind}")
+    table = spark.createDataFrame(rows, "kind string, subject string, what string, name string")
+    keys = F.explode(F.json_object_keys(F.coalesce("attributes", F.lit("{}"))))
+    carried = nodes.select("type", keys.alias("key")).groupBy(F.concat_ws(".", "type", "key").alias("name")).count()
+    counts = nodes.groupBy(F.col("type").alias("name")).count().withColumn("what", F.lit("type"))
+    counts = counts.unionByName(edges.groupBy(F.col("rel").alias("name")).count().withColumn("what", F.lit("rel"))).unionByName(carried.withColumn("what", F.lit("attribute")))
+    return table.join(counts, ["what", "name"], "left").groupBy("kind", "subject").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("affected"))
+
+
+SOURCE_TYPES = ("document", "human_assertion", "inference")
+
+
+def source_types(nodes: DataFrame) -> DataFrame:
+    """(source_type, n): how facts are sourced; none said means a document, an unknown one counts as unrecorded."""
+    kind = F.coalesce("source_type", F.lit("document"))
+    kind = F.when(kind.isin(*SOURCE_TYPES), kind).otherwise("unrecorded")
+    return nodes.groupBy(kind.alias("source_type")).agg(F.count("*").alias("n"))
+
+
+def privacy_gate(docs: DataFrame, key: str = "doc_id", text: str = "text", detectors=DETECTORS) -> DataFrame:
+    """(key, station, kinds): quarantine with a blocking finding, review with another one, else accepted."""
+    found = privacy_findings(docs.select(key, text), key, text, detectors)
+    found = found.groupBy(key).agg(F.max(F.col("severity") == BLOCK).alias("blocks"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    out = docs.select(key).join(found, key, "left")
+    station = F.when(F.col("blocks"), "quarantine").when(F.col("kinds").isNotNull(), "review").otherwise("accepted")
+    return out.select(key, station.alias("station"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))

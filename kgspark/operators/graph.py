@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.operators.retrieval import entity_search
 from kgspark.functions.expressions import attribute, edge_key, equals, valid_on
 from kgspark.plans.vocabulary import Vocabulary
 from kgspark.schema import BELIEVED
@@ -230,6 +231,22 @@ class KnowledgeGraph:
         n = F.count_if("current").over(best)
         return found.select("term", "node_id", F.col("grade").cast("long").alias("grade"), n.alias("n"))
 
+    def near_misses(self, terms: DataFrame, limit: int = 6) -> DataFrame:
+        """(term, candidates): for terms that name no entity, the closest by text.  They are not matches."""
+        lost = terms.select("term").distinct().join(self.match(terms).select("term").distinct(), "term", "left_anti")
+        found = entity_search(self.nodes, lost, limit).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("c"))
+        return found.select("term", F.transform("c", lambda x: x["id"]).alias("candidates"))
+
+    def docs_count(self, prefix: str) -> DataFrame:
+        """(n): documents whose source starts so."""
+        return self.nodes.where((F.col("type") == "Document") & F.startswith("source_doc", F.lit(prefix))).agg(F.count("*").alias("n"))
+
+    def derived_at(self, ids: DataFrame) -> DataFrame:
+        """(id, src, rel, dst): derived edges at nodes, either end."""
+        e = self.edges.where("status = 'derived'").select("src", "rel", "dst")
+        ends = e.withColumn("id", F.explode(F.array_distinct(F.array("src", "dst"))))
+        return ends.join(ids.select("id").distinct(), "id").select("id", "src", "rel", "dst")
+
     # Explanations.
 
     def explain(self, src: str, rel: str, dst: str, depth: int = 50) -> DataFrame:

@@ -25,30 +25,33 @@ def grouped_lexicon(rows: DataFrame) -> DataFrame:
     return rows.groupBy("canonical").agg(F.array_sort(F.collect_set("phrase")).alias("phrases"), F.array_sort(F.collect_set("target")).alias("targets"))
 
 
-def names_in(texts: DataFrame, names: DataFrame, key: str = "id", text: str = "text", longest: int = 5) -> DataFrame:
-    """(key, start, n, node_id): names of up to ``longest`` words in a text, longest first, none overlapping another.
+def names_in(texts: DataFrame, names: DataFrame, key: str = "id", text: str = "text", head: int = 3) -> DataFrame:
+    """(key, start, n, node_id): names in a text, longest first, none overlapping another; a row for each node of a name.
 
-    names: name, node_id; a name of several nodes stands for the smallest id.
-    Runs of words are looked up by an equi-join; only hits are gathered by text.
+    names: name, node_id.  The first ``head`` words of names (or all) are looked
+    up at each place by an equi-join; a text's hits are gathered and compared
+    with the whole names.
     """
-    lookup = names.select(F.array_join(tokens(F.col("name")), " ").alias("run"), "node_id").where("run != ''")
-    lookup = lookup.groupBy("run").agg(F.min("node_id").alias("node_id"))
+    words = tokens(F.col("name"))
+    nodes = names.select(words.alias("words"), "node_id").where(F.size("words") > 0)
+    nodes = nodes.select(F.array_join("words", " ").alias("run"), F.array_join(F.slice("words", 1, head), " ").alias("head"), F.size("words").alias("n"), "node_id").distinct()
+    lookup = nodes.select("head", "run", "n").distinct()
     w = texts.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).where(F.size("w") > 0)
 
-    def runs(n: int):
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("run"))),
-            F.array().cast("array<struct<start: int, n: int, run: string>>"),
-        )
+    def starts(n: int):
+        return F.transform("w", lambda x, i: F.struct(i.alias("start"), F.array_join(F.slice("w", i + 1, n), " ").alias("head")))
 
-    rows = w.select(key, F.explode(F.concat(*map(runs, range(1, longest + 1)))).alias("x")).select(key, "x.*")
-    hits = rows.join(lookup, "run").groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "start", "n", "node_id"))).alias("hits"))
+    rows = w.select(key, F.explode(F.concat(*map(starts, range(1, head + 1)))).alias("x")).select(key, "x.*")
+    hits = rows.join(lookup, "head").select(key, "start", "n", "run").distinct()
+    hits = hits.groupBy(key).agg(F.collect_list(F.struct((-F.col("n")).alias("order"), "start", "n", "run")).alias("hits")).join(w, key)
+    whole = F.filter("hits", lambda h: F.array_join(F.slice("w", h["start"] + 1, h["n"]), " ") == h["run"])
+    hits = hits.select(key, F.array_sort(whole).alias("hits"))
     free = lambda taken, h: ~F.exists(taken, lambda t: (t["start"] < h["start"] + h["n"]) & (h["start"] < t["start"] + t["n"]))
     none = F.filter("hits", lambda h: F.lit(False))
     chosen = F.aggregate("hits", none, lambda taken, h: F.when(free(taken, h), F.concat(taken, F.array(h))).otherwise(taken))
     rows = hits.select(key, F.explode(chosen).alias("h"))
-    return rows.select(key, F.col("h.start").cast("long").alias("start"), F.col("h.n").cast("long").alias("n"), "h.node_id")
+    rows = rows.select(key, F.col("h.start").cast("long").alias("start"), F.col("h.n").cast("long").alias("n"), "h.run")
+    return rows.join(nodes.select("run", "node_id"), "run").select(key, "start", "n", "node_id")
 
 
 def credited(retrieved: DataFrame, pages: DataFrame, key: str = "query_id") -> DataFrame:

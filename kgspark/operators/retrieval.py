@@ -81,8 +81,8 @@ def best_per_document(chunks: DataFrame, by: list[str], doc: str, score: str, ch
 
 
 def suggest(scored: DataFrame, by: str = "query_id", score: str = "cosine", floor: float = 0.60, lead: float = 0.05) -> DataFrame:
-    """The best candidate of each query, where it is over the floor and leads the second by ``lead``."""
-    w = Window.partitionBy(by).orderBy(F.desc(score))
+    """The best candidate of each query, where it is over the floor and leads the second by ``lead``; ties by the other columns."""
+    w = Window.partitionBy(by).orderBy(F.desc(score), *(c for c in scored.columns if c not in (by, score)))
     rows = scored.withColumn("_no", F.row_number().over(w)).withColumn("_next", F.lead(score).over(w)).where("_no = 1")
     clear = F.col(score) - F.coalesce("_next", F.lit(-1.0)) >= lead
     return rows.where((F.col(score) >= floor) & clear).drop("_no", "_next")
@@ -110,19 +110,27 @@ def overlap(sets: DataFrame, floor: float = 0.75, key: str = "id", items: str =
     return pairs.where(F.col("jaccard") >= floor).distinct()
 
 
-def lexicon_match(texts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text", longest: int = 5) -> DataFrame:
+def lengths(phrases: DataFrame, phrase: str) -> list[int]:
+    """The numbers of words that phrases have."""
+    return sorted(r[0] for r in phrases.select(F.size(tokens(F.col(phrase)))).distinct().collect() if r[0] and r[0] > 0)
+
+
+def lexicon_match(texts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, target, phrase): lexicon phrases that a text has as whole words.
 
-    Every run of up to ``longest`` words is looked up by an equi-join, so no
-    phrase is compared with every text.  Phrases have at most ``longest`` words.
+    Runs of as many words as phrases have are looked up by an equi-join, so no
+    phrase is compared with every text.
     """
     w = tokens(F.col(text))
+    sizes = lengths(lexicon, "phrase")
+    if not sizes:
+        return texts.join(lexicon.select("phrase", "target"), F.lit(False)).select(key, "target", "phrase")
     rows = texts.select(key, w.alias("w"))
 
     def grams(n: int):
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
 
-    rows = rows.select(key, F.explode(F.array_distinct(F.concat(*map(grams, range(1, longest + 1))))).alias("phrase"))
+    rows = rows.select(key, F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("phrase"))
     return rows.join(lexicon.select("phrase", "target").distinct(), "phrase").select(key, "target", "phrase").distinct()
 
 
@@ -134,6 +142,34 @@ def lexicon_search(lexicon: DataFrame, term: str) -> DataFrame:
     return lexicon.select("phrase", "target", score.cast("long").alias("score")).where("score IS NOT NULL")
 
 
+def entity_search(nodes: DataFrame, terms: DataFrame, limit: int = 6) -> DataFrame:
+    """(term, rank, id): nodes by words of their labels and summaries; current ones first, then by BM25, then by id."""
+    texts = nodes.select("id", F.concat_ws(" ", "label", "summary").alias("text"))
+    stats = texts.agg(F.count("*"), F.avg(F.size(tokens(F.col("text"))))).first()
+    asked = terms.select(F.col("term").alias("query_id"), F.col("term").alias("query")).distinct()
+    found = bm25(postings(texts, "id", "text"), asked, "id", stats[0], stats[1] or 1.0).withColumn("score", F.round("score", 9))
+    found = found.join(nodes.select("id", (F.coalesce("status", F.lit("current")) == "current").alias("now")), "id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("now"), F.desc("score"), "id")
+    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return found.select(F.col("query_id").alias("term"), F.col("rank").cast("long").alias("rank"), "id")
+
+
+def dense_documents(scored: DataFrame, doc: str, chunk: str, n_chunks: int = 200, n_docs: int = 20, by: str = "query_id", score: str = "cosine") -> DataFrame:
+    """(query, rank, doc, score): of each query's best chunks, each document's best one, and of these the best documents."""
+    best = top(scored.select(by, doc, chunk, score), [by], score, chunk, n_chunks)
+    best = best.join(scored.select(F.col(chunk).alias("_c"), F.col(doc)).distinct(), F.col(chunk) == F.col("_c")).drop("_c")
+    return top(best.groupBy(by, doc).agg(F.max(score).alias(score)), [by], score, doc, n_docs)
+
+
+def descriptor_ranks(descriptors: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, id, score, rank) of ``descriptor_rank`` for every question (query_id, query), by an equi-join on words."""
+    asked = questions.select("query_id", F.explode(query_tokens(F.col("query"))).alias("word"))
+    worth = lambda c, n: descriptors.select("id", F.explode(F.array_distinct(c)).alias("word"), F.lit(n).alias("n"))
+    found = worth("words", 1).union(worth("class_words", 2)).join(asked, "word").groupBy("query_id", "id").agg(F.sum("n").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    return found.withColumn("rank", F.rank().over(w).cast("long"))
+
+
 def descriptor_rank(descriptors: DataFrame, question: str) -> DataFrame:
     """(id, score, rank): descriptors by words shared with a question, class words twice; ties share a rank.
 

@@ -44,6 +44,7 @@ class Matcher:
         self.nodes, self.edges = (nodes, edges) if seen else visible(nodes, edges, statuses)
         self.derived, self.track = derived, track
         self.spark = nodes.sparkSession
+        self.loose: set[str] = set()  # variables that an optional block may have left unbound
 
     # Values.
 
@@ -145,6 +146,8 @@ class Matcher:
     def match(self, when: list[dict], bindings: DataFrame | None = None) -> DataFrame:
         """Bindings that satisfy all patterns.  With no variables bound at all, one empty row stands for yes."""
         todo = list(when)
+        if bindings is None:
+            self.loose = set()
         while todo:
             at = next((i for i, p in enumerate(todo) if not self._waits(p, todo[i + 1 :], self._variables(bindings))), 0)
             bindings = self._step(todo.pop(at), bindings)
@@ -164,16 +167,32 @@ class Matcher:
                 return True
         return False
 
+    def _freed(self, bindings: DataFrame, variables: list[str], step) -> DataFrame:
+        """``step(bindings, bound)`` for the rows where the loose ones among ``variables`` are bound, and for those where they are free.
+
+        Loose variables are those that an optional block may have left unbound.
+        """
+        parts = [(bindings, self._variables(bindings))]
+        for v in sorted(set(variables) & self.loose):
+            parts = [x for b, bound in parts for x in ((b.where(F.col(v).isNotNull()), bound), (b.where(F.col(v).isNull()).drop(v), bound - {v}))]
+        found = [step(b, bound) for b, bound in parts]
+        return reduce(lambda a, b: a.unionByName(b), found)
+
     def _step(self, p: dict, bindings: DataFrame | None) -> DataFrame:
         bound = self._variables(bindings)
-        if "node" in p:
-            return self._node(p, bindings, bound)
-        if "edge" in p:
-            return self._edge(p["edge"], bindings, bound, "inner")
+        if "node" in p or "edge" in p:
+            ends = [p["node"]] if "node" in p else [p["edge"][0], p["edge"][2]]
+            step = (lambda b, v: self._node(p, b, v)) if "node" in p else (lambda b, v: self._edge(p["edge"], b, v, "inner"))
+            if bindings is None or not self.loose & bound & set(ends):
+                return step(bindings, bound)
+            out = self._freed(bindings, ends, step)
+            self.loose -= set(ends)
+            return out
         if bindings is None:
             bindings = self.spark.range(1).select(F.lit(True).alias("_yes"), *([F.array().cast("array<string>").alias(USED)] if self.track else []))
         if "not_edge" in p:
-            return self._edge(p["not_edge"], bindings, bound, "left_anti")
+            free = lambda b, v: self._edge(p["not_edge"], b, v, "left_anti").withColumns({c: F.lit(None).cast("string") for c in bound - v})
+            return self._freed(bindings, [p["not_edge"][0], p["not_edge"][2]], free).select(*bindings.columns)
         if "not_node" in p:
             return self._tidy(self._joined(bindings, p, bound, None, "left_anti"), bindings)
         keys = sorted(bound)
@@ -181,9 +200,13 @@ class Matcher:
             found = self._inside(p["not"], bindings, keys)
             return self._same(bindings, found, keys, "left_anti")
         if "optional" in p:
-            found = self._tracked(p["optional"], bindings)
-            alone = self._same(bindings, found, keys, "left_anti")
-            return found.unionByName(alone, allowMissingColumns=True)
+            was = {k: f"_was_{len(bindings.columns)}_{k}" for k in keys if k in self.loose}
+            found = self._tracked(p["optional"], bindings.withColumns({c: F.col(k) for k, c in was.items()}))
+            loose = set(was) | self.loose | self._variables(found) - bound
+            before = found.select(*(F.col(was.get(k, k)).alias(k) for k in keys))
+            alone = self._same(bindings, before, keys, "left_anti")
+            self.loose = loose
+            return found.drop(*was.values()).unionByName(alone, allowMissingColumns=True)
         raise ValueError(f"unknown pattern {p}")
 
     def _tracked(self, patterns: list[dict], bindings: DataFrame) -> DataFrame:
@@ -192,12 +215,18 @@ class Matcher:
     def _inside(self, patterns: list[dict], bindings: DataFrame, keys: list[str]) -> DataFrame:
         """The distinct outer bindings that the inner patterns extend."""
         outer = bindings.select(*keys).distinct() if keys else None
-        was, self.track = self.track, False
+        was, self.track, loose = self.track, False, set(self.loose)
+        # What is free out here may be bound in there: the outer bindings keep their own columns.
+        inner = {k: f"_was_{k}" for k in keys if k in loose}
+        if inner:
+            outer = outer.withColumns({c: F.col(k) for k, c in inner.items()})
         try:
             found = self.match(patterns, outer)
         finally:
-            self.track = was
-        return found.select(*keys).distinct() if keys else found.limit(1)
+            self.track, self.loose = was, loose
+        if not keys:
+            return found.limit(1)
+        return found.select(*(F.col(inner.get(k, k)).alias(k) for k in keys)).distinct()
 
     @staticmethod
     def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -216,7 +245,6 @@ class Matcher:
             rows, _ = self._candidates(p, bound)
             return rows.select(F.col("_id").alias(var), *([F.array().cast("array<string>").alias(USED)] if self.track else []))
         if var in bound:
-            # A variable that an optional block left unbound is free: here, any node that fits.
             return self._tidy(self._joined(bindings, p, bound, F.col(var) == F.col("_id"), "inner"), bindings)
         out = self._joined(bindings, p, bound, None, "inner")
         return out.select(*bindings.columns, F.col("_id").alias(var))

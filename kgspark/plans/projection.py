@@ -32,7 +32,7 @@ class Projection:
         if kinds != ["*"]:
             rows = rows.where(F.col("type").isin(*kinds))
         if not expr.get("$history"):
-            rows = rows.where("status != 'superseded'")
+            rows = rows.where("coalesce(status, 'current') != 'superseded'")
         rows = self._where(rows, expr.get("$where"))
         order = self._order(expr.get("$sort"))
         if order:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import metrics
+from kgspark.functions import text as text_functions
 from kgspark.functions.expressions import equals, attribute, name_as_words, slug
 from kgspark.functions.text import chunks, number_stated, privacy_findings, quoted_in, relative_date, tokens
 from kgspark.operators import curation, evaluation, links, retrieval, shapes, survey, temporal
@@ -638,7 +639,7 @@ def fts_tokens(spark, sf):
   r AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
     FROM asked JOIN df USING (term) JOIN tf USING (term), s GROUP BY ALL)
   SELECT query_id, rank, doc_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""".replace(
-    "%STOP%", ", ".join(f"'{w}'" for w in __import__("kgspark.functions.text", fromlist=["STOP"]).STOP)
+    "%STOP%", ", ".join(f"'{w}'" for w in __import__("kgspark.functions.text", fromlist=["SEARCH_STOP"]).SEARCH_STOP)
 ))
 def bm25_search(spark, sf):
     q = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -704,7 +705,7 @@ def lexicon_match(spark, sf):
     b = tables.table(spark, sf, "benchmark")
     lex = b.select(F.array_join(F.slice(tokens(F.col("text")), 1, 2), " ").alias("phrase"), F.col("item_id").alias("target"))
     d = tables.table(spark, sf, "documents").where("text IS NOT NULL")
-    return retrieval.lexicon_match(d, lex, "doc_id", "text", longest=2)
+    return retrieval.lexicon_match(d, lex, "doc_id", "text")
 
 
 @query("""WITH l AS (SELECT lower(n_name) AS phrase, 'nation.' || n_nationkey AS target FROM nation)
@@ -765,16 +766,17 @@ def descriptor_overlap(spark, sf):
     return rounded(retrieval.overlap(s), "jaccard")
 
 
-@query("""WITH t AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), q AS (SELECT w FROM t ORDER BY id LIMIT 1),
-  s AS (SELECT id, CAST(len(list_intersect(t.w, list_filter(q.w, lambda x: length(x) > 2 AND x NOT IN (%STOP%)))) AS BIGINT) AS score FROM t, q)
-  SELECT id, score, rank() OVER (ORDER BY score DESC) AS rank FROM s WHERE score > 0""".replace(
-    "%STOP%", ", ".join(f"'{w}'" for w in __import__("kgspark.functions.text", fromlist=["STOP"]).STOP)
-))
+_STOP = ", ".join(f"'{w}'" for w in text_functions.SEARCH_STOP)
+
+
+@query("""WITH t AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark),
+  e AS (SELECT id, unnest(w) AS x FROM t), q AS (SELECT id AS query_id, x FROM e WHERE length(x) > 2 AND x NOT IN (%STOP%)),
+  s AS (SELECT query_id, id, CAST(count(*) AS BIGINT) AS score FROM q JOIN e USING (x) GROUP BY ALL)
+  SELECT query_id, id, score, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM s""".replace("%STOP%", _STOP))
 def descriptor_ranking(spark, sf):
     b = tables.table(spark, sf, "benchmark")
-    question = b.orderBy("item_id").first()["text"]
-    d = b.select(F.col("item_id").alias("id"), F.array_distinct(tokens(F.col("text"))).alias("words"), F.array().cast("array<string>").alias("class_words"))
-    return retrieval.descriptor_rank(d, question)
+    d = b.select(F.col("item_id").alias("id"), tokens(F.col("text")).alias("words"), F.array().cast("array<string>").alias("class_words"))
+    return retrieval.descriptor_ranks(d, b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 # Measures.
@@ -938,10 +940,16 @@ def lexicon_rows(spark, sf):
     return links.lexicon_rows(terms).select("phrase", "canonical", "target")
 
 
-@query()
+@query("""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+  d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
+  h AS (SELECT doc_id, item_id, len(w) AS n, t, ' ' || array_to_string(w, ' ') || ' ' AS run FROM d JOIN b ON len(w) > 0 AND contains(t, ' ' || array_to_string(w, ' ') || ' ')),
+  c AS (SELECT doc_id, item_id, n, str_split(t, run) AS parts FROM h),
+  p AS (SELECT doc_id, item_id, n, parts, unnest(range(1, len(parts))) AS i FROM c),
+  s AS (SELECT doc_id, item_id, n, len(regexp_extract_all(array_to_string(parts[1:i], ' '), '[a-z0-9]+')) + (i - 1) * n AS start FROM p)
+  SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n, item_id AS node_id FROM s""")
 def names_in_text(spark, sf):
-    b = tables.table(spark, sf, "benchmark").select(F.array_join(F.slice(tokens(F.col("text")), 1, 3), " ").alias("name"), F.col("item_id").alias("node_id"))
-    return links.names_in(tables.table(spark, sf, "documents"), b, "doc_id", "text", 3)
+    b = tables.table(spark, sf, "benchmark").select(F.col("text").alias("name"), F.col("item_id").alias("node_id"))
+    return links.names_in(tables.table(spark, sf, "documents"), b, "doc_id", "text")
 
 
 @query("""WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS rank, 'order.' || o_orderkey AS path, o_orderstatus = 'F' AS page, o_orderpriority AS source FROM orders),
@@ -975,3 +983,140 @@ def entity_pages(spark, sf):
 def export_turtle(spark, sf):
     g = graph(spark, sf)
     return links.turtle(store.triples(g.of_type("Nation"), g.edges.where("rel = 'in_region'")))
+
+
+# Variables left free, merged rows, near misses, definitions, gates.
+
+
+@query("""WITH m AS (SELECT r_regionkey, n_nationkey FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey IN (1, 7, 12))
+  SELECT 'region.' || r_regionkey AS r, 'nation.' || s_nationkey AS n, 'supplier.' || s_suppkey AS s FROM m JOIN supplier ON n_nationkey IS NULL OR s_nationkey = n_nationkey""")
+def pattern_optional_then_edge(spark, sf):
+    m = matcher(spark, sf)
+    names = [r[0] for r in tables.table(spark, sf, "nation").where("n_nationkey IN (1, 7, 12)").select("n_name").collect()]
+    block = [{"edge": ["n", "in_region", "r"]}, {"node": "n", "where": {"name": {"in": names}}}]
+    when = [{"node": "r", "type": "Region"}, {"optional": block}, {"edge": ["s", "in_nation", "n"]}, {"node": "s", "type": "Supplier"}]
+    return m.select(m.match(when), ["$r", "$n", "$s"])
+
+
+@query("""SELECT 'nation.' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN '{"l":[1,2],"m":' || n_nationkey || '.5,"n":' || n_nationkey || ',"ok":true}'
+  ELSE '{"n":' || n_nationkey || ',"ok":true}' END AS attributes FROM nation""")
+def merged_rows(spark, sf):
+    n = tables.nodes(spark, sf).where("type = 'Nation'")
+    no = F.split_part("id", F.lit("."), F.lit(2))
+    old = n.withColumn("attributes", F.concat(F.lit('{"n":'), no, F.lit(',"ok":true}')))
+    new = n.where(no.cast("int") % 2 == 0).withColumn("attributes", F.concat(F.lit('{"l":[1,2],"m":'), no, F.lit(".5}")))
+    return curation.merged(old, new, "doc.1", "2025-01-01").select("id", "attributes")
+
+
+@query("""WITH t AS (SELECT 'part.' || p_partkey AS id, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part),
+  p AS (SELECT id, len(w) AS length, unnest(w) AS term FROM t), tf AS (SELECT id, length, term, count(*) AS tf FROM p GROUP BY ALL),
+  s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  q AS (SELECT DISTINCT p_name || ' ' || p_brand AS q FROM part WHERE p_partkey % 50 = 0),
+  a AS (SELECT q, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN (%STOP%)))) AS term FROM q),
+  r AS (SELECT q, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
+    FROM a JOIN df USING (term) JOIN tf USING (term), s GROUP BY ALL)
+  SELECT q AS term, rank, id FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= 6""".replace("%STOP%", _STOP))
+def entity_search(spark, sf):
+    p = tables.table(spark, sf, "part").where("p_partkey % 50 = 0")  # the stated query set, against all parts
+    return retrieval.entity_search(tables.nodes(spark, sf).where("type = 'Part'"), p.select(F.concat_ws(" ", "p_name", "p_brand").alias("term")))
+
+
+@query("""WITH t AS (SELECT 'customer.' || c_custkey AS id, regexp_extract_all(lower(c_name), '[a-z0-9]+') AS w FROM customer),
+  e AS (SELECT DISTINCT id, unnest(w) AS term FROM t), d AS (SELECT term FROM e GROUP BY term HAVING count(*) = 1)
+  SELECT 'not ' || c_custkey || ' ' || term AS term, e.id AS candidate FROM customer JOIN e ON e.id = 'customer.' || c_custkey JOIN d USING (term) WHERE c_custkey % 50 = 0 AND length(term) > 2""")
+def near_misses(spark, sf):
+    nodes = tables.nodes(spark, sf).where("type = 'Customer'")
+    last = F.element_at(tokens(F.col("c_name")), -1)
+    terms = tables.table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("not "), F.col("c_custkey").cast("string"), F.lit(" "), last).alias("term"))
+    return KnowledgeGraph(nodes, tables.edges(spark, sf), VOCABULARY).near_misses(terms).select("term", F.col("candidates")[0].alias("candidate"))
+
+
+@query("SELECT count(*) AS n FROM documents WHERE starts_with(source, 's')")
+def docs_count(spark, sf):
+    return graph(spark, sf).docs_count("s")
+
+
+@query("""WITH e AS (SELECT DISTINCT 'order.' || l_orderkey AS src, 'supplier.' || l_suppkey AS dst FROM lineitem)
+  SELECT dst AS id, src, 'supplied_by' AS rel, dst FROM e""")
+def derived_at(spark, sf):
+    e = tables.edges(spark, sf).withColumn("status", F.when(F.col("rel") == "supplied_by", "derived").otherwise("current"))
+    g = KnowledgeGraph(tables.nodes(spark, sf), e, VOCABULARY)
+    return g.derived_at(g.nodes.where("type = 'Supplier'"))
+
+
+@query("""SELECT 'class removed' AS kind, 'Customer' AS subject, (SELECT count(*) FROM customer) AS affected
+  UNION ALL SELECT 'superclass removed', 'Place', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)
+  UNION ALL SELECT 'domain changed', 'contains', (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem))
+  UNION ALL SELECT 'attribute removed', 'Part.brand', (SELECT count(*) FROM part) UNION ALL SELECT 'relation removed', 'nothing', 0""")
+def change_impact(spark, sf):
+    changes = [("class removed", "Customer"), ("superclass removed", "Place"), ("domain changed", "contains"), ("attribute removed", "Part.brand"), ("relation removed", "nothing")]
+    return curation.impact(changes, tables.nodes(spark, sf), tables.edges(spark, sf), VOCABULARY)
+
+
+@query("""SELECT CASE lang WHEN 'en' THEN 'document' WHEN 'fr' THEN 'inference' WHEN 'de' THEN 'unrecorded' ELSE 'document' END AS source_type, count(*) AS n FROM documents GROUP BY 1""")
+def source_types(spark, sf):
+    lang = F.col("lang")
+    return curation.source_types(tables.table(spark, sf, "documents").withColumn("source_type", F.when(lang == "en", "document").when(lang == "fr", "inference").when(lang == "de", "rumour")))
+
+
+@query("""SELECT 'part.' || p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'changed' ELSE 'reworded' END AS change FROM part WHERE p_size % 5 < 4""")
+def definition_diff(spark, sf):
+    p = tables.table(spark, sf, "part").withColumn("id", tables.ref("part", "p_partkey")).withColumn("k", F.col("p_size") % 5)
+    old = p.where("k != 0").select("id", F.concat(F.lit('{"when": [{"node": "x"}], "say": "'), "p_type", F.lit('"}')).alias("definition"))
+    say = F.when(F.col("k") == 3, F.concat("p_type", F.lit("!"))).otherwise(F.col("p_type"))
+    when = F.when(F.col("k") == 2, '[{"node": "y"}]').otherwise('[ {"node":"x"} ]')
+    new = p.where("k != 1").select("id", F.concat(F.lit('{"say": "'), say, F.lit('", "when": '), when, F.lit("}")).alias("definition"))
+    return curation.definition_diff(old, new, ["when", "then"])
+
+
+_PLAIN = [d for d in text_functions.DETECTORS if not d[3]]  # without a check of digits, which SQL lacks
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT DISTINCT doc_id, kind, severity FROM ({" UNION ALL ".join(f"SELECT doc_id, '{d[0]}' AS kind, '{d[1]}' AS severity FROM l WHERE regexp_matches(line, '{d[2]}')" for d in _PLAIN)}))
+  SELECT d.doc_id, CASE WHEN bool_or(severity = 'block') THEN 'quarantine' WHEN count(kind) > 0 THEN 'review' ELSE 'accepted' END AS station,
+  coalesce(string_agg(kind, ',' ORDER BY kind), '') AS kinds FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id""")
+def privacy_gate(spark, sf):
+    gate = curation.privacy_gate(tables.table(spark, sf, "documents"), detectors=_PLAIN)
+    return gate.select("doc_id", "station", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+  SELECT kind, severity, CAST(sum(n) AS BIGINT) AS n FROM ({" UNION ALL ".join(f"SELECT '{d[0]}' AS kind, '{d[1]}' AS severity, len(regexp_extract_all(line, '{d[2]}')) AS n FROM l" for d in _PLAIN)})
+  GROUP BY ALL HAVING sum(n) > 0""")
+def privacy_kinds(spark, sf):
+    found = privacy_findings(tables.table(spark, sf, "documents"), detectors=_PLAIN)
+    return found.groupBy("kind", "severity").agg(F.sum("n").alias("n"))
+
+
+@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, b.vec_id % 40 AS doc, {_COS} AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS no FROM p) WHERE no <= 200),
+  d AS (SELECT query_id, doc, max(c) AS c FROM t GROUP BY ALL)
+  SELECT query_id, rank, doc, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc) AS rank FROM d) WHERE rank <= 20""")
+def dense_documents(spark, sf):
+    v, q = _vectors(spark, sf)
+    scored = retrieval.against(v, q).withColumn("doc", F.col("vec_id") % 40)
+    return rounded(retrieval.dense_documents(scored, "doc", "vec_id"), "cosine")
+
+
+@query("""SELECT o_orderkey, o_orderkey % 2 = 0 AS stated, CASE WHEN o_orderkey % 3 = 0 THEN 'code' ELSE 'date' END AS kind FROM orders""")
+def dates_stated(spark, sf):
+    o = tables.table(spark, sf, "orders")
+    day = F.to_date("o_orderdate")
+    wrong = F.add_months(day, 12)
+    forms = [F.date_format(day, "d MMMM yyyy"), F.date_format(day, "MMMM d, yyyy"), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "d MMMM")]
+    false = [F.date_format(wrong, "d MMMM yyyy"), F.date_format(wrong, "MMMM d, yyyy"), F.date_format(wrong, "dd/MM/yyyy"), F.lit("some day")]
+    pick = lambda xs: F.element_at(F.array(*xs), (F.floor(F.col("o_orderkey") / 2) % 4 + 1).cast("int"))
+    text = F.concat(F.lit("Signed on "), F.when(F.col("o_orderkey") % 2 == 0, pick(forms)).otherwise(pick(false)), F.lit(" by both."))
+    value = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string"))).otherwise(day.cast("string"))
+    return o.select("o_orderkey", text_functions.date_stated(day.cast("string"), text).alias("stated"), text_functions.value_kind(value).alias("kind"))
+
+
+@query("""SELECT p_partkey, p_size % 2 = 1 AS stated, p_size % 2 = 0 AS distinct_codes FROM part""")
+def codes_stated(spark, sf):
+    p = tables.table(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    code = F.concat(F.lit("PRT-"), key)
+    other = F.when(F.col("p_size") % 2 == 1, code).otherwise(F.concat(F.lit("PRT-"), key, F.lit("9")))
+    text = F.concat(F.lit("Install "), other, F.lit(" first."))
+    return p.select("p_partkey", text_functions.code_stated(code, text).alias("stated"), text_functions.distinct_codes(code, text).alias("distinct_codes"))

@@ -36,7 +36,7 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
 def publish(tables: dict[str, DataFrame], path: str, spark: SparkSession) -> str:
     """Write a new version and commit it, or return the newest one if its rows are the same."""
     mark = fingerprint(tables)
-    last = commits(spark, path).orderBy(F.desc("seq")).first()
+    last = commits(spark, path).orderBy(F.desc("seq"), F.desc("version")).first()
     if last and last["fingerprint"] == mark:
         return last["version"]
     version = uuid.uuid4().hex
@@ -52,7 +52,7 @@ def publish(tables: dict[str, DataFrame], path: str, spark: SparkSession) -> str
 def read(spark: SparkSession, path: str, *names: str, version: str | None = None) -> dict[str, DataFrame]:
     """Tables of the newest committed version, or of the one named."""
     if version is None:
-        row = commits(spark, path).orderBy(F.desc("seq")).first()
+        row = commits(spark, path).orderBy(F.desc("seq"), F.desc("version")).first()
         if row is None:
             raise ValueError(f"{path} has no committed version")
         version = row["version"]
