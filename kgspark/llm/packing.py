@@ -189,6 +189,5 @@ def sequences(
 
 
 def clustered(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds cluster, equal for texts that differ in white space and case of ASCII letters only."""
-    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), GAP, " "))
-    return docs.withColumn("cluster", F.xxhash64(F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    """Adds cluster, equal for texts that differ in white space and case only."""
+    return docs.withColumn("cluster", F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), GAP, " "))))

@@ -9,12 +9,14 @@ rarest piece.  The forward score of a prefix is that of its best segmentation
 the trie and words that share a prefix share the work.
 
 The documents are packed, some megabytes of text at a time, into rows that have
-their distinct words once, and for each document the numbers of its words and
-how often it has them.  The distinct words of all rows are dealt to tasks by
-ranges in sorted order, each the trie of its words: walked depth first, with one
-path in memory, every node is scored once, and the number of tokens is stored at
-terminal nodes.  That table is joined to the rows' words, and each document adds
-up.  A word that all documents have is one entry for each packed row.
+their distinct words once, sorted, and for each document the numbers of its words
+and how often it has them.  Each row's words are cut into ranges that all rows
+share (from quantiles of a bounded sample of the words; they decide who scores a
+word, not how).  The words of a range meet in one task, which is the trie of its
+words: walked depth first, with one path in memory, every node is scored once,
+and the number of tokens is kept for terminal nodes.  The counts go back to the
+rows in the order of their words, and each document adds up.  A word that all
+documents have is one entry for each packed row.
 
 Defined results: null and word-less texts have no tokens; repeated rows count
 each; other columns stay as they are, but n_words and n_tokens are replaced.
@@ -24,10 +26,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +41,8 @@ from kgspark.llm.text import Words, chunks, got, put, sums
 
 #: Bytes of text of a packed row; a longer document makes a row of its own.
 PACK = 12 << 20
+#: Words of a range, with repeats in packs, and of the sample that parts ranges, about.
+RANGE_WORDS, SAMPLE = 400_000, 20_000
 
 MARK = "▁"
 BYTE_COST = 10.0
@@ -106,13 +112,16 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
     def one(rows: pa.Array, words: Words) -> pa.RecordBatch:
         _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         body, many = words.data.tobytes(), max(1, len(first))
-        distinct = [body[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-        key, n = np.unique(words.owner() * many + which, return_counts=True)
+        distinct = pa.array([body[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())], pa.binary())
+        order = pc.sort_indices(distinct)
+        distinct, place = distinct.take(order), np.empty(len(first), np.int64)
+        place[order.to_numpy()] = np.arange(len(first))
+        key, n = np.unique(words.owner() * many + place[which], return_counts=True)
         owner, at = np.divmod(key, many)
         size = np.bincount(owner, minlength=len(rows)).astype(np.int32)
         whole = pa.StructArray.from_arrays([rows, pa.array(words.counts.astype(np.int64)), pa.array(size)], ["row", "n_words", "n_distinct"])
         whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), whole)
-        strings = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct, pa.binary()).cast(pa.string()))
+        strings = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.string()))
         at = at.astype(np.uint16 if many <= 1 << 16 else np.uint32)
         columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), strings, whole, pa.array([at.tobytes()]), pa.array([put(n)])]
         return pa.RecordBatch.from_arrays(columns, ["pack", "words", "docs", "at", "n"])
@@ -137,41 +146,73 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def terminals(words: DataFrame, pieces_path: str) -> DataFrame:
-    """(word, tokens) of distinct words."""
+def edges(packs: DataFrame) -> list[bytes]:
+    """Words that begin the ranges but the first, as quantiles of at most about ``SAMPLE`` words."""
+    n = packs.agg(F.sum(F.size("words"))).first()[0] or 0
+    some = F.pmod(F.xxhash64("pack", "word"), F.lit(max(1, n // SAMPLE))) == 0
+    sample = sorted(r[0].encode() for r in packs.select("pack", F.explode("words").alias("word")).where(some).select("word").collect()) if n else []
+    ranges = max(12, n // RANGE_WORDS)
+    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+
+
+def terminals(packs: DataFrame, pieces_path: str) -> DataFrame:
+    """(of, range, tokens): for each pack and range the tokens of its words, in order."""
     names = read_pieces(pieces_path)  # of a file of fixed size
     key = hash(tuple(names))
-    held = words.sparkSession.sparkContext.broadcast(names)
+    held = packs.sparkSession.sparkContext.broadcast((names, edges(packs)))
 
-    def run(batches):
-        if key not in _LOADED:
-            _LOADED[key] = scores(held.value)
+    def cut(batches):
         for batch in batches:
-            found = terminal_counts(batch.column(0).to_pylist(), *_LOADED[key])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int32())], ["word", "tokens"])
+            for pack, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words.values
+                if not len(words):
+                    continue
+                binary = words.cast(pa.binary())
+                at = [0, *(bisect_left(_Items(binary), edge) for edge in held.value[1]), len(words)]
+                rows = [(pack, r, a, b) for r, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+                lists = pa.ListArray.from_arrays(pa.array([x[2] for x in rows] + [len(words)], pa.int32()), words)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), lists], ["of", "range", "words"])
+
+    def scored(table: pa.Table) -> pa.Table:
+        if key not in _LOADED:
+            _LOADED[key] = scores(held.value[0])
+        lists = [x.values.to_pylist() for x in table.column("words")]
+        found = terminal_counts(set().union(*lists), *_LOADED[key])
+        tokens = pa.array([put(np.fromiter(map(found.__getitem__, x), np.int64, len(x))) for x in lists], pa.binary())
+        return pa.Table.from_arrays([table.column("of"), table.column("range"), tokens], ["of", "range", "tokens"])
+
+    cuts = packs.select("pack", "words").mapInArrow(cut, "of long, range int, words array<string>")
+    return cuts.groupBy("range").applyInArrow(scored, "of long, range int, tokens binary")
+
+
+class _Items:
+    """Values of an array by number, for bisection."""
+
+    def __init__(self, array: pa.Array):
+        self.array = array
+
+    def __len__(self) -> int:
+        return len(self.array)
 
-    return words.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(run, "word string, tokens int")
+    def __getitem__(self, i: int) -> bytes:
+        return self.array[i].as_py()
 
 
 def count_tokens(docs: DataFrame, pieces_path: str, text: str = "text") -> DataFrame:
     """Adds n_words and n_tokens (long) to every row; the text itself is left out."""
     packs = written(packed(docs, text), "packs")
-    words = packs.select(F.explode("words").alias("word")).distinct()
-    table = written(terminals(words, pieces_path), "terminals")
-    asked = packs.select(F.col("pack").alias("of"), F.posexplode("words").alias("pos", "word")).join(table, "word").select("of", "pos", "tokens")
     row = packs.schema["docs"].dataType.elementType["row"].dataType
     schema = T.StructType([*row.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def added(pack: pa.Table, answers: pa.Table) -> pa.Table:
         docs = pa.concat_arrays([x.flatten() for x in pack.column("docs").chunks])
-        pos = answers.column("pos").to_numpy()
-        tokens = np.zeros(len(pos), np.int64)
-        tokens[pos] = answers.column("tokens").to_numpy()
-        at = np.frombuffer(pack.column("at")[0].as_py(), np.uint16 if len(pos) <= 1 << 16 else np.uint32)
+        order = np.argsort(answers.column("range").to_numpy())
+        tokens = np.concatenate([got(x) for x in answers.column("tokens").take(pa.array(order)).to_pylist()] or [np.zeros(0, np.int64)])
+        at = np.frombuffer(pack.column("at")[0].as_py(), np.uint16 if len(tokens) <= 1 << 16 else np.uint32)
         bounds = np.concatenate(([0], np.cumsum(docs.field("n_distinct").to_numpy())))
         total = sums(tokens[at] * got(pack.column("n")[0].as_py()), bounds)
         fields = docs.field("row").flatten()[:-1]
         return pa.Table.from_arrays([*fields, docs.field("n_words"), pa.array(total)], schema.names)
 
-    out = packs.select("pack", "docs", "at", "n").groupBy("pack").cogroup(asked.groupBy("of"))
+    out = packs.select("pack", "docs", "at", "n").groupBy("pack").cogroup(terminals(packs, pieces_path).groupBy("of"))
     return out.applyInArrow(added, schema)

@@ -191,8 +191,12 @@ def test_best_fit_is_the_tightest_compatible_bin():
         assert packing.best_fit(*args, 30, 2) == _best_fit(*args, 30, 2)
 
 
+def _packed(docs):
+    return packing.clustered(docs).withColumn("n_tokens", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+
+
 def test_packing_keeps_every_token_and_every_constraint(spark):
-    docs = packing.measured(documents(spark))
+    docs = _packed(documents(spark))
     got = packing.pack(docs, capacity=256, shard_rows=8)
     want = {r[0]: r[1] for r in docs.groupBy(F.coalesce("doc_id", F.lit(-99))).agg(F.sum("n_tokens")).collect()}
     have = {r[0]: r[1] for r in got.groupBy(F.coalesce("doc_id", F.lit(-99))).agg(F.sum("n_tokens")).collect()}
@@ -201,7 +205,32 @@ def test_packing_keeps_every_token_and_every_constraint(spark):
     part = got.where("n_tokens < 256 AND bin_id IS NOT NULL").join(docs.dropDuplicates(["doc_id"]).select("doc_id", "source", "cluster"), "doc_id")
     assert part.groupBy("bin_id", "cluster").count().where("count > 1").count() == 0
     assert part.where("source IS NOT NULL").groupBy("bin_id", "source").count().where("count > 2").count() == 0
-    assert packing.pack(packing.measured(spark.createDataFrame([], SCHEMA))).count() == 0
+    assert packing.pack(_packed(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_packing_equals_brute_force_by_shard(spark):
+    """Each shard of the query's operator is best-fit as the plain search does it, longest first, ties by doc_id."""
+    docs = _packed(documents(spark))
+    got = packing.pack(docs, capacity=256, shard_rows=10_000)
+    source = {s: i for i, s in enumerate(["s1", "s2"])}
+    held = sorted(docs.select("doc_id", "n_tokens", "source", "cluster").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]))
+    rest = [r for r in held if r["n_tokens"] % 256]
+    codes = {c: i for i, c in enumerate(dict.fromkeys(r["cluster"] for r in held))}
+    bins = _best_fit([r["n_tokens"] % 256 for r in rest], [source.get(r["source"], -1) for r in rest], [codes[r["cluster"]] for r in rest], 256, 2)
+    full = sum(r["n_tokens"] // 256 for r in held)
+    assert got.where("bin_id IS NOT NULL").select("bin_id").distinct().count() == len(set(bins)) + full
+
+
+def test_sequences_hold_every_token_in_order(spark):
+    rng = random.Random(8)
+    data = [(i % 30 if i % 7 else None, [rng.randint(0, 9) for _ in range(rng.choice([0, 3, 20, 70]))], f"s{i % 3}") for i in range(60)] * 2
+    docs = spark.createDataFrame([(d, t, s, i % 50) for i, (d, t, s) in enumerate(data)], "doc_id long, ids array<int>, source string, cluster long")
+    got = packing.sequences(docs, capacity=32, shard_rows=16).collect()
+    assert all(r["n_tokens"] == len(r["ids"]) <= 32 and len(r["doc_ids"]) == len(r["starts"]) for r in got)
+    pieces = [(d, tuple(r["ids"][a:b])) for r in got for d, a, b in zip(r["doc_ids"], r["starts"], [*r["starts"][1:], r["n_tokens"]])]
+    want = [(d, tuple(t[i : i + 32])) for d, t, _ in data for i in range(0, len(t), 32)]
+    assert sorted(pieces, key=repr) == sorted(want, key=repr)
+    assert packing.sequences(docs.limit(0)).count() == 0
 
 
 # Near duplicates.
