@@ -67,7 +67,10 @@ def scores(pieces: list[str]) -> tuple[dict[str, float], float]:
 
 def terminal_counts(words: Iterable[str], table: dict[str, float], byte: float) -> dict[str, int]:
     """Tokens of each distinct word."""
-    longest = max(map(len, table), default=1)
+    # The length of the longest piece by its last two characters: others need no look at longer ones.
+    longest: dict[str, int] = {}
+    for piece in table:
+        longest[piece[-2:]] = max(longest.get(piece[-2:], 1), len(piece))
     get = table.get
     path, score, count = MARK, [0.0], [0]
     out = {}
@@ -76,7 +79,7 @@ def terminal_counts(words: Iterable[str], table: dict[str, float], byte: float)
         """The forward score of path[:i] from those of its prefixes."""
         size = len(path[i - 1].encode(errors="surrogatepass"))
         best, tokens = score[i - 1] + size * byte, count[i - 1] + size
-        for j in range(max(0, i - longest), i):
+        for j in range(max(0, i - longest.get(path[max(0, i - 2) : i], 1)), i):
             s = get(path[j:i])
             if s is not None:
                 s += score[j]
