@@ -229,7 +229,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_
     words = written(dictionary(docs, text), "dictionary")
     table = transitions(words)
     model = train(labelled_findings(docs.sparkSession) if labelled is None else labelled, words, table)
-    return verdicts(findings(docs, doc_id, text, path), model, words, table)
+    return verdicts(written(findings(docs, doc_id, text, path), "findings"), model, words, table)
 
 
 def redacted(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
