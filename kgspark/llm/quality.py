@@ -301,6 +301,8 @@ def quality(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), min_rows:
     rows = docs.select(row.alias("row"), *(F.col(c).alias(g) for c, g in zip(by, groups)), F.col(text).alias("text"))
     stats = written(vectors(statistics(rows)), "statistics")
     fits = estimates(stats.where("NOT base_failed").select(*groups, *(f"x{i}" for i in range(P))), tuple(groups), min_rows)
+    # Written, so Spark knows its size: a small one goes to the rows, and a hot group of a large one is split.
+    fits = written(fits, "estimates")
     out = stats.join(fits, _same(stats, fits, tuple(groups)), "left")
     out = out.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut)
