@@ -220,14 +220,15 @@ def joined(words: Words, doc: int) -> tuple[bytes, np.ndarray, np.ndarray]:
     return text, starts, starts + size
 
 
-def put(counts: np.ndarray) -> bytes:
-    """Counts, mostly small, in a byte each; those from 255 follow in full."""
-    large = counts[counts >= 255].astype(np.int64)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes() + np.array([len(large)], np.int64).tobytes()
+def put(counts: np.ndarray, kind=np.uint8) -> bytes:
+    """Numbers, mostly small, in a byte each (or another unsigned type); those from its largest value on follow in full."""
+    most = np.iinfo(kind).max
+    large = counts[counts >= most].astype(np.int64)
+    return np.minimum(counts, most).astype(kind).tobytes() + large.tobytes() + np.array([len(large)], np.int64).tobytes()
 
 
-def got(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.int64, 1, len(data) - 8)[0])
-    out = np.frombuffer(data, np.uint8, len(data) - 8 - 8 * n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, np.int64, n, len(data) - 8 - 8 * n)
+def got(data: bytes, kind=np.uint8) -> np.ndarray:
+    n, size = int(np.frombuffer(data, np.int64, 1, len(data) - 8)[0]), np.dtype(kind).itemsize
+    out = np.frombuffer(data, kind, (len(data) - 8 - 8 * n) // size).astype(np.int64)
+    out[out == np.iinfo(kind).max] = np.frombuffer(data, np.int64, n, len(data) - 8 - 8 * n)
     return out

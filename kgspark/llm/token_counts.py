@@ -103,7 +103,10 @@ def terminal_counts(words: Iterable[str], table: dict[str, float], byte: float)
 
 
 def packed(docs: DataFrame, text: str) -> DataFrame:
-    """(pack, words, docs, at, n): distinct words; documents with their words and distinct words; for each of those its index and how often."""
+    """(pack, words, docs, at, n): distinct words; documents with their numbers of words and of distinct words; which those are, and how often.
+
+    Of document d the word w is number ``d * len(words) + w``; ``at`` has the steps from one number to the next.
+    """
     keep = [c for c in docs.columns if c not in (text, "n_words", "n_tokens")]
     docs = docs.select(F.struct(*keep, F.lit(True).alias("_")).alias("row"), text)
     doc = T.StructType([docs.schema.fields[0], T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.IntegerType())])
@@ -120,13 +123,11 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
         distinct, place = distinct.take(order), np.empty(len(first), np.int64)
         place[order.to_numpy()] = np.arange(len(first))
         key, n = np.unique(words.owner() * many + place[which], return_counts=True)
-        owner, at = np.divmod(key, many)
-        size = np.bincount(owner, minlength=len(rows)).astype(np.int32)
+        size = np.bincount(key // many, minlength=len(rows)).astype(np.int32)
         whole = pa.StructArray.from_arrays([rows, pa.array(words.counts.astype(np.int64)), pa.array(size)], ["row", "n_words", "n_distinct"])
         whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), whole)
         strings = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.string()))
-        at = at.astype(np.uint16 if many <= 1 << 16 else np.uint32)
-        columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), strings, whole, pa.array([at.tobytes()]), pa.array([put(n)])]
+        columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), strings, whole, pa.array([put(np.diff(key, prepend=0), np.uint16)]), pa.array([put(n)])]
         return pa.RecordBatch.from_arrays(columns, ["pack", "words", "docs", "at", "n"])
 
     def run(batches):
@@ -211,7 +212,7 @@ def count_tokens(docs: DataFrame, pieces_path: str, text: str = "text") -> DataF
         docs = pa.concat_arrays([x.flatten() for x in pack.column("docs").chunks])
         order = np.argsort(answers.column("range").to_numpy())
         tokens = np.concatenate([got(x) for x in answers.column("tokens").take(pa.array(order)).to_pylist()] or [np.zeros(0, np.int64)])
-        at = np.frombuffer(pack.column("at")[0].as_py(), np.uint16 if len(tokens) <= 1 << 16 else np.uint32)
+        at = np.cumsum(got(pack.column("at")[0].as_py(), np.uint16)) % max(1, len(tokens))
         bounds = np.concatenate(([0], np.cumsum(docs.field("n_distinct").to_numpy())))
         total = sums(tokens[at] * got(pack.column("n")[0].as_py()), bounds)
         fields = docs.field("row").flatten()[:-1]
