@@ -38,13 +38,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The same rows, written once as Parquet to the shared folder and read back.
 
     Cuts the lineage in a way that outlives lost executors.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -204,7 +204,7 @@ class _Items:
 
 def count_tokens(docs: DataFrame, pieces_path: str, text: str = "text") -> DataFrame:
     """Adds n_words and n_tokens (long) to every row; the text itself is left out."""
-    packs = written(packed(docs, text), "packs")
+    packs = written(packed(docs, text), "packs", "zstd")
     row = packs.schema["docs"].dataType.elementType["row"].dataType
     schema = T.StructType([*row.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
