@@ -322,7 +322,9 @@ def test_pipeline(spark, tmp_path):
     text = out.where("doc_id = 103").first()["text"]
     assert secret not in text and secrets.MARK in text
     packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
+    bins = packed.collect()
+    assert {d for r in bins for d in r["doc_ids"]} == ids
+    assert all(len(r["ids"]) == r["n_tokens"] <= 2048 for r in bins)
 
 
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
