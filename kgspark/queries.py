@@ -214,13 +214,12 @@ def neighbours(spark, sf):
     return g.neighbours(g.nodes)
 
 
-@query("""WITH %EDGES%, e AS (SELECT dst AS id, count(*) AS n FROM edges WHERE split_part(dst, '.', 1) = 'nation' GROUP BY dst)
-  SELECT 'nation.' || n_nationkey AS id, 1::BIGINT AS n_out, least(coalesce(n, 0), 50) AS n_in FROM nation LEFT JOIN e ON e.id = 'nation.' || n_nationkey""")
+@query("""WITH %NODES%, %EDGES%, o AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY src), i AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst)
+  SELECT id, least(coalesce(o.n, 0), 50) AS n_out, least(coalesce(i.n, 0), 50) AS n_in FROM nodes LEFT JOIN o USING (id) LEFT JOIN i USING (id)""")
 def entity_card(spark, sf):
     g = graph(spark, sf)
-    cards = g.card(g.of_type("Nation"))
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return cards.select("id", n("out").alias("n_out"), F.when(F.col("into").isNull(), 0).otherwise(n("into")).cast("long").alias("n_in"))
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    return g.card(g.nodes).select("id", n("out").alias("n_out"), n("into").alias("n_in"))
 
 
 @query("""WITH t AS (SELECT lower(n_name) AS term, 'nation.' || n_nationkey AS node_id, 2 AS grade FROM nation UNION ALL SELECT 'region.' || r_regionkey, 'region.' || r_regionkey, 1 FROM region
@@ -470,16 +469,20 @@ def latest_version(spark, sf):
     return temporal.latest(tables.facts(spark, sf), "chain", "valid_from").select("chain", "id")
 
 
-@query("""WITH c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS seq, event_type AS payload FROM events), h AS (SELECT *, sha256(CAST(seq AS VARCHAR)) AS h0 FROM c)
-  SELECT seq, seq IN (SELECT seq FROM h) AS broken FROM h""")
+@query("""WITH e AS (SELECT event_id, event_id // 4 AS log, row_number() OVER (PARTITION BY event_id // 4 ORDER BY event_id) AS no FROM events)
+  SELECT log * 5 + no AS seq, event_id % 10 = 7 OR (log % 7 = 3 AND no = 3) AS broken FROM e WHERE NOT (log % 7 = 3 AND no = 2)""")
 def audit_chain(spark, sf):
-    """A log whose hashes are of the row's number only, so that every link is broken."""
-    e = tables.table(spark, sf, "events")
-    log = e.select(F.col("event_id"), F.col("event_type").alias("payload"))
-    first = log.agg(F.min("event_id").alias("lo"))
-    log = log.crossJoin(F.broadcast(first)).select((F.col("event_id") - F.col("lo") + 1).alias("seq"), "payload")  # one row
-    log = log.withColumn("hash", F.sha2(F.col("seq").cast("string"), 256))
-    return temporal.audit_chain(log).select("seq", "broken")
+    """Chained logs of four rows, a gap in the numbers between two; every tenth row is altered afterwards, and some rows are gone."""
+    w = Window.partitionBy("log").orderBy("event_id")
+    e = tables.table(spark, sf, "events").withColumn("log", F.floor(F.col("event_id") / 4)).withColumn("no", F.row_number().over(w))
+    e = e.withColumn("seq", F.col("log") * 5 + F.col("no"))
+    chained = F.lit("")
+    for back in (3, 2, 1, 0):  # from the log's first row to this one
+        own = F.sha2(F.concat_ws("|", chained, (F.col("seq") - back).cast("string"), F.lag("event_type", back).over(w) if back else F.col("event_type")), 256)
+        chained = F.when(F.col("no") > back, own).otherwise("")
+    log = e.withColumn("hash", chained).where(~((F.col("log") % 7 == 3) & (F.col("no") == 2)))
+    payload = F.when(F.col("event_id") % 10 == 7, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type"))
+    return temporal.audit_chain(log.select("seq", payload.alias("payload"), "hash")).select("seq", "broken")
 
 
 # Change management.
@@ -875,21 +878,29 @@ def projection_neighbours(spark, sf):
     return Projection(tables.nodes(spark, sf), tables.edges(spark, sf)).run(expr).select("value.*")
 
 
-@query("""SELECT '<urn:kg:nation.' || n_nationkey || '> <urn:kg:rel/in_region> <urn:kg:region.' || n_regionkey || '> .' AS line FROM nation
-  UNION ALL SELECT '<urn:kg:nation.' || n_nationkey || '> <urn:kg:type> <urn:kg:Nation> .' FROM nation
-  UNION ALL SELECT '<urn:kg:nation.' || n_nationkey || '> <urn:kg:label> "' || n_name || '" .' FROM nation
-  UNION ALL SELECT '<urn:kg:nation.' || n_nationkey || '> <urn:kg:status> "current" .' FROM nation
-  UNION ALL SELECT '<urn:kg:nation.' || n_nationkey || '> <urn:kg:attr/name> "' || n_name || '" .' FROM nation""")
+_TRIPLES = """%NODES%, %EDGES%, attrs AS (
+  SELECT 'region.' || r_regionkey AS id, 'name' AS k, r_name AS v FROM region UNION ALL SELECT 'nation.' || n_nationkey, 'name', n_name FROM nation
+  UNION ALL SELECT 'customer.' || c_custkey, unnest(['balance', 'segment']), unnest([CAST(c_acctbal AS VARCHAR), c_mktsegment]) FROM customer
+  UNION ALL SELECT 'supplier.' || s_suppkey, 'balance', CAST(s_acctbal AS VARCHAR) FROM supplier
+  UNION ALL SELECT 'part.' || p_partkey, unnest(['brand', 'kind', 'size', 'price']), unnest([p_brand, p_type, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)]) FROM part
+  UNION ALL SELECT 'order.' || o_orderkey, unnest(['total', 'priority', 'ordered']), unnest([CAST(o_totalprice AS VARCHAR), o_orderpriority, strftime(o_orderdate, '%Y-%m-%d')]) FROM orders
+  UNION ALL SELECT 'document.' || doc_id, unnest(['n_chars', 'lang']), unnest([CAST(n_chars AS VARCHAR), lang]) FROM documents),
+  triples AS (SELECT '<urn:kg:' || id || '>' AS subject, '<urn:kg:' || p || '> ' || o AS po FROM (
+    SELECT id, 'type' AS p, '<urn:kg:' || type || '>' AS o FROM nodes UNION ALL SELECT id, 'label', '"' || label || '"' FROM nodes
+    UNION ALL SELECT id, 'status', '"' || status || '"' FROM nodes UNION ALL SELECT id, 'as_of', '"' || as_of || '"' FROM nodes
+    UNION ALL SELECT id, 'attr/' || k, '"' || v || '"' FROM attrs UNION ALL SELECT src, 'rel/' || rel, '<urn:kg:' || dst || '>' FROM edges) WHERE o IS NOT NULL)"""
+
+
+@query(f"WITH {_TRIPLES} SELECT subject || ' ' || po || ' .' AS line FROM triples")
 def export_triples(spark, sf):
-    g = graph(spark, sf)
-    return store.triples(g.of_type("Nation"), g.edges.where("rel = 'in_region'")).select("line")
+    return store.triples(tables.nodes(spark, sf), tables.edges(spark, sf)).select("line")
 
 
-@query("""SELECT 'region.' || r_regionkey AS id, r_name || ' (Region)' || coalesce(chr(10) || string_agg('is in_region of ' || n_name, chr(10) ORDER BY 'is in_region of ' || n_name), chr(10)) AS text
-  FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""")
+@query("""WITH %NODES%, %EDGES%, b AS (SELECT src AS id, rel, dst AS other FROM edges UNION ALL SELECT dst, 'is ' || rel || ' of', src FROM edges),
+  l AS (SELECT b.id, string_agg(rel || ' ' || label, chr(10) ORDER BY rel || ' ' || label) AS lines FROM b JOIN nodes ON nodes.id = b.other GROUP BY b.id)
+  SELECT nodes.id, label || ' (' || type || ')' || chr(10) || coalesce(lines, '') AS text FROM nodes LEFT JOIN l ON l.id = nodes.id""")
 def search_cards(spark, sf):
-    g = graph(spark, sf)
-    return store.cards(g.of_type("Place"), g.edges.where("rel = 'in_region'")).where("id LIKE 'region.%'").select("id", "text")
+    return store.cards(tables.nodes(spark, sf), tables.edges(spark, sf)).select("id", "text")
 
 
 # Events.
@@ -971,18 +982,17 @@ def actions_due(spark, sf):
     return links.due(actions, runs, F.lit("2024-01-31 00:00:00").cast("timestamp")).select("action", "due")
 
 
-@query("""SELECT 'nation.' || n_nationkey AS id, '# ' || n_name || chr(10) || chr(10) || 'Nation, current' || chr(10) || chr(10) || '## Links' || chr(10) || chr(10) || '- in_region: [[' || r_name || ']]' AS page
-  FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("""WITH %NODES%, %EDGES%, o AS (SELECT src AS id, string_agg(t, chr(10) ORDER BY t) AS t FROM (SELECT src, '- ' || rel || ': [[' || label || ']]' AS t FROM edges JOIN nodes ON id = dst) GROUP BY src),
+  i AS (SELECT dst AS id, string_agg(t, chr(10) ORDER BY t) AS t FROM (SELECT dst, '- [[' || label || ']] ' || rel AS t FROM edges JOIN nodes ON id = src) GROUP BY dst)
+  SELECT id, '# ' || label || chr(10) || chr(10) || type || ', ' || status || coalesce(chr(10) || chr(10) || '## Links' || chr(10) || chr(10) || o.t, '')
+    || coalesce(chr(10) || chr(10) || '## Backlinks' || chr(10) || chr(10) || i.t, '') AS page FROM nodes LEFT JOIN o USING (id) LEFT JOIN i USING (id)""")
 def entity_pages(spark, sf):
-    g = graph(spark, sf)
-    return links.entity_pages(g.of_type("Place"), g.edges.where("rel = 'in_region'")).where("id LIKE 'nation.%'")
+    return links.entity_pages(tables.nodes(spark, sf), tables.edges(spark, sf))
 
 
-@query("""SELECT '<urn:kg:nation.' || n_nationkey || '>' AS subject, '<urn:kg:nation.' || n_nationkey || '> <urn:kg:attr/name> "' || n_name || '" ;' || chr(10) || '  <urn:kg:label> "' || n_name || '" ;' || chr(10)
-  || '  <urn:kg:rel/in_region> <urn:kg:region.' || n_regionkey || '> ;' || chr(10) || '  <urn:kg:status> "current" ;' || chr(10) || '  <urn:kg:type> <urn:kg:Nation> .' AS block FROM nation""")
+@query(f"""WITH {_TRIPLES} SELECT subject, subject || ' ' || string_agg(DISTINCT po, ' ;' || chr(10) || '  ' ORDER BY po) || ' .' AS block FROM triples GROUP BY subject""")
 def export_turtle(spark, sf):
-    g = graph(spark, sf)
-    return links.turtle(store.triples(g.of_type("Nation"), g.edges.where("rel = 'in_region'")))
+    return links.turtle(store.triples(tables.nodes(spark, sf), tables.edges(spark, sf)))
 
 
 # Variables left free, merged rows, near misses, definitions, gates.
