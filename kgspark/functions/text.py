@@ -43,6 +43,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def stem(word: Column) -> Column:
+    """The first five letters of words of six or more; shorter words as they are."""
+    return F.when(F.length(word) >= 6, F.substring(word, 1, 5)).otherwise(word)
+
+
 def query_tokens(text: Column) -> Column:
     """Distinct tokens of a search: longer than two characters and no stop word, or all where none is left."""
     every = tokens(text)

@@ -50,6 +50,22 @@ def node_diff(live: DataFrame, candidate: DataFrame) -> DataFrame:
     return out.select("id", change.alias("change"), fields.alias("fields")).where("change IS NOT NULL")
 
 
+def introduced(live: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(id, text): what a candidate adds in words, for a privacy scan: new or changed labels, summaries and attributes.
+
+    Attributes follow as ``name: value``, by name.  Nodes that add nothing have no row.
+    """
+    held = F.from_json("attributes", "map<string,string>")
+    old = live.select(F.col("id").alias("_o"), F.col("label").alias("_l"), F.col("summary").alias("_s"), held.alias("_a"))
+    new = candidate.select("id", "label", "summary", held.alias("a"))
+    rows = new.join(old, new["id"] == old["_o"], "left")
+    prose = [F.when((F.col(c) != "") & ~F.col(c).eqNullSafe(F.col(o)), F.col(c)) for c, o in (("label", "_l"), ("summary", "_s"))]
+    said = lambda e: F.when(~e["value"].eqNullSafe(F.try_element_at("_a", e["key"])), F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null"))))
+    facts = F.coalesce(F.transform(F.array_sort(F.map_entries("a")), said), F.array().cast("array<string>"))
+    parts = F.filter(F.concat(F.array(*prose), facts), lambda x: x.isNotNull())
+    return rows.select("id", parts.alias("p")).where(F.size("p") > 0).select("id", F.array_join("p", "\n").alias("text"))
+
+
 def edge_diff(live: DataFrame, candidate: DataFrame) -> DataFrame:
     """(src, rel, dst, change): added or removed triples."""
     key = ["src", "rel", "dst"]
@@ -313,6 +329,26 @@ def ledger_summary(before: DataFrame, after: DataFrame, edges_before: DataFrame,
 # Definitions, sources and gates.
 
 
+def repeated_ids(log: DataFrame) -> DataFrame:
+    """(id, n): ids that more than one entry of a log has; entries without an id, or with one that was not readable, do not count."""
+    rows = log.where((F.col("id") != "") & (F.col("id") != "(unparseable)"))
+    return rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def changelog(ledger: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest entries of a ledger, flat: at, by, note, nodes_added, nodes_changed, edges_added, retired, sources (JSON lists).
+
+    ledger: at, by, note, nodes (added, changed), edges (added), retired and sources (arrays).
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    listed = lambda c: F.to_json(F.coalesce(F.col(c), F.array().cast("array<string>")))
+    rows = ledger.select(
+        "at", "by", "note", n("nodes.added").alias("nodes_added"), n("nodes.changed").alias("nodes_changed"), n("edges.added").alias("edges_added"),
+        listed("retired").alias("retired"), listed("sources").alias("sources"),
+    )
+    return rows.orderBy(F.desc("at"), *(c for c in rows.columns if c != "at")).limit(limit)
+
+
 def definition_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """(id, change): added, removed, changed or reworded definitions (id, definition: a JSON object).
 

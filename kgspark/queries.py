@@ -1079,6 +1079,39 @@ def definition_diff(spark, sf):
     return curation.definition_diff(old, new, ["when", "then"])
 
 
+@query("""SELECT 'customer.' || c_custkey AS id, upper(c_name) AS text FROM customer WHERE c_acctbal < 0 AND upper(c_name) <> c_name
+  UNION ALL SELECT 'nation.new', n_name || chr(10) || 'name: ' || n_name FROM nation WHERE n_nationkey = 0
+  UNION ALL SELECT 'part.' || p_partkey, 'brand: ' || replace(p_brand, 'Brand#1', 'Maker#1') FROM part WHERE starts_with(p_brand, 'Brand#1')""")
+def introduced_text(spark, sf):
+    renamed = _candidate(spark, sf).withColumn("attributes", F.replace("attributes", F.lit('"Brand#1'), F.lit('"Maker#1')))
+    return curation.introduced(tables.nodes(spark, sf), renamed)
+
+
+@query("SELECT event_type || '.' || user_id AS id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
+def repeated_ids(spark, sf):
+    e = tables.table(spark, sf, "events")
+    return curation.repeated_ids(e.select(F.concat_ws(".", "event_type", F.col("user_id").cast("string")).alias("id")))
+
+
+@query("""SELECT o_orderdate AS "at", 'clerk' || o_custkey % 7 AS by, 'order.' || o_orderkey AS note, 1::BIGINT AS nodes_added, 0::BIGINT AS nodes_changed, o_custkey::BIGINT AS edges_added,
+    '[]' AS retired, '["' || o_orderpriority || '"]' AS sources FROM orders ORDER BY o_orderdate DESC, 2, 3 LIMIT 50""")
+def changelog(spark, sf):
+    o = tables.table(spark, sf, "orders")
+    none = F.lit(None).cast("array<string>")
+    return curation.changelog(o.select(
+        F.col("o_orderdate").alias("at"), F.concat(F.lit("clerk"), (F.col("o_custkey") % 7).cast("string")).alias("by"), tables.ref("order", "o_orderkey").alias("note"),
+        F.struct(F.lit(1).alias("added"), F.lit(None).cast("int").alias("changed")).alias("nodes"), F.struct(F.col("o_custkey").alias("added")).alias("edges"),
+        none.alias("retired"), F.array("o_orderpriority").alias("sources"),
+    ))
+
+
+@query("""WITH w AS (SELECT p_partkey, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))) AS word FROM part)
+  SELECT p_partkey, word, CASE WHEN length(word) >= 6 THEN left(word, 5) ELSE word END AS stem FROM w""")
+def word_stems(spark, sf):
+    words = tables.table(spark, sf, "part").select("p_partkey", F.explode(F.array_distinct(tokens(F.col("p_name")))).alias("word"))
+    return words.withColumn("stem", text_functions.stem(F.col("word")))
+
+
 _PLAIN = [d for d in text_functions.DETECTORS if not d[3]]  # without a check of digits, which SQL lacks
 
 

@@ -70,6 +70,15 @@ def drop_node(nodes: DataFrame, edges: DataFrame, node_id: str) -> tuple[DataFra
     return nodes.where(F.col("id") != node_id), edges.where((F.col("src") != node_id) & (F.col("dst") != node_id))
 
 
+def write_layer(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph for other tools: ``nodes`` and ``edges`` as JSON lines, ``entities`` and ``relationships`` as CSV with a header."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+    flat = lambda df, *columns: df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"')
+    flat(nodes, "id", "type", "label", "status", "summary").csv(f"{path}/entities")
+    flat(edges, "src", "rel", "dst", "status").csv(f"{path}/relationships")
+
+
 # Renderings of a graph as rows.
 
 

@@ -76,3 +76,27 @@ def test_privacy_gate(spark):
     got = {r["doc_id"]: (r["station"], r["kinds"]) for r in curation.privacy_gate(docs).collect()}
     mail, key = "personal data: email address", "credential: AWS access key id"
     assert got == {1: ("review", [mail]), 2: ("quarantine", [key, mail]), 3: ("accepted", []), 4: ("accepted", []), 5: ("accepted", [])}
+
+
+def test_introduced(spark):
+    live = nodes(spark, ("a", "T", '{"k":1,"l":[1]}'), ("b", "T", None), ("gone", "T", "{}"))
+    new = nodes(spark, ("a", "T", '{"l":[1,2],"k":1,"m":null}'), ("b", "T", None), ("c", "T", '{"z":"x","y":2}'))
+    new = new.withColumn("summary", F.when(F.col("id") == "b", F.lit("said")).when(F.col("id") == "c", F.lit("")))
+    got = {r["id"]: r["text"] for r in curation.introduced(live, new).collect()}
+    assert got == {"a": "l: [1,2]", "b": "said", "c": "c\ny: 2\nz: x"}
+
+
+def test_log_readers(spark):
+    log = spark.createDataFrame([("x",), ("x",), ("",), ("",), (None,), (None,), ("(unparseable)",), ("(unparseable)",), ("y",)], "id string")
+    assert [tuple(r) for r in curation.repeated_ids(log).collect()] == [("x", 2)]
+    rows = [("2024-01-01", "a", None, None, None, None, None), ("2024-01-02", "b", "n", (1, 2), (3,), ["r"], ["s", "t"]), ("2024-01-03", "c", "n", (None, 1), (None,), [], None)]
+    schema = "at string, by string, note string, nodes struct<added:int,changed:int>, edges struct<added:int>, retired array<string>, sources array<string>"
+    ledger = spark.createDataFrame(rows, schema)
+    assert [tuple(r) for r in curation.changelog(ledger, 2).collect()] == [
+        ("2024-01-03", "c", "n", 0, 1, 0, "[]", "[]"), ("2024-01-02", "b", "n", 1, 2, 3, '["r"]', '["s","t"]')
+    ]
+    assert curation.changelog(ledger).count() == 3 and curation.changelog(ledger.where("false")).count() == 0
+
+
+def test_stem(spark):
+    assert values(spark, text.stem, ["claims", "claim", "", None, "a"]) == ["claim", "claim", "", None, "a"]

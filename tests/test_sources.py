@@ -117,3 +117,15 @@ def test_windows_on_a_stream(spark, tmp_path):
     q = feeds.windowed(stream).writeStream.format("memory").queryName("win").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert got(spark.sql("SELECT n FROM win")) == [(5,), (5,)]
+
+
+def test_layer(spark, tmp_path):
+    n = spark.createDataFrame([("a", "T", 'say "x", y', "current", None, '{"k":1}'), ("b", "T", None, "current", "s", None)], "id string, type string, label string, status string, summary string, attributes string")
+    e = spark.createDataFrame([("a", "r", "b", "current")], "src string, rel string, dst string, status string")
+    for _ in range(2):  # written over
+        store.write_layer(n, e, f"{tmp_path}/k")
+    assert got(spark.read.schema(n.schema).json(f"{tmp_path}/k/nodes")) == got(n)
+    assert got(spark.read.json(f"{tmp_path}/k/edges").select(*e.columns)) == got(e)
+    flat = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/k/entities")
+    assert got(flat) == got(n.select("id", "type", "label", "status", "summary"))
+    assert got(spark.read.option("header", True).csv(f"{tmp_path}/k/relationships")) == [("a", "r", "b", "current")]
