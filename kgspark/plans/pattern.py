@@ -26,6 +26,7 @@ from kgspark.functions.expressions import Value, compare, edge_key, of_json, of_
 from kgspark.operators.graph import visible
 from kgspark.plans.vocabulary import Vocabulary, _listed
 from kgspark.schema import BELIEVED
+from kgspark.sources.shared import checkpointed
 
 _REFERENCE = re.compile(r"\$([A-Za-z_]\w*)(?:\.([A-Za-z_]\w*))?")
 USED = "_used"
@@ -45,6 +46,7 @@ class Matcher:
         self.derived, self.track = derived, track
         self.spark = nodes.sparkSession
         self.loose: set[str] = set()  # variables that an optional block may have left unbound
+        self.splits = 0  # steps that took bindings more than once
 
     # Values.
 
@@ -172,30 +174,79 @@ class Matcher:
 
         Loose variables are those that an optional block may have left unbound.
         """
+        if set(variables) & self.loose:
+            bindings = self._shared(bindings)
         parts = [(bindings, self._variables(bindings))]
         for v in sorted(set(variables) & self.loose):
             parts = [x for b, bound in parts for x in ((b.where(F.col(v).isNotNull()), bound), (b.where(F.col(v).isNull()).drop(v), bound - {v}))]
         found = [step(b, bound) for b, bound in parts]
         return reduce(lambda a, b: a.unionByName(b), found)
 
+    def _shared(self, bindings: DataFrame) -> DataFrame:
+        """For a step that takes bindings more than once.  Of several such steps each would multiply the plan, so from the second on they are written first."""
+        self.splits += 1
+        return checkpointed(bindings) if self.splits > 1 else bindings
+
+    def _apart(self, block: list[dict], bound: set[str]) -> tuple[list[dict], list[str]] | None:
+        """A block of one edge and conditions on its ends, edge first, and its bound variables, if it can be matched
+        apart from the bindings and joined on those."""
+        edges, nodes = [p for p in block if "edge" in p], [p for p in block if "node" in p]
+        if len(edges) != 1 or len(edges) + len(nodes) != len(block):
+            return None
+        ends = [v for v in (edges[0]["edge"][0], edges[0]["edge"][2]) if v != "*"]
+        shared = [v for v in ends if v in bound]
+        said = {m[1] for p in nodes for _, _, x in self._conditions(p.get("where")) if isinstance(x, str) for m in _REFERENCE.finditer(x)}
+        if not shared or len(set(ends)) < len(ends) or set(shared) & self.loose or not {p["node"] for p in nodes} <= set(ends) or said & (bound | set(ends)) - set(shared):
+            return None
+        return edges + nodes, shared
+
+    def _separately(self, block: list[dict], track: bool) -> DataFrame:
+        was, loose = self.track, self.loose
+        self.track = track
+        try:
+            return self.match(block)
+        finally:
+            self.track, self.loose = was, loose
+
     def _step(self, p: dict, bindings: DataFrame | None) -> DataFrame:
         bound = self._variables(bindings)
         if "node" in p or "edge" in p:
             ends = [p["node"]] if "node" in p else [p["edge"][0], p["edge"][2]]
             step = (lambda b, v: self._node(p, b, v)) if "node" in p else (lambda b, v: self._edge(p["edge"], b, v, "inner"))
-            if bindings is None or not self.loose & bound & set(ends):
+            free = self.loose & bound & set(ends)
+            if bindings is None or not free:
                 return step(bindings, bound)
+            if "edge" in p and self._held(ends, bound):
+                out = self._edge(p["edge"], bindings, bound, "inner")
+                self.loose -= set(ends)
+                return out
             out = self._freed(bindings, ends, step)
             self.loose -= set(ends)
             return out
         if bindings is None:
             bindings = self.spark.range(1).select(F.lit(True).alias("_yes"), *([F.array().cast("array<string>").alias(USED)] if self.track else []))
         if "not_edge" in p:
+            ends = [p["not_edge"][0], p["not_edge"][2]]
+            if not self.loose & bound & set(ends) or self._held(ends, bound):
+                return self._edge(p["not_edge"], bindings, bound, "left_anti")
             free = lambda b, v: self._edge(p["not_edge"], b, v, "left_anti").withColumns({c: F.lit(None).cast("string") for c in bound - v})
-            return self._freed(bindings, [p["not_edge"][0], p["not_edge"][2]], free).select(*bindings.columns)
+            return self._freed(bindings, ends, free).select(*bindings.columns)
         if "not_node" in p:
             return self._tidy(self._joined(bindings, p, bound, None, "left_anti"), bindings)
         keys = sorted(bound)
+        apart = self._apart(p.get("not", p.get("optional", [])), bound)
+        if apart is not None:
+            block, shared = apart
+            found = self._separately(block, self.track and "optional" in p)
+            on = reduce(lambda a, b: a & b, (F.col(v) == F.col(f"_k_{v}") for v in shared))
+            if "not" in p:
+                return bindings.join(found.select(*(F.col(v).alias(f"_k_{v}") for v in shared)), on, "left_anti")
+            new = sorted(self._variables(found) - bound)
+            found = found.select(*(F.col(v).alias(f"_k_{v}") for v in shared), *new, *([F.col(USED).alias("_more")] if self.track else []))
+            kept = [F.concat(F.col(USED), F.coalesce("_more", F.array().cast("array<string>"))).alias(USED) if c == USED else F.col(c) for c in bindings.columns]
+            self.loose |= set(new)
+            return bindings.join(found, on, "left").select(*kept, *new)
+        bindings = self._shared(bindings)
         if "not" in p:
             found = self._inside(p["not"], bindings, keys)
             return self._same(bindings, found, keys, "left_anti")
@@ -249,6 +300,10 @@ class Matcher:
         out = self._joined(bindings, p, bound, None, "inner")
         return out.select(*bindings.columns, F.col("_id").alias(var))
 
+    def _held(self, ends: list[str], bound: set[str]) -> bool:
+        """Whether one end is bound for sure, so that a loose one needs no join of its own."""
+        return any(v in bound and v not in self.loose for v in ends) and len(set(ends)) == 2
+
     def _edge(self, spec: list[str], bindings: DataFrame | None, bound: set[str], how: str) -> DataFrame:
         src, rel, dst = spec
         e = self.edges
@@ -262,14 +317,16 @@ class Matcher:
         key = F.array(edge_key("_src", "_rel", "_dst"))
         if bindings is None:
             return e.select(*(F.col(c).alias(v) for v, c in new.items()), *([key.alias(USED)] if self.track else []))
-        conds = [F.col(var).eqNullSafe(F.col(col)) for var, col in ((src, "_src"), (dst, "_dst")) if var != "*" and var in bound]
+        at = [(var, col) for var, col in ((src, "_src"), (dst, "_dst")) if var != "*" and var in bound]
+        mixed = [var for var, _ in at if var in self.loose] if self._held([src, dst], bound) else []  # bound in some rows only
+        conds = [F.col(var).isNull() | (F.col(var) == F.col(col)) if var in mixed else F.col(var).eqNullSafe(F.col(col)) for var, col in at]
         if how == "left_anti":
             return bindings.join(e if conds else e.limit(1), reduce(lambda a, b: a & b, conds) if conds else F.lit(True), how)
         if not conds:
             out = bindings.crossJoin(e)  # unconnected, as for nodes
         else:
             out = bindings.join(e, reduce(lambda a, b: a & b, conds), how)
-        kept = [F.concat(F.col(USED), key).alias(USED) if c == USED else F.col(c) for c in bindings.columns]
+        kept = [F.concat(F.col(USED), key).alias(USED) if c == USED else F.coalesce(F.col(c), F.col(dict(at)[c])).alias(c) if c in mixed else F.col(c) for c in bindings.columns]
         return out.select(*kept, *(F.col(c).alias(v) for v, c in new.items()))
 
     # Answers.
