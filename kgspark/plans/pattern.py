@@ -4,7 +4,7 @@ A pattern list binds variables to node ids.  Bindings are a DataFrame with one
 column for each variable, and every pattern is one relational step on it:
 
     {"node": "p", "type": "Order", "where": {...}}   inner join with nodes (a filter, if p is bound)
-    {"edge": ["p", "placed_by|owned_by", "c"]}       inner equi-join with edges; "*" binds nothing
+    {"edge": ["p", "placed_by|owned_by", "c"]}       inner equi-join with edges (or those of "of"); "*" binds nothing
     {"not_edge": [...]}, {"not": [patterns]}         left anti join
     {"not_node": ..., "type": ..., "where": ...}     left anti join with nodes
     {"optional": [patterns]}                         left outer join
@@ -212,12 +212,12 @@ class Matcher:
         bound = self._variables(bindings)
         if "node" in p or "edge" in p:
             ends = [p["node"]] if "node" in p else [p["edge"][0], p["edge"][2]]
-            step = (lambda b, v: self._node(p, b, v)) if "node" in p else (lambda b, v: self._edge(p["edge"], b, v, "inner"))
+            step = (lambda b, v: self._node(p, b, v)) if "node" in p else (lambda b, v: self._edge(p["edge"], b, v, "inner", p.get("of")))
             free = self.loose & bound & set(ends)
             if bindings is None or not free:
                 return step(bindings, bound)
             if "edge" in p and self._held(ends, bound):
-                out = self._edge(p["edge"], bindings, bound, "inner")
+                out = self._edge(p["edge"], bindings, bound, "inner", p.get("of"))
                 self.loose -= set(ends)
                 return out
             out = self._freed(bindings, ends, step)
@@ -304,9 +304,9 @@ class Matcher:
         """Whether one end is bound for sure, so that a loose one needs no join of its own."""
         return any(v in bound and v not in self.loose for v in ends) and len(set(ends)) == 2
 
-    def _edge(self, spec: list[str], bindings: DataFrame | None, bound: set[str], how: str) -> DataFrame:
+    def _edge(self, spec: list[str], bindings: DataFrame | None, bound: set[str], how: str, of: DataFrame | None = None) -> DataFrame:
         src, rel, dst = spec
-        e = self.edges
+        e = self.edges if of is None else of
         if rels := _listed(rel):
             e = e.where(F.col("rel").isin(*rels))
         e = e.select(F.col("src").alias("_src"), F.col("rel").alias("_rel"), F.col("dst").alias("_dst"))

@@ -1,9 +1,12 @@
 """Forward-chained rules to a fixpoint, and policies over the result.
 
 Every round evaluates the rules in order; a rule sees what earlier rules of the
-round derived.  New facts are what an anti join with the known ones leaves; they
-are checkpointed to the shared folder, so a round's plan does not grow with the
-number of rounds and survives lost executors.
+round derived.  A rule that ran before is evaluated on what is new since: once for
+each premise that new edges can satisfy, with those edges in its place, beginning
+there, and all facts in the others'.  If nothing that it reads is new, it does not
+run.  New facts are what an anti join with the known ones leaves; they are
+checkpointed to the shared folder, so a round's plan does not grow with the number
+of rounds and survives lost executors.
 """
 
 from __future__ import annotations
@@ -64,15 +67,20 @@ def derive(nodes: DataFrame, edges: DataFrame, rules: list[dict], vocabulary: Vo
     chained, read = _chained(rules), _relations(rules)
     nodes, base = visible(nodes, edges if read is None else edges.where(F.col("rel").isin(*read)))
     base = checkpointed(base.select("src", "rel", "dst", "status", "derived_by", "premises"))
+    news: list[tuple[str, str, DataFrame]] = []  # ("edge" or "attribute", its name, the facts), in the order in which they came
+    ran: dict[str, int] = {}  # how many of them there were when a rule ran last
     for number in range(1, max_rounds + 2):
         if number > max_rounds:
             raise DoesNotConverge(f"no fixpoint in {max_rounds} rounds")
         grown = False
         for rule in (r for r in rules if r["kind"] == "derive"):
-            if number > 1 and rule["id"] not in chained:
-                continue  # reads nothing that a rule derives, so it can add nothing after the first round
-            m = Matcher(nodes, base.unionByName(new_edges.drop("depth")), vocabulary, derived=new_attrs.select("node_id", "name", "value") if rule["id"] in chained else None, track=True, seen=True)
-            found = _with_premises(m.match(rule["when"]), new_edges if rule["id"] in chained else None)
+            reads = rule["id"] in chained
+            m = Matcher(nodes, base.unionByName(new_edges.drop("depth")), vocabulary, derived=new_attrs.select("node_id", "name", "value") if reads else None, track=True, seen=True)
+            matched = _matched(rule, m, news, ran.get(rule["id"]))
+            ran[rule["id"]] = len(news)
+            if matched is None:
+                continue
+            found = _with_premises(matched, new_edges if reads else None)
             fresh = _edges(rule, found, base, new_edges) if "edge" in rule["then"] else _attributes(rule, found, m, nodes, new_attrs)
             fresh = checkpointed(fresh)
             if fresh.isEmpty():
@@ -80,13 +88,55 @@ def derive(nodes: DataFrame, edges: DataFrame, rules: list[dict], vocabulary: Vo
             grown = True
             if "edge" in rule["then"]:
                 new_edges = new_edges.unionByName(fresh)
+                news.append(("edge", rule["then"]["edge"][1], fresh))
             else:
                 new_attrs = new_attrs.unionByName(fresh)
+                news.append(("attribute", rule["then"]["attribute"][1], fresh))
         if not grown or not chained:
             return Derived(new_edges, new_attrs, number)
     raise AssertionError
 
 
+def _matched(rule: dict, m: Matcher, news: list[tuple[str, str, DataFrame]], since: int | None) -> DataFrame | None:
+    """The bindings of a rule that rest on what is new since it ran (all, if it never did), or none if nothing is that it reads."""
+    when = rule["when"]
+    if since is None:
+        return m.match(when)
+    value = rule["then"]["attribute"][2] if "attribute" in rule["then"] else None
+    names = {n for p in when for n in p.get("where") or {}} | ({value.partition(".")[2]} if isinstance(value, str) else set())
+    fresh = news[since:]
+    if any(kind == "attribute" and name in names for kind, name, _ in fresh):
+        return m.match(when)
+    parts = []
+    for i, p in enumerate(when):
+        wanted = _listed(p["edge"][1]) if "edge" in p else []
+        new = [df for kind, rel, df in fresh if kind == "edge" and "edge" in p and (not wanted or rel in wanted)]
+        if not new:
+            continue
+        if any(isinstance(x, str) and "$" in x for q in when for _, _, x in m._conditions(q.get("where"))):
+            return m.match(when)  # what a reference means depends on the order of patterns
+        parts.append(_from(i, when, reduce(DataFrame.unionByName, new), m))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
+def _from(i: int, when: list[dict], new: DataFrame, m: Matcher) -> DataFrame:
+    """Bindings of the patterns with the i-th, an edge, taken from ``new``.
+
+    They are matched from that edge on, each next one connected where it can
+    be; the used edges are put in the order of the patterns after that.
+    """
+    edges = [k for k, p in enumerate(when) if "edge" in p]
+    order, bound, rest = [i], {v for v in (when[i]["edge"][0], when[i]["edge"][2]) if v != "*"}, [k for k in edges if k != i]
+    while rest:
+        k = next((k for k in rest if bound & {when[k]["edge"][0], when[k]["edge"][2]}), rest[0])
+        rest.remove(k)
+        order.append(k)
+        bound |= {v for v in (when[k]["edge"][0], when[k]["edge"][2]) if v != "*"}
+    patterns = [when[k] | ({"of": new} if k == i else {}) for k in order]
+    found = m.match([*patterns, *(p for p in when if "edge" not in p)])
+    return found.withColumn(USED, F.array(*(F.get(USED, F.lit(order.index(k))) for k in edges)))
+
+
 def _chained(rules: list[dict]) -> set[str]:
     """Rules that read a relation or an attribute that some rule derives."""
     derives = [r for r in rules if r["kind"] == "derive"]
