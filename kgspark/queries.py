@@ -15,11 +15,13 @@ from kgspark.functions import metrics
 from kgspark.functions import text as text_functions
 from kgspark.functions.expressions import equals, attribute, name_as_words, slug
 from kgspark.functions.text import chunks, number_stated, privacy_findings, quoted_in, relative_date, tokens
-from kgspark.operators import curation, evaluation, links, retrieval, shapes, survey, temporal
+from kgspark.operators import curation, evaluation, fuzzy, links, retrieval, shapes, survey, temporal
 from kgspark.operators.graph import KnowledgeGraph
 from kgspark.plans import questions, rules
 from kgspark.plans.pattern import Matcher
 from kgspark.plans.projection import Projection
+from kgspark.plans.sql import Renderer
+from kgspark.plans.sql import run as run_sql
 from kgspark.plans.vocabulary import Vocabulary
 from kgspark.sources import store, tables
 from kgspark.sources.files import documents_of
@@ -1163,3 +1165,80 @@ def codes_stated(spark, sf):
     other = F.when(F.col("p_size") % 2 == 1, code).otherwise(F.concat(F.lit("PRT-"), key, F.lit("9")))
     text = F.concat(F.lit("Install "), other, F.lit(" first."))
     return p.select("p_partkey", text_functions.code_stated(code, text).alias("stated"), text_functions.distinct_codes(code, text).alias("distinct_codes"))
+
+
+# Patterns as SQL: the text that the compiler gives is the oracle.
+
+#: The graph as tables of nodes and edges, with attributes as JSON.
+GRAPH_SQL = """nodes AS (
+  SELECT 'region.' || r_regionkey AS id, 'Region' AS type, r_name AS label, 'current' AS status, CAST(NULL AS VARCHAR) AS as_of, to_json({'name': r_name}) AS attributes FROM region
+  UNION ALL SELECT 'nation.' || n_nationkey, 'Nation', n_name, 'current', NULL, to_json({'name': n_name}) FROM nation
+  UNION ALL SELECT 'customer.' || c_custkey, 'Customer', c_name, 'current', NULL, to_json({'balance': c_acctbal, 'segment': c_mktsegment}) FROM customer
+  UNION ALL SELECT 'supplier.' || s_suppkey, 'Supplier', s_name, 'current', NULL, to_json({'balance': s_acctbal}) FROM supplier
+  UNION ALL SELECT 'part.' || p_partkey, 'Part', p_name, 'current', NULL, to_json({'brand': p_brand, 'kind': p_type, 'size': p_size, 'price': p_retailprice}) FROM part
+  UNION ALL SELECT 'order.' || o_orderkey, 'Order', 'order.' || o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'superseded' WHEN 'P' THEN 'intended' ELSE 'current' END,
+    strftime(o_orderdate, '%Y-%m-%d'), to_json({'total': o_totalprice, 'priority': o_orderpriority, 'ordered': strftime(o_orderdate, '%Y-%m-%d')}) FROM orders
+  UNION ALL SELECT 'document.' || doc_id, 'Document', 'document.' || doc_id, 'current', NULL, to_json({'n_chars': n_chars, 'lang': lang}) FROM documents),
+""" + EDGES_SQL.replace("edges AS (", "edge_rows AS (") + ", edges AS (SELECT *, 'current' AS status FROM edge_rows)"
+
+
+def compiled(when: list[dict], select: list[str]) -> str:
+    """A pattern's SQL over the star-schema tables."""
+    text = Renderer(VOCABULARY, columns=("id", "type", "label", "status", "as_of")).query(when, select)
+    return text.replace("WITH RECURSIVE ", f"WITH RECURSIVE {GRAPH_SQL}, ", 1)
+
+
+OPTIONALS = [
+    {"node": "c", "type": "Customer", "where": {"balance": {"<": 0}}},
+    {"edge": ["c", "in_nation", "n"]},
+    {"optional": [{"edge": ["o", "placed_by", "c"]}, {"node": "o", "where": {"priority": "1-URGENT"}}]},
+    {"optional": [{"edge": ["o", "supplied_by", "s"]}, {"edge": ["s", "in_nation", "n"]}]},
+    {"optional": [{"edge": ["n", "in_region", "r"]}, {"node": "r", "where": {"name": {"!=": "$n.name"}}}]},
+    {"optional": [{"edge": ["s", "in_nation", "m"]}]},
+    {"optional": [{"edge": ["o", "contains", "p"]}, {"node": "p", "where": {"size": {">": 45}}}]},
+]
+NESTED = [
+    {"node": "s", "type": "Party"},
+    {"edge": ["s", "in_nation", "n"]},
+    {"not": [{"edge": ["o", "supplied_by", "s"]}, {"node": "o", "where": {"total": {">": 300000}}}, {"not": [{"edge": ["o", "placed_by", "c"]}, {"edge": ["c", "in_nation", "n"]}]}]},
+    {"not_edge": ["*", "placed_by", "s"]},
+]
+
+
+@query(compiled(OPTIONALS, ["$c", "$n.name", "$o", "$s", "$r", "$m", "$p.brand"]))
+def pattern_five_optionals(spark, sf):
+    m = matcher(spark, sf)
+    return m.select(m.match(OPTIONALS), ["$c", "$n.name", "$o", "$s", "$r", "$m", "$p.brand"])
+
+
+@query(compiled(NESTED, ["$s", "$s.label", "$n.name"]))
+def pattern_nested_not(spark, sf):
+    m = matcher(spark, sf)
+    return m.select(m.match(NESTED), ["$s", "$s.label", "$n.name"])
+
+
+@query(compiled(NESTED[:3], ["$s", "$n.name"]))
+def pattern_through_sql(spark, sf):
+    """The compiler's text for Spark, run by Spark."""
+    return run_sql(tables.nodes(spark, sf), tables.edges(spark, sf), NESTED[:3], ["$s", "$n.name"], VOCABULARY)
+
+
+# Phrases and terms, substrings both ways.
+
+
+@query("""WITH l AS (SELECT DISTINCT lower(p_name) AS phrase, p_brand AS canonical, 'part.' || p_partkey AS target FROM part UNION SELECT lower(n_name), 'nation', 'nation.' || n_nationkey FROM nation
+    UNION SELECT lower(c_mktsegment), 'segment', lower(c_mktsegment) FROM customer),
+  t AS (SELECT DISTINCT lower(left(text, 400)) || ' ' || lower(coalesce(m.c_mktsegment, '')) AS term FROM benchmark LEFT JOIN customer m ON m.c_custkey = item_id
+    UNION SELECT lower(substr(p_name, 2, 5)) FROM part UNION SELECT upper(substr(n_name, 1, 8)) FROM nation UNION SELECT substr(lower(c_mktsegment), 3, 2) FROM customer UNION SELECT 'x ' || lower(p_name) || ' y' FROM part)
+  SELECT DISTINCT term, canonical, target FROM t JOIN l ON contains(lower(term), phrase) OR contains(phrase, lower(term))""")
+def lexicon_fuzzy(spark, sf):
+    part, nation, customer, b = (tables.table(spark, sf, t) for t in ("part", "nation", "customer", "benchmark"))
+    kinds = customer.select(F.lower("c_mktsegment").alias("k"))
+    none = F.lit(None).cast("string")
+    lex = part.select(F.lower("p_name").alias("phrase"), F.col("p_brand").alias("canonical"), tables.ref("part", "p_partkey").alias("target"))
+    lex = lex.union(nation.select(F.lower("n_name"), F.lit("nation"), tables.ref("nation", "n_nationkey"))).union(kinds.select("k", F.lit("segment"), "k"))
+    lex = lex.distinct().select("*", none.alias("status"), none.alias("note"))
+    own = b.join(customer, F.col("item_id") == F.col("c_custkey"), "left").select(F.concat(F.lower(F.left("text", F.lit(400))), F.lit(" "), F.lower(F.coalesce("c_mktsegment", F.lit("")))).alias("term"))
+    terms = own.union(part.select(F.lower(F.substring("p_name", 2, 5)))).union(nation.select(F.upper(F.substring("n_name", 1, 8)))).union(kinds.select(F.substring("k", 3, 2)))
+    terms = terms.union(part.select(F.concat(F.lit("x "), F.lower("p_name"), F.lit(" y"))))
+    return fuzzy.lexicon_fuzzy(lex, terms, None).select("term", "canonical", "target").distinct()
