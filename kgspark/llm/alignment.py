@@ -5,8 +5,9 @@ Both encode one space and the whole text, without special tokens.  Byte offsets
 where tokens of both end cut a document's tokens into groups; every A token of a
 group is linked with every B token of it.
 
-1. Documents are taken in packs of about ``PACK`` bytes of text.  A pack interns
-   its distinct groups, expands the links of each distinct group once, and counts
+1. Documents are taken in packs of about ``PACK`` bytes of text, and their texts cut
+   into units where no token of either tokenizer is cut; a worker encodes each
+   distinct unit once.  A pack interns its distinct groups, expands the links of each distinct group once, and counts
    for every pair of ids the distinct documents that hold it: those of its group,
    or of several groups without repeats.
 2. The pairs of all packs are added up: ``count`` is a pair's number of documents
@@ -22,21 +23,20 @@ token occurrences; a group that every document has is one row a pack.
 Null and empty texts, and texts whose joined A or B bytes differ from space and
 text, have no tokens: zeros and an empty ``groups``.  Repeated rows and ids are
 documents of their own; a null doc_id stays.  Texts of any length are encoded
-whole: long ones in parts, cut where no token of either tokenizer is cut.  Other
-columns, of whatever name, are left out.
+whole.  Other columns, of whatever name, are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +45,17 @@ from kgspark.llm.shared import written
 
 #: Bytes of text whose groups are interned together.
 PACK = 8 << 20
-#: Longer texts are encoded in parts of about so many characters.
-PART = 1 << 16
-#: Texts given to a tokenizer at a time, in bytes.
+#: Distinct units, and characters of them, that a worker keeps between packs.
+UNITS, CHARACTERS = 1 << 19, 1 << 26
+#: Characters of units given to the tokenizers at a time.
 BATCH = 1 << 18
 #: Links of documents expanded at a time.
 LINKS = 1 << 21
-#: Between a letter or digit and a space A's pattern always ends a match and begins another.
-CUT = regex.compile(r"(?<=[\p{L}\p{N}])(?= )")
+#: Tokens of neither tokenizer run on from any other character into a space: A's
+#: pattern has spaces at the beginning of a match only, or white space alone, and
+#: B's pieces have them in front.  A unit is a space and what follows, up to the
+#: next space that has no white space before it.
+UNIT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links")
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
@@ -72,12 +75,6 @@ class Tokenizers:
     bytes_b: list
     cuts: bool  # no piece of B has a space after another character
 
-    def __post_init__(self):
-        self.len_a, self.len_b = (np.array([len(x) if x else 0 for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        texts = [[str(i) for i in range(len(t))] for t in (self.bytes_a, self.bytes_b)]
-        #: An id with what follows it: A ids with "," or "|", then B ids with "," or ";".
-        self.written = [f"{x}{end}" for t, ends in zip(texts, (",|", ",;")) for end in ends for x in t]
-
 
 def byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from U+0100 on."""
@@ -117,122 +114,123 @@ def tokenizers(a: bytes, b: bytes) -> Tokenizers:
     return _LOADED[key]
 
 
-def parts(text: str, cuts: bool) -> Iterator[str]:
-    """A space and the text, in parts that begin with a space."""
-    text, at = " " + text, 0
-    while cuts and len(text) - at > PART and (m := CUT.search(text, at + PART)):
-        yield text[at : m.start()]
-        at = m.start()
-    yield text[at:]
-
-
-def encoded(both: Tokenizers, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-    """The A and B ids of each text; none where there are no tokens."""
-    out, pending, owner, size = [None] * len(texts), [], [], 0
-    found: list[tuple[list, list]] = [([], []) for _ in texts]
-
-    def flush():
-        for i, x, y in zip(owner, both.a.encode_batch(pending, add_special_tokens=False), both.b.encode([p[1:] for p in pending], num_threads=1)):
-            found[i][0].extend(x.ids)
-            found[i][1].extend(y)
-
-    for i, text in enumerate(texts):
-        for part in parts(text, both.cuts) if text else ():
-            pending.append(part)
-            owner.append(i)
-            size += len(part)
-            if size >= BATCH:
-                flush()
-                pending, owner, size = [], [], 0
-    if pending:
-        flush()
-    for i, (text, (x, y)) in enumerate(zip(texts, found)):
-        raw = (" " + text).encode() if text else b""
-        if text and b"".join([both.bytes_a[t] for t in x]) == raw and b"".join([both.bytes_b[t] for t in y]) == raw:
-            out[i] = np.array(x, np.int64), np.array(y, np.int64)
-    return out
-
-
-def group_text(both: Tokenizers, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-    n_a, n_b = len(both.bytes_a), len(both.bytes_b)
-    last_a, last_b = np.append(of_a[1:] != of_a[:-1], True), np.append(of_b[1:] != of_b[:-1], True)
-    codes = np.concatenate((a + n_a * last_a, 2 * n_a + b + n_b * last_b))
-    order = np.argsort(np.concatenate((of_a * 2, of_b * 2 + 1)), kind="stable")
-    return "".join([both.written[c] for c in codes[order].tolist()])[:-1]
+class Units(dict):
+    """Distinct units of text by number, each encoded once by both tokenizers and cut into groups, distinct groups by number too."""
+
+    def __init__(self, both: Tokenizers):
+        super().__init__()
+        self.both, self.waiting, self.size = both, [], 0
+        self.counts = array("q")  # of each unit: A tokens, B tokens, groups, links, whether bytes differ
+        self.flat, self.first = array("i"), array("q", [0])  # numbers of each unit's groups
+        self.groups: dict[tuple, int] = {}
+        self.texts: list[str] = []  # of each group
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = len(self)
+        self.waiting.append(unit)
+        self.size += len(unit)
+        return len(self) - 1
+
+    def encode(self) -> None:
+        """Takes up the units that were numbered since the last time."""
+        lo = 0
+        while lo < len(self.waiting):
+            hi, size = lo, 0
+            while hi < len(self.waiting) and size < BATCH:
+                size += len(self.waiting[hi])
+                hi += 1
+            units = self.waiting[lo:hi]
+            first = self.both.a.encode_batch(units, add_special_tokens=False)
+            second = self.both.b.encode([u[1:] for u in units], num_threads=1)
+            for unit, x, y in zip(units, first, second):
+                self._take(unit.encode(), x.ids, y)
+            lo = hi
+        self.waiting.clear()
+
+    def _take(self, raw: bytes, a: list[int], b: list[int]) -> None:
+        bytes_a, bytes_b, groups = self.both.bytes_a, self.both.bytes_b, self.groups
+        if b"".join([bytes_a[t] for t in a]) != raw or b"".join([bytes_b[t] for t in b]) != raw:
+            self.counts.extend((0, 0, 0, 0, 1))
+            self.first.append(len(self.flat))
+            return
+        j = p = q = left = right = links = n = 0
+        for i, t in enumerate(a, 1):
+            left += len(bytes_a[t])
+            while right < left:
+                right += len(bytes_b[b[j]])
+                j += 1
+            if left == right:
+                group = tuple(a[p:i]), tuple(b[q:j])
+                at = groups.get(group)
+                if at is None:
+                    at = groups[group] = len(groups)
+                    self.texts.append(",".join(map(str, group[0])) + "|" + ",".join(map(str, group[1])))
+                self.flat.append(at)
+                links += (i - p) * (j - q)
+                n += 1
+                p, q = i, j
+        self.counts.extend((len(a), len(b), n, links, 0))
+        self.first.append(len(self.flat))
+
+    def form(self, number: int, names: list[tuple]) -> bytes:
+        a, b = names[number]
+        return np.array([len(a), *a, *b], np.int32).tobytes()
+
+
+def units_of(both: Tokenizers, text: str) -> list[str]:
+    """A space and the text, in units; a tokenizer B whose pieces may have spaces inside takes it whole."""
+    if not both.cuts:
+        return [" " + text]
+    units = UNIT.findall(" " + text)
+    if units[-1] == " " and len(units) > 1:  # a last space: B has nothing to encode after it
+        units[-2:] = [units[-2] + " "]
+    return units
 
 
 class Pack:
     """Documents whose groups are interned together."""
 
-    def __init__(self, both: Tokenizers):
-        self.both, self.rows, self.size = both, [], 0
-        self.a, self.b, self.of_a, self.of_b, self.n_groups = [], [], [], [], 0
-        self.group_doc: list[np.ndarray] = []
+    def __init__(self, units: Units):
+        self.units, self.docs, self.size = units, [], 0
 
-    def add(self, doc_id, text: str | None, ids, digest: bool) -> None:
+    def add(self, doc_id, text: str | None) -> None:
+        """Notes a document's units by number."""
         self.size += len(text or "") + 64
-        if ids is None:
-            self.rows.append((doc_id, 0, 0, 0, 0, ""))
-            return
-        a, b = ids
-        end_a, end_b = np.cumsum(self.both.len_a[a]), np.cumsum(self.both.len_b[b])
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
-        of_a, of_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-        n = len(common)
-        links = int(np.bincount(of_a, minlength=n) @ np.bincount(of_b, minlength=n))
-        groups = group_text(self.both, a, b, of_a, of_b)
-        self.rows.append((doc_id, len(a), len(b), n, links, hashlib.sha256(groups.encode()).hexdigest() if digest else groups))
-        for to, x in ((self.a, a), (self.b, b)):
-            to.append(x.astype(np.int32))
-        for to, x in ((self.of_a, of_a), (self.of_b, of_b)):
-            to.append((x + self.n_groups).astype(np.int32))
-        self.group_doc.append(np.full(n, len(self.rows) - 1, np.int32))
-        self.n_groups += n
-
-    def interned(self) -> tuple[np.ndarray, list[bytes]]:
-        """The number of each group's distinct form, and the forms as bytes: how many A ids, the A ids, the B ids.
-
-        Groups with equally many ids of both kinds are rows of one matrix.
-        """
-        a, b, of_a, of_b = (np.concatenate(x) for x in (self.a, self.b, self.of_a, self.of_b))
-        n_a, n_b = np.bincount(of_a, minlength=self.n_groups), np.bincount(of_b, minlength=self.n_groups)
-        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        shapes, shape = np.unique(n_a * (int(n_b.max()) + 1) + n_b, return_inverse=True)
-        by_shape = np.argsort(shape, kind="stable")
-        bounds = np.searchsorted(shape[by_shape], np.arange(len(shapes) + 1))
-        number, forms = np.zeros(self.n_groups, np.int64), []
-        for k in range(len(shapes)):
-            rows = by_shape[bounds[k] : bounds[k + 1]]
-            p, q = int(n_a[rows[0]]), int(n_b[rows[0]])
-            ids = np.empty((len(rows), 1 + p + q), np.int32)
-            ids[:, 0] = p
-            ids[:, 1 : 1 + p] = a[first_a[rows][:, None] + np.arange(p)]
-            ids[:, 1 + p :] = b[first_b[rows][:, None] + np.arange(q)]
-            flat = np.ascontiguousarray(ids).view(f"V{ids.shape[1] * 4}").ravel()
-            found, back = np.unique(flat, return_inverse=True)
-            number[rows] = back.ravel() + len(forms)
-            forms += [x.tobytes() for x in found]
-        return number, forms
-
-    def batches(self, pack: int) -> Iterator[pa.RecordBatch]:
+        number = list(map(self.units.__getitem__, units_of(self.units.both, text))) if text else []
+        self.docs.append((doc_id, np.array(number, np.int32)))
+
+    def batches(self, pack: int, digest: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of groups, of pairs and of documents."""
+        units = self.units
+        units.encode()
         kinds = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in _PACKED.split(", "))])
-        docs = dict(zip(("doc_id", *COLUMNS, "groups"), map(list, zip(*self.rows))))
-        held, times = [b""] * len(self.rows), [b""] * len(self.rows)
+        counts, flat, first = np.array(units.counts).reshape(-1, 5), np.array(units.flat), np.array(units.first)
+        docs: dict[str, list] = {c: [] for c in ("doc_id", *COLUMNS, "groups")}
+        held, times, used = [], [], []
+        for doc_id, number in self.docs:
+            sums = counts[number].sum(0)
+            whole = len(number) > 0 and sums[4] == 0
+            number = number if whole else number[:0]
+            size = first[number + 1] - first[number]
+            group = flat[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[number], size)]
+            text = ";".join([units.texts[g] for g in group.tolist()])
+            mine, n = np.unique(group, return_counts=True)
+            used.append(mine)
+            times.append(n.astype(np.int32).tobytes())
+            for name, value in zip(docs, (doc_id, *(sums[:4] if whole else (0, 0, 0, 0)), hashlib.sha256(text.encode()).hexdigest() if digest and text else text)):
+                docs[name].append(value)
         parts = []
-        if self.n_groups:
-            number, forms = self.interned()
-            doc = np.concatenate(self.group_doc).astype(np.int64)
-            both, n = np.unique(doc * len(forms) + number, return_counts=True)  # by document, then group
-            doc, number = both // len(forms), both % len(forms)
-            bounds = np.searchsorted(doc, np.arange(len(self.rows) + 1))
-            for i in range(len(self.rows)):
-                mine = slice(bounds[i], bounds[i + 1])
-                held[i], times[i] = number[mine].astype(np.int32).tobytes(), n[mine].astype(np.int32).tobytes()
+        doc = np.repeat(np.arange(len(used)), [len(x) for x in used])
+        found, number = np.unique(np.concatenate(used), return_inverse=True)  # the pack's own numbers of its groups
+        bounds = np.searchsorted(doc, np.arange(len(used) + 1))
+        held = [number[bounds[i] : bounds[i + 1]].astype(np.int32).tobytes() for i in range(len(used))]
+        if len(found):
+            names = list(units.groups)
+            forms = [units.form(g, names) for g in found.tolist()]
             parts.append({"key": forms, "g": list(range(len(forms)))})
             a, b, count = self.pair_documents(forms, doc, number)
             parts.append({"a": a, "b": b, "n": count})
-        parts.append(docs | {"no": list(range(len(self.rows))), "held": held, "times": times})
+        parts.append(docs | {"no": list(range(len(used))), "held": held, "times": times})
         for part in parts:
             size = len(next(iter(part.values())))
             for lo in range(0, size, 4096):
@@ -281,33 +279,23 @@ def packed(docs: DataFrame, a: str, b: str, digest: bool) -> DataFrame:
         from pyspark import TaskContext
 
         both, number = tokenizers(*files.value), TaskContext.get().partitionId() << 32
-        pack = Pack(both)
+        units = Units(both)
+        pack = Pack(units)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo, hi in spans(batch.column(1)):
-                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
-                for doc_id, text, found in zip(ids[lo:hi], texts, encoded(both, texts)):
-                    pack.add(doc_id, text, found, digest)
-                if pack.size >= PACK:
-                    yield from pack.batches(number)
-                    pack, number = Pack(both), number + 1
-        if pack.rows:
-            yield from pack.batches(number)
+            for lo in range(0, len(batch), 256):
+                for doc_id, text in zip(*(c.slice(lo, 256).to_pylist() for c in batch.columns)):
+                    pack.add(doc_id, text)
+                    if pack.size >= PACK:
+                        yield from pack.batches(number, digest)
+                        if len(units) > UNITS or units.size > CHARACTERS:
+                            units = Units(both)
+                        pack, number = Pack(units), number + 1
+        if pack.docs:
+            yield from pack.batches(number, digest)
 
     return docs.mapInArrow(run, _PACKED)
 
 
-def spans(column: pa.Array, size: int = BATCH) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``size`` bytes of text each."""
-    lengths = [x or 0 for x in pc.binary_length(column).to_pylist()]
-    lo, total = 0, 0
-    for i, n in enumerate(lengths):
-        total += n
-        if total >= size or i == len(lengths) - 1:
-            yield lo, i + 1
-            lo, total = i + 1, 0
-
-
 def dictionary_links(groups: DataFrame) -> DataFrame:
     """(key, a, b, links) of each distinct group of ``groups`` (key)."""
 

@@ -74,23 +74,44 @@ def test_alignment(spark, monkeypatch):
     assert rows(alignment.align(documents(spark, data).repartition(3), A, B, digest=True)) == aligned(data)
 
 
-def test_alignment_of_parts_and_small_packs(spark):
-    """Long texts cut into parts, and many packs: same ids, groups and counts."""
+def test_units_are_encoded_as_in_the_whole_text():
+    """Units of long and odd texts one by one give the ids of the whole text."""
     both = alignment.tokenizers(open(A, "rb").read(), open(B, "rb").read())
     rng = random.Random(4)
-    words = ["Haus", "river1", "naïve", "x", "日本", "don't", "end.", "", "=", "\n", "  ", "\ttab", "2024"]
-    long = [" ".join(rng.choice(words) for _ in range(30000)) for _ in range(3)] + ["x" * 200_000]
+    words = ["Haus", "river1", "naïve", "x", "日本", "don't", "end.", "", "=", "\n", "  ", "\ttab", "2024", "\u00a0", "\u3000y", "\x1f", "\x85", "'s", "\r\n", "-", "\u200b", "👩‍👧"]
+    long = [" ".join(rng.choice(words) for _ in range(20000)) for _ in range(3)] + ["x" * 100_000] + ["".join(rng.choice([*words, " "]) for _ in range(60)) for _ in range(400)]
     assert both.cuts
-    for text, (a, b) in zip(long, alignment.encoded(both, long)):
-        assert a.tolist() == both.a.encode(" " + text, add_special_tokens=False).ids
-        assert b.tolist() == both.b.encode(text)
-        assert max(map(len, alignment.parts(text, True))) < alignment.PART + 1000 or " " not in text
-    data = [(i % 5, x) for i, x in enumerate(long[:1] + [t for _, t in texts()[:12]] * 2)]
-    whole, pack = aligned(data), alignment.Pack(both)
-    for i, (d, t) in enumerate(data):
-        pack.add(d, t, alignment.encoded(both, [t])[0], True)
-    assert sum(b.num_rows for b in pack.batches(0)) > len(data)
+    for text in long:
+        units = alignment.units_of(both, text)
+        assert "".join(units) == " " + text
+        assert [i for u in both.a.encode_batch(units, add_special_tokens=False) for i in u.ids] == both.a.encode(" " + text, add_special_tokens=False).ids
+        assert [i for u in both.b.encode([u[1:] for u in units]) for i in u] == both.b.encode(text)
+
+
+def test_alignment_of_small_packs(spark, monkeypatch):
+    """Documents that repeat over many packs, tokenizers that take texts whole, and few links at a time: the same counts."""
+    data = [(i % 5, x) for i, x in enumerate([t for _, t in texts()[:12]] * 2)]
+    whole = aligned(data)
     assert rows(alignment.align(plain(spark, data).repartition(7), A, B, digest=True)) == whole
+    both = alignment.tokenizers(open(A, "rb").read(), open(B, "rb").read())
+    monkeypatch.setattr(alignment, "LINKS", 50)
+    for cuts in (True, False):
+        pack = alignment.Pack(alignment.Units(alignment.Tokenizers(both.a, both.b, both.bytes_a, both.bytes_b, cuts)))
+        for d, t in data:
+            pack.add(d, t)
+        got = [r for b in pack.batches(0, True) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["n_links"], r["groups"]) for r in got if r["no"] is not None] == [(d, *next((w[4], w[7]) for w in aligned([(d, t)]))) for d, t in data]
+        held = Counter()
+        for _, t in data:
+            groups = alignment.Units(both)
+            for u in alignment.units_of(both, t):
+                groups[u]
+            groups.encode()
+            pairs = set()
+            for x, y in groups.groups:
+                pairs |= {(i, j) for i in x for j in y}
+            held.update(pairs)
+        assert {(r["a"], r["b"]): r["n"] for r in got if r["a"] is not None} == held
 
 
 def test_alignment_text_and_empty(spark):
