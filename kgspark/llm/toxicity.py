@@ -26,8 +26,7 @@ may be learned from are of one class, or none, every score is their toxic share
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,7 +68,6 @@ FEATURES = [
     "disguised_share", "spelled_share", "stretched_share", "hidden_hits",
 ]
 
-_WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = " .,;:?\"'`()[]{}<>«»“”‘’…-_/\\*#%&=+~^"
 #: A single letter, alone or with a mark after it: one of a spelled-out word if others are beside it.
 _INNER = regex.compile(r"(?<=\p{L})[.\-_*'](?=\p{L}(?:[.\-_*']|$))")
@@ -120,59 +118,94 @@ def spelled(words: list[str]) -> list[str]:
     return out
 
 
+class Known(dict):
+    """Distinct words by number, and what ``describe`` says of each, once."""
+
+    def __init__(self, describe, width: int):
+        super().__init__()
+        self.describe, self.waiting, self.rows = describe, [], np.zeros((0, width))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = len(self)
+        self.waiting.append(word)
+        return len(self) - 1
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        out = np.array(list(map(self.__getitem__, words)), np.int64)
+        if self.waiting:
+            new = np.array([self.describe(w) for w in self.waiting], float)
+            self.rows = np.concatenate((self.rows, new)) if len(self.rows) else new
+            self.waiting.clear()
+        return out
+
+
 class Reader:
-    """Features of texts under one lexicon; what was found for a word is kept for the next time it comes."""
+    """Features of texts under one lexicon, a batch at a time; what is found for a word is kept for the next time it comes."""
 
     def __init__(self, lexicon: dict[str, tuple[float, ...]]):
-        self.lexicon, self.seen = lexicon, {}
-        self.none = (0.0,) * (FOLDS + 1)
+        self.lexicon = lexicon
+        self.reset()
+
+    def reset(self) -> None:
+        self.known = Known(self.word, FOLDS + 11)
 
     def word(self, w: str) -> tuple:
-        """(weights by fold left out and of all, disguised, stretched, second person, shouted)."""
-        found = self.seen.get(w)
-        if found is None:
-            form, disguised, stretched = plain(w)
-            weights = [self.lexicon[f] for f in forms(form) if f in self.lexicon]
-            weights = tuple(map(max, zip(*weights))) if weights else None
-            found = weights, disguised and len(form) > 2, stretched, form in SECOND_PERSON, len(form) > 2 and w.isupper()
-            if len(self.seen) >= _FORMS:
-                self.seen.clear()
-            self.seen[w] = found
-        return found
-
-    def features(self, text: str, fold: int) -> list[float]:
-        """``fold``: the one whose labels the lexicon leaves out, or FOLDS for none."""
-        words = _WORD.findall(text)
-        whole = spelled(words)
-        counts = Counter(words)
-        counts.update(whole)
-        n = max(1, len(words))
-        hits = distinct = disguised = stretched = you = shouted = hidden = 0
-        total = most = 0.0
-        marked = {}
-        for w, k in counts.items():
-            weights, d, s, second, loud = self.word(w)
-            disguised, stretched, you, shouted = disguised + k * d, stretched + k * s, you + k * second, shouted + k * loud
-            if weights and (weight := weights[fold]) > 0:
-                hits, distinct, total, most = hits + k, distinct + 1, total + k * weight, max(most, weight)
-                hidden += k * (d or s)
-                marked[w] = True
-        near = 0
-        if hits and you:
-            at = [i for i, w in enumerate(words) if w in marked]
-            persons = np.array([i for i, w in enumerate(words) if self.word(w)[3]])
-            if at and len(persons):
-                right = np.searchsorted(persons, at)
-                before, after = persons[np.maximum(right - 1, 0)], persons[np.minimum(right, len(persons) - 1)]
-                near = int((np.minimum(np.abs(np.array(at) - before), np.abs(np.array(at) - after)) <= NEAR).sum())
-        letters = max(1, len(text))
-        capitals = sum(map(str.isupper, text)) if not text.islower() else 0
-        return [
-            math.log1p(len(words)), hits / n, math.log1p(hits), math.log1p(distinct), total / max(1, hits), most, total / n,
-            you / n, near / max(1, hits), capitals / letters, shouted / n, text.count("!") / n, text.count("?") / n,
-            len(_RUN.findall(text)) / n, len(_SYMBOL.findall(text)) / letters,
-            disguised / n, sum(map(len, whole)) / n, stretched / n, (hidden + sum(w in marked for w in whole)) / n,
-        ]
+        """Weights by fold left out and of all; whether disguised, stretched, second person, shouted, a single letter;
+        capitals, exclamation and question marks, runs of both, symbols, characters."""
+        form, disguised, stretched = plain(w)
+        weights = [self.lexicon[f] for f in forms(form) if f in self.lexicon]
+        weights = tuple(map(max, zip(*weights))) if weights else (0.0,) * (FOLDS + 1)
+        letter = len(w) == 1 and w.isalpha() or len(w) == 2 and w[0].isalpha() and w[1] in ".-_*"
+        marks = (0, 0, 0, 0) if w.isalpha() else (w.count("!"), w.count("?"), len(_RUN.findall(w)), len(_SYMBOL.findall(w)))
+        capitals = 0 if w.islower() else sum(map(str.isupper, w))
+        return (*weights, disguised and len(form) > 2, stretched, form in SECOND_PERSON, len(form) > 2 and w.isupper(), letter, capitals, *marks)
+
+    def features(self, texts: list[str], folds: list[int]) -> np.ndarray:
+        """``folds``: for each text the one whose labels the lexicon leaves out, or FOLDS for none."""
+        if len(self.known) > _FORMS:
+            self.reset()
+        split = [t.split() for t in texts]
+        size = np.array([len(w) for w in split])
+        number = self.known.numbers([w for words in split for w in words])
+        rows, doc = self.known.rows[number], np.repeat(np.arange(len(texts)), size)
+        first = np.cumsum(size) - size
+        # Words spelled out letter by letter, put together.
+        spelled_doc, spelled_words = [], []
+        for i in np.flatnonzero(np.bincount(doc, rows[:, FOLDS + 5], len(texts)) >= 3):
+            whole = spelled(split[i])
+            spelled_doc += [i] * len(whole)
+            spelled_words += whole
+        more = self.known.numbers(spelled_words)
+        letters = np.bincount(np.array(spelled_doc, int), [len(w) for w in spelled_words], len(texts))
+        known = self.known.rows
+        per = lambda column: np.bincount(doc, rows[:, column], len(texts))
+        n, chars = np.maximum(1, size), np.maximum(1, np.array([len(t) for t in texts]))
+        # Hits of the lexicon.
+        all_doc = np.concatenate((doc, np.array(spelled_doc, int)))
+        all_number = np.concatenate((number, more))
+        weight = known[all_number, np.array(folds)[all_doc]] if len(all_number) else np.zeros(0)
+        hit = np.flatnonzero(weight > 0)
+        hit_doc, hit_number, weight = all_doc[hit], all_number[hit], weight[hit]
+        hits, total = np.bincount(hit_doc, minlength=len(texts)), np.bincount(hit_doc, weight, len(texts))
+        most = np.zeros(len(texts))
+        np.maximum.at(most, hit_doc, weight)
+        distinct = np.bincount(np.unique(hit_doc * (len(self.known) + 1) + hit_number) // (len(self.known) + 1), minlength=len(texts))
+        concealed = known[hit_number, FOLDS + 1] + known[hit_number, FOLDS + 2] > 0 if len(hit) else np.zeros(0, bool)
+        hidden = np.bincount(hit_doc, concealed | (hit >= len(number)), len(texts))
+        # Hits with a second person near, in the same text.
+        persons, at = np.flatnonzero(rows[:, FOLDS + 3] > 0), hit[hit < len(number)]
+        near = np.zeros(len(at), bool)
+        if len(persons):
+            right = np.searchsorted(persons, at)
+            for other in (persons[np.maximum(right - 1, 0)], persons[np.minimum(right, len(persons) - 1)]):
+                near |= (np.abs(other - at) <= NEAR) & (other >= first[doc[at]]) & (other < first[doc[at]] + size[doc[at]])
+        near = np.bincount(doc[at], near, len(texts))
+        one = np.maximum(1, hits)
+        return np.column_stack((
+            np.log1p(size), hits / n, np.log1p(hits), np.log1p(distinct), total / one, most, total / n,
+            per(FOLDS + 3) / n, near / one, per(FOLDS + 6) / chars, per(FOLDS + 4) / n, per(FOLDS + 7) / n, per(FOLDS + 8) / n,
+            per(FOLDS + 9) / n, per(FOLDS + 10) / chars, per(FOLDS + 1) / n, letters / n, per(FOLDS + 2) / n, hidden / n,
+        ))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -192,33 +225,42 @@ def lexicon(texts: DataFrame) -> dict[str, tuple[float, ...]]:
     """Forms with their weights: without each fold's labels, and with all.  ``texts``: text, label, fold."""
 
     def count(batches):
-        """Counts by fold and class of the forms of a task's rows."""
-        held: dict[str, np.ndarray] = {}
+        """Counts by fold and class of the forms of a task's rows, of a form once a row."""
+        names, words = {}, {}
+        flat, first = array("i"), array("q", [0])  # numbers of each word's forms
+        counts = np.zeros((0, 2 * FOLDS), np.int64)
 
         def rows():
-            names = list(held)
-            counts = np.array([held[f] for f in names], np.int64).reshape(-1, 2 * FOLDS)
-            for lo in range(0, len(names), 1 << 14):
-                part = counts[lo : lo + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + (1 << 14)]), *(pa.array(part[:, i]) for i in range(part.shape[1]))], ["form", *columns])
+            all_names = list(names)
+            for lo in range(0, len(all_names), 1 << 14):
+                part = counts[lo : min(lo + (1 << 14), len(all_names))]
+                yield pa.RecordBatch.from_arrays([pa.array(all_names[lo : lo + (1 << 14)]), *(pa.array(np.ascontiguousarray(part[:, i])) for i in range(2 * FOLDS))], ["form", *columns])
 
-        known: dict[str, tuple] = {}
         for batch in batches:
-            for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)):
-                words = _WORD.findall(text or "")
-                found = set()
-                for w in {*words, *spelled(words)}:
-                    if w not in known:
-                        if len(known) >= _FORMS:
-                            known.clear()
-                        known[w] = tuple(forms(plain(w)[0]))
-                    found.update(known[w])
-                at = 2 * fold + int(label > 0)
-                for f in found:
-                    held.setdefault(f, [0] * (2 * FOLDS))[at] += 1
-            if len(held) > 4 * _FORMS:
-                yield from rows()
-                held.clear()
+            for lo in range(0, len(batch), 256):
+                texts, labels, folds = (c.slice(lo, 256).to_pylist() for c in batch.columns)
+                doc, number = [], []
+                for i, text in enumerate(texts):
+                    split = (text or "").split()
+                    for w in {*split, *spelled(split)}:
+                        at = words.get(w)
+                        if at is None:
+                            at = words[w] = len(words)
+                            flat.extend([names.setdefault(f, len(names)) for f in forms(plain(w)[0])])
+                            first.append(len(flat))
+                        number.append(at)
+                    doc += [i] * (len(number) - len(doc))
+                doc, number, starts = np.array(doc, np.int64), np.array(number, np.int64), np.array(first)
+                size = starts[number + 1] - starts[number]
+                form = np.array(flat)[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[number], size)].astype(np.int64)
+                held = np.unique(np.repeat(doc, size) * (len(names) + 1) + form)
+                kind = 2 * np.array(folds, np.int64) + (np.array(labels) > 0)
+                if len(counts) < len(names):
+                    counts = np.concatenate((counts, np.zeros((2 * len(names) - len(counts), 2 * FOLDS), np.int64)))
+                np.add.at(counts, (held % (len(names) + 1), kind[held // (len(names) + 1)]), 1)
+                if len(words) > _FORMS:
+                    yield from rows()
+                    names, words, flat, first, counts = {}, {}, array("i"), array("q", [0]), counts[:0]
         yield from rows()
 
     columns = [f"{c}{i}" for i in range(FOLDS) for c in ("clean", "toxic")]
@@ -250,7 +292,7 @@ def featured(rows: DataFrame, held, text: str = "text", fold: str | None = None)
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
                 folds = part.column(fold_at).to_pylist() if fold else [FOLDS] * len(part)
-                out = np.array([reader.features(t or "", k) for t, k in zip(part.column(at).to_pylist(), folds)]).reshape(-1, len(FEATURES))
+                out = reader.features([t or "" for t in part.column(at).to_pylist()], folds)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(out[:, i]) for i in range(len(FEATURES)))], [*keep, *FEATURES])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
