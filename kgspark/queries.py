@@ -15,7 +15,7 @@ from kgspark.functions import metrics
 from kgspark.functions import text as text_functions
 from kgspark.functions.expressions import equals, attribute, name_as_words, slug
 from kgspark.functions.text import chunks, number_stated, privacy_findings, quoted_in, relative_date, tokens
-from kgspark.operators import curation, evaluation, fuzzy, links, retrieval, shapes, survey, temporal
+from kgspark.operators import answering, curation, evaluation, fuzzy, links, retrieval, shapes, survey, temporal
 from kgspark.operators.graph import KnowledgeGraph
 from kgspark.plans import questions, rules
 from kgspark.plans.pattern import Matcher
@@ -1242,3 +1242,54 @@ def lexicon_fuzzy(spark, sf):
     terms = own.union(part.select(F.lower(F.substring("p_name", 2, 5)))).union(nation.select(F.upper(F.substring("n_name", 1, 8)))).union(kinds.select(F.substring("k", 3, 2)))
     terms = terms.union(part.select(F.concat(F.lit("x "), F.lower("p_name"), F.lit(" y"))))
     return fuzzy.lexicon_fuzzy(lex, terms, None).select("term", "canonical", "target").distinct()
+
+
+# Questions answered from the graph.
+
+
+def _answering(spark, sf):
+    """Facts as versions named after their chain, event types as aliases of many; five kinds of questions over every chain and event."""
+    f = tables.facts(spark, sf)
+    none, many = F.lit(None).cast("string"), F.array("chain")
+    nodes = f.select("id", F.lit("Fact").alias("type"), F.col("chain").alias("label"), "status", "valid_from", "valid_to", F.lit("event log").alias("source_doc"), "superseded_by", none.alias("summary"), many.alias("sources"))
+    kind = F.substring_index("chain", ".", -1)
+    g = KnowledgeGraph(nodes, tables.edges(spark, sf).limit(0), aliases=f.select(F.col("id").alias("node_id"), kind.alias("alias"), F.lit("alias").alias("kind")))
+    chains = f.select("chain", kind.alias("kind")).distinct()
+    ask = lambda rows, name, entity, question=none, type_=none, day=none: rows.select(F.concat(F.lit(name + " "), entity).alias("question_id"), question.alias("question"), entity.alias("entity"), type_.alias("type"), day.alias("as_of"))
+    parts = [
+        ask(chains, "then", F.upper("chain"), day=F.lit("2024-01-10 00:00:00.000000")),
+        ask(chains, "change", F.col("chain"), type_=F.lit("temporal_change")),
+        ask(f, "id", F.col("id")),
+        ask(chains.select("kind").distinct(), "many", F.col("kind")),
+        ask(chains, "free", F.col("chain"), F.concat(F.lit("What of "), "chain", F.lit(" now?"))).withColumn("entity", none),
+        ask(chains, "none", F.concat(F.lit("nobody "), F.col("chain"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return g, out
+
+
+@query("""WITH %FACTS%, c AS (SELECT chain, max(id) FILTER (valid_to IS NULL) AS head, max(id) FILTER (valid_from <= TIMESTAMP '2024-01-10' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-10')) AS valid, max(n) AS n FROM facts GROUP BY chain),
+  k AS (SELECT split_part(chain, '.', 3) AS kind, count(*) AS n, max(head) AS head FROM c GROUP BY 1),
+  a AS (SELECT 'then ' || upper(chain) AS question_id, coalesce(valid, head) AS resolved_entity, 'label' AS match, CASE WHEN valid IS NULL THEN 'absent' ELSE 'current' END AS answer_status, chain AS answer FROM c
+    UNION ALL SELECT 'change ' || chain, head, 'label', CASE WHEN n > 1 THEN 'changed' ELSE 'unchanged' END, chain FROM c
+    UNION ALL SELECT 'id ' || id, id, 'id', CASE WHEN valid_to IS NULL THEN 'current' ELSE 'superseded' END, chain FROM facts
+    UNION ALL SELECT 'many ' || kind, CASE WHEN n = 1 THEN head END, CASE WHEN n = 1 THEN 'alias' ELSE 'ambiguous' END, CASE WHEN n = 1 THEN 'current' END, NULL FROM k WHERE n > 1
+    UNION ALL SELECT 'free ' || chain, head, 'label', 'current', chain FROM c
+    UNION ALL SELECT 'none nobody ' || chain, NULL, 'text', NULL, NULL FROM c)
+  SELECT *, resolved_entity IS NULL AS abstained, CASE WHEN answer IS NULL THEN '' ELSE 'event log|' || answer END AS cited FROM a""")
+def graph_answers(spark, sf):
+    g, asked = _answering(spark, sf)
+    found = answering.answers(g, asked, ["graph"])
+    return found.select("question_id", "resolved_entity", "match", "answer_status", "answer", "abstained", F.array_join("cited_sources", "|").alias("cited"))
+
+
+@query("""WITH %FACTS%, c AS (SELECT chain, max(id) FILTER (valid_to IS NULL) AS head, min(id) AS low, count(*) AS n FROM facts GROUP BY chain)
+  SELECT 'graph' AS system, count(*) AS n, count(*) FILTER (n > 1) AS changed FROM c UNION ALL SELECT 'graph-no_graph', count(*), count(*) FILTER (n > 1) FROM c
+  UNION ALL SELECT 'graph-no_temporal', count(*), CAST(0 AS BIGINT) FROM c""")
+def answers_by_ablation(spark, sf):
+    """Questions of change: the system without time sees none."""
+    g, asked = _answering(spark, sf)
+    found = answering.answers(g, asked.where("type = 'temporal_change'"), ["graph"], ablations=True)
+    return found.groupBy("system").agg(F.count("*").alias("n"), F.count_if(F.col("answer_status") == "changed").alias("changed"))
