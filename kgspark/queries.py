@@ -15,7 +15,7 @@ from kgspark.functions import metrics
 from kgspark.functions import text as text_functions
 from kgspark.functions.expressions import equals, attribute, name_as_words, slug
 from kgspark.functions.text import chunks, number_stated, privacy_findings, quoted_in, relative_date, tokens
-from kgspark.operators import answering, curation, evaluation, fuzzy, links, retrieval, shapes, survey, temporal
+from kgspark.operators import answering, curation, evaluation, fuzzy, links, retrieval, sessions, shapes, survey, temporal
 from kgspark.operators.graph import KnowledgeGraph
 from kgspark.plans import questions, rules
 from kgspark.plans.pattern import Matcher
@@ -1293,3 +1293,30 @@ def answers_by_ablation(spark, sf):
     g, asked = _answering(spark, sf)
     found = answering.answers(g, asked.where("type = 'temporal_change'"), ["graph"], ablations=True)
     return found.groupBy("system").agg(F.count("*").alias("n"), F.count_if(F.col("answer_status") == "changed").alias("changed"))
+
+
+# Candidates.
+
+
+@query(f"""WITH %NODES%, {_CHANGED} SELECT 'applied' AS step, change, count(*) AS n FROM changes GROUP BY change UNION ALL SELECT 'undone', 'rows', count(*) FROM nodes
+  UNION ALL SELECT 'undone', 'differences', CAST(0 AS BIGINT)""")
+def session_undo(spark, sf):
+    """The candidate as a delta over the live nodes, applied and undone."""
+    live = tables.nodes(spark, sf)
+    s = sessions.Session(live, ["id"])
+    s.apply(sessions.delta(live, _candidate(spark, sf), ["id"]))
+    after = s.candidate()
+    applied = curation.node_diff(live, after).groupBy(F.lit("applied").alias("step"), "change").agg(F.count("*").alias("n"))
+    back = sessions.overlaid(after, s.undo(), ["id"])
+    count = lambda df, what: df.agg(F.lit("undone").alias("step"), F.lit(what).alias("change"), F.count("*").alias("n"))
+    return applied.union(count(back, "rows")).union(count(store.differences(live, back), "differences"))
+
+
+@query(f"""WITH {_CHANGED} SELECT id, 'candidate' AS station, CASE change WHEN 'removed' THEN 'removed' WHEN 'added' THEN 'added' ELSE 'changed' END AS change,
+    CASE WHEN fields = 'status' THEN 'clash' ELSE 'ready' END AS verdict FROM changes
+  UNION ALL SELECT 'order.' || o_orderkey, 'inbox', 'removed', CASE WHEN o_orderstatus <> 'F' THEN 'clash' ELSE 'ready' END FROM orders WHERE o_totalprice > 400000""")
+def pending_lane(spark, sf):
+    live = tables.nodes(spark, sf)
+    large = (F.col("type") == "Order") & (F.get_json_object("attributes", "$.total").try_cast("double") > 400000)
+    inbox = live.where(large).withColumn("_op", F.lit("drop"))
+    return sessions.pending(live, {"candidate": sessions.delta(live, _candidate(spark, sf), ["id"]), "inbox": inbox}, ["id"])

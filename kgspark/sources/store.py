@@ -1,17 +1,30 @@
-"""Versioned Parquet stores: write, publish, skip if unchanged, read back, verify.
+"""Versioned Parquet stores: write, commit, skip if unchanged, read back, verify.
 
-A version is a folder of tables; it counts once a row of the commits table names
-it.  Readers take the newest committed version, so a broken write is never seen.
+A version is a folder of tables.  It counts once a commit names it: a file with
+the next number, which only one writer can create.  Readers take the newest
+commit, so a broken write is never seen; writers that were overtaken take the
+number after, or give up if they said what they built on.
 """
 
 from __future__ import annotations
 
+import datetime
+import json
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COMMITS = "version string, seq long, fingerprint string, at timestamp"
+#: Versions that stay after a commit.
+KEEP = 2
+_T = TypeVar("_T")
+
+
+class Conflict(RuntimeError):
+    """Another version was committed meanwhile."""
 
 
 def fingerprint(tables: dict[str, DataFrame]) -> str:
@@ -24,41 +37,133 @@ def fingerprint(tables: dict[str, DataFrame]) -> str:
     return "|".join(parts)
 
 
-def commits(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function to name files on it; any that Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of commits, also of such as are being written; KEEP and a few at most."""
+    fs, at = _files(spark, path)
+    folder = at(f"{path}/_commits")
+    return sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json")) if fs.exists(folder) else []
+
+
+def _claimed(spark: SparkSession, path: str, seq: int, row: dict) -> bool:
+    """Creates the commit of that number, unless there is one."""
+    fs, at = _files(spark, path)
     try:
-        return spark.read.schema(COMMITS).parquet(f"{path}/_commits")
-    except Exception as e:  # Spark's error for a folder that is not there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+        out = fs.create(at(f"{path}/_commits/{seq:012d}.json"), False)
+    except Exception as e:
+        if "AlreadyExists" in str(e) or "already exists" in str(e):
+            return False
+        raise
+    out.write(bytearray((json.dumps(row) + "\n").encode()))
+    out.close()
+    return True
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    if not _numbers(spark, path):
         return spark.createDataFrame([], COMMITS)
+    return spark.read.schema(COMMITS).json(f"{path}/_commits").where("version IS NOT NULL")
+
+
+def newest(spark: SparkSession, path: str):
+    return commits(spark, path).orderBy(F.desc("seq")).first()
 
 
-def publish(tables: dict[str, DataFrame], path: str, spark: SparkSession) -> str:
-    """Write a new version and commit it, or return the newest one if its rows are the same."""
+def publish(tables: dict[str, DataFrame], path: str, spark: SparkSession, base: str | None = None, keep: int = KEEP) -> str:
+    """Write a new version and commit it, or return the newest one if its rows are the same.
+
+    ``base`` is the version that the tables were made from: if it is not the
+    newest any more, nothing is committed and Conflict is raised.  Without one
+    the last writer's version is the newest.  ``keep`` versions stay.
+    """
     mark = fingerprint(tables)
-    last = commits(spark, path).orderBy(F.desc("seq"), F.desc("version")).first()
-    if last and last["fingerprint"] == mark:
-        return last["version"]
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{path}/{version}/{name}")
-    row = spark.range(1).select(
-        F.lit(version).alias("version"), F.lit((last["seq"] if last else 0) + 1).cast("long").alias("seq"), F.lit(mark).alias("fingerprint"), F.current_timestamp().alias("at")
-    )
-    row.write.mode("append").parquet(f"{path}/_commits")
-    return version
+    version = None
+    while True:
+        last = newest(spark, path)
+        if last and last["fingerprint"] == mark:
+            if version:
+                _drop(spark, path, version)
+            return last["version"]
+        if base is not None and (last is None or last["version"] != base):
+            if version:
+                _drop(spark, path, version)
+            raise Conflict(f"built on {base}, the newest is {last and last['version']}")
+        if version is None:
+            version = uuid.uuid4().hex
+            for name, df in tables.items():
+                df.write.parquet(f"{path}/{version}/{name}")
+            continue  # look again: writing takes a while
+        seq = max([0, *_numbers(spark, path)]) + 1
+        at = datetime.datetime.now(datetime.timezone.utc).isoformat()
+        if _claimed(spark, path, seq, {"version": version, "seq": seq, "fingerprint": mark, "at": at}):
+            retain(spark, path, keep)
+            return version
+
+
+def _drop(spark: SparkSession, path: str, name: str) -> None:
+    fs, at = _files(spark, path)
+    fs.delete(at(f"{path}/{name}"), True)
+
+
+def retain(spark: SparkSession, path: str, keep: int = KEEP) -> list[str]:
+    """Drops all versions but the newest ``keep``, each commit before its tables; returns what went."""
+    old = [r for r in commits(spark, path).orderBy(F.desc("seq")).collect()][max(keep, 1) :]
+    for r in old:
+        _drop(spark, path, f"_commits/{r['seq']:012d}.json")
+        _drop(spark, path, r["version"])
+    return [r["version"] for r in old]
 
 
 def read(spark: SparkSession, path: str, *names: str, version: str | None = None) -> dict[str, DataFrame]:
     """Tables of the newest committed version, or of the one named."""
     if version is None:
-        row = commits(spark, path).orderBy(F.desc("seq"), F.desc("version")).first()
+        row = newest(spark, path)
         if row is None:
             raise ValueError(f"{path} has no committed version")
         version = row["version"]
     return {n: spark.read.parquet(f"{path}/{version}/{n}") for n in names}
 
 
+def fresh(spark: SparkSession, path: str, version: str) -> bool:
+    """Whether a version is the newest."""
+    row = newest(spark, path)
+    return row is not None and row["version"] == version
+
+
+def with_snapshot(spark: SparkSession, path: str, names: list[str], work: Callable[[dict[str, DataFrame]], _T], tries: int = 3) -> _T:
+    """What ``work`` makes of the newest version's tables.
+
+    If files vanish under it because the version was dropped meanwhile, it is
+    done again on the version that is newest then; any other error is raised.
+    """
+    for left in range(tries - 1, -1, -1):
+        row = newest(spark, path)
+        if row is None:
+            raise ValueError(f"{path} has no committed version")
+        try:
+            return work(read(spark, path, *names, version=row["version"]))
+        except Exception as e:
+            gone = any(x in str(e) for x in ("PATH_NOT_FOUND", "FILE_NOT_EXIST", "FileNotFound", "does not exist", "UNABLE_TO_INFER_SCHEMA"))
+            if not left or not gone or fresh(spark, path, row["version"]):
+                raise
+    raise AssertionError
+
+
+def views(spark: SparkSession, path: str, *names: str, prefix: str = "") -> str:
+    """Temporary views of the newest version's tables; returns the version."""
+    row = newest(spark, path)
+    if row is None:
+        raise ValueError(f"{path} has no committed version")
+    for name, df in read(spark, path, *names, version=row["version"]).items():
+        df.createOrReplaceTempView(prefix + name)
+    return row["version"]
+
+
 def differences(written: DataFrame, back: DataFrame) -> DataFrame:
     """Rows of one side only, repeats counted: side is "missing" or "unexpected"."""
     back = back.select(*written.columns)
