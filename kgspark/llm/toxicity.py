@@ -26,6 +26,7 @@ may be learned from are of one class, or none, every score is their toxic share
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -71,9 +72,9 @@ FEATURES = [
 _EDGE = " .,;:?\"'`()[]{}<>«»“”‘’…-_/\\*#%&=+~^"
 #: A single letter, alone or with a mark after it: one of a spelled-out word if others are beside it.
 _INNER = regex.compile(r"(?<=\p{L})[.\-_*'](?=\p{L}(?:[.\-_*']|$))")
-_STRETCH = regex.compile(r"(\p{L})\1{2,}")
-_RUN = regex.compile(r"[!?]{2,}")
-_SYMBOL = regex.compile(r"[#*$%&|<>@^~]")
+_STRETCH = re.compile(r"([^\W\d_])\1{2,}")
+_RUN = re.compile(r"[!?]{2,}")
+_SYMBOL = re.compile(r"[#*$%&|<>@^~]")
 _FORMS = 1 << 18
 
 
@@ -144,6 +145,7 @@ class Reader:
 
     def __init__(self, lexicon: dict[str, tuple[float, ...]]):
         self.lexicon = lexicon
+        self.heads = {f[:3] for f in lexicon}
         self.reset()
 
     def reset(self) -> None:
@@ -153,7 +155,8 @@ class Reader:
         """Weights by fold left out and of all; whether disguised, stretched, second person, shouted, a single letter;
         capitals, exclamation and question marks, runs of both, symbols, characters."""
         form, disguised, stretched = plain(w)
-        weights = [self.lexicon[f] for f in forms(form) if f in self.lexicon]
+        known = form[:3] in self.heads or len(form) < 3 and f"{form}$"[:3] in self.heads  # else it has no form of the lexicon
+        weights = [self.lexicon[f] for f in forms(form) if f in self.lexicon] if known else ()
         weights = tuple(map(max, zip(*weights))) if weights else (0.0,) * (FOLDS + 1)
         letter = len(w) == 1 and w.isalpha() or len(w) == 2 and w[0].isalpha() and w[1] in ".-_*"
         marks = (0, 0, 0, 0) if w.isalpha() else (w.count("!"), w.count("?"), len(_RUN.findall(w)), len(_SYMBOL.findall(w)))

@@ -43,6 +43,27 @@ def test_findings_positions(spark):
     assert got == sorted(one * 2 + [(2, 0, "hunter2!", 'the pwd: "', '" and')], key=repr)
 
 
+def test_transitions_of_short_and_very_long_candidates(spark):
+    """The mean log probability by hand, and a run of 5 MB in a few seconds."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    words = spark.createDataFrame([("river", 5), ("stone", 9)], "word string, n long")
+    table = secrets.transitions(words)
+    signs = "abcXYZ019+/_-é😀"
+    short = ["".join(rng.choice(signs) for _ in range(rng.randint(6, 40))) for _ in range(30)]
+    long = "".join(rng.choice(signs[:13]) for _ in range(5_000_000))
+    rows = lambda cs: spark.createDataFrame([(c, "p", "b", "a") for c in cs], "candidate string, path string, before string, after string")
+    at = lambda c: secrets.ALPHABET.index("0" if c in "0123456789" else c.lower() if c.lower() in secrets.ALPHABET[:26] else "-")
+    for r in secrets.features(rows(short), words, table).select("candidate", "transition").collect():
+        c = r["candidate"]
+        assert abs(r["transition"] - sum(table[at(a) * 28 + at(b)] for a, b in zip(c, c[1:])) / (len(c) - 1)) < 1e-9
+    began = time.time()
+    found = secrets.features(rows([long]), words, table).select(*secrets.FEATURES).first()
+    assert time.time() - began < 60 and found["length"] > 22
+
+
 def test_redaction_is_by_place(spark):
     """Only the places that were found change, of rows with their doc_id and text; columns of any name stay."""
     key = "KEYKEYKEYKEYKEYKEY1"
