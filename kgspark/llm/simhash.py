@@ -119,11 +119,10 @@ def shingle_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame
 
     def run(batches):
         for batch in batches:
-            sets = []
-            for _, _, words in chunks(batch.column(len(keep)), lower=True):
+            for first, end, words in chunks(batch.column(len(keep)), lower=True):  # a chunk leaves before the next is read
                 found, bounds = words.shingles(shingle)
-                sets += [np.unique(found[lo:hi]).view(np.int64) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], [*keep, "shingles"])
+                sets = [np.unique(found[lo:hi]).view(np.int64) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:-1], pa.array(sets, pa.list_(pa.int64()))], [*keep, "shingles"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
@@ -159,8 +158,8 @@ def prefixes(docs: DataFrame, words: int, similarity: float, common: np.ndarray,
 
     def run(batches):
         for batch in batches:
-            sizes, marks, firsts = [], [], []
-            for _, _, part in chunks(batch.column(len(keep)), lower=True):
+            for first, end, part in chunks(batch.column(len(keep)), lower=True):
+                sizes, marks, firsts = [], [], []
                 found, bounds = part.shingles(words)
                 for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     own = np.unique(found[lo:hi])
@@ -171,9 +170,9 @@ def prefixes(docs: DataFrame, words: int, similarity: float, common: np.ndarray,
                     sizes.append(len(own))
                     marks.append(np.packbits(bits, bitorder="little").view(np.int64))
                     firsts.append(np.concatenate((own[~last], own[last]))[:n].view(np.int64))
-            longs = pa.list_(pa.int64())
-            new = [pa.array(sizes, pa.int64()), pa.array(marks, longs), pa.array(firsts, longs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*keep, text, "n_shingles", "marks", "prefix"])
+                longs = pa.list_(pa.int64())
+                new = [pa.array(sizes, pa.int64()), pa.array(marks, longs), pa.array(firsts, longs)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, *new], [*keep, text, "n_shingles", "marks", "prefix"])
 
     added = "n_shingles long, marks array<long>, prefix array<long>"
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(added).fields]))
