@@ -156,8 +156,8 @@ def entity_search(nodes: DataFrame, terms: DataFrame, limit: int = 6) -> DataFra
 
 def dense_documents(scored: DataFrame, doc: str, chunk: str, n_chunks: int = 200, n_docs: int = 20, by: str = "query_id", score: str = "cosine") -> DataFrame:
     """(query, rank, doc, score): of each query's best chunks, each document's best one, and of these the best documents."""
-    best = top(scored.select(by, doc, chunk, score), [by], score, chunk, n_chunks)
-    best = best.join(scored.select(F.col(chunk).alias("_c"), F.col(doc)).distinct(), F.col(chunk) == F.col("_c")).drop("_c")
+    w = Window.partitionBy(by).orderBy(F.desc(score), chunk)
+    best = scored.select(by, doc, chunk, score, F.row_number().over(w).alias("_no")).where(F.col("_no") <= n_chunks)
     return top(best.groupBy(by, doc).agg(F.max(score).alias(score)), [by], score, doc, n_docs)
 
 
