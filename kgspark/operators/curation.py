@@ -371,27 +371,55 @@ def definition_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
 def impact(changes: list[tuple[str, str]], nodes: DataFrame, edges: DataFrame, vocabulary) -> DataFrame:
     """(kind, subject, affected): how many nodes or edges each breaking change of the vocabulary touches.
 
-    Changes are configuration; counts by type, relation and carried attribute are one aggregation each.
+    ``vocabulary`` is the one that the changes lead to, and gives what a class or
+    relation covers.  A concept counts where the attribute's declared type is its
+    scheme; values removed from an attribute are those that it has no longer.
+    Changes are configuration: each becomes rows of what it counts, and counts by
+    type, relation, carried attribute and value are one aggregation each.
     """
     spark = nodes.sparkSession
     rows = []
+    typed = {(kind, name): spec.get("type", "string") for kind in vocabulary.classes for name, spec in vocabulary.attributes(kind).items()}
     for kind, subject in changes:
+        head, _, tail = subject.partition(".")
         if kind == "class removed":
-            rows += [(kind, subject, "type", subject)]
+            rows.append((kind, subject, "type", subject, None, None))
         elif kind == "superclass removed":
-            rows += [(kind, subject, "type", c) for c in vocabulary.covers(subject)]
+            rows += [(kind, subject, "type", c, None, None) for c in vocabulary.covers(subject)]
         elif kind in ("relation removed", "domain changed", "range changed"):
-            rows += [(kind, subject, "rel", subject)]
+            rows.append((kind, subject, "rel", subject, None, None))
+        elif kind == "superproperty removed":
+            rows += [(kind, subject, "rel", r, None, None) for r in vocabulary.relations_of(subject)]
         elif kind in ("attribute removed", "attribute type changed"):
-            rows += [(kind, subject, "attribute", subject)]
+            rows.append((kind, subject, "attribute", subject, None, None))
+        elif kind in ("concept removed", "scheme removed"):
+            of = [f"{k}.{a}" for (k, a), t in typed.items() if t == f"scheme:{head}"]
+            rows += [(kind, subject, "value", name, [tail] if tail else None, None) for name in of]
+        elif kind == "attribute values removed":
+            rows.append((kind, subject, "value", subject, None, sorted(vocabulary.values_of(head, tail))))
         else:
             raise ValueError(f"no counts for {kind}")
-    table = spark.createDataFrame(rows, "kind string, subject string, what string, name string")
+    asked = sorted({r[3] for r in rows if r[2] == "value"})
+    table = spark.createDataFrame(rows, "kind string, subject string, what string, name string, only array<string>, but array<string>")
     keys = F.explode(F.json_object_keys(F.coalesce("attributes", F.lit("{}"))))
-    carried = nodes.select("type", keys.alias("key")).groupBy(F.concat_ws(".", "type", "key").alias("name")).count()
-    counts = nodes.groupBy(F.col("type").alias("name")).count().withColumn("what", F.lit("type"))
-    counts = counts.unionByName(edges.groupBy(F.col("rel").alias("name")).count().withColumn("what", F.lit("rel"))).unionByName(carried.withColumn("what", F.lit("attribute")))
-    return table.join(counts, ["what", "name"], "left").groupBy("kind", "subject").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("affected"))
+    name = F.concat_ws(".", "type", "key").alias("name")
+    carried = nodes.select("type", keys.alias("key"))
+    # Only classes and attributes whose values are asked for are taken apart.
+    value = nodes.where(F.col("type").isin(sorted({n.split(".")[0] for n in asked}) or [""])).select("type", F.explode(F.from_json("attributes", "map<string,string>")))
+    value = value.select(name, "value").where(F.col("name").isin(asked or [""]) & (F.col("value") != ""))
+    none = F.lit(None).cast("string").alias("value")
+    counts = [
+        nodes.groupBy(F.lit("type").alias("what"), F.col("type").alias("name"), none).agg(F.count("*").alias("n")),
+        edges.groupBy(F.lit("rel").alias("what"), F.col("rel").alias("name"), none).agg(F.count("*").alias("n")),
+        carried.groupBy(F.lit("attribute").alias("what"), name, none).agg(F.count("*").alias("n")),
+        value.groupBy(F.lit("value").alias("what"), "name", "value").agg(F.count("*").alias("n")),
+    ]
+    # Distinct values may be many; the changes, declared by hand, are few.
+    found = reduce(DataFrame.union, counts).join(F.broadcast(table), ["what", "name"])
+    found = found.where("(only IS NULL OR array_contains(only, value)) AND (but IS NULL OR NOT array_contains(but, value))")
+    found = found.groupBy("kind", "subject").agg(F.sum("n").alias("n"))
+    every = spark.createDataFrame(sorted(set(changes)), "kind string, subject string")
+    return every.join(found, ["kind", "subject"], "left").select("kind", "subject", F.coalesce("n", F.lit(0)).alias("affected"))
 
 
 SOURCE_TYPES = ("document", "human_assertion", "inference")

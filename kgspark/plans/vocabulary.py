@@ -80,6 +80,16 @@ class Vocabulary:
             out |= (self.classes.get(k) or {}).get("attributes") or {}
         return out
 
+    def values_of(self, kind: str, name: str) -> set[str]:
+        """What an attribute of a class may say: the values of its enumeration or the concepts of its scheme, and their former names."""
+        spec = self.attributes(kind).get(name) or {}
+        said = spec.get("type", "string")
+        if said.startswith("scheme:"):
+            values = set(self.schemes.get(said[7:], {}))
+        else:
+            values = set(_listed(said[5:])) if said.startswith("enum:") else set()
+        return values | set(spec.get("was") or {}) if "type" in spec else set()
+
     def requirements(self, kind: str) -> dict[str, str]:
         """{what every node of the class must carry: the class that asks for it}"""
         out: dict[str, str] = {}
@@ -170,22 +180,25 @@ def diff(old: Vocabulary, new: Vocabulary) -> list[tuple[str, str, str]]:
         a, b = old.properties[name], new.properties[name]
         for side in ("domain", "range"):
             was, now = set(_listed(a.get(side))), set(_listed(b.get(side)))
-            if was != now:
-                wider = not now or bool(was) and was <= now
-                out.append((ADDITIVE if wider else BREAKING, name, f"{side} {'widened' if wider else 'narrowed'}"))
+            if was != now:  # wider ones too: facts that were wrong are right now, and rules that relied on it are not
+                same = {renamed.get(x, x) for x in was} == {renamed.get(x, x) for x in now}
+                out.append((COSMETIC if same else BREAKING, name, f"{side} {'renamed' if same else 'changed'}"))
         if (b.get("min") or 0) != (a.get("min") or 0):
             out.append((BREAKING if (b.get("min") or 0) > (a.get("min") or 0) else ADDITIVE, name, "min changed"))
         if a.get("max") != b.get("max"):
             tighter = b.get("max") is not None and (a.get("max") is None or b["max"] < a["max"])
             out.append((BREAKING if tighter else ADDITIVE, name, "max changed"))
         if _listed(a.get("subproperty_of")) != _listed(b.get("subproperty_of")):
-            out.append((BREAKING, name, "subproperty_of changed"))
+            had = bool(_listed(a.get("subproperty_of")))
+            out.append((BREAKING if had else ADDITIVE, name, f"superproperty {'removed' if had else 'added'}"))
+        if a.get("inverse") != b.get("inverse"):
+            out.append((ADDITIVE, name, "inverse changed"))
         out += _wording(name, a, b)
     for name in old.schemes.keys() & new.schemes.keys():
         a, b = old.schemes[name], new.schemes[name]
         out += [(BREAKING, f"{name}:{c}", "concept removed") for c in a.keys() - b.keys()]
         out += [(ADDITIVE, f"{name}:{c}", "concept added") for c in b.keys() - a.keys()]
-        out += [(BREAKING, f"{name}:{c}", "broader changed") for c in a.keys() & b.keys() if (a[c] or {}).get("broader") != (b[c] or {}).get("broader")]
+        out += [(ADDITIVE, f"{name}:{c}", "broader changed") for c in a.keys() & b.keys() if (a[c] or {}).get("broader") != (b[c] or {}).get("broader")]
     rank = {BREAKING: 0, ADDITIVE: 1, COSMETIC: 2}
     return sorted(out, key=lambda x: (rank[x[0]], x[1], x[2]))
 

@@ -743,6 +743,49 @@ def relative_dates(spark, sf):
     return c.select("conv_id", "turn", relative_date(put).alias("wording")).where("wording IS NOT NULL")
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, o_orderkey % 26 AS d, (o_orderkey // 26) % 26 AS e FROM orders),
+  w AS (SELECT *, chr(65 + CAST(d AS INT)) AS x, chr(65 + CAST(e AS INT)) AS y, coalesce(c_mktsegment, 'X') AS s FROM o LEFT JOIN (SELECT o_orderkey AS ok, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey) j ON j.ok = o.o_orderkey)
+  SELECT o_orderkey AS key, x || y || CASE k WHEN 2 THEN left(s, 1) WHEN 5 THEN '9' ELSE '' END AS acronym,
+    CASE k WHEN 1 THEN x || 'ax of the ' || y || 'ot' WHEN 2 THEN x || 'ax ' || y || 'ot ' || s WHEN 4 THEN lower(x) || 'ax ' || lower(y) || 'ot' ELSE x || 'ax ' || y || 'ot' END AS long_form
+  FROM w WHERE k NOT IN (3, 6)""")
+def acronym_expansions(spark, sf):
+    """Five ways to spell an acronym out in a text about each order, and two that spell nothing."""
+    o = tables.table(spark, sf, "orders").join(tables.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    s, k, n = F.coalesce("c_mktsegment", F.lit("X")), F.col("o_orderkey") % 7, F.col("o_orderkey")
+    x, y = F.char(F.lit(65) + n % 26), F.char(F.lit(65) + F.floor(n / 26) % 26)
+    long = F.concat(x, F.lit("ax "), y, F.lit("ot"))
+    said = (
+        F.when(k == 1, F.concat(F.lit("With the "), x, F.lit("ax of the "), y, F.lit("ot ("), x, y, F.lit(") it began. ")))
+        .when(k == 2, F.concat(F.lit("It names a "), long, F.lit(" "), s, F.lit(" ("), x, y, F.left(s, F.lit(1)), F.lit(").\n")))
+        .when(k == 3, F.concat(F.lit("Nothing but 12 ("), x, y, F.lit(") here. ")))
+        .when(k == 4, F.concat(F.lit("See "), x, y, F.lit(" ("), F.lower(long), F.lit(") for it. ")))
+        .when(k == 5, F.concat(F.lit("The **"), long, F.lit("** ("), x, y, F.lit("9) is here, a "), long, F.lit(" ("), x, y, F.lit("9) too. ")))
+        .when(k == 6, F.concat(F.lit("Also "), x, y, F.lit(" (of "), F.lower(long), F.lit(") is none. ")))
+        .otherwise(F.concat(F.lit("A "), long, F.lit(" ("), x, y, F.lit(") opens it. Later the "), y, F.lit("ax ("), x, y, F.lit(") is there. ")))
+    )
+    docs = o.select(n.alias("key"), F.concat(F.lit("# Notes on the order\n"), said, F.lit("That is all")).alias("text"))
+    return survey.expansions(docs, "key").drop("sentence")
+
+
+@query("""WITH n AS (SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2, strpos(p_name, ' ') - 2) || ' Works' AS name FROM part WHERE strpos(p_name, ' ') > 2),
+  t AS (SELECT o_orderkey, p_partkey, 'ZQ-' || (o_orderkey % 50) AS code FROM orders LEFT JOIN part ON p_partkey = o_orderkey % 200),
+  ids AS (SELECT name, list_sort(list('part.' || p_partkey))[1:3] AS ids FROM (SELECT name, p_partkey, row_number() OVER (PARTITION BY name ORDER BY 'part.' || p_partkey) AS no FROM n) WHERE no <= 3 GROUP BY name),
+  r AS (SELECT o_orderkey AS key, 'code' AS kind, 1::BIGINT AS rank, code AS term, 2::BIGINT AS n FROM t
+    UNION ALL SELECT o_orderkey, 'phrase', 1, name, 2 FROM t JOIN n USING (p_partkey))
+  SELECT key, kind, rank, term, n AS count, coalesce(array_to_string(ids, ' '), '') AS ids FROM r LEFT JOIN ids ON ids.name = r.term""")
+def survey_brief(spark, sf):
+    """Each order's text has a part's name and a code twice; the graph holds the names of parts."""
+    p = tables.table(spark, sf, "part").where("instr(p_name, ' ') > 2")
+    name = F.concat(F.upper(F.left("p_name", F.lit(1))), F.expr("substr(p_name, 2, instr(p_name, ' ') - 2)"), F.lit(" Works"))
+    p = p.select("p_partkey", name.alias("name"))
+    o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 200).alias("pk"), F.concat(F.lit("ZQ-"), (F.col("o_orderkey") % 50).cast("string")).alias("code"))
+    t = o.join(p, o["pk"] == p["p_partkey"], "left")
+    two = F.coalesce(F.concat(F.lit("at the "), F.col("name"), F.lit(", in all the "), F.col("name")), F.lit("at none"))
+    docs = t.select("key", F.concat(F.lit("It is "), F.col("code"), F.lit(" "), two, F.lit(", for "), F.col("code"), F.lit(".")).alias("text"))
+    names = p.select(tables.ref("part", "p_partkey").alias("id"), "name")
+    return survey.brief(docs, names, "key").withColumn("ids", F.array_join("ids", " "))
+
+
 # Vectors and sets.
 
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
@@ -1076,6 +1119,20 @@ def change_impact(spark, sf):
     return curation.impact(changes, tables.nodes(spark, sf), tables.edges(spark, sf), VOCABULARY)
 
 
+@query("""SELECT 'superproperty removed' AS kind, 'involves' AS subject, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) + (SELECT count(*) FROM orders) AS affected
+  UNION ALL SELECT 'concept removed', 'priority.3-MEDIUM', (SELECT count(*) FROM orders WHERE o_orderpriority = '3-MEDIUM')
+  UNION ALL SELECT 'scheme removed', 'priority', (SELECT count(*) FROM orders WHERE o_orderpriority <> '')
+  UNION ALL SELECT 'attribute values removed', 'Customer.segment', (SELECT count(*) FROM customer WHERE c_mktsegment NOT IN ('', 'BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD'))
+  UNION ALL SELECT 'attribute type changed', 'Order.total', (SELECT count(*) FROM orders WHERE o_totalprice IS NOT NULL)
+  UNION ALL SELECT 'range changed', 'placed_by', (SELECT count(*) FROM orders)""")
+def change_impact_hierarchies(spark, sf):
+    """Relations that specialise others, concepts, schemes, and values that an attribute has no longer."""
+    up = {name: spec | ({"subproperty_of": "involves"} if name in ("contains", "placed_by") else {}) for name, spec in VOCABULARY.properties.items()}
+    v = Vocabulary(VOCABULARY.classes, up | {"involves": {}}, VOCABULARY.schemes)
+    changes = [("superproperty removed", "involves"), ("concept removed", "priority.3-MEDIUM"), ("scheme removed", "priority"), ("attribute values removed", "Customer.segment"), ("attribute type changed", "Order.total"), ("range changed", "placed_by")]
+    return curation.impact(changes, tables.nodes(spark, sf), tables.edges(spark, sf), v)
+
+
 @query("""SELECT CASE lang WHEN 'en' THEN 'document' WHEN 'fr' THEN 'inference' WHEN 'de' THEN 'unrecorded' ELSE 'document' END AS source_type, count(*) AS n FROM documents GROUP BY 1""")
 def source_types(spark, sf):
     lang = F.col("lang")
