@@ -934,6 +934,47 @@ def projection_neighbours(spark, sf):
     return Projection(tables.nodes(spark, sf), tables.edges(spark, sf)).run(expr).select("value.*")
 
 
+@query("""WITH top AS (SELECT 'part.' || p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, 'part.' || p_partkey) AS no FROM part)
+  SELECT 'title' AS path, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS BIGINT) AS no, '"Trade"' AS value
+  UNION ALL SELECT 'counts.orders', NULL, NULL, CAST(count(*) AS VARCHAR) FROM orders WHERE o_orderstatus <> 'F'
+  UNION ALL SELECT 'places', NULL, NULL, '"' || n_name || '"' FROM nation UNION ALL SELECT 'places', NULL, NULL, '"' || r_name || '"' FROM region
+  UNION ALL SELECT 'dearest', NULL, no, '"' || id || '"' FROM top WHERE no <= 5
+  UNION ALL SELECT 'segments', c_mktsegment, NULL, '"customer.' || c_custkey || '"' FROM customer
+  UNION ALL SELECT 'terms', NULL, NULL, '{"term":"' || p_brand || '","phrases":' || count(DISTINCT p_name) || ',"of":' || count(*) || '}' FROM part GROUP BY p_brand
+  UNION ALL SELECT 'english', NULL, NULL, '"' || doc_id || '"' FROM documents WHERE lang = 'en'
+  UNION ALL SELECT 'links', NULL, NULL, '"nation.' || n_nationkey || ' in region.' || n_regionkey || '"' FROM nation
+  UNION ALL SELECT 'pending', NULL, NULL, 'null'""")
+def projection_document(spark, sf):
+    """A document of seven collections, a count and a constant, with a part that is not there."""
+    part = tables.table(spark, sf, "part")
+    given = {
+        "lexicon": part.select(F.col("p_brand").alias("canonical"), F.col("p_name").alias("phrase"), tables.ref("part", "p_partkey").alias("target"), F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("note")),
+        "documents": tables.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"),
+    }
+    doc = {
+        "title": "Trade",
+        "counts": {"orders": {"$count": {"$nodes": "Order"}}},
+        "places": {"$nodes": "Place", "$map": "$label"},
+        "dearest": {"$nodes": "Part", "$sort": "-attr.price", "$limit": 5, "$map": "$id"},
+        "segments": {"$nodes": "Customer", "$group": "attr.segment", "$map": "$id"},
+        "terms": {"$lexicon": True, "$select": {"term": "$term", "phrases": {"$count": "$phrases"}, "of": {"$count": "$targets"}}},
+        "english": {"$documents": True, "$where": {"lang": "en"}, "$map": "$id"},
+        "links": {"$edges": True, "$where": {"rel": "in_region"}, "$map": {"$format": "{from} in {to}"}},
+        "pending": {"$optional": {"$pending": True}},
+    }
+    out = Projection(tables.nodes(spark, sf), tables.edges(spark, sf), given, VOCABULARY).assembled(doc)
+    return out.withColumn("no", F.when(F.col("path") == "dearest", F.col("no")))
+
+
+@query("""WITH r AS (SELECT c_nationkey, 'customer.' || c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, 'customer.' || c_custkey) AS no FROM customer WHERE c_acctbal IS NOT NULL)
+  SELECT 'nation.' || n_nationkey AS id, coalesce((SELECT string_agg('in_nation ' || r.id, ', ' ORDER BY no) FROM r WHERE c_nationkey = n_nationkey AND no <= 3), '') AS richest FROM nation""")
+def projection_richest(spark, sf):
+    """Neighbours in falling order of a number, with the relation that leads to them."""
+    customers = {"$in": "in_nation", "$where": {"type": "Customer"}, "$sort": "-attr.balance", "$limit": 3, "$map": {"$concat": ["$rel", " ", "$id"]}}
+    p = Projection(tables.nodes(spark, sf), tables.edges(spark, sf)).run({"$nodes": "Nation", "$select": {"id": "$id", "all": customers}})
+    return p.select("value.id", F.array_join("value.all", ", ").alias("richest"))
+
+
 _TRIPLES = """%NODES%, %EDGES%, attrs AS (
   SELECT 'region.' || r_regionkey AS id, 'name' AS k, r_name AS v FROM region UNION ALL SELECT 'nation.' || n_nationkey, 'name', n_name FROM nation
   UNION ALL SELECT 'customer.' || c_custkey, unnest(['balance', 'segment']), unnest([CAST(c_acctbal AS VARCHAR), c_mktsegment]) FROM customer
