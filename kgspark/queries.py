@@ -23,7 +23,7 @@ from kgspark.plans.projection import Projection
 from kgspark.plans.sql import Renderer
 from kgspark.plans.sql import run as run_sql
 from kgspark.plans.vocabulary import Vocabulary
-from kgspark.sources import store, tables
+from kgspark.sources import markdown, store, tables
 from kgspark.sources.files import documents_of
 from kgspark.streaming import feeds
 
@@ -786,6 +786,65 @@ def survey_brief(spark, sf):
     return survey.brief(docs, names, "key").withColumn("ids", F.array_join("ids", " "))
 
 
+def _decisions(spark, sf):
+    """A decision record about each order: one in five with a status that is none, one in seven without its section."""
+    o, n = tables.table(spark, sf, "orders"), F.col("o_orderkey").cast("string")
+    status = F.when(F.col("o_orderkey") % 5 == 0, "open").when(F.col("o_orderkey") % 2 == 0, "accepted").otherwise("proposed")
+    text = F.concat(
+        F.lit("---\nid: ADR-"), (F.col("o_orderkey") % 1000000).cast("string"), F.lit("\nstatus: "), status, F.lit("\ndecided_on: "), F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.lit("\ngoverns: [customer."), F.col("o_custkey").cast("string"), F.lit(", ghost."), n, F.lit("]\nabout:\n  - \""), F.coalesce("o_orderpriority", F.lit("-")), F.lit("\"\n---\n\n# Order "), n,
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("\n## Ruling")).otherwise(F.lit("\n## Decision")), F.lit("\nHandle it as\n"), F.coalesce("o_orderpriority", F.lit("-")), F.lit("!\n\nSo be it.\n### Later\nNothing."),
+    )
+    return markdown.records(o.select("o_orderkey", text.alias("text")), "o_orderkey")
+
+
+_DECIDED = """d AS (SELECT o_orderkey AS doc, o_orderkey % 1000000 AS no, o_custkey, coalesce(o_orderpriority, '-') AS p, strftime(o_orderdate, '%Y-%m-%d') AS day,
+    o_orderkey % 7 <> 0 AS ruled, CASE WHEN o_orderkey % 5 = 0 THEN 'open' WHEN o_orderkey % 2 = 0 THEN 'accepted' ELSE 'proposed' END AS status FROM orders)"""
+
+
+@query(f"""WITH {_DECIDED} SELECT doc, 'ADR-' || no AS id, 'Order ' || doc AS title, status, day AS decided_on, ruled AS is_record, CASE WHEN ruled THEN 'Handle it as ' || p || '!' END AS quote,
+    p AS about, (CASE WHEN ruled THEN 0 ELSE 1 END + CASE WHEN status = 'open' THEN 1 ELSE 0 END)::BIGINT AS problems FROM d""")
+def decision_records(spark, sf):
+    rows = _decisions(spark, sf)
+    return rows.select("doc", "id", "title", "status", "decided_on", "is_record", "quote", F.array_join("about", ",").alias("about"), F.size("problems").cast("long").alias("problems"))
+
+
+@query(f"""WITH {_DECIDED}, g AS (SELECT * FROM d WHERE ruled AND status <> 'open')
+  SELECT 'edge' AS what, 'decision.adr-' || no AS src, 'documented_in' AS rel, 'document.' || doc AS dst FROM g
+  UNION ALL SELECT CASE WHEN c_custkey IS NULL THEN 'unresolved' ELSE 'edge' END, CASE WHEN c_custkey IS NOT NULL THEN 'decision.adr-' || no END, 'governs', 'customer.' || o_custkey FROM g LEFT JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT 'unresolved', NULL, 'governs', 'ghost.' || doc FROM g UNION ALL SELECT 'edge', 'decision.adr-' || no, 'about', 'priority.' || p FROM g WHERE p <> '-'
+  UNION ALL SELECT 'unresolved', NULL, 'about', '-' FROM g WHERE p = '-'
+  UNION ALL SELECT 'node', 'decision.adr-' || no, day, 'Handle it as ' || p || '!' FROM g UNION ALL SELECT 'node', 'document.' || doc, day, 'ADR-' || no || ', the record of this decision.' FROM g""")
+def decision_proposals(spark, sf):
+    """Records as nodes and edges: customers by id, priorities by label."""
+    graph = tables.nodes(spark, sf).select("id", "label")
+    graph = graph.union(tables.table(spark, sf, "orders").select(F.concat(F.lit("priority."), "o_orderpriority"), "o_orderpriority").distinct())
+    nodes, edges, unresolved = markdown.proposal(_decisions(spark, sf), graph)
+    none = F.lit(None).cast("string")
+    return (
+        edges.select(F.lit("edge").alias("what"), "src", "rel", "dst")
+        .union(unresolved.select(F.lit("unresolved"), none, "rel", "term"))
+        .union(nodes.select(F.lit("node"), "id", "valid_from", "summary"))
+    )
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  m AS (SELECT *, len(list_filter(lines[1:29], lambda x: starts_with(trim(x), '- ') AND trim(substr(trim(x), 3)) <> '' AND length(trim(substr(trim(x), 3))) < 120)) > 0 AS bullets FROM d)
+  SELECT doc_id AS doc, 1::BIGINT AS no, 'deck' || (doc_id % 3) || '#' || (doc_id % 90) AS key, lang AS title, doc_id % 4 = 0 AS curated, doc_id % 2 = 0 OR bullets AS labelled FROM m""")
+def figures_undescribed(spark, sf):
+    """A figure above each whole text, every other one with a label, some with a description that someone wrote."""
+    d, n = tables.table(spark, sf, "documents"), F.col("doc_id")
+    number = F.lpad((n % 90).cast("string"), 3, "0")
+    head = F.concat(F.lit("## Page 1 — "), F.coalesce("lang", F.lit("")), F.lit("\n> **[DIAGRAM]** (shapes) — see `assets/deck"), (n % 3).cast("string"), F.lit("/page-"), number, F.lit(".png`. _Description added in review pass._\n"))
+    text = F.concat(head, F.when(n % 2 == 0, "- A label\n").otherwise(""), F.coalesce("text", F.lit("")))
+    key = F.concat(F.lit("deck"), (n % 3).cast("string"), F.lit("#"), (n % 90).cast("string"))
+    written = d.where("doc_id % 4 = 0").select(key.alias("key"), n.alias("of"))
+    rows = markdown.figures(d.select("doc_id", text.alias("text")), curated=None)
+    own = written.select("key", F.col("of").alias("doc")).withColumn("curated", F.lit(True))
+    rows = rows.drop("curated").join(own, ["doc", "key"], "left").withColumn("curated", F.coalesce("curated", F.lit(False)))
+    return rows.select("doc", F.col("no").cast("long").alias("no"), "key", "title", "curated", "labelled")
+
+
 # Vectors and sets.
 
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
