@@ -143,8 +143,12 @@ def lexicon_search(lexicon: DataFrame, term: str) -> DataFrame:
 
 
 def entity_search(nodes: DataFrame, terms: DataFrame, limit: int = 6) -> DataFrame:
-    """(term, rank, id): nodes by words of their labels and summaries; current ones first, then by BM25, then by id."""
-    texts = nodes.select("id", F.concat_ws(" ", "label", "summary").alias("text"))
+    """(term, rank, id): nodes by words of their labels, aliases, tags and summaries; current ones first, then by BM25, then by id.
+
+    aliases and tags are arrays, where the table has them.
+    """
+    said = [c for c in ("label", "aliases", "tags", "summary") if c in nodes.columns]
+    texts = nodes.select("id", F.concat_ws(" ", *said).alias("text"))
     stats = texts.agg(F.count("*"), F.avg(F.size(tokens(F.col("text"))))).first()
     asked = terms.select(F.col("term").alias("query_id"), F.col("term").alias("query")).distinct()
     found = bm25(postings(texts, "id", "text"), asked, "id", stats[0], stats[1] or 1.0).withColumn("score", F.round("score", 9))

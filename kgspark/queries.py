@@ -1187,6 +1187,28 @@ def entity_search(spark, sf):
     return retrieval.entity_search(tables.nodes(spark, sf).where("type = 'Part'"), p.select(F.concat_ws(" ", "p_name", "p_brand").alias("term")))
 
 
+@query("""WITH t AS (SELECT 'customer.' || c_custkey AS id, c_custkey % 3 = 0 AS now, list_concat(regexp_extract_all(lower(c_name), '[a-z0-9]+'), list_concat(
+    CASE WHEN n_name IS NULL THEN [] ELSE list_concat(['of'], regexp_extract_all(lower(n_name), '[a-z0-9]+')) END, regexp_extract_all(lower(coalesce(c_mktsegment, '')), '[a-z0-9]+'))) AS w
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+  p AS (SELECT id, now, len(w) AS length, unnest(w) AS term FROM t), tf AS (SELECT id, now, length, term, count(*) AS tf FROM p GROUP BY ALL),
+  s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  q AS (SELECT DISTINCT n_name || ' ' || c_mktsegment AS q FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0),
+  a AS (SELECT q, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN (%STOP%)))) AS term FROM q),
+  r AS (SELECT q, id, now, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
+    FROM a JOIN df USING (term) JOIN tf USING (term), s GROUP BY ALL)
+  SELECT q AS term, rank, id FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY now DESC, score DESC, id) AS rank FROM r) WHERE rank <= 6""".replace("%STOP%", _STOP))
+def entity_search_aliases(spark, sf):
+    """Customers found by an alias (of their nation) and a tag (their segment); a third of them is current."""
+    c = tables.table(spark, sf, "customer").join(tables.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    none = F.array().cast("array<string>")
+    nodes = c.select(
+        tables.ref("customer", "c_custkey").alias("id"), F.col("c_name").alias("label"), F.when(F.col("c_custkey") % 3 == 0, "current").otherwise("intended").alias("status"),
+        F.when(F.col("n_name").isNotNull(), F.array(F.concat(F.lit("Of "), "n_name"))).otherwise(none).alias("aliases"), F.array_compact(F.array("c_mktsegment")).alias("tags"), F.lit(None).cast("string").alias("summary"),
+    )
+    asked = c.where("c_custkey % 50 = 0 AND n_name IS NOT NULL")  # the stated query set, against all customers
+    return retrieval.entity_search(nodes, asked.select(F.concat("n_name", F.lit(" "), "c_mktsegment").alias("term")))
+
+
 @query("""WITH t AS (SELECT 'customer.' || c_custkey AS id, regexp_extract_all(lower(c_name), '[a-z0-9]+') AS w FROM customer),
   e AS (SELECT DISTINCT id, unnest(w) AS term FROM t), d AS (SELECT term FROM e GROUP BY term HAVING count(*) = 1)
   SELECT 'not ' || c_custkey || ' ' || term AS term, e.id AS candidate FROM customer JOIN e ON e.id = 'customer.' || c_custkey JOIN d USING (term) WHERE c_custkey % 50 = 0 AND length(term) > 2""")
