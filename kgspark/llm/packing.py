@@ -1,8 +1,10 @@
 """Conflict-constrained best-fit packing of documents into bins of equal capacity.
 
 Rows are dealt to shards by a hash, each shard is packed on its own, and the
-number of shards follows the number of rows, so no task or bin depends on the
-size of the corpus and copies or a large source are spread over all shards.
+number of shards follows the number of rows (of ``sequences`` the number of
+tokens too), so no task or bin depends on the size of the corpus and copies or a
+large source are spread over all shards.  Bins do not depend on how the input is
+partitioned or ordered.
 
 Within a shard documents go largest first.  Open bins are kept in order of what
 they have left and carry bitmaps: one bit for each duplicate cluster, and one
@@ -32,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +43,8 @@ from kgspark.llm.text import GAP
 
 #: Documents of a shard, on average.
 SHARD = 4096
+#: Tokens of a shard of ``sequences``, on average.
+SHARD_TOKENS = 1 << 23
 
 
 def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int, per_source: int) -> list[int]:
@@ -133,6 +137,21 @@ def pack(
     return rows.groupBy("shard").applyInPandas(run, schema)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(row, number) of the rows whose key repeats: the numbers from 1 of a key, which of its equal rows has which does not matter.
+
+    A key's rows are counted by the partition that wrote them and numbered
+    within it, so no task takes all rows of a key.  Written, so that Spark knows
+    its size and sends it to the scans of the rows if that is small.
+    """
+    often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    copies = rows.join(often, "key", "left_semi").withColumn("part", F.shiftrightunsigned("row", 33))
+    counts = copies.groupBy("key", "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")).drop("n")
+    own = copies.withColumn("own", F.row_number().over(Window.partitionBy("key", "part").orderBy("row")))
+    return written(own.join(before, ["key", "part"]).select("row", (F.col("before") + F.col("own")).alias("number")), "copies")
+
+
 def sequences(
     docs: DataFrame,
     capacity: int = 2048,
@@ -153,15 +172,16 @@ def sequences(
         F.col(cluster).alias("cluster"),
         F.col(ids).alias("ids"),
     )
-    # Written, so that row numbers, which part repeated rows, are the same whenever they are read.
+    rows = rows.where(F.size("ids") > 0).withColumns({"key": F.xxhash64("doc_id", "source", "cluster", "ids"), "row": F.monotonically_increasing_id()})
     rows = written(rows, "token-ids")
-    shards = max(1, math.ceil(rows.count() / shard_rows))
-    number = F.monotonically_increasing_id()
-    rows = rows.withColumn("number", number).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "cluster", "number"), F.lit(shards)))
+    n_rows, n_tokens = rows.agg(F.count("*"), F.sum(F.size("ids"))).first()
+    shards = max(1, math.ceil(n_rows / shard_rows), math.ceil((n_tokens or 0) / SHARD_TOKENS))
+    rows = rows.join(_numbered(rows.select("key", "row")), "row", "left").withColumn("number", F.coalesce("number", F.lit(1)))
+    rows = rows.drop("row").withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "key", "number"), F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:
         base = table.column("shard")[0].as_py() << 32
-        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("number", "ascending")]))
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in ("doc_id", "key", "number")]))
         column = pa.concat_arrays(table.column("ids").chunks)
         size = pc.fill_null(column.value_lengths(), 0).to_numpy()
         offsets = np.concatenate(([0], np.cumsum(size)))

@@ -254,6 +254,17 @@ def test_sequences_hold_every_token_in_order(spark):
     assert packing.sequences(docs.limit(0)).count() == 0
 
 
+def test_sequences_do_not_depend_on_partitions(spark):
+    rows = [(d % 150 if d % 10 else None, f"s{d % 3}", d % 40, [d % 150] * (d % 150 % 23)) for d in range(600)]
+    rows += [(7, "s1", 7, [7, 7, 7])] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, source string, cluster long, ids array<int>")
+    again = spark.createDataFrame(rows[::-1], docs.schema)
+    out = [sorted(map(tuple, packing.sequences(df, capacity=64, shard_rows=50).toPandas().map(lambda x: tuple(x) if hasattr(x, "__len__") else x).itertuples(index=False)), key=repr) for df in (docs.repartition(3), again.repartition(7), docs.coalesce(1))]
+    assert out[0] == out[1] == out[2]
+    held = sorted(t for r in out[0] for t in r[2])
+    assert held == sorted(t for r in rows for t in r[3])
+
+
 # Near duplicates.
 
 
