@@ -23,7 +23,7 @@ from kgspark.plans.projection import Projection
 from kgspark.plans.sql import Renderer
 from kgspark.plans.sql import run as run_sql
 from kgspark.plans.vocabulary import Vocabulary
-from kgspark.sources import markdown, store, tables
+from kgspark.sources import markdown, ontology, store, tables
 from kgspark.sources.files import documents_of
 from kgspark.streaming import feeds
 
@@ -845,6 +845,22 @@ def figures_undescribed(spark, sf):
     return rows.select("doc", F.col("no").cast("long").alias("no"), "key", "title", "curated", "labelled")
 
 
+@query("""WITH %NODES%, %EDGES%, named AS (SELECT rel, upper(left(src, 1)) || substr(split_part(src, '.', 1), 2) AS domain, upper(left(dst, 1)) || substr(split_part(dst, '.', 1), 2) AS range FROM edges),
+  used AS (SELECT DISTINCT type FROM nodes)
+  SELECT 'kg:' || type AS subject, 'a' AS predicate, 'owl:Class' AS object FROM used UNION ALL SELECT 'kg:' || type, 'rdfs:comment', '"Things called ' || lower(type) || '"' FROM used
+  UNION ALL SELECT DISTINCT 'kg:' || rel, 'a', 'owl:ObjectProperty' FROM named
+  UNION ALL SELECT DISTINCT 'kg:' || rel, 'rdfs:domain', 'kg:' || domain FROM named UNION ALL SELECT DISTINCT 'kg:' || rel, 'rdfs:range', 'kg:' || range FROM named""")
+def vocabulary_imported(spark, sf):
+    """The vocabulary that a graph uses, folded from a row for each node and edge, written as Turtle and read again."""
+    kind = lambda c: F.initcap(F.split(c, r"\.")[0])
+    edges = tables.edges(spark, sf).select(F.lit("relation").alias("kind"), F.col("rel").alias("name"), F.lit("").alias("description"), kind("src").alias("domain"), kind("dst").alias("range"))
+    nodes = tables.nodes(spark, sf).select(F.lit("class"), "type", F.concat(F.lit("Things called "), F.lower("type")), F.lit(""), F.lit(""))
+    v, _ = ontology.vocabulary_of_rows(edges.union(nodes))
+    files = spark.createDataFrame([("used", ontology.turtle(v))], "file string, text string")
+    again = ontology.turtle(ontology.vocabulary_of(ontology.triples(files)))
+    return ontology.triples(spark.createDataFrame([("again", again)], "file string, text string")).drop("file")
+
+
 # Vectors and sets.
 
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
