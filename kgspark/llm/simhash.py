@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.shared import connected_components, written
+from kgspark.llm.shared import connected_components, removed, written
 from kgspark.llm.text import chunks, joined
 
 SEED = 42
@@ -207,7 +207,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
     for c in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")), c)
     both = F.size(F.array_intersect("a_set", "b_set"))
-    return written(pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"), "close")
+    close = written(pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"), "close")
+    removed(sets)
+    return close
 
 
 def near_duplicates(
