@@ -1,19 +1,28 @@
 """Line dedup by pairwise patience alignment.
 
 A line is what stands between line feeds; lines without a word take no part.
-Pairs are nominated by runs: the shortest run of consecutive lines with at least
-``min_chars`` characters that starts at each line, and that ends at each line.
-Each run leads to its first holder, so runs cost two rows for each line, and a
-frequent run one pair for each document and not the square, without a cap.  Each
-pair is aligned by patience diff, and blocks of aligned consecutive lines with at
-least ``min_chars`` characters are deleted from the later document; so are the
-runs that nominated it, which stand in both even where the alignment, which does
-not cross itself, goes another way.
-
-No block is missed: each line of a block of enough characters that an earlier
-document has is in the shortest run from the block's first line, or in the
-shortest run that ends at the line, and the block has that run, so the earlier
-document has it too, and its first holder comes no later.
+Only lines that several documents have matter, and of them only regions:
+consecutive shared lines with at least ``min_chars`` characters together, since
+a block that another document has lies in one.
+
+Pairs are nominated by rare lines: of each region, the line that the fewest
+documents have, of those that an earlier document has, leads to that line's
+first holder, so a frequent line costs one pair for each document and not the
+square, without a cap.  A pair is aligned by patience diff over the lines that
+both have, and aligned blocks, consecutive in both and of at least ``min_chars``
+characters, are deleted from the later document.  What is left of it is aligned
+again until no block is found, so text that moved goes too.  Nothing is deleted
+but by an alignment.
+
+The exact fall-back for what this leaves: runs, the shortest runs of consecutive
+lines with at least ``min_chars`` characters that start at each line and that
+end at each line.  Each run that has lines left, and that an earlier document
+has, is aligned by itself with its first holder.  No block is missed: each line
+of a block of enough characters that an earlier document has is in the shortest
+run from the block's first line, or in the shortest run that ends at the line,
+and the block has that run, so the earlier document has it too, and its first
+holder comes no later.  Rare lines find nearly all; runs are for blocks that
+patience diff passes by, and for blocks put together from several documents.
 
 Lines are equal if two 64-bit hashes with different seeds agree.
 
@@ -24,9 +33,9 @@ against the texts as they came in, not against what deletions left; other
 columns stay as they are, whatever their names, but n_lines and n_removed are
 replaced.
 
-Hot lines: what is joined by a run or by its holder is read from written tables
-on both sides, so Spark splits the partitions of a run or holder that very many
-documents share.
+Hot lines: pairs meet line by line, so only lines that both documents have are
+exchanged, and none of the joins has an aggregation on its keys before it, so
+Spark splits the partitions of a line or holder that very many documents share.
 """
 
 from __future__ import annotations
@@ -45,8 +54,8 @@ MIN_CHARS = 100
 LAST = (1 << 63) - 1
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions of equal items, increasing in both."""
+def patience(a: list[int], b: list[int], longest: bool = False) -> list[tuple[int, int]]:
+    """Aligned positions of equal items, increasing in both; where no item is unique in both, none or the longest common run."""
     out = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -79,6 +88,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         while k >= 0:
             chain.append(once[k])
             k = back[k]
+        if not chain and longest:
+            chain = _longest(a, alo, ahi, b, blo, bhi)[::-1]
         if not chain:
             continue
         out += chain
@@ -87,10 +98,25 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[tuple[int, int]], b: list[tuple[int, int, int]], min_chars: int) -> list[tuple[int, int]]:
+def _longest(a: list[int], alo: int, ahi: int, b: list[int], blo: int, bhi: int) -> list[tuple[int, int]]:
+    """Positions of the first longest run of items that both parts have."""
+    there: dict[int, list[int]] = {}
+    for j in range(blo, bhi):
+        there.setdefault(b[j], []).append(j)
+    best, before = (0, 0, 0), {}
+    for i in range(alo, ahi):
+        now = {j: before.get(j - 1, 0) + 1 for j in there.get(a[i], ())}
+        for j, n in now.items():
+            best = max(best, (n, -i, -j))
+        before = now
+    n, i, j = best[0], -best[1], -best[2]
+    return [(i - k, j - k) for k in range(n - 1, -1, -1)]
+
+
+def common_blocks(a: list[tuple[int, int]], b: list[tuple[int, int, int]], min_chars: int, longest: bool = False) -> list[tuple[int, int]]:
     """Places in b, from and to, of aligned blocks; a: (place, line), b: (place, line, characters)."""
     found, start = [], None
-    pairs = patience([x[1] for x in a], [x[1] for x in b])
+    pairs = patience([x[1] for x in a], [x[1] for x in b], longest)
     places = [(a[i][0], b[j][0], b[j][2]) for i, j in pairs]
     for k, (p, q, n) in enumerate(places):
         if start is None or (p, q) != (places[k - 1][0] + 1, places[k - 1][1] + 1):
@@ -109,6 +135,10 @@ def _lines(text: str):
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
+DOC = "struct<id: long, h: long>"
+HOLDERS = "array<struct<id: long, h: long, runs: array<struct<lo: int, hi: int>>>>"
+
+
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, flags): for each document that has lines to delete, whether a line goes, up to the last that does.
 
@@ -121,30 +151,24 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = keyed.select("doc", F.transform(worded, line).alias("lines")).where(F.size("lines") > 0)
     # Only the first row of a document that is repeated.
     held = written(held.groupBy("doc").agg(F.first("lines").alias("lines")), "lines")
-    runs = held.select("doc", "lines.line", "lines.chars").mapInArrow(_runs(min_chars), "doc struct<id: long, h: long>, run long, lo int, hi int")
-    runs = written(runs, "runs")
-    known = runs.groupBy("run").agg(F.min("doc").alias("holder"), F.max("doc").alias("other"))
-    known = written(known.where("holder != other").select("run", "holder"), "shared")
-    pairs = runs.join(known, "run").where("holder < doc").groupBy("doc", "holder")
-    pairs = pairs.agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    pairs = written(pairs.join(held, "doc"), "pairs")
-    earlier = held.select(F.col("doc").alias("holder"), F.col("lines").alias("theirs"))
-    both = pairs.join(earlier, "holder").select("doc", "theirs", "lines", "runs")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for theirs, mine, runs in zip(batch.column(1), batch.column(2), batch.column(3)):
-                a, b = _fields(theirs), _fields(mine)
-                blocks = common_blocks(list(enumerate(a[0])), list(zip(range(len(b[0])), b[0], b[1])), min_chars)
-                # The runs were found by one hash of lines: they count where the other agrees, too.
-                shared = set(a[0])
-                blocks += [(x["lo"], x["hi"]) for x in runs.as_py() if shared.issuperset(b[0][x["lo"] : x["hi"]])]
-                out.append([b[2][place] for place in sorted({x for lo, hi in blocks for x in range(lo, hi)})])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc", "gone"])
-
-    gone = both.mapInArrow(run, "doc struct<id: long, h: long>, gone array<int>").where(F.size("gone") > 0)
-    gone = gone.groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    known = held.select("doc", F.explode(F.array_distinct("lines.line")).alias("line")).groupBy("line")
+    known = written(known.agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where("docs > 1"), "shared")
+    places = held.select("doc", F.posexplode("lines").alias("at", "x")).select("doc", "at", "x.*")
+    places = places.join(known, "line").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "line", "again", "chars", "no", "docs", "first"))).alias("lines"))
+    kind = places.schema["lines"].dataType.simpleString()
+    regions = written(places.mapInArrow(_regions(min_chars), f"doc {DOC}, lines {kind}"), "regions")
+
+    pairs = regions.mapInArrow(_nominated, f"doc {DOC}, lines {kind}, holders {HOLDERS}")
+    gone = written(_aligned(pairs, regions, min_chars), "gone")
+
+    runs = f"doc {DOC}, run long, lo int, hi int"
+    holders = regions.withColumn("gone", F.array().cast("array<int>")).mapInArrow(_runs(min_chars), runs).groupBy("run")
+    holders = holders.agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where("holder != other").select("run", "holder")
+    left = regions.join(_by_document(gone), "doc", "left").select("doc", "lines", "gone").mapInArrow(_runs(min_chars), runs)
+    left = left.join(holders, "run").where("holder < doc").groupBy("doc", "holder", "lo").agg(F.max("hi").alias("hi"))
+    left = left.groupBy("doc", "holder").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    left = left.groupBy("doc").agg(F.collect_list(F.struct("holder.id", "holder.h", "runs")).alias("holders"))
+    gone = gone.union(_aligned(regions.join(left, "doc"), regions, min_chars))
 
     def flagged(batches):
         for batch in batches:
@@ -154,41 +178,198 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 flags.append(np.bincount(numbers, minlength=numbers.max() + 1) > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.list_(pa.bool_()))], ["doc", "flags"])
 
-    return gone.mapInArrow(flagged, "doc struct<id: long, h: long>, flags array<boolean>")
+    return _by_document(gone).mapInArrow(flagged, f"doc {DOC}, flags array<boolean>")
+
+
+def _by_document(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+
+
+class _Flat:
+    """The lines of a batch of documents one after the other."""
+
+    def __init__(self, column: pa.ListArray):
+        self.lines = column.flatten()
+        self.size = column.value_lengths().to_numpy()
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.at, self.chars = self.field("at"), self.field("chars")
+        new = np.ones(len(self.doc), bool)
+        new[1:] = (np.diff(self.doc) != 0) | (np.diff(self.at) != 1)
+        self.region = np.cumsum(new) - 1
+
+    def field(self, name: str) -> np.ndarray:
+        return self.lines.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _regions(min_chars: int):
+    """(doc, shared lines) to those that stand in regions of enough characters."""
+
+    def run(batches):
+        for batch in batches:
+            flat = _Flat(batch.column(1))
+            keep = np.bincount(flat.region, flat.chars)[flat.region] >= min_chars if len(flat.region) else np.zeros(0, bool)
+            size = np.bincount(flat.doc[keep], minlength=batch.num_rows)
+            offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(size[size > 0]).astype(np.int32)))
+            lines = pa.ListArray.from_arrays(pa.array(offsets), flat.lines.filter(pa.array(keep)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(size > 0)), lines], ["doc", "lines"])
+
+    return run
+
+
+_RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+_HOLDERS = pa.list_(pa.struct([("id", pa.int64()), ("h", pa.int64()), ("runs", _RUNS)]))
+
+
+def _nominated(batches):
+    """(doc, lines) to (doc, lines, holders): of each region, the first holder of its rarest line that an earlier document has."""
+    for batch in batches:
+        flat = _Flat(batch.column(1))
+        mine = [batch.column(0).field(i).to_numpy().take(flat.doc) for i in (0, 1)]
+        first = [flat.lines.field("first").field(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+        earlier = np.flatnonzero((first[0] < mine[0]) | ((first[0] == mine[0]) & (first[1] < mine[1])))
+        order = earlier[np.lexsort((flat.at[earlier], flat.field("docs")[earlier], flat.region[earlier]))]
+        rarest = order[np.unique(flat.region[order], return_index=True)[1]]
+        holders: list[set] = [set() for _ in flat.size]
+        for doc, i, h in zip(flat.doc[rarest].tolist(), first[0][rarest].tolist(), first[1][rarest].tolist()):
+            holders[doc].add((i, h))
+        some = pa.array([bool(x) for x in holders], pa.bool_())
+        found = pa.array([[{"id": i, "h": h} for i, h in sorted(x)] for x in holders if x], _HOLDERS)
+        yield pa.RecordBatch.from_arrays([*(c.filter(some) for c in batch.columns), found], ["doc", "lines", "holders"])
+
+
+def _places(lines: pa.ListScalar) -> dict[tuple[int, int], list]:
+    """Of each line, by both hashes: its characters, first holder, places, and numbers."""
+    out: dict[tuple[int, int], list] = {}
+    for x in lines.as_py():
+        entry = out.setdefault((x["line"], x["again"]), [x["chars"], (x["first"]["id"], x["first"]["h"]), [], []])
+        entry[2].append(x["at"])
+        entry[3].append(x["no"])
+    return out
+
+
+def _batched(rows, kind: pa.Schema, size: int = 20_000):
+    """Rows as record batches of a bounded number of rows."""
+    some: list[tuple] = []
+    for row in rows:
+        some.append(row)
+        if len(some) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kind)], schema=kind)
+            some = []
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kind)], schema=kind)
+
+
+_LINE = [("hid", pa.int64()), ("hh", pa.int64()), ("line", pa.int64()), ("again", pa.int64())]
+_NUMBERS = pa.list_(pa.int32())
+
+
+def _theirs(batches):
+    rows = ((d["id"], d["h"], *key, x[2]) for batch in batches for d, lines in zip(batch.column(0).to_pylist(), batch.column(1)) for key, x in _places(lines).items())
+    yield from _batched(rows, pa.schema([*_LINE, ("there", _NUMBERS)]))
+
+
+def _mine(batches):
+    """A row for each pair and line, but for lines whose first holder comes after the pair's; upto: where the run ends that begins at a place."""
+
+    def rows():
+        for batch in batches:
+            for d, lines, holders in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                places = _places(lines)
+                for h in holders:
+                    holder = (h["id"], h["h"])
+                    upto = {x["lo"]: x["hi"] for x in h["runs"] or ()}
+                    inside = {p for lo, hi in upto.items() for p in range(lo, hi)}
+                    for key, (chars, first, at, no) in places.items():
+                        some = [(p, n, upto.get(p, 0)) for p, n in zip(at, no) if not upto or p in inside]
+                        if some and first <= holder:
+                            yield (*holder, *key, d["id"], d["h"], chars, *map(list, zip(*some)))
+
+    yield from _batched(rows(), pa.schema([*_LINE, ("id", pa.int64()), ("h", pa.int64()), ("chars", pa.int32()), ("at", _NUMBERS), ("no", _NUMBERS), ("upto", _NUMBERS)]))
+
+
+def _aligned(pairs: DataFrame, regions: DataFrame, min_chars: int) -> DataFrame:
+    """(doc, gone): numbers of the lines of aligned blocks, for pairs of (doc, lines, holders)."""
+    base = "hid long, hh long, line long, again long, "
+    mine = pairs.select("doc", "lines", "holders").mapInArrow(_mine, base + "id long, h long, chars int, at array<int>, no array<int>, upto array<int>")
+    theirs = regions.select("doc", "lines").mapInArrow(_theirs, base + "there array<int>")
+    both = mine.join(theirs, ["hid", "hh", "line", "again"]).groupBy("hid", "hh", "id", "h")
+    both = both.agg(F.collect_list(F.struct("chars", "at", "no", "upto", "there")).alias("lines")).select("id", "h", "lines")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lines in batch.column(2):
+                a, b, numbers, upto = [], [], {}, {}
+                for k, x in enumerate(lines.as_py()):
+                    a.append(x["there"])
+                    b += [(p, k, x["chars"]) for p in x["at"]]
+                    numbers.update(zip(x["at"], x["no"]))
+                    upto.update((p, hi) for p, hi in zip(x["at"], x["upto"]) if hi)
+                find = aligned_runs(a, sorted(b), upto, min_chars) if upto else aligned_places(a, sorted(b), min_chars)
+                out.append([numbers[p] for p in find])
+            doc = pa.StructArray.from_arrays([batch.column(0), batch.column(1)], ["id", "h"])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(out, _NUMBERS)], ["doc", "gone"])
+
+    return both.mapInArrow(run, f"doc {DOC}, gone array<int>").where(F.size("gone") > 0)
+
+
+def aligned_places(there: list[list[int]], b: list[tuple[int, int, int]], min_chars: int) -> list[int]:
+    """Places in b of the blocks of its alignment with the holder, and of the alignments of what is left of b, until there is none.
+
+    there: the places that each line has in the holder; b: (place, line, characters).
+    """
+    a = sorted((p, k) for k, places in enumerate(there) for p in places)
+    out: set[int] = set()
+    while blocks := common_blocks(a, b, min_chars):
+        out.update(p for lo, hi in blocks for p in range(lo, hi))
+        b = [x for x in b if x[0] not in out]
+    return sorted(out)
+
+
+def aligned_runs(there: list[list[int]], b: list[tuple[int, int, int]], upto: dict[int, int], min_chars: int) -> list[int]:
+    """Places in b of the blocks of the alignments of each run, from a place up to another, with the holder; equal runs are aligned once."""
+    known: dict[tuple, list[tuple[int, int]]] = {}
+    at = {x[0]: x for x in b}
+    out: set[int] = set()
+    for lo, hi in upto.items():
+        run = [at[p] for p in range(lo, hi) if p in at]
+        key = tuple((p - lo, k) for p, k, _ in run)
+        if key not in known:
+            a = sorted((p, k) for k in {x[1] for x in run} for p in there[k])
+            known[key] = [(p - lo, q - lo) for p, q in common_blocks(a, run, min_chars, True)]
+        out.update(p + lo for x, y in known[key] for p in range(x, y))
+    return sorted(out)
 
 
 def _runs(min_chars: int):
-    """(doc, lines, characters) to (doc, run, from place, to place)."""
+    """(doc, lines, gone) to (doc, run, from place, to place): runs of the regions that are not gone as a whole."""
 
     def run(batches):
         for batch in batches:
-            lines, n = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
-            size = batch.column(1).value_lengths().to_numpy()
-            doc = np.repeat(np.arange(len(size)), size)
-            last = np.cumsum(size)[doc]
-            first = last - size[doc]
+            flat = _Flat(batch.column(1))
+            n, at = flat.chars, np.arange(len(flat.doc))
+            if not len(at):
+                continue
+            first = np.searchsorted(flat.region, flat.region, "left")
+            last = np.searchsorted(flat.region, flat.region, "right")
             total = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-            at = np.arange(len(n))
             ends = np.maximum(np.searchsorted(total, total[:-1] + min_chars, "left"), at + 1)
             starts = np.minimum(np.searchsorted(total, total[1:] - min_chars, "right") - 1, at)
             forward, back = ends <= last, starts >= first
-            pairs = np.unique(np.stack((np.concatenate((at[forward], starts[back])), np.concatenate((ends[forward], at[back] + 1)))), axis=1)
-            if not pairs.size:
-                continue
-            lo, hi = pairs
-            new = [pa.array(Spans(lines.view(np.uint64)).hash(lo, hi).view(np.int64)), *(pa.array((x - first[lo]).astype(np.int32)) for x in pairs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[lo])), *new], ["doc", "run", "lo", "hi"])
+            lo, hi = np.unique(np.stack((np.concatenate((at[forward], starts[back])), np.concatenate((ends[forward], at[back] + 1)))), axis=1)
+            # Lines that are gone: a document's number and a line's number as one.
+            went = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().fill_null(0).to_numpy())
+            went = went << 32 | batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            stays = np.concatenate((np.zeros(1, np.int64), np.cumsum(~np.isin(flat.doc << 32 | flat.field("no"), went))))
+            open_ = stays[hi] > stays[lo]
+            lo, hi = lo[open_], hi[open_]
+            runs = Spans(flat.field("line").view(np.uint64)).hash(lo, hi).view(np.int64)
+            spans = (pa.array(x.astype(np.int32)) for x in (flat.at[lo], flat.at[hi - 1] + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(flat.doc[lo])), pa.array(runs), *spans], ["doc", "run", "lo", "hi"])
 
     return run
 
 
-def _fields(value: pa.ListScalar) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Lines by both hashes, their characters, and their numbers."""
-    items = value.values
-    line, again, chars, no = (items.field(i).to_pylist() for i in range(4))
-    return list(zip(line, again)), chars, no
-
-
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with text without its repeated blocks, and n_lines and n_removed (long)."""
     doc, flags = unused(docs, "doc", "flags")

@@ -184,6 +184,23 @@ def test_blocks_put_together_from_lines_of_others(spark):
     assert got[4] == "own d" and sum(map(bool, want)) >= 10
 
 
+def test_alignment_decides():
+    """A moved block goes with the second alignment; single lines of a crossing are too short; repeated lines need their run aligned by itself."""
+    lines = lambda x: [(p, ord(c), 40) for p, c in enumerate(x)]
+
+    def go(a, b, upto=None):
+        there = [[p for p, c in enumerate(a) if ord(c) == k] for k in range(128)]
+        found = line_dedup.aligned_runs(there, lines(b), upto, 100) if upto else line_dedup.aligned_places(there, lines(b), 100)
+        return "".join(b[p] for p in found)
+
+    assert go("xabcdy", "pabcdq") == "abcd"
+    assert go("abcdefg", "efgabcd") == "efgabcd"
+    assert go("abxcdyef", "abpcdqef") == ""
+    assert go("abcxaby", "cabcaby") == "abcaby"
+    assert go("ababaqab", "xabay") == "" and go("ababaqab", "xabay", {1: 4}) == "aba"
+    assert line_dedup.patience([1, 1, 2, 2, 1], [1, 2, 2, 1, 1, 2, 2], True)
+
+
 # Packing.
 
 
