@@ -15,9 +15,32 @@ BREAKING, ADDITIVE, COSMETIC = "breaking", "additive", "cosmetic"
 def _listed(x) -> list[str]:
     if x is None:
         return []
+    if isinstance(x, dict):  # wordings by language
+        return [w for v in x.values() for w in _listed(v)]
     return [p.strip() for p in x.split("|") if p.strip()] if isinstance(x, str) else list(x)
 
 
+DEFAULT_LANGUAGE = "en"
+
+
+def texts(value) -> dict[str, str]:
+    """Wordings by language; one without a language is in the default one."""
+    if isinstance(value, dict):
+        return {k: v for k, v in value.items() if isinstance(v, str) and v}
+    return {DEFAULT_LANGUAGE: value} if isinstance(value, str) and value else {}
+
+
+def text_in(value, language: str = DEFAULT_LANGUAGE) -> str:
+    """The wording in a language, else in the default one, else in any; empty without one."""
+    found = texts(value)
+    return found.get(language) or found.get(DEFAULT_LANGUAGE) or next(iter(found.values()), "")
+
+
+def label(spec: dict | None, name: str, language: str = DEFAULT_LANGUAGE) -> str:
+    """What a term is called in a language: as written, or its name in words."""
+    return text_in((spec or {}).get("label"), language) or _words(name)
+
+
 def _closure(direct: dict[str, list[str]], start: str) -> list[str]:
     """What can be reached, nearest first, without the start; loops end."""
     out, todo = [], list(direct.get(start, ()))
@@ -98,6 +121,11 @@ class Vocabulary:
                 out.setdefault(item, k)
         return out
 
+    def narrower(self, scheme: str, concept: str) -> list[str]:
+        """The concepts below one, at any depth."""
+        up = {k: _listed((v or {}).get("broader")) for k, v in self.schemes[scheme].items()}
+        return [c for c in up if concept in _closure(up, c)]
+
     # Names of terms.
 
     def find(self, term: str) -> list[tuple[str, str]]:

@@ -15,7 +15,7 @@ from kgspark.functions import metrics
 from kgspark.functions import text as text_functions
 from kgspark.functions.expressions import equals, attribute, name_as_words, slug
 from kgspark.functions.text import chunks, number_stated, privacy_findings, quoted_in, relative_date, tokens
-from kgspark.operators import answering, curation, evaluation, fuzzy, links, retrieval, sessions, shapes, survey, temporal
+from kgspark.operators import answering, curation, evaluation, fuzzy, links, reading, retrieval, sessions, shapes, survey, temporal
 from kgspark.operators.graph import KnowledgeGraph
 from kgspark.plans import questions, rules
 from kgspark.plans.pattern import Matcher
@@ -1526,3 +1526,78 @@ def pending_lane(spark, sf):
     large = (F.col("type") == "Order") & (F.get_json_object("attributes", "$.total").try_cast("double") > 400000)
     inbox = live.where(large).withColumn("_op", F.lit("drop"))
     return sessions.pending(live, {"candidate": sessions.delta(live, _candidate(spark, sf), ["id"]), "inbox": inbox}, ["id"])
+
+
+# Readings.
+
+
+@query("""WITH %NODES%, %EDGES%, asked AS (SELECT id FROM nodes WHERE type IN ('Customer', 'Supplier')),
+  e AS (SELECT src AS id, 'out' AS direction, rel, dst AS other FROM edges UNION ALL SELECT dst, 'in', rel, src FROM edges)
+  SELECT e.id, direction, rel, CASE WHEN direction = 'out' THEN replace(rel, '_', ' ') END AS said, other FROM e JOIN asked USING (id)
+  WHERE other NOT IN (SELECT id FROM nodes WHERE status = 'superseded')""")
+def relationships_visible(spark, sf):
+    g = graph(spark, sf)
+    return reading.relationships(g, g.of_type("Party")).drop("derived_by")
+
+
+@query("""WITH %NODES%, %EDGES%, asked AS (SELECT id FROM nodes WHERE type = 'Part'), o AS (SELECT id FROM nodes WHERE type = 'Order' AND as_of <= '1995-06-17')
+  SELECT dst AS id, 'in' AS direction, rel, src AS other FROM edges JOIN asked ON dst = asked.id JOIN o ON src = o.id""")
+def relationships_as_of(spark, sf):
+    """Orders hold from the day they were made on."""
+    g = graph(spark, sf)
+    g.nodes = g.nodes.withColumn("valid_from", F.col("as_of"))
+    return reading.relationships(g, g.of_type("Part"), as_of="1995-06-17").select("id", "direction", "rel", "other")
+
+
+@query("""WITH %NODES%, %EDGES%,
+  kinds(name, member) AS (VALUES ('Place', 'Place'), ('Place', 'Region'), ('Place', 'Nation'), ('Party', 'Party'), ('Party', 'Customer'), ('Party', 'Supplier'), ('Region', 'Region'), ('Nation', 'Nation'),
+    ('Customer', 'Customer'), ('Supplier', 'Supplier'), ('Part', 'Part'), ('Order', 'Order'), ('Document', 'Document')),
+  c(name, up) AS (VALUES ('1-URGENT', 'soon'), ('2-HIGH', 'soon'), ('soon', 'planned'), ('planned', NULL), ('3-MEDIUM', 'later'), ('4-NOT SPECIFIED', 'later'), ('5-LOW', 'later'), ('later', NULL)),
+  below AS (SELECT name, name AS member FROM c UNION SELECT up, name FROM c WHERE up IS NOT NULL UNION SELECT b.up, a.name FROM c a JOIN c b ON a.up = b.name WHERE b.up IS NOT NULL),
+  o AS (SELECT o_orderpriority AS member, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'P') GROUP BY 1),
+  t AS (SELECT type AS member, count(*) AS n FROM nodes WHERE status = 'current' GROUP BY 1), r AS (SELECT rel, count(*) AS n FROM edges GROUP BY 1)
+  SELECT 'class' AS kind, name, CAST(sum(CASE WHEN name = member THEN coalesce(n, 0) ELSE 0 END) AS BIGINT) AS own, CAST(sum(coalesce(n, 0)) AS BIGINT) AS covered FROM kinds LEFT JOIN t USING (member) GROUP BY name
+  UNION ALL SELECT 'concept', 'priority:' || name, CAST(sum(CASE WHEN name = member THEN coalesce(n, 0) ELSE 0 END) AS BIGINT), CAST(sum(coalesce(n, 0)) AS BIGINT) FROM below LEFT JOIN o USING (member) GROUP BY name
+  UNION ALL SELECT 'relation', rel, n, n FROM r""")
+def definitions(spark, sf):
+    return reading.definitions(graph(spark, sf)).select("kind", "name", "own", "covered")
+
+
+@query("""WITH %FACTS% SELECT id, 'event.' || succ AS superseded_by, CASE WHEN no = n - 1 THEN 'current' ELSE 'superseded' END AS successor_status
+  FROM facts WHERE succ IS NOT NULL""")
+def stale_facts(spark, sf):
+    return reading.stale(tables.facts(spark, sf).withColumn("label", F.col("id"))).select("id", "superseded_by", "successor_status")
+
+
+@query("""WITH l AS (SELECT DISTINCT lower(p_name) AS phrase, p_brand AS canonical, 'part.' || p_partkey AS target FROM part UNION SELECT 'absent ' || lower(n_name), 'absent', 'gone.' || n_nationkey FROM nation),
+  terms AS (SELECT upper(p_name) || ' ' AS term FROM part UNION SELECT 'x ' || lower(p_name) || ' y' FROM part UNION SELECT n_name FROM nation UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier),
+  exact AS (SELECT term, 'phrase' AS how, canonical, target FROM terms JOIN l ON lower(trim(term)) = phrase),
+  near AS (SELECT DISTINCT term, 'substring' AS how, canonical, target FROM (SELECT term FROM terms EXCEPT SELECT term FROM exact) JOIN l ON contains(lower(term), phrase) OR contains(phrase, lower(term))),
+  names AS (SELECT c_name AS name, 'customer.' || c_custkey AS target FROM customer UNION SELECT s_name, 'supplier.' || s_suppkey FROM supplier UNION SELECT n_name, 'nation.' || n_nationkey FROM nation),
+  found AS (SELECT * FROM exact UNION ALL SELECT * FROM near
+    UNION ALL SELECT term, 'name', NULL, target FROM (SELECT term FROM terms EXCEPT SELECT term FROM exact EXCEPT SELECT term FROM near) JOIN names ON name = term)
+  SELECT DISTINCT term, how, canonical, target, CASE WHEN starts_with(target, 'gone.') THEN NULL ELSE 'current' END AS status FROM found""")
+def resolved_terms(spark, sf):
+    g = graph(spark, sf)
+    part, nation, customer, supplier = (tables.table(spark, sf, t) for t in ("part", "nation", "customer", "supplier"))
+    none = F.lit(None).cast("string")
+    lex = part.select(F.lower("p_name").alias("phrase"), F.col("p_brand").alias("canonical"), tables.ref("part", "p_partkey").alias("target"))
+    lex = lex.union(nation.select(F.concat(F.lit("absent "), F.lower("n_name")), F.lit("absent"), tables.ref("gone", "n_nationkey"))).distinct()
+    g.lexicon = lex.select("*", none.alias("status"), none.alias("note"))
+    terms = part.select(F.concat(F.upper("p_name"), F.lit(" ")).alias("term")).union(part.select(F.concat(F.lit("x "), F.lower("p_name"), F.lit(" y"))))
+    terms = terms.union(nation.select("n_name")).union(customer.select("c_name")).union(supplier.select("s_name"))
+    return reading.resolve(g, terms).select("term", "how", "canonical", "target", "status").distinct()
+
+
+@query("""WITH %NODES%, %EDGES%, o AS (SELECT id FROM nodes WHERE type = 'Order' AND status = 'current')
+  SELECT dst AS id, 'decision' AS section, src AS other, rel, 'in' AS direction, src AS detail FROM edges JOIN o ON src = id WHERE rel = 'placed_by'
+  UNION ALL SELECT 'customer.' || c_custkey, 'file', 'nation.' || c_nationkey, 'in_nation', 'out', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'customer.' || c_custkey, 'phrase', c_mktsegment, NULL, NULL, lower(c_name) FROM customer
+  UNION ALL SELECT 'customer.' || c_custkey, 'source', CASE WHEN doc_id IS NOT NULL THEN 'document.' || doc_id END, NULL, NULL, CAST(c_custkey AS VARCHAR)
+    FROM customer LEFT JOIN (SELECT DISTINCT doc_id FROM documents) ON doc_id = c_custkey""")
+def entity_bearings(spark, sf):
+    """Orders as the decisions about a customer, its nation as the file, and the document of its number as the source."""
+    g, customer = graph(spark, sf), tables.table(spark, sf, "customer")
+    g.nodes = g.nodes.withColumn("source_doc", F.when(F.col("type") == "Customer", F.substring_index("id", ".", -1)).otherwise(F.col("source_doc")))
+    g.lexicon = customer.select(F.lower("c_name").alias("phrase"), F.col("c_mktsegment").alias("canonical"), tables.ref("customer", "c_custkey").alias("target"))
+    return reading.bearing(g, g.of_type("Customer"), "Order", {"Nation": "name"})
