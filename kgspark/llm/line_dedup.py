@@ -54,8 +54,8 @@ MIN_CHARS = 100
 LAST = (1 << 63) - 1
 
 
-def patience(a: list[int], b: list[int], longest: bool = False) -> list[tuple[int, int]]:
-    """Aligned positions of equal items, increasing in both; where no item is unique in both, none or the longest common run."""
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Aligned positions of equal items, increasing in both."""
     out = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -88,8 +88,6 @@ def patience(a: list[int], b: list[int], longest: bool = False) -> list[tuple[in
         while k >= 0:
             chain.append(once[k])
             k = back[k]
-        if not chain and longest:
-            chain = _longest(a, alo, ahi, b, blo, bhi)[::-1]
         if not chain:
             continue
         out += chain
@@ -98,25 +96,10 @@ def patience(a: list[int], b: list[int], longest: bool = False) -> list[tuple[in
     return sorted(out)
 
 
-def _longest(a: list[int], alo: int, ahi: int, b: list[int], blo: int, bhi: int) -> list[tuple[int, int]]:
-    """Positions of the first longest run of items that both parts have."""
-    there: dict[int, list[int]] = {}
-    for j in range(blo, bhi):
-        there.setdefault(b[j], []).append(j)
-    best, before = (0, 0, 0), {}
-    for i in range(alo, ahi):
-        now = {j: before.get(j - 1, 0) + 1 for j in there.get(a[i], ())}
-        for j, n in now.items():
-            best = max(best, (n, -i, -j))
-        before = now
-    n, i, j = best[0], -best[1], -best[2]
-    return [(i - k, j - k) for k in range(n - 1, -1, -1)]
-
-
-def common_blocks(a: list[tuple[int, int]], b: list[tuple[int, int, int]], min_chars: int, longest: bool = False) -> list[tuple[int, int]]:
+def common_blocks(a: list[tuple[int, int]], b: list[tuple[int, int, int]], min_chars: int) -> list[tuple[int, int]]:
     """Places in b, from and to, of aligned blocks; a: (place, line), b: (place, line, characters)."""
     found, start = [], None
-    pairs = patience([x[1] for x in a], [x[1] for x in b], longest)
+    pairs = patience([x[1] for x in a], [x[1] for x in b])
     places = [(a[i][0], b[j][0], b[j][2]) for i, j in pairs]
     for k, (p, q, n) in enumerate(places):
         if start is None or (p, q) != (places[k - 1][0] + 1, places[k - 1][1] + 1):
@@ -327,17 +310,27 @@ def aligned_places(there: list[list[int]], b: list[tuple[int, int, int]], min_ch
 
 
 def aligned_runs(there: list[list[int]], b: list[tuple[int, int, int]], upto: dict[int, int], min_chars: int) -> list[int]:
-    """Places in b of the blocks of the alignments of each run, from a place up to another, with the holder; equal runs are aligned once."""
-    known: dict[tuple, list[tuple[int, int]]] = {}
+    """Places in b of runs, from a place up to another, that align with the part of the holder where they stand.
+
+    The part is looked for at the places of the run's line that the holder has fewest of; equal runs are aligned once.
+    """
+    theirs = {p: k for k, places in enumerate(there) for p in places}
     at = {x[0]: x for x in b}
+    known: dict[tuple, bool] = {}
     out: set[int] = set()
     for lo, hi in upto.items():
         run = [at[p] for p in range(lo, hi) if p in at]
-        key = tuple((p - lo, k) for p, k, _ in run)
+        key = tuple(x[1] for x in run)
+        if len(key) < hi - lo:  # one of the hashes of a line differs
+            continue
         if key not in known:
-            a = sorted((p, k) for k in {x[1] for x in run} for p in there[k])
-            known[key] = [(p - lo, q - lo) for p, q in common_blocks(a, run, min_chars, True)]
-        out.update(p + lo for x, y in known[key] for p in range(x, y))
+            rarest = min(range(len(key)), key=lambda i: len(there[key[i]]))
+            starts = (p - rarest for p in there[key[rarest]])
+            starts = (p for p in starts if theirs.get(p) == key[0] and theirs.get(p + len(key) - 1) == key[-1])
+            parts = ([(q, theirs[q]) for q in range(p, p + len(key)) if q in theirs] for p in starts)
+            known[key] = any(common_blocks(part, run, min_chars) == [(lo, hi)] for part in parts)
+        if known[key]:
+            out.update(range(lo, hi))
     return sorted(out)
 
 

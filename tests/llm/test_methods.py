@@ -1,6 +1,7 @@
 """Secret scan, line dedup, packing, near duplicates, and the pipeline."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,7 +47,6 @@ def test_findings_positions(spark):
 def test_transitions_of_short_and_very_long_candidates(spark):
     """The mean log probability by hand, and a run of 5 MB in a few seconds."""
     import random
-    import time
 
     rng = random.Random(8)
     words = spark.createDataFrame([("river", 5), ("stone", 9)], "word string, n long")
@@ -198,7 +198,14 @@ def test_alignment_decides():
     assert go("abxcdyef", "abpcdqef") == ""
     assert go("abcxaby", "cabcaby") == "abcaby"
     assert go("ababaqab", "xabay") == "" and go("ababaqab", "xabay", {1: 4}) == "aba"
-    assert line_dedup.patience([1, 1, 2, 2, 1], [1, 2, 2, 1, 1, 2, 2], True)
+    # Long texts of few lines, none of them unique, with an edit in every hundred: runs decide, and end soon.
+    rng = random.Random(3)
+    a = [rng.randrange(30) for _ in range(40_000)]
+    b = [k if i % 100 else 30 for i, k in enumerate(a)]
+    there = [[p for p, k in enumerate(a) if k == x] for x in range(31)]
+    upto = {i: i + 10 for i in range(len(b) - 9) if 30 not in b[i : i + 10]}
+    began = time.time()
+    assert len(line_dedup.aligned_runs(there, [(p, k, 10) for p, k in enumerate(b)], upto, 100)) == 99 * 400 and time.time() - began < 60
 
 
 # Packing.
