@@ -67,24 +67,31 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates large-star and small-star steps, each a partial aggregation and a
     join on the node, until no link changes; the number of rounds grows with the
     logarithm of the longest path.  Nodes without a link are not returned.
+
+    No side of a join goes through the driver, however small Spark finds it, and
+    minima are written before they are joined, so that Spark can split the links
+    of one node.
     """
     edges = (
         links.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .distinct()
     )
-    edges = checkpointed(edges)
+    edges = written(edges, "edges")
     before = None
     while True:
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi")
-        edges = small.select("hi", F.col("m").alias("lo")).union(
-            small.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        )
-        edges = checkpointed(edges.distinct())
+        # Only a node that is some link's hi has a smaller neighbour.
+        low = written(edges.groupBy("hi").agg(F.min("lo").alias("m")), "low")
+        least = low.select(F.col("hi").alias("u"), "m").hint("merge")
+        large = edges.join(least, edges["lo"] == least["u"], "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+        large = written(large, "large")
+        lower = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
+        small = large.join(lower.hint("merge"), "hi")
+        both = F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))
+        after = written(small.select(F.explode(both).alias("e")).select("e.*").where("hi != lo").distinct(), "edges")
+        for old in (edges, low, large, lower):
+            removed(old)
+        edges = after
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -5,7 +5,8 @@ three bits, some half differs in at most one, so each fingerprint looks up the
 33 values within one bit of its half in a table of all halves, and the full
 distance decides.  Equal fingerprints are one entry of the table, and links are
 turned into components with one row for each node, so groups of copies are never
-expanded into pairs.
+expanded into pairs.  Joins are merges by hint: their sides grow with the input,
+and several that Spark finds small enough to broadcast fill a driver together.
 
 Defined results: null or word-less text has fingerprint zero, linked like any
 other; repeated rows have equal fingerprints and share a component; a null
@@ -89,7 +90,7 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
         .select("a", "part", F.col("half").bitwiseXOR(F.col("flip")).alias("half"))
     )
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    found = probes.join(table, (probes["part"] == table["part"]) & (probes["half"] == table["half"]) & near)
+    found = probes.join(table.hint("merge"), (probes["part"] == table["part"]) & (probes["half"] == table["half"]) & near)
     return found.select("a", "b").distinct()
 
 
@@ -97,12 +98,12 @@ def components(prints: DataFrame, pairs: DataFrame, doc_id: str = "doc_id") -> D
     """Adds component_id, the smallest doc_id that links reach, to rows with ``fp``."""
     smallest = prints.groupBy("fp").agg(F.min(doc_id).alias("doc"))
     group = connected_components(pairs)
-    nodes = smallest.join(group, smallest["fp"] == group["node"], "left").select(
+    nodes = smallest.join(group.hint("merge"), smallest["fp"] == group["node"], "left").select(
         "fp", "doc", F.coalesce("component", "fp").alias("component")
     )
     named = nodes.groupBy("component").agg(F.min("doc").alias("component_id"))
-    names = nodes.join(named, "component").select(F.col("fp").alias("node_fp"), "component_id")
-    return prints.join(names, prints["fp"] == names["node_fp"], "left").drop("node_fp")
+    names = nodes.join(named.hint("merge"), "component").select(F.col("fp").alias("node_fp"), "component_id")
+    return prints.join(names.hint("merge"), prints["fp"] == names["node_fp"], "left").drop("node_fp")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
@@ -200,12 +201,12 @@ def _side(rows: DataFrame, c: str, *columns: str) -> DataFrame:
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that share enough shingles."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = nodes.join(named, "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("h"))
+    named = nodes.join(named.hint("merge"), "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("h"))
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
     texts = texts.join(named.hint("shuffle_hash"), (texts["text_hash"] == named["h"]) & texts["doc_id"].eqNullSafe(named["id"]))
     sets = written(shingle_sets(texts.select("node", "text"), words).dropDuplicates(["node"]), "shingles")
     for c in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")), c)
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")).hint("merge"), c)
     both = F.size(F.array_intersect("a_set", "b_set"))
     close = written(pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"), "close")
     removed(sets)
@@ -239,8 +240,8 @@ def near_duplicates(
     nodes = written(nodes, "texts")
 
     heads = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    same = nodes.join(heads, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    ends = [heads.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in "ab"]
+    same = nodes.join(heads.hint("merge"), "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [heads.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")).hint("merge") for c in "ab"]
     cross = links(nodes, distance).join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
     posts = nodes.select("node", "n_shingles", F.posexplode("prefix").alias("pos", "s"))
@@ -255,24 +256,24 @@ def near_duplicates(
     pairs = same.union(cross).union(stars.where(_may_be_close(similarity, placed=True)).select("a", "b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for c in "ab":
-        pairs = pairs.join(_side(nodes, c, "node", "n_shingles", "marks"), c)
+        pairs = pairs.join(_side(nodes, c, "node", "n_shingles", "marks").hint("merge"), c)
     pairs = written(pairs.where(_may_be_close(similarity, marked=True)).select("a", "b"), "nominated")
     close = _confirmed(pairs, nodes, docs, words, similarity)
 
     group = written(connected_components(close), "groups")
-    held = held.drop("lead").join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    held = held.drop("lead").join(group.hint("merge"), "node", "left").withColumn("group", F.coalesce("component", "node"))
     apart = held.groupBy("s").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("s")
-    held = written(held.join(apart, "s").join(nodes.select("node", "marks"), "node"), "apart")
+    held = written(held.join(apart.hint("merge"), "s").join(nodes.select("node", "marks").hint("merge"), "node"), "apart")
     a, b = (_side(held, c, "s", "node", "n_shingles", "pos", "group", "marks") for c in "ab")
     others = (F.col("a_s") == F.col("b_s")) & (F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group"))
-    pairs = a.join(b, others & _may_be_close(similarity, placed=True, marked=True)).select("a", "b").distinct()
+    pairs = a.join(b.hint("merge"), others & _may_be_close(similarity, placed=True, marked=True)).select("a", "b").distinct()
     close = close.union(_confirmed(written(pairs, "nominated"), nodes, docs, words, similarity))
 
     group = connected_components(close)
-    nodes = nodes.join(group, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    nodes = nodes.join(group.hint("merge"), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     named = nodes.groupBy("component").agg(F.min("rep").alias("first"))
-    names = nodes.join(named, "component").select(F.col("node").alias("words_hash"), "first")
-    out = prints.join(names, "words_hash", "left")
+    names = nodes.join(named.hint("merge"), "component").select(F.col("node").alias("words_hash"), "first")
+    out = prints.join(names.hint("merge"), "words_hash", "left")
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
     kept = F.struct("doc_id", "text_hash") == F.col("first")
     return out.select(real("doc_id").alias("doc_id"), "text_hash", real("first.doc_id").alias("component_id"), kept.alias("kept"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kgspark.llm import line_dedup, packing, secrets, simhash
+from kgspark.llm import line_dedup, packing, secrets, shared, simhash
 from tests.llm.helpers import SCHEMA, documents, lower, plain, prose, rows, texts
 
 # Secret scan.
@@ -399,3 +399,22 @@ def test_line_dedup_leaves_other_columns_alone(spark):
     got = line_dedup.line_dedup(table).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(d or 0, t or "") for d, t in data if d != 4] + [(4, "four")])
     assert all([r[n] for n in names] == names for r in got)
+
+
+def test_components_send_nothing_through_the_driver(spark, monkeypatch):
+    """No table of links, nodes or fingerprints is broadcast, however small; several of them together filled a driver."""
+    plans = []
+    for name in ("written", "checkpointed"):
+        inner = getattr(shared, name)
+
+        def noted(df, *args, inner=inner):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return inner(df, *args)
+
+        for module in (shared, simhash):
+            monkeypatch.setattr(module, name, noted, raising=module is shared)
+    docs = plain(spark, [(i, f"one two three four five six seven eight nine {i // 2}") for i in range(8)])
+    for out in (simhash.near_dedup(docs), simhash.near_duplicates(docs)):
+        assert out.count() == 8
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not [x for x in plans if "Broadcast" in x]
