@@ -195,17 +195,23 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
+def ranges(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """(from row, to row), in order: so many rows as have ``size`` bytes at most, a longer one alone."""
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
     """(from row, to row, their words), in order, over a whole column."""
     if not len(column):
         return
     data, offsets = raw(column)
-    lo = 0
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+    for lo, hi in ranges(offsets, size):
         part = data[offsets[lo] : offsets[hi]]
         yield lo, hi, split(_LOWER[part] if lower else part, offsets[lo : hi + 1] - offsets[lo])
-        lo = hi
 
 
 def joined(words: Words, doc: int) -> tuple[bytes, np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm.shared import written
-from kgspark.llm.text import Words, chunks, got, put, sums
+from kgspark.llm.text import chunks, got, put, ranges, raw, sums
 
 #: Bytes of text of a packed row; a longer document makes a row of its own.
 PACK = 12 << 20
@@ -115,16 +115,27 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
         + [T.StructField(c, T.BinaryType()) for c in ("at", "n")]
     )
 
-    def one(rows: pa.Array, words: Words) -> pa.RecordBatch:
-        _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        body, many = words.data.tobytes(), max(1, len(first))
-        distinct = pa.array([body[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())], pa.binary())
+    def one(rows: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        # A chunk at a time: of a whole pack only the numbers of its words and the distinct words are held.
+        parts, spelled = [], []
+        for lo, _, words in chunks(texts):
+            own, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            body = words.data.tobytes()
+            spelled.append(pa.array([body[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())], pa.binary()))
+            parts.append((lo, words.counts, own, which.astype(np.int32)))
+        known, first = np.unique(np.concatenate([own for _, _, own, _ in parts]), return_index=True)
+        distinct = pa.concat_arrays(spelled).take(pa.array(first))
         order = pc.sort_indices(distinct)
-        distinct, place = distinct.take(order), np.empty(len(first), np.int64)
-        place[order.to_numpy()] = np.arange(len(first))
-        key, n = np.unique(words.owner() * many + place[which], return_counts=True)
+        distinct, place, many = distinct.take(order), np.empty(len(known), np.int64), max(1, len(known))
+        place[order.to_numpy()] = np.arange(len(known))
+        found = []
+        for lo, counts, own, which in parts:
+            owner = np.repeat(np.arange(lo, lo + len(counts)), counts)
+            found.append(np.unique(owner * many + place[np.searchsorted(known, own)][which], return_counts=True))
+        key, n = (np.concatenate(x) for x in zip(*found))
         size = np.bincount(key // many, minlength=len(rows)).astype(np.int32)
-        whole = pa.StructArray.from_arrays([rows, pa.array(words.counts.astype(np.int64)), pa.array(size)], ["row", "n_words", "n_distinct"])
+        n_words = np.concatenate([counts for _, counts, _, _ in parts]).astype(np.int64)
+        whole = pa.StructArray.from_arrays([rows, pa.array(n_words), pa.array(size)], ["row", "n_words", "n_distinct"])
         whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), whole)
         strings = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.string()))
         columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), strings, whole, pa.array([put(np.diff(key, prepend=0), np.uint16)]), pa.array([put(n)])]
@@ -134,9 +145,9 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
         held, size = [], 0
 
         def together():
-            rows, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
-            for lo, hi, words in chunks(texts, size=PACK):
-                yield one(rows.slice(lo, hi - lo), words)
+            rows, texts = (held[0].column(i) if len(held) == 1 else pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+            for lo, hi in ranges(raw(texts)[1], PACK):
+                yield one(rows.slice(lo, hi - lo), texts.slice(lo, hi - lo))
 
         for batch in batches:
             held.append(batch)
