@@ -148,34 +148,38 @@ def _least(similarity: float, n):
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float, common: np.ndarray, text: str = "text") -> DataFrame:
-    """Adds n_shingles, ``marks`` (a bitmap of them) and ``prefix``.
+    """Adds n_shingles, ``marks`` (a bitmap of them), ``fine`` (one of two to four bits for each, ``MARKS`` at least) and ``prefix``.
 
     Texts that are similar enough have a shingle in common among the first
     ``n - ceil(similarity * n) + 1`` of both, in any order that all texts share.
     """
-    keep = [c for c in docs.columns if c not in ("n_shingles", "marks", "prefix")]
+    keep = [c for c in docs.columns if c not in ("n_shingles", "marks", "fine", "prefix")]
     docs = docs.select(*[c for c in keep if c != text], text)
     keep = docs.columns[:-1]
 
+    def bitmap(own: np.ndarray, size: int) -> np.ndarray:
+        bits = np.zeros(size, np.uint8)
+        bits[(own % np.uint64(size)).astype(np.int64)] = 1
+        return np.packbits(bits, bitorder="little").view(np.int64)
+
     def run(batches):
         for batch in batches:
             for first, end, part in chunks(batch.column(len(keep)), lower=True):
-                sizes, marks, firsts = [], [], []
+                sizes, marks, fine, firsts = [], [], [], []
                 found, bounds = part.shingles(words)
                 for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     own = np.unique(found[lo:hi])
-                    bits = np.zeros(MARKS, np.uint8)
-                    bits[(own % np.uint64(MARKS)).astype(np.int64)] = 1
                     last = np.isin(own, common)
                     n = len(own) - int(np.ceil(_least(similarity, len(own)))) + 1 if len(own) else 0
                     sizes.append(len(own))
-                    marks.append(np.packbits(bits, bitorder="little").view(np.int64))
+                    marks.append(bitmap(own, MARKS))
+                    fine.append(bitmap(own, max(MARKS, 2 << (len(own) - 1).bit_length()) if len(own) else MARKS))
                     firsts.append(np.concatenate((own[~last], own[last]))[:n].view(np.int64))
                 longs = pa.list_(pa.int64())
-                new = [pa.array(sizes, pa.int64()), pa.array(marks, longs), pa.array(firsts, longs)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, *new], [*keep, text, "n_shingles", "marks", "prefix"])
+                new = [pa.array(sizes, pa.int64()), pa.array(marks, longs), pa.array(fine, longs), pa.array(firsts, longs)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, *new], [*keep, text, "n_shingles", "marks", "fine", "prefix"])
 
-    added = "n_shingles long, marks array<long>, prefix array<long>"
+    added = "n_shingles long, marks array<long>, fine array<long>, prefix array<long>"
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(added).fields]))
 
 
@@ -193,13 +197,36 @@ def _may_be_close(similarity: float, a: str = "a", b: str = "b", placed: bool =
     return cond
 
 
+def _finely_close(similarity: float, a: str = "a", b: str = "b"):
+    """As ``_may_be_close`` by marks, by the bitmaps that grow with the texts; the larger is folded to the size of the smaller."""
+    x, y = F.col(f"{a}_fine"), F.col(f"{b}_fine")
+    size = F.least(F.size(x), F.size(y))
+
+    def folded(m):
+        part = lambda i: F.aggregate(F.sequence(i, F.size(m), size), F.lit(0).cast("long"), lambda bits, j: bits.bitwiseOR(F.get(m, j - 1)))
+        return F.when(F.size(m) == size, m).otherwise(F.transform(F.sequence(F.lit(1), size), part))
+
+    x, y = folded(x), folded(y)
+    lone = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda n, i: n + i)
+    na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
+    both = _least(similarity / (1 + similarity), na + nb)
+    return (na - lone(x, y) >= both) & (nb - lone(y, x) >= both)
+
+
 def _side(rows: DataFrame, c: str, *columns: str) -> DataFrame:
     names = {"node": c, "n_shingles": f"{c}_n"}
     return rows.select(*(F.col(x).alias(names.get(x, f"{c}_{x}")) for x in columns))
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) that share enough shingles."""
+    """Those of ``pairs`` (a, b) that share enough shingles.
+
+    Marks of a fixed size say little of long texts, whose sets are the largest
+    thing here to exchange; the fine bitmaps, some thirtieth of them, go first.
+    """
+    for c in "ab":
+        pairs = pairs.join(_side(nodes, c, "node", "n_shingles", "fine").hint("merge"), c)
+    pairs = written(pairs.where(_finely_close(similarity)).select("a", "b"), "finely-close")
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = nodes.join(named.hint("merge"), "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("h"))
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
@@ -235,7 +262,7 @@ def near_duplicates(
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
     rows = prefixes(docs.withColumn("text_hash", F.xxhash64("text")), words, similarity, _common(docs, words))
     prints = written(fingerprints(rows, shingle), "fingerprints")
-    firsts = [F.first(c).alias(c) for c in ("fp", "n_shingles", "marks", "prefix")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "n_shingles", "marks", "fine", "prefix")]
     nodes = prints.groupBy(F.col("words_hash").alias("node")).agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *firsts)
     nodes = written(nodes, "texts")
 

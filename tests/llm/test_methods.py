@@ -418,3 +418,24 @@ def test_components_send_nothing_through_the_driver(spark, monkeypatch):
         assert out.count() == 8
         plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 10 and not [x for x in plans if "Broadcast" in x]
+
+
+def test_long_texts_that_are_unlike_are_not_compared_whole(spark, monkeypatch):
+    """Their fixed marks are all set; the bitmaps that grow with them, of two sizes here, rule them out, and keep what is alike."""
+    seen, inner = {}, simhash.written
+
+    def noted(df, name, *args):
+        seen.setdefault(name, []).append(out := inner(df, name, *args))
+        return out
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(simhash, "removed", lambda df: None)
+    rng = random.Random(23)
+    some = [f"w{rng.randint(0, 10**9)}" for _ in range(1500)]
+    # 1,996 and 2,096 shingles, on both sides of a power of two; a quarter of both is the same.
+    apart = [" ".join([*some[:500], *(f"w{rng.randint(0, 10**9)}" for _ in range(n))]) for n in (1500, 1600)]
+    alike = " ".join([*some[500:], *some[:1000]])
+    data = [(1, apart[0]), (2, apart[1]), (3, alike), (4, f"{alike} {' '.join(f'x{i}' for i in range(150))}")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(plain(spark, data)).collect()}
+    assert got == dict(zip((1, 2, 3, 4), _near_groups(data))) == {1: 1, 2: 2, 3: 3, 4: 3}
+    assert sum(x.count() for x in seen["shingles"]) == 2
