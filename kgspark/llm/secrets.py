@@ -213,7 +213,9 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
 
 
 def train(labelled: DataFrame, words: DataFrame, table: list[float], trees: int = 40, depth: int = 7, most: int = MOST_LABELLED) -> RandomForestClassificationModel:
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(labelled, words, table))
+    # Written: the forest and its summary read their rows several times, and the plan of the features is long.
+    rows = written(features(labelled, words, table).select("candidate", "before", "after", "path", "label", *FEATURES), "labelled")
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     # One partition in a fixed order: the forest's samples depend on both.
     rows = rows.orderBy(F.xxhash64("candidate", "before", "after", "path", "label"), "candidate", "label").limit(most).select("features", "label").coalesce(1)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label")

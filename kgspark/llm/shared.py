@@ -61,12 +61,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _told(edges: DataFrame):
+    """What tells links (hi, lo) from others: their number and the sum of their hashes."""
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node that can be reached.
 
     Alternates large-star and small-star steps, each a partial aggregation and a
     join on the node, until no link changes; the number of rounds grows with the
-    logarithm of the longest path.  Nodes without a link are not returned.
+    logarithm of the longest path.  Nodes without a link are not returned.  Changes
+    are told from the given links on, so stars take one round and no links none.
 
     No side of a join goes through the driver, however small Spark finds it, and
     minima are written before they are joined, so that Spark can split the links
@@ -78,8 +84,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     edges = written(edges, "edges")
-    before = None
-    while True:
+    before, state = None, _told(edges)
+    while state["n"] and state != before:
         # Only a node that is some link's hi has a smaller neighbour.
         low = written(edges.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         least = low.select(F.col("hi").alias("u"), "m").hint("merge")
@@ -92,9 +98,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         for old in (edges, low, large, lower):
             removed(old)
         edges = after
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        before, state = state, _told(edges)
     tops = edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(tops)

@@ -439,3 +439,34 @@ def test_long_texts_that_are_unlike_are_not_compared_whole(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(plain(spark, data)).collect()}
     assert got == dict(zip((1, 2, 3, 4), _near_groups(data))) == {1: 1, 2: 2, 3: 3, 4: 3}
     assert sum(x.count() for x in seen["shingles"]) == 2
+
+
+def test_links_that_are_stars_take_one_round_and_none_take_none(spark, monkeypatch):
+    """Rounds end at the first that changes nothing, also if that is the first."""
+    inner, names = shared.written, []
+    monkeypatch.setattr(shared, "written", lambda df, name, *a: names.append(name) or inner(df, name, *a))
+    stars = spark.createDataFrame([(1, 2), (3, 1), (1, 4), (7, 8), (5, 5)], "a long, b long")
+    assert rows(shared.connected_components(stars)) == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7)]
+    assert len(names) == 5
+    for none in (stars.where("a = b"), stars.where("a > 9"), stars.limit(0)):
+        names.clear()
+        assert shared.connected_components(none).count() == 0
+        assert names == ["edges"]
+    path = spark.range(40).selectExpr("id a", "id + 1 b")
+    assert sorted(rows(shared.connected_components(path))) == [(i, 0) for i in range(41)]
+
+
+def test_forest_reads_features_that_are_written(spark, monkeypatch):
+    """The forest and its summary read their rows several times: files, not the long plan of the features."""
+    words = secrets.dictionary(plain(spark, [(1, "river stone window garden " * 9)]))
+    seen = []
+
+    def fit(self, rows):
+        seen.append(rows)
+        raise StopIteration
+
+    monkeypatch.setattr(secrets.RandomForestClassifier, "fit", fit)
+    with pytest.raises(StopIteration):
+        secrets.train(secrets.labelled_findings(spark, 100), words, secrets.transitions(words))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(plan) < 5000 and seen[0].count() == 100
