@@ -122,7 +122,12 @@ def html_blocks(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"title": titles, "blocks": blocks})
 
 
+#: The first title of one line, without the blanks around it.
+WRITTEN_TITLE = r"<title>[ \t\n\f\r]*([^\n]*?)[ \t\n\f\r]*</title>"
+
+
 def documents_of(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds title and blocks (kind, level, text) of each page."""
-    found = pages.withColumn("_d", html_blocks(html))
+    """Adds title and blocks (kind, level, text) of each page, and the title as it is written, its references not resolved (empty: none)."""
+    written = F.coalesce(F.regexp_extract(html, WRITTEN_TITLE, 1), F.lit(""))
+    found = pages.withColumns({"_d": html_blocks(html), "title_as_written": written})
     return found.withColumns({"title": F.col("_d.title"), "blocks": F.col("_d.blocks")}).drop("_d")

@@ -129,3 +129,10 @@ def test_layer(spark, tmp_path):
     flat = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/k/entities")
     assert got(flat) == got(n.select("id", "type", "label", "status", "summary"))
     assert got(spark.read.option("header", True).csv(f"{tmp_path}/k/relationships")) == [("a", "r", "b", "current")]
+
+
+def test_title_as_it_is_written(spark):
+    pages = [(1, "<title> A &amp; B &amp</title>"), (2, "<title>\n&quot;x  y&quot;</title><title>z</title>"), (3, "<title>a\nb</title>"), (4, "<TITLE>A</TITLE>"), (5, None)]
+    rows = files.documents_of(spark.createDataFrame(pages, "page_id long, html string")).orderBy("page_id").collect()
+    assert [r["title_as_written"] for r in rows] == ["A &amp; B &amp", "&quot;x  y&quot;", "", "", ""]
+    assert [r["title"] for r in rows[:3]] == ["A & B &", '"x y"', "a b"]
