@@ -100,3 +100,20 @@ def test_log_readers(spark):
 
 def test_stem(spark):
     assert values(spark, text.stem, ["claims", "claim", "", None, "a"]) == ["claim", "claim", "", None, "a"]
+
+
+def test_nodes_and_terms_of_the_same_words_are_scored_once(spark, monkeypatch):
+    seen, inner = [], retrieval._bm25
+
+    def noted(index, asked, *args):
+        seen.append((index.select("class").distinct().count(), asked.select("query_id").distinct().count()))
+        return inner(index, asked, *args)
+
+    monkeypatch.setattr(retrieval, "_bm25", noted)
+    rows = [(f"n{i:03}", "Long, long road" if i % 2 else "road long LONG", "superseded" if i < 3 else "current") for i in range(60)] + [("a", "road", "superseded"), ("b", "other", "current")]
+    n = spark.createDataFrame(rows, "id string, label string, status string")
+    terms = spark.createDataFrame([(f"road {i}",) for i in range(10, 40)] + [("the",), ("",)], "term string")
+    found = sorted(tuple(r) for r in retrieval.entity_search(n, terms, 59).collect())
+    assert seen == [(3, 2)]
+    want = [f"n{i:03}" for i in range(3, 60)] + ["a", "n000"]  # current ones, then the best by score
+    assert [r[2] for r in found if r[0] == "road 10"] == want and len(found) == 30 * 59
