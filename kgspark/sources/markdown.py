@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.sources.shared import checkpointed
+
 # The fields of a record, the lists among them with the relation that each becomes, and what a status may be.
 FIELDS = ["id", "title", "status", "decided_on", "decided_by", "governs", "resolves", "about", "supersedes"]
 LISTS = ["governs", "resolves", "about"]
@@ -46,19 +48,26 @@ def fields(text: Column) -> Column:
     lines = F.filter(F.split(block, "\n"), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
     parts = F.split(F.array_join(lines, "\n"), r"(?m)^(?=[^ \t:\n][^:\n]*:)")
     parts = F.filter(parts, lambda x: x.rlike(r"^[^ \t:\n][^:\n]*:"))
-
-    def one(part: Column) -> Column:
-        said = F.trim(F.regexp_extract(part, r"^[^:\n]*:([^\n]*)", 1))
-        below = F.filter(F.regexp_extract_all(part, F.lit(r"\n[ \t]+([^\n]*)"), F.lit(1)), lambda x: x != "")
-        in_brackets = said.rlike(r"^\[.*\]$")
-        first = F.filter(F.split(F.substr(said, F.lit(2), F.length(said) - 2), ","), lambda x: F.trim(x) != "")
+    # Step by step, since what a step has is worked out once, but an expression as often as it is named.
+    parts = F.transform(parts, lambda x: F.struct(
+        F.trim(F.regexp_extract(x, r"^([^:\n]*):", 1)).alias("key"),
+        F.trim(F.regexp_extract(x, r"^[^:\n]*:([^\n]*)", 1)).alias("said"),
+        F.filter(F.regexp_extract_all(x, F.lit(r"\n[ \t]+([^\n]*)"), F.lit(1)), lambda y: y != "").alias("below"),
+    ))
+    parts = F.transform(parts, lambda x: F.struct(
+        x["key"].alias("key"), x["said"].alias("said"), x["below"].alias("below"),
+        F.filter(x["below"], lambda y: F.ltrim(y).startswith("- ")).alias("dashes"), x["said"].rlike(r"^\[.*\]$").alias("in_brackets"),
+    ))
+
+    def one(x: Column) -> Column:
+        said, below, dashes, in_brackets = (x[k] for k in ("said", "below", "dashes", "in_brackets"))
+        first = F.filter(F.split(F.substr(said, F.lit(2), F.length(said) - 2), ","), lambda y: F.trim(y) != "")
         listed = in_brackets | (said == "")
         first = F.when(in_brackets, first).otherwise(F.array().cast("array<string>"))
-        dashes = F.filter(below, lambda x: F.ltrim(x).startswith("- "))
-        items = F.transform(F.concat(first, F.transform(dashes, lambda x: F.substr(F.ltrim(x), F.lit(3)))), _bare)
+        items = F.transform(F.concat(first, F.transform(dashes, lambda y: F.substr(F.ltrim(y), F.lit(3)))), _bare)
         nested = (F.size(below) > F.size(dashes)) | (~listed & (F.size(below) > 0))
         return F.struct(
-            F.trim(F.regexp_extract(part, r"^([^:\n]*):", 1)).alias("key"),
+            x["key"].alias("key"),
             F.when(~listed & ~nested, _bare(said)).alias("value"),
             F.when(listed & ~nested, items).alias("items"),
             nested.alias("nested"),
@@ -72,11 +81,11 @@ def sections(text: Column) -> Column:
     rest = F.regexp_replace(text, FENCE, "")
     parts = F.filter(F.split(rest, rf"(?m)^(?={HEADING})"), lambda x: x.rlike(f"^{HEADING}"))
 
-    def one(part: Column) -> Column:
-        lines = F.transform(F.split(part, "\n"), lambda x: F.trim(x))
+    def one(lines: Column) -> Column:
         body = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: x != "")
         return F.struct(F.regexp_replace(F.get(lines, F.lit(0)), r"^#+[ \t]+", "").alias("heading"), F.array_join(body, " ").alias("body"))
 
+    parts = F.transform(parts, lambda x: F.transform(F.split(x, "\n"), lambda y: F.trim(y)))
     return F.coalesce(F.transform(parts, one), F.array().cast("array<struct<heading:string,body:string>>"))
 
 
@@ -92,10 +101,11 @@ def records(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
     does.  A null or empty text has no fields, which is its one problem.
     """
     rows = docs.select(F.col(doc).alias("doc"), fields(F.coalesce(F.col(text), F.lit(""))).alias("f"), sections(F.coalesce(F.col(text), F.lit(""))).alias("s"))
-    value = {k: _last(F.col("f"), k)["value"] for k in FIELDS}
-    items = {k: _last(F.col("f"), k)["items"] for k in LISTS}
+    rows = rows.select("doc", "f", "s", *(_last(F.col("f"), k).alias(f"_{k}") for k in FIELDS), _last(F.col("s"), "Decision", "heading").alias("_ruling"))
+    value = {k: F.col(f"_{k}.value") for k in FIELDS}
+    items = {k: F.col(f"_{k}.items") for k in LISTS}
     given = lambda k: F.exists("f", lambda x: x["key"] == k)
-    decision = F.nullif(_last(F.col("s"), "Decision", "heading")["body"], F.lit(""))
+    decision = F.nullif(F.col("_ruling.body"), F.lit(""))
     title = F.coalesce(value["title"], F.get("s", F.lit(0))["heading"])
     matches = lambda c, p: F.coalesce(c.rlike(p), F.lit(False))
     said = lambda cond, what: F.when(cond, F.array(what)).otherwise(F.array().cast("array<string>"))
@@ -130,8 +140,11 @@ def proposal(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     and is not linked.  A term is an id, or a label or alias (aliases: array) as
     written, or in lower case; of several nodes with one name the least id counts.
     Records that share an id give their decisions both, for the merge to refuse.
+    Records are written first: a filter on their problems would else be carried
+    below what takes the documents apart, and that done for each mention anew.
     """
-    good = records.where(F.size("problems") == 0).withColumns({"nid": F.concat(F.lit("decision."), F.lower("id")), "paper": F.concat(F.lit("document."), F.col("doc").cast("string"))})
+    good = checkpointed(records.select("doc", "title", "decision", "quote", "id", "status", "decided_on", "decided_by", "supersedes", *LISTS, "problems"))
+    good = good.where(F.size("problems") == 0).withColumns({"nid": F.concat(F.lit("decision."), F.lower("id")), "paper": F.concat(F.lit("document."), F.col("doc").cast("string"))})
     rels = F.array(*(F.struct(F.lit(k).alias("rel"), F.col(k).alias("terms")) for k in LISTS), F.struct(F.lit("decided_by").alias("rel"), F.when(F.col("decided_by") != "", F.array("decided_by")).otherwise(F.array().cast("array<string>")).alias("terms")))
     asked = good.select("nid", F.col("doc").alias("source_doc"), F.explode(rels).alias("x")).select("nid", "source_doc", "x.rel", F.explode("x.terms").alias("term"))
     olds = good.where("supersedes IS NOT NULL").select("nid", F.col("doc").alias("source_doc"), F.concat(F.lit("decision."), F.lower("supersedes")).alias("term"))
@@ -139,11 +152,12 @@ def proposal(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     names = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in nodes.columns else F.array("label")
     ids = nodes.select(F.col("id").alias("name"), F.lit(0).alias("grade"), "id")
     known = ids.union(nodes.select(F.explode(names), F.lit(1), "id")).where("name <> ''")
-    known = known.groupBy("name").agg(F.min(F.struct("grade", "id")).alias("hit"))
     wanted = asked.select("term").union(olds.select("term")).distinct()
     tried = wanted.select("term", F.posexplode(F.array("term", F.lower("term"))).alias("way", "name"))
+    known = known.groupBy("name").agg(F.min(F.struct("grade", "id")).alias("hit"))
     # As written by id or name; else in lower case by name only.
     found = tried.join(known, "name").where("way = 0 OR hit.grade = 1").groupBy("term").agg(F.min(F.struct("way", "hit.grade", "hit.id")).alias("hit"))
+    found = checkpointed(found)
     linked = asked.join(found, "term", "left").select("nid", "source_doc", "rel", "term", F.col("hit.id").alias("dst"))
     retired = olds.join(found.where("hit.way = 0 AND hit.grade = 0").select("term"), "term", "left_semi")
     missing = olds.join(retired, ["nid", "source_doc", "term"], "left_anti").select("source_doc", F.lit("supersedes").alias("rel"), "term")

@@ -96,3 +96,10 @@ def test_figures(spark):
     assert "> **Description:** Two boxes." in lines and lines[-1] == "- too far" and len(lines) == len(text.split("\n")) + 6
     again = markdown.figures(spark.createDataFrame([(1, out[0]["text"])], "doc_id long, text string"))
     assert {r["key"] for r in again.collect()} == {"deck#3", "deck#5"}
+
+
+def test_documents_are_taken_apart_once(spark):
+    docs = spark.createDataFrame([(1, "---\nid: ADR-1\nstatus: accepted\ndecided_on: 2024-01-01\nabout: [x]\n---\n# T\n## Decision\nDo.\n")], "doc_id long, text string")
+    parts = markdown.proposal(markdown.records(docs), spark.createDataFrame([("x", "X")], "id string, label string"))
+    assert [df.count() for df in parts] == [2, 2, 0]
+    assert not any("regexp" in df._jdf.queryExecution().optimizedPlan().toString() for df in parts)
