@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kgspark.functions.expressions import valid_on
 from kgspark.operators.graph import KnowledgeGraph
 from kgspark.operators.links import credited, names_in
-from kgspark.operators.retrieval import entity_search, search
+from kgspark.operators.retrieval import any_entity, search
 from kgspark.sources.shared import checkpointed
 
 GRADES = {1: "id", 2: "label", 3: "alias", 4: "lexicon"}
@@ -113,7 +113,7 @@ def from_graph(g: KnowledgeGraph, questions: DataFrame, found: DataFrame, read:
     one = one.join(node, "node_id", "left")
     lost = questions.join(one.select("question_id"), "question_id", "left_anti")
     asked = lost.select("question_id", F.coalesce(F.nullif(F.trim("entity"), F.lit("")), "question").alias("term"))
-    close = entity_search(g.nodes, asked.where("term IS NOT NULL"), 1).select("term").distinct()
+    close = any_entity(g.nodes, asked.where("term IS NOT NULL"))
     close = asked.join(close, "term", "left_semi").select("question_id", F.lit("text").alias("close"))
     grade = F.element_at(F.create_map(*(F.lit(x) for pair in GRADES.items() for x in pair)), F.col("grade"))
     out = questions.select("question_id").join(one, "question_id", "left").join(close, "question_id", "left").join(read, "question_id")
