@@ -117,3 +117,35 @@ def test_nodes_and_terms_of_the_same_words_are_scored_once(spark, monkeypatch):
     assert seen == [(3, 2)]
     want = [f"n{i:03}" for i in range(3, 60)] + ["a", "n000"]  # current ones, then the best by score
     assert [r[2] for r in found if r[0] == "road 10"] == want and len(found) == 30 * 59
+
+
+def test_nearest_is_exact_by_matrices(spark, monkeypatch):
+    """Ties go by key, equal vectors score alike, odd vectors are told apart, and no pair is taken apart component by component."""
+    import math
+    import random
+
+    monkeypatch.setattr(retrieval, "LEAST", 7)
+    draw = random.Random(5)
+    one = [draw.gauss(0, 1) for _ in range(5)]
+    rows = [(i, one if i % 3 == 0 else [draw.gauss(0, 1) for _ in range(5)]) for i in range(60)] + [(70, None), (71, [0.0] * 5), (72, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 5 = 0").withColumn("query_id", F.col("vec_id"))
+    got = retrieval.nearest(v, q, 8)
+    assert not any(x in got._jdf.queryExecution().optimizedPlan().toString() for x in ("inner join", "Join Inner"))
+    got = sorted(tuple(r) for r in got.collect())
+
+    def unit(x):
+        n = math.sqrt(sum(c * c for c in x)) if x else 0
+        return [c / n for c in x] if n else None
+
+    known = {i: unit(x) for i, x in rows}
+    want = []
+    for i in [i for i, _ in rows if i % 5 == 0]:
+        near = []
+        for j, y in known.items():
+            if j != i and y and (known[i] is None or len(y) == len(known[i])):
+                near.append((0 if known[i] is None else -sum(a * b for a, b in zip(known[i], y)), j))
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(sorted(near)[:8])]
+    plain = [x[:3] for x in got if x[0] != 70]
+    assert plain == [x for x in want if x[0] != 70]
+    assert len([x for x in got if x[0] == 70]) == 8 and all(x[3] is None for x in got if x[0] == 70)
