@@ -192,8 +192,11 @@ def vocabulary_of_rows(rows: DataFrame) -> tuple[Vocabulary, list[str]]:
     owner = F.when(F.col("kind") == "attribute", F.col("domain")).otherwise("")
     split = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")))))
     least = [F.min(F.when(F.col(c) != "", F.col(c))).alias(c) for c in ("description", "inverse")]
-    found = rows.groupBy(F.when(F.col("kind") == "property", "relation").otherwise(F.col("kind")).alias("kind"), "name", owner.alias("owner"))
-    found = found.agg(*least, split("domain").alias("domain"), split("range").alias("range"), F.max("range").alias("type")).orderBy("kind", "name", "owner").collect()
+    # What is said more than once is one row before domains and ranges are gathered: a table has a row for each use.
+    by = [F.when(F.col("kind") == "property", "relation").otherwise(F.col("kind")).alias("kind"), "name", owner.alias("owner")]
+    once = rows.groupBy(*by, "domain", "range").agg(*least)
+    found = once.groupBy("kind", "name", "owner").agg(*(F.min(c).alias(c) for c in ("description", "inverse")), split("domain").alias("domain"), split("range").alias("range"), F.max("range").alias("type"))
+    found = found.orderBy("kind", "name", "owner").collect()
     v, notes = Vocabulary(), []
     for r in found:
         said = {"definition": r["description"]} if r["description"] else {}

@@ -67,8 +67,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, rel, dst, status, derived_by, premises; each triple once."""
+def edges(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """src, rel, dst, status, derived_by, premises; each triple once, or as often as the tables say it."""
 
     def rel(name, src, type_, dst):
         t = table(spark, sf_dir, name)
@@ -80,9 +80,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         rel("customer", ("customer", "c_custkey"), "in_nation", ("nation", "c_nationkey")),
         rel("supplier", ("supplier", "s_suppkey"), "in_nation", ("nation", "s_nationkey")),
         rel("orders", ("order", "o_orderkey"), "placed_by", ("customer", "o_custkey")),
-        rel("lineitem", order, "contains", ("part", "l_partkey")).distinct(),
-        rel("lineitem", order, "supplied_by", ("supplier", "l_suppkey")).distinct(),
+        rel("lineitem", order, "contains", ("part", "l_partkey")),
+        rel("lineitem", order, "supplied_by", ("supplier", "l_suppkey")),
     ]
+    parts = [*parts[:4], *(p.distinct() if once else p for p in parts[4:])]
     return reduce(DataFrame.unionByName, parts).select(
         "*", F.lit("current").alias("status"), F.lit(None).cast("string").alias("derived_by"), F.array().cast("array<string>").alias("premises")
     )

@@ -42,3 +42,13 @@ def test_tables_and_json(spark, tmp_path):
     assert {"r: domain B is not declared", "r: range C is not declared"} <= set(ontology.import_problems(v))
     j = ontology.read_json('{"classes": {"A": {"attributes": {"x": {}}}}, "attributes": {"A": {"y": {"type": "date"}}}, "schemes": {"s": {"concepts": {"k": {}}}}}')
     assert set(j.attributes("A")) == {"x", "y"} and j.schemes == {"s": {"k": {}}} and ontology.import_problems(Vocabulary()) == ["no classes"]
+
+
+def test_terms_said_often_are_gathered_once(spark, monkeypatch):
+    """Of a row for each use only the different ones reach the arrays of domains and ranges."""
+    rows = spark.range(3000).selectExpr("'relation' kind", "'of' name", "concat('d', id % 7) description", "concat(id % 2, '|b') domain", "'r' range")
+    plans, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or collect(df))
+    v, notes = ontology.vocabulary_of_rows(rows)
+    assert v.properties == {"of": {"definition": "d0", "domain": ["0", "1", "b"], "range": ["r"]}} and not notes
+    assert plans[0].count("Aggregate [") == 2  # domains and ranges as they are said, then terms
