@@ -169,3 +169,17 @@ def test_margin_suggest_takes_no_pair_by_itself(spark, monkeypatch):
 
     monkeypatch.setattr(retrieval, "against", refused)
     assert queries.QUERIES["margin_suggest"](spark, "/root/testdata/sf0.001").columns == ["query_id", "vec_id", "cosine"]
+
+
+def test_a_block_that_hangs_on_a_loose_variable_is_no_cross_product(spark):
+    """An edge with an end bound for sure goes first, and where what may be loose is bound nothing is compared with what is left."""
+    n = nodes(spark, ("c1", "C", None), ("c2", "C", None), ("n", "N", None), ("o1", "O", None), ("o2", "O", None), ("s", "S", None), ("t", "S", None))
+    e = edges(spark, ("c1", "in", "n"), ("c2", "in", "n"), ("o1", "by", "c1"), ("o1", "from", "s"), ("o2", "from", "s"), ("o2", "from", "t"), ("s", "in", "n"))
+    start = [{"node": "c", "type": "C"}, {"edge": ["c", "in", "n"]}, {"optional": [{"edge": ["o", "by", "c"]}]}]
+    m = Matcher(n, e)
+    found = m.match([*start, {"optional": [{"edge": ["o", "from", "s"]}, {"edge": ["s", "in", "n"]}]}])
+    assert "Join Cross" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in m.select(found, ["$c", "$o", "$s"]).collect()) == [("c1", "o1", "s"), ("c2", "o1", "s"), ("c2", "o2", "s")]
+    m = Matcher(n, e)
+    found = m.select(m.match([*start, {"optional": [{"edge": ["o", "from", "x"]}]}]), ["$c", "$o", "$x"])
+    assert sorted(tuple(r) for r in found.collect()) == [("c1", "o1", "s"), ("c2", "o1", "s"), ("c2", "o2", "s"), ("c2", "o2", "t")]
